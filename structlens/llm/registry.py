@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, token_output
+from . import mixing, quality, simhash, token_output
 
 _MODULES = {
     "op1_token_output": token_output,
     "op4_mixing": mixing,
+    "op7_simhash": simhash,
     "op9_quality_rules": quality,
 }
 
