@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, token_output
+from . import embedding_dedup, mixing, quality, simhash, token_output, toxicity
 
 _MODULES = {
     "op1_token_output": token_output,
+    "op2_toxicity": toxicity,
     "op4_mixing": mixing,
+    "op6_embedding_dedup": embedding_dedup,
     "op7_simhash": simhash,
     "op9_quality_rules": quality,
 }
