@@ -3,9 +3,10 @@
 Documents are range-partitioned and sorted by id, encoded, and written as
 ``(part, doc_id, local_start, n_tokens, token_ids)``:
 
-* ``token_ids`` is a list column with dictionary encoding (a vocabulary fits
-  in one dictionary page), ``doc_id`` and ``local_start`` use
-  DELTA_BINARY_PACKED;
+* ``token_ids`` is a list column with delta encoding (DELTA_BINARY_PACKED, about
+  as small as indexes into a dictionary of 50,000 ids and cheaper to write) or, with
+  ``ids_encoding="dictionary"``, dictionary encoding; ``doc_id``, ``local_start`` and
+  ``n_tokens`` are delta encoded, ``part`` by a dictionary;
 * row groups are bounded by ``row_group_bytes``, data pages by
   ``page_bytes``, and the writer adds column and offset indexes, so a filter
   on ``doc_id`` reads only the pages it needs and a read of the metadata
@@ -31,24 +32,30 @@ from pyspark.sql import functions as F
 
 from . import _work
 
-#: White space other than space and line feed: such texts are encoded whole.
+#: White space that may not be cut at single spaces: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_MAX_CACHE = 800_000
+#: Between a letter or digit and one of these, pre-tokens always end.
+_MARKS = (".", ",")
+_MAX_CACHE = 1_000_000
+
+
+def _odd(t: str) -> bool:
+    return "  " in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _ODD_SPACE.search(t) is not None
+
+
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, token_ids array<int>"
 
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer of the tokenizers library.
 
-    A boundary between a character that is not white space and a space or
-    line feed is always a boundary of pre-tokens, so the ids of a text are
-    the ids of its pieces ("white space, then a word") one after another, and
-    pieces that start with white space may be encoded as one joined text.
-    Pieces seen before come from a bounded cache; the others go to the library
-    joined, and the byte lengths of the returned tokens cut the ids into
-    pieces again (checked: a piece whose end is not the end of a token is encoded
-    alone). Texts with other white space go to the library whole.
+    A boundary between a character that is not white space and a space is always a
+    boundary of pre-tokens, so the ids of a text are the ids of its pieces (a space,
+    then all up to the next space) one after another. Pieces seen before come from
+    a bounded cache; the others go to the library joined to longer texts, and the byte
+    lengths of the returned tokens cut the ids into pieces again (checked: if the end of
+    a piece is not the end of a token, each is encoded alone). Texts with other white
+    space, or more than one space in a row, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -60,39 +67,49 @@ class PieceEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
+        self.marks = {m: x.tobytes() for m, x in zip(_MARKS, self._library(list(_MARKS)), strict=True)}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str], run: int = 256) -> None:
-        lists = [pieces[i : i + run] for i in range(0, len(pieces), run)]
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of " " + word into the cache for each word."""
+        cache, plain, cut = self.cache, set(), []
+        for w in words:
+            if w[-1:] in _MARKS and w[-2:-1].isalnum() and "\n" not in w:
+                cut.append((w, w[:-1], w[-1]))
+                if w[:-1] not in cache:
+                    plain.add(w[:-1])
+            else:
+                plain.add(w)
+        self._spaced(list(plain))
+        cache.update((w, cache[stem] + self.marks[mark]) for w, stem, mark in cut)
+
+    def _spaced(self, words: list[str], run: int = 256) -> None:
+        lists = [words[i : i + run] for i in range(0, len(words), run)]
         for at in range(0, len(lists), 32):
             some = lists[at : at + 32]
-            for own, ids in zip(some, self._library(["".join(x) for x in some]), strict=True):
+            texts = [" " + " ".join(x) for x in some]
+            for own, text, ids in zip(some, texts, self._library(texts), strict=True):
+                sizes = map(len, own) if text.isascii() else (len(w.encode("utf-8")) for w in own)
+                ends = np.cumsum(np.fromiter(sizes, np.int64, len(own)) + 1)
                 reach = np.cumsum(self.n_bytes[ids])
-                ends = np.cumsum(np.fromiter((len(p.encode("utf-8")) for p in own), np.int64, len(own)))
                 cut = np.searchsorted(reach, ends)
-                if len(reach) == 0 or cut[-1] >= len(reach) or not np.array_equal(reach[cut], ends):
-                    self.cache.update((p, x.tobytes()) for p, x in zip(own, self._library(own), strict=True))
+                if cut[-1] >= len(reach) or not np.array_equal(reach[cut], ends):
+                    self.cache.update((w, x.tobytes()) for w, x in zip(own, self._library([" " + w for w in own]), strict=True))
                     continue
-                data, last = ids.tobytes(), 0
-                for p, c in zip(own, (4 * (cut + 1)).tolist(), strict=True):
-                    self.cache[p] = data[last:c]
-                    last = c
+                data, stops = ids.tobytes(), (4 * (cut + 1)).tolist()
+                self.cache.update(zip(own, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
+        cut = [None if _odd(t) else t.split(" ") for t in texts]
+        whole = self._library([t if c is None else c.pop(0) for t, c in zip(texts, cut, strict=True)])
         if len(self.cache) > _MAX_CACHE:
             self.cache.clear()
-        known, joined, rest = self.cache, [], []
-        for p in set().union(*(c for c in cut if c)):
-            if p not in known:
-                (joined if p[0] in " \n" and p[-1] not in " \n" else rest).append(p)
-        self._joined(joined)
-        self.cache.update((p, x.tobytes()) for p, x in zip(rest, self._library(rest), strict=True))
+        self._learn(list(set().union(*(c for c in cut if c)).difference(self.cache)))
         get = self.cache.__getitem__
-        return [self._library([t])[0].tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        return [w.tobytes() + b"".join(map(get, c)) if c else w.tobytes() for w, c in zip(whole, cut, strict=True)]
 
 
 @functools.cache
@@ -129,7 +146,7 @@ def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, ids_encoding: str = "delta") -> None:
     """Encode all documents and write the token files to ``out``."""
     end = np.asarray([end_id], "<u4").tobytes()
 
@@ -145,13 +162,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array([d for d, _ in rows], pa.int64()), pa.array(starts), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["part", "doc_id", "local_start", "n_tokens", "token_ids"])
 
     options = {
-        "compression": "zstd",
+        "compression": "snappy",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),
-        "parquet.enable.dictionary": "true",
-        "parquet.enable.dictionary#doc_id": "false",
-        "parquet.enable.dictionary#local_start": "false",
+        "parquet.enable.dictionary": "false",
+        "parquet.enable.dictionary#part": "true",
+        "parquet.enable.dictionary#token_ids.list.element": str(ids_encoding == "dictionary").lower(),
     }
     ordered(docs, id_col, text_col).mapInArrow(encode, SCHEMA).write.options(**options).parquet(out)
 
