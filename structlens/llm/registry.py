@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, quality, simhash, token_output, toxicity
+from . import embedding_dedup, mixing, quality, simhash, substring, token_output, toxicity
 
 _MODULES = {
     "op1_token_output": token_output,
@@ -14,6 +14,7 @@ _MODULES = {
     "op4_mixing": mixing,
     "op6_embedding_dedup": embedding_dedup,
     "op7_simhash": simhash,
+    "op8_substring_dedup": substring,
     "op9_quality_rules": quality,
 }
 
