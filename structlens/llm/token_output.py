@@ -20,6 +20,7 @@ empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,7 @@ from . import _work
 _ODD_SPACE = re.compile(r"[^\S \n]")
 #: Between a letter or digit and one of these, pre-tokens always end.
 _MARKS = (".", ",")
-_MAX_CACHE = 1_000_000
+_MAX_CACHE = 500_000
 
 
 def _odd(t: str) -> bool:
@@ -59,6 +60,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -135,7 +137,8 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, end: bytes) -> Iterato
     """(doc_id, ids with the end id as bytes) in bounded lists, in the order of the input."""
     encode = encoder(path)
     for batch in batches:
-        rows = ((d, t or "") for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        parts = (batch.slice(at, 128) for at in range(0, batch.num_rows, 128))
+        rows = ((d, t or "") for p in parts for d, t in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True))
         for group in groups(rows):
             yield [(d, ids + end) for (d, _), ids in zip(group, encode([t for _, t in group]), strict=True)]
 
