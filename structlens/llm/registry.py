@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, quality, simhash, substring, token_output, toxicity
+from . import chat, embedding_dedup, mixing, packing, quality, separator_scan, simhash, substring, token_output, toxicity
 
 _MODULES = {
     "op1_token_output": token_output,
     "op2_toxicity": toxicity,
+    "op3_separator_scan": separator_scan,
     "op4_mixing": mixing,
+    "op5_packing": packing,
     "op6_embedding_dedup": embedding_dedup,
     "op7_simhash": simhash,
     "op8_substring_dedup": substring,
     "op9_quality_rules": quality,
+    "op10_chat_format": chat,
 }
 
 

@@ -159,6 +159,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, prints["fp"] == classes["c_fp"]).select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, all columns unchanged; of rows that share
+    an id, those whose fingerprint leads to that id all stay. Rows without an id stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.where("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
