@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     prior = min(max(n_toxic / n_known, 1e-6), 1 - 1e-6)
     part = lambda c, seed, n, of: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, n / of) * (1 << 30))
     chosen = marks.where("toxic = 1").where(part("l_id", 11, positives, n_toxic)).select("l_id")
-    pos = rows.join(chosen, rows["doc_id"] == chosen["l_id"], "left_semi").withColumn("positive", F.lit(True))
+    # about ``positives`` ids by the filter above, so the side is small and the texts are not shuffled
+    pos = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["l_id"], "left_semi").withColumn("positive", F.lit(True))
     unl = rows.where(part("doc_id", 12, unlabelled, n_rows)).withColumn("positive", F.lit(False))
     sample = _work.keep(pos.unionByName(unl), "toxicity")
     n_pos, n_unl = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
