@@ -190,11 +190,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = _work.keep(seen.join(reps, seen["sha"] == reps["r_sha"], "left").withColumn("anchors", F.when(F.col("doc_id") == F.col("rep"), F.col("anchors"))).drop("r_sha"), "rows")
     loose = rows.where("doc_id = rep").select("doc_id", "k", F.explode("anchors").alias("a"))
     common = loose.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("a").alias("c_a"))
+    # kept, so that both sides of the join below are plain exchanges, which adaptive execution can split
+    common = _work.keep(common, "common")
     own = loose.join(common, loose["a"] == common["c_a"]).groupBy("doc_id", "k").agg(F.collect_set("a").alias("recurring")).select(F.col("doc_id").alias("o_id"), F.col("k").alias("o_k"), "recurring")
     busy = src.join(own, (src["doc_id"] == own["o_id"]) & (src["k"] == own["o_k"])).select("doc_id", "k", "text", "recurring")
     found = _work.keep(busy.mapInArrow(_locate(window, phrase, shard_chars), "doc_id long, k long, text string, pos array<int>, h1 array<long>, h2 array<int>"), "windows", compression="zstd")
     wins = found.select("doc_id", "k", F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select("doc_id", "k", "w.h1", "w.h2", "w.pos")
     least = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "lo")
+    least = _work.keep(least, "least")
     late = wins.join(least, (wins["h1"] == least["l1"]) & (wins["h2"] == least["l2"])).where("doc_id > lo")
     late = late.groupBy("doc_id", "k").agg(F.collect_set("pos").alias("starts")).select(F.col("doc_id").alias("s_id"), F.col("k").alias("s_k"), "starts")
     texts = found.select("doc_id", "k", "text").dropDuplicates(["doc_id", "k"])
