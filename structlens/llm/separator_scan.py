@@ -1,7 +1,7 @@
 """Token counts of documents in flat, unindexed token files, by scanning for separators.
 
-A flat file is nothing but token ids as little-endian unsigned 32-bit integers, each document followed by the
-end id. Files are cut into blocks of ``block_tokens``; any task reads any block by its byte range, finds
+A flat file is nothing but token ids as little-endian unsigned integers of ``width`` bytes (two for vocabularies of
+up to 65,536 ids, else four), each document followed by the end id. Files are cut into blocks of ``block_tokens``; any task reads any block by its byte range, finds
 all end ids with one vectorised comparison, and reports them with a one-row summary. A prefix scan over the
 summaries (running maximum of the last separator, running sum of the number of separators; within a file over its
 blocks, then over files in name order) carries into every block where its first document began and which document
@@ -11,7 +11,7 @@ Files are written by Spark's own committing writer, so a lost executor leaves no
 
 Defined results: a null or empty text is a document of no tokens; two separators in a row enclose one; tokens after the
 last separator of a file are a document that isn't ended (``ended`` false); an empty file has no documents; a
-file whose size is no multiple of four bytes is an error; repeated rows are repeated documents; an end id that the
+file whose size is no multiple of the width is an error; repeated rows are repeated documents; an end id that the
 tokenizer also gives inside a text can't be told from an end, as in any such file.
 """
 
@@ -25,26 +25,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _work
-from .token_output import encoded, ordered
+from .token_output import encoded
 
 BLOCK_TOKENS = 1 << 20
 
 
-def write_flat(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode all documents in ascending id order into flat files in ``out``.
+def write_flat(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, width: int = 2, text_col: str = "text") -> None:
+    """Encode all documents, in the order in which they are read, into flat files in ``out``; nothing is shuffled.
 
     The text writer puts the raw bytes of a column and its line separator one after another; with the end id
-    as separator (its four bytes have to be ASCII) that is the flat format.
+    as separator (its bytes have to be ASCII) that is the flat format.
     """
-    separator = int(end_id).to_bytes(4, "little")
+    separator = int(end_id).to_bytes(width, "little")
     if not separator.isascii():
         raise ValueError("the end id's bytes must be ASCII")
 
     def encode(batches):
-        for rows in encoded(batches, tokenizer_path, b""):
-            yield pa.RecordBatch.from_arrays([pa.array([b for _, b in rows], pa.binary())], names=["ids"])
-
-    ids = ordered(docs, id_col, text_col).mapInArrow(encode, "ids binary")
+        for rows, offsets, ids in encoded(batches, 0, tokenizer_path, None):
+            if width == 2 and len(ids) and ids.max() >= 1 << 16:
+                raise ValueError("an id doesn't fit into two bytes")
+            data = ids.astype(f"<u{width}")
+            column = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([column], names=["ids"])
+
+    ids = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "ids binary")
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator.decode("ascii")).option("compression", "none").text(out)
 
 
@@ -54,22 +58,22 @@ def flat_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.select("path", F.col("length").alias("size"))
 
 
-def blocks(files: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def blocks(files: DataFrame, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
     """path, block, first (token), tokens."""
     per = F.lit(block_tokens).cast("long")
-    tokens = F.when(F.col("size") % 4 == 0, F.expr("size div 4")).otherwise(F.raise_error(F.concat(F.lit("not a file of 32-bit ids: "), F.col("path"))).cast("long"))
+    tokens = F.when(F.col("size") % width == 0, F.expr(f"size div {width}")).otherwise(F.raise_error(F.concat(F.lit(f"not a file of ids of {width} bytes: "), F.col("path"))).cast("long"))
     n = F.ceil(F.col("all") / per)
     rows = files.select("path", tokens.alias("all")).where("all > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     return rows.select("path", "block", (F.col("block") * per).alias("first"), F.least(per, F.col("all") - F.col("block") * per).alias("tokens"))
 
 
-def _scan(end_id: int):
+def _scan(end_id: int, width: int):
     def work(batches):
         for batch in batches:
             for path, block, first, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 where, name = fs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:///") else path.replace("file:/", "/", 1) if path.startswith("file:/") else path)
                 with where.open_input_file(name) as f:
-                    ids = np.frombuffer(f.read_at(4 * tokens, 4 * first), "<u4")
+                    ids = np.frombuffer(f.read_at(width * tokens, width * first), f"<u{width}")
                 at = first + np.flatnonzero(ids == end_id)
                 lists = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(at))
                 last = pa.array([int(at[-1]) if len(at) else None], pa.int64())
@@ -78,10 +82,10 @@ def _scan(end_id: int):
     return work
 
 
-def documents(files: DataFrame, *, end_id: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def documents(files: DataFrame, *, end_id: int = 2, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """path, ordinal (over all files, in name order), start (token in its file), n_tokens (without the end id) and ended."""
-    cut = blocks(files, block_tokens)
-    found = cut.repartition("path", "block").mapInArrow(_scan(end_id), "path string, block long, tokens long, n long, last long, ends array<long>")
+    cut = blocks(files, block_tokens, width)
+    found = cut.repartition("path", "block").mapInArrow(_scan(end_id, width), "path string, block long, tokens long, n long, last long, ends array<long>")
     found = _work.keep(found, "separators")
     summary = found.select("path", "block", "tokens", "n", "last")
     ahead = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -111,7 +115,7 @@ def documents(files: DataFrame, *, end_id: int = 2, block_tokens: int = BLOCK_TO
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as flat token files in ascending doc_id order, and what a scan of the files finds in them."""
+    """All documents as flat token files, and what a scan of the files finds in them."""
     import public_tokenizers
 
     out = _work.folder(spark, "flat")

@@ -21,29 +21,24 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _work
 
-#: White space that may not be cut at single spaces: such texts are encoded whole.
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: White space other than single spaces and line feeds after other characters: such texts are encoded whole.
+_ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  |\n |^ | $"
 #: Between a letter or digit and one of these, pre-tokens always end.
 _MARKS = (".", ",")
-_MAX_CACHE = 500_000
-
-
-def _odd(t: str) -> bool:
-    return "  " in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _ODD_SPACE.search(t) is not None
-
-
+_MARKED = r"[\pL\pN][.,]$"
+_MAX_STORE = 800_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, token_ids array<int>"
 
 
@@ -52,11 +47,12 @@ class PieceEncoder:
 
     A boundary between a character that is not white space and a space is always a
     boundary of pre-tokens, so the ids of a text are the ids of its pieces (a space,
-    then all up to the next space) one after another. Pieces seen before come from
-    a bounded cache; the others go to the library joined to longer texts, and the byte
-    lengths of the returned tokens cut the ids into pieces again (checked: if the end of
-    a piece is not the end of a token, each is encoded alone). Texts with other white
-    space, or more than one space in a row, go to the library whole.
+    then all up to the next space) one after another. Pieces seen before come from a bounded
+    store; the others go to the library joined to longer texts, and the byte lengths of the returned
+    tokens cut the ids into pieces again (checked: if the end of a piece is not the end of a token,
+    each is encoded alone). Texts with other white space, or more than one space in a row, go to
+    the library whole. Pieces are split, numbered and put together again by Arrow and numpy; Python
+    sees each distinct piece of a batch once.
     """
 
     def __init__(self, path: str):
@@ -64,54 +60,95 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
-        self.marks = {m: x.tobytes() for m, x in zip(_MARKS, self._library(list(_MARKS)), strict=True)}
+        self.marks = self._library(list(_MARKS))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the store again: place 0 is the empty piece, then the marks."""
+        self.place: dict[str, int] = {"": 0}
+        self.ids, self.ends, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 1
+        self._append(np.concatenate(self.marks), np.cumsum([len(x) for x in self.marks]))
+
+    def _append(self, ids: np.ndarray, ends: np.ndarray) -> int:
+        """Put lists of ids into the store; the place of the first."""
+        first, used = self.n, int(self.ends[self.n - 1])
+        for name, need in (("ids", used + len(ids)), ("ends", first + len(ends))):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.ids[used : used + len(ids)] = ids
+        self.ends[first : first + len(ends)] = used + ends
+        self.n += len(ends)
+        return first
+
+    def _take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of the lists at ``places``, one after another."""
+        offsets = pa.array(np.append(0, self.ends[: self.n]).astype(np.int32))
+        out = pa.ListArray.from_arrays(offsets, pa.array(self.ids[: int(self.ends[self.n - 1])].view(np.int32))).take(pa.array(places))
+        return out.offsets.to_numpy().astype(np.int64), out.values.to_numpy().view(np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of " " + word into the cache for each word."""
-        cache, plain, cut = self.cache, set(), []
-        for w in words:
-            if w[-1:] in _MARKS and w[-2:-1].isalnum() and "\n" not in w:
-                cut.append((w, w[:-1], w[-1]))
-                if w[:-1] not in cache:
-                    plain.add(w[:-1])
-            else:
-                plain.add(w)
-        self._spaced(list(plain))
-        cache.update((w, cache[stem] + self.marks[mark]) for w, stem, mark in cut)
-
-    def _spaced(self, words: list[str], run: int = 256) -> None:
-        lists = [words[i : i + run] for i in range(0, len(words), run)]
-        for at in range(0, len(lists), 32):
-            some = lists[at : at + 32]
-            texts = [" " + " ".join(x) for x in some]
-            for own, text, ids in zip(some, texts, self._library(texts), strict=True):
-                sizes = map(len, own) if text.isascii() else (len(w.encode("utf-8")) for w in own)
-                ends = np.cumsum(np.fromiter(sizes, np.int64, len(own)) + 1)
-                reach = np.cumsum(self.n_bytes[ids])
-                cut = np.searchsorted(reach, ends)
-                if cut[-1] >= len(reach) or not np.array_equal(reach[cut], ends):
-                    self.cache.update((w, x.tobytes()) for w, x in zip(own, self._library([" " + w for w in own]), strict=True))
-                    continue
-                data, stops = ids.tobytes(), (4 * (cut + 1)).tolist()
-                self.cache.update(zip(own, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if _odd(t) else t.split(" ") for t in texts]
-        whole = self._library([t if c is None else c.pop(0) for t, c in zip(texts, cut, strict=True)])
-        if len(self.cache) > _MAX_CACHE:
-            self.cache.clear()
-        self._learn(list(set().union(*(c for c in cut if c)).difference(self.cache)))
-        get = self.cache.__getitem__
-        return [w.tobytes() + b"".join(map(get, c)) if c else w.tobytes() for w, c in zip(whole, cut, strict=True)]
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], run: int = 256) -> None:
+        """Put the ids of " " + word into the store for each word."""
+        if not words:
+            return
+        rows = self._library([" " + " ".join(words[i : i + run]) for i in range(0, len(words), run)])
+        ids = np.concatenate(rows)
+        ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1)
+        reach = np.cumsum(self.n_bytes[ids])
+        cut = np.searchsorted(reach, ends)
+        if cut[-1] >= len(reach) or not np.array_equal(reach[cut], ends):
+            rows = self._library([" " + w for w in words])
+            ids, cut = np.concatenate(rows), np.cumsum([len(x) for x in rows]) - 1
+        first = self._append(ids, cut + 1)
+        self.place.update(zip(words, range(first, self.n), strict=True))
+
+    def _meet(self, words: list[str]) -> None:
+        """Learn words; one that ends in a letter or digit and a mark is learnt as the two."""
+        all_ = pa.array(words, pa.string())
+        marked = pc.match_substring_regex(all_, _MARKED)
+        plain, both = all_.filter(pc.invert(marked)).to_pylist(), all_.filter(marked)
+        stems = pc.utf8_slice_codeunits(both, 0, -1).to_pylist()
+        self._learn(list({*plain, *stems}.difference(self.place)))
+        if stems:
+            mark = np.where(pc.ends_with(both, _MARKS[0]).to_numpy(zero_copy_only=False), 1, 2)
+            pairs = np.column_stack([np.fromiter(map(self.place.__getitem__, stems), np.int64, len(stems)), mark]).ravel()
+            offsets, ids = self._take(pairs)
+            first = self._append(ids, offsets[2::2] - offsets[0])
+            self.place.update(zip(both.to_pylist(), range(first, self.n), strict=True))
+
+    def __call__(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts and the ids of all of them, each followed by ``end`` if given."""
+        if len(self.place) > _MAX_STORE:
+            self._forget()
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        pieces, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        coded = pieces.dictionary_encode()
+        number, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        self._meet([p for p in distinct if p not in self.place])
+        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[number]
+        # first pieces have no space before them, and whole texts no pieces
+        whole = [t if o else p for t, p, o in zip(pc.if_else(odd, texts, "").to_pylist(), pieces.take(pa.array(at[:-1])).to_pylist(), odd.to_pylist(), strict=True)]
+        first = self._library(whole)
+        kept = self.n
+        places[at[:-1]] = self._append(np.concatenate(first), np.cumsum([len(x) for x in first])) + np.arange(n)
+        if end is not None:
+            places = np.insert(places, at[1:], self._append(np.asarray([end], np.uint32), np.asarray([1])))
+            at = at + np.arange(n + 1)
+        offsets, ids = self._take(places)
+        self.n = kept
+        return offsets[at] - offsets[0], ids[offsets[0] : offsets[-1]]
 
 
 @functools.cache
@@ -120,27 +157,17 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def groups(rows: Iterable[tuple], size: int = 1 << 20, most: int = 256) -> Iterator[list[tuple]]:
-    """Lists of (key, text) rows with a bounded number of characters, for one call of the library."""
-    held, chars = [], 0
-    for row in rows:
-        held.append(row)
-        chars += len(row[1])
-        if chars >= size or len(held) >= most:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
-
-
-def encoded(batches: Iterable[pa.RecordBatch], path: str, end: bytes) -> Iterator[list[tuple[int, bytes]]]:
-    """(doc_id, ids with the end id as bytes) in bounded lists, in the order of the input."""
+def encoded(batches: Iterable[pa.RecordBatch], column: int, path: str, end: int | None, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with at most about ``most_bytes`` of text, their token offsets and ids."""
     encode = encoder(path)
     for batch in batches:
-        parts = (batch.slice(at, 128) for at in range(0, batch.num_rows, 128))
-        rows = ((d, t or "") for p in parts for d, t in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True))
-        for group in groups(rows):
-            yield [(d, ids + end) for (d, _), ids in zip(group, encode([t for _, t in group]), strict=True)]
+        texts = pc.fill_null(batch.column(column), "")
+        reach = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most_bytes, "right")))
+            yield batch.slice(at, stop - at), *encode(texts.slice(at, stop - at), end)
+            at = stop
 
 
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,18 +178,14 @@ def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, ids_encoding: str = "delta") -> None:
     """Encode all documents and write the token files to ``out``."""
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for rows in encoded(batches, tokenizer_path, end):
-            n = np.fromiter((len(b) // 4 for _, b in rows), np.int64, len(rows))
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum(n, out=offsets[1:])
-            ids = pa.array(np.frombuffer(b"".join(b for _, b in rows), "<i4"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array([d for d, _ in rows], pa.int64()), pa.array(starts), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["part", "doc_id", "local_start", "n_tokens", "token_ids"])
+        for rows, offsets, ids in encoded(batches, 1, tokenizer_path, end_id):
+            starts = at + offsets[:-1]
+            at += len(ids)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, part, np.int32)), rows.column(0), pa.array(starts), pa.array(np.diff(offsets)), lists], names=["part", "doc_id", "local_start", "n_tokens", "token_ids"])
 
     options = {
         "compression": "snappy",
