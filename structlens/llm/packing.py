@@ -113,7 +113,7 @@ def _shards(capacity: int):
     return work
 
 
-def best_fit(docs: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = 16_384, one_per_source: bool = True, cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def best_fit(docs: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = 4096, one_per_source: bool = True, cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """shard, bin, doc_id, copy, start_word, n_words: where every piece of every document goes.
 
     ``cluster`` is the duplicate cluster of a row (default: a hash of the text, so copies never share a bin).
