@@ -23,9 +23,11 @@ def _new(edits: DataFrame, at, content: str = "content") -> DataFrame:
 
 def replace_lines(lines: DataFrame, edits: DataFrame) -> DataFrame:
     """One edit a file: (file_path, start_line, end_line from 1, both included, content). Invalid ranges raise."""
-    n = lines.groupBy("file_path").agg(F.max("line_no").alias("last"))
+    n = lines.groupBy(F.col("file_path").alias("n_path")).agg(F.max("line_no").alias("last"))
     bad = (F.col("start_line") < 1) | (F.col("start_line") > F.col("end_line")) | (F.col("end_line") > F.col("last") + 1)
-    edits = edits.join(n, "file_path").withColumn("start_line", F.when(bad, F.raise_error(F.lit("line range out of bounds")).cast("int")).otherwise(F.col("start_line"))).drop("last")
+    # the message names columns of both sides, so the check stays above the join
+    problem = F.raise_error(F.concat(F.lit("line range out of bounds: "), "file_path", F.lit(" of "), "n_path")).cast("int")
+    edits = edits.join(n, F.col("file_path") == F.col("n_path")).withColumn("start_line", F.when(bad, problem).otherwise(F.col("start_line"))).drop("last", "n_path")
     e = edits.select(F.col("file_path").alias("e_path"), "start_line", "end_line")
     left = lines.join(e, (lines["file_path"] == e["e_path"]) & lines["line_no"].between(e["start_line"] - 1, e["end_line"] - 1), "left_anti")
     return _renumber(_old(left).unionByName(_new(edits, F.col("start_line") - 1)))

@@ -47,8 +47,8 @@ def region_ends(regions: DataFrame) -> DataFrame:
     out = regions.withColumn("nexts", nexts).withColumn("stop", F.array_min(F.slice("nexts", 1, F.least(F.col("depth") + 1, F.lit(WINDOW_DEPTHS))))).drop("nexts")
     deep = out.where(F.col("depth") >= WINDOW_DEPTHS).select("file_path", F.col("line_no").alias("a"), F.col("depth").alias("a_depth"))
     enders = out.where(F.col("depth") >= WINDOW_DEPTHS).select(F.col("file_path").alias("e_path"), F.col("line_no").alias("b"), F.col("depth").alias("b_depth"))
-    met = deep.join(enders, (deep["file_path"] == enders["e_path"]) & (F.col("b") > F.col("a")) & (F.col("b_depth") <= F.col("a_depth"))).groupBy("file_path", "a").agg(F.min("b").alias("deep_stop"))
-    out = out.join(met, (out["file_path"] == met["file_path"]) & (out["line_no"] == met["a"]), "left").drop(met["file_path"]).drop("a")
+    met = deep.join(enders, (deep["file_path"] == enders["e_path"]) & (F.col("b") > F.col("a")) & (F.col("b_depth") <= F.col("a_depth"))).groupBy(F.col("file_path").alias("m_path"), "a").agg(F.min("b").alias("deep_stop"))
+    out = out.join(met, (out["file_path"] == met["m_path"]) & (out["line_no"] == met["a"]), "left").drop("m_path", "a")
     stop = F.least("stop", "deep_stop")
     return out.withColumn("line_end", F.greatest(F.coalesce(stop - 1, F.col("last_line")), F.col("line_no"))).drop("stop", "deep_stop")
 
