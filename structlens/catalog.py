@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import stars, states, texts
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**texts.Q, **stars.Q, **states.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**texts.O, **stars.O, **states.O}

@@ -85,10 +85,10 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     segment = c.select("c_nationkey", "c_mktsegment").distinct().select("c_nationkey", "c_mktsegment", zero.alias("cust"), zero.alias("ord"), F.lower("c_mktsegment").alias("name"), F.lit(0).alias("depth"), F.lit("Module").alias("kind"), none.alias("signature"), none.alias("doc_comment"))
     cust_name = F.replace("c_name", F.lit("#"), F.lit("_"))
     odd = lambda k, a, b: F.when(F.col(k) % 2 == 1, a).otherwise(b)
-    classes = c.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("cust"), zero.alias("ord"), cust_name.alias("name"), F.lit(1).alias("depth"), F.when(F.col("c_custkey") % 3 == 0, "Struct").otherwise("Class").alias("kind"), F.concat(odd("c_custkey", F.lit("pub struct "), F.lit("class ")), cust_name).alias("signature"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("A customer of "), F.lower("c_mktsegment"), F.lit("\nand more"))).alias("doc_comment"))
+    classes = c.select("c_nationkey", "c_mktsegment", (F.col("c_custkey") + 1).alias("cust"), zero.alias("ord"), cust_name.alias("name"), F.lit(1).alias("depth"), F.when(F.col("c_custkey") % 3 == 0, "Struct").otherwise("Class").alias("kind"), F.concat(odd("c_custkey", F.lit("pub struct "), F.lit("class ")), cust_name).alias("signature"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("A customer of "), F.lower("c_mktsegment"), F.lit("\nand more"))).alias("doc_comment"))
     word = F.lower(F.regexp_replace(F.substring("o_orderpriority", 3, 30), "[^A-Za-z]", "_"))
     order_name = F.concat(F.when(F.col("o_orderkey") % 11 == 0, F.lit("test_")).otherwise(F.lit("")), word, (F.col("o_orderkey") % 5).cast("string"))
-    methods = o.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("cust"), F.col("o_orderkey").alias("ord"), order_name.alias("name"), F.lit(2).alias("depth"), F.when(F.col("o_orderkey") % 17 == 0, "Import").otherwise("Method").alias("kind"), F.when(F.col("o_orderkey") % 6 != 0, F.concat(odd("o_orderkey", F.lit("pub async fn "), F.lit("fn ")), order_name, F.lit("(&self, key: Map<u64, str>, n: u32)"))).alias("signature"), none.alias("doc_comment"))
+    methods = o.select("c_nationkey", "c_mktsegment", (F.col("c_custkey") + 1).alias("cust"), (F.col("o_orderkey") + 1).alias("ord"), order_name.alias("name"), F.lit(2).alias("depth"), F.when(F.col("o_orderkey") % 17 == 0, "Import").otherwise("Method").alias("kind"), F.when(F.col("o_orderkey") % 6 != 0, F.concat(odd("o_orderkey", F.lit("pub async fn "), F.lit("fn ")), order_name, F.lit("(&self, key: Map<u64, str>, n: u32)"))).alias("signature"), none.alias("doc_comment"))
     rows = segment.unionByName(classes).unionByName(methods)
     file = W.partitionBy("c_nationkey").orderBy("c_mktsegment", "cust", "ord")
     seg, cus = W.partitionBy("c_nationkey", "c_mktsegment"), W.partitionBy("c_nationkey", "c_mktsegment", "cust")
@@ -97,7 +97,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumns({"n_seg": F.count(F.lit(1)).over(seg), "n_cus": F.count(F.lit(1)).over(cus), "p0": first_seg, "p1": first_cus})
     ext = F.element_at(F.array(*[F.lit(x) for x in ("rs", "py", "ts", "go", "java")]), (F.col("c_nationkey") % 5 + 1).cast("int"))
     path = F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string"), F.lit("."), ext)
-    owner = F.replace(F.format_string("Customer#%09d", F.col("cust")), F.lit("#"), F.lit("_"))
+    owner = F.replace(F.format_string("Customer#%09d", F.col("cust") - 1), F.lit("#"), F.lit("_"))
     scope = F.when(F.col("depth") == 0, F.array().cast("array<string>")).when(F.col("depth") == 1, F.array(F.lower("c_mktsegment"))).otherwise(F.array(F.lower("c_mktsegment"), owner))
     end = F.col("seq") + F.when(F.col("depth") == 0, F.col("n_seg") - 1).when(F.col("depth") == 1, F.col("n_cus") - 1).otherwise(0)
     qualified = F.array_join(F.concat(scope, F.array("name")), "::")
@@ -113,16 +113,16 @@ sym_o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey),
 sym_n AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'test_' ELSE '' END || lower(regexp_replace(substring(o_orderpriority, 3, 30), '[^A-Za-z]', '_', 'g')) || (o_orderkey % 5) AS oname FROM sym_o),
 sym_rows AS (
   SELECT DISTINCT c_nationkey, c_mktsegment, 0 AS cust, 0 AS ord, lower(c_mktsegment) AS name, 0 AS depth, 'Module' AS kind, NULL::VARCHAR AS signature, NULL::VARCHAR AS doc_comment FROM customer
-  UNION ALL SELECT c_nationkey, c_mktsegment, c_custkey, 0, replace(c_name, '#', '_'), 1, CASE WHEN c_custkey % 3 = 0 THEN 'Struct' ELSE 'Class' END,
+  UNION ALL SELECT c_nationkey, c_mktsegment, c_custkey + 1, 0, replace(c_name, '#', '_'), 1, CASE WHEN c_custkey % 3 = 0 THEN 'Struct' ELSE 'Class' END,
     CASE WHEN c_custkey % 2 = 1 THEN 'pub struct ' ELSE 'class ' END || replace(c_name, '#', '_'),
     CASE WHEN c_custkey % 4 = 0 THEN 'A customer of ' || lower(c_mktsegment) || chr(10) || 'and more' END FROM customer
-  UNION ALL SELECT c_nationkey, c_mktsegment, c_custkey, o_orderkey, oname, 2, CASE WHEN o_orderkey % 17 = 0 THEN 'Import' ELSE 'Method' END,
+  UNION ALL SELECT c_nationkey, c_mktsegment, c_custkey + 1, o_orderkey + 1, oname, 2, CASE WHEN o_orderkey % 17 = 0 THEN 'Import' ELSE 'Method' END,
     CASE WHEN o_orderkey % 6 <> 0 THEN CASE WHEN o_orderkey % 2 = 1 THEN 'pub async fn ' ELSE 'fn ' END || oname || '(&self, key: Map<u64, str>, n: u32)' END, NULL FROM sym_n),
 sym_seq AS (SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, cust, ord) - 1 AS INTEGER) AS seq FROM sym_rows),
 sym_w AS (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n_seg, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, cust) AS n_cus,
   min(seq) OVER (PARTITION BY c_nationkey, c_mktsegment) AS p0, min(seq) OVER (PARTITION BY c_nationkey, c_mktsegment, cust) AS p1,
   'nation/' || c_nationkey || '.' || (['rs', 'py', 'ts', 'go', 'java'])[c_nationkey % 5 + 1] AS file_path FROM sym_seq),
-sym_q AS (SELECT *, CASE depth WHEN 0 THEN name WHEN 1 THEN lower(c_mktsegment) || '::' || name ELSE lower(c_mktsegment) || '::' || printf('Customer_%09d', cust) || '::' || name END AS qualified_name FROM sym_w),
+sym_q AS (SELECT *, CASE depth WHEN 0 THEN name WHEN 1 THEN lower(c_mktsegment) || '::' || name ELSE lower(c_mktsegment) || '::' || printf('Customer_%09d', cust - 1) || '::' || name END AS qualified_name FROM sym_w),
 symbols AS (SELECT file_path, seq, CASE depth WHEN 1 THEN p0 WHEN 2 THEN p1 END AS parent_seq, depth, name, kind, seq AS line_start,
   CAST(seq + CASE depth WHEN 0 THEN n_seg - 1 WHEN 1 THEN n_cus - 1 ELSE 0 END AS INTEGER) AS line_end, depth * 4 AS column_start, qualified_name,
   file_path || '::' || qualified_name || '@' || seq || ':' || (depth * 4) AS stable_id, signature, doc_comment FROM sym_q)"""
