@@ -88,10 +88,17 @@ def position(demand: Column, place: Column, schedules: Sequence[Sequence[tuple[f
     return out
 
 
+def _key(source: Column) -> Column:
+    """A source as a text that is never null, so that joins and windows agree on one partitioning."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
 def _with_sources(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds sk and the columns of the source's target."""
     small = targets.count() <= BROADCAST_SOURCES
-    right = targets.withColumnRenamed("source", "t_source")
-    return rows.join(F.broadcast(right) if small else right, rows["source"].eqNullSafe(right["t_source"]), "left").drop("t_source")
+    right = targets.select(_key(F.col("source")).alias("t_key"), "place", "source_size", "target")
+    rows = rows.withColumn("sk", _key(F.col("source")))
+    return rows.join(F.broadcast(right) if small else right, rows["sk"] == right["t_key"]).drop("t_key")
 
 
 def laid_out(rows: DataFrame, targets: DataFrame, *, most: int = 2, cut: str = "word") -> DataFrame:
@@ -105,12 +112,12 @@ def laid_out(rows: DataFrame, targets: DataFrame, *, most: int = 2, cut: str = "
     key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = _with_sources(rows.withColumn("k", key), targets)
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("k", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).cast("long"))
-    inside = W.partitionBy("source", "bucket").orderBy("k", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    across = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(across), F.lit(0)).alias("ahead"))
+    inside = W.partitionBy("sk", "bucket").orderBy("k", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("words"))
+    across = W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("sk").alias("b_key"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(across), F.lit(0)).alias("ahead"))
     own = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    both = own.join(sums, own["source"].eqNullSafe(sums["b_source"]) & (own["bucket"] == sums["b_bucket"]), "left")
+    both = own.join(sums, (own["sk"] == sums["b_key"]) & (own["bucket"] == sums["b_bucket"]))
     goal = F.round("target").cast("long")
     uses = []
     for use in range(most):
@@ -119,7 +126,7 @@ def laid_out(rows: DataFrame, targets: DataFrame, *, most: int = 2, cut: str = "
         words = F.greatest(F.lit(0), F.least(left, F.col("size"))) if cut == "word" else F.when((left > 0) & (left * 2 >= F.col("size")), F.col("size")).otherwise(F.lit(0))
         uses.append(F.struct(offset.alias("offset"), words.cast("long").alias("words")))
     uses = F.filter(F.array(*uses), lambda u: u["words"] > 0)
-    return both.withColumn("uses", uses).drop("k", "bucket", "within", "ahead", "b_source", "b_bucket")
+    return both.withColumn("uses", uses).drop("k", "bucket", "within", "ahead", "sk", "b_key", "b_bucket")
 
 
 def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: int = 2, schedules=SCHEDULES, cut: str = "word") -> DataFrame:
