@@ -65,13 +65,18 @@ class PieceEncoder:
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
         self.marks = self._library(list(_MARKS))
+        self.place: dict[str, int] = {}
         self._forget()
 
-    def _forget(self) -> None:
-        """Start the store again: place 0 is the empty piece, then the marks."""
-        self.place: dict[str, int] = {"": 0}
+    def _forget(self, but: list[str] = ()) -> None:
+        """Start the store again, with the known ones of the words ``but``: place 0 is the empty piece, then the marks."""
+        words = [w for w in but if w in self.place and w]
+        offsets, ids = self._take(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))) if words else (np.zeros(1, np.int64), np.empty(0, np.uint32))
+        self.place = {"": 0}
         self.ids, self.ends, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 1
         self._append(np.concatenate(self.marks), np.cumsum([len(x) for x in self.marks]))
+        first = self._append(ids[offsets[0] : offsets[-1]], offsets[1:] - offsets[0])
+        self.place.update(zip(words, range(first, self.n), strict=True))
 
     def _append(self, ids: np.ndarray, ends: np.ndarray) -> int:
         """Put lists of ids into the store; the place of the first."""
@@ -127,15 +132,15 @@ class PieceEncoder:
 
     def __call__(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts and the ids of all of them, each followed by ``end`` if given."""
-        if len(self.place) > _MAX_STORE:
-            self._forget()
         n = len(texts)
         odd = pc.match_substring_regex(texts, _ODD)
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         pieces, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         coded = pieces.dictionary_encode()
-        number, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.place) > _MAX_STORE:
+            self._forget(distinct)
         self._meet([p for p in distinct if p not in self.place])
         places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[number]
         # first pieces have no space before them, and whole texts no pieces
@@ -157,7 +162,7 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterable[pa.RecordBatch], column: int, path: str, end: int | None, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterable[pa.RecordBatch], column: int, path: str, end: int | None, most_bytes: int = 12 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most about ``most_bytes`` of text, their token offsets and ids."""
     encode = encoder(path)
     for batch in batches:
