@@ -38,7 +38,7 @@ _ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 #: Between a letter or digit and one of these, pre-tokens always end.
 _MARKS = (".", ",")
 _MARKED = r"[\pL\pN][.,]$"
-_MAX_STORE = 800_000
+_MAX_STORE = 550_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, token_ids array<int>"
 
 
@@ -99,7 +99,11 @@ class PieceEncoder:
         return out.offsets.to_numpy().astype(np.int64), out.values.to_numpy().view(np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # the library's results take about a hundred bytes a token: only a few texts at a time
+        out = []
+        for at in range(0, len(texts), 64):
+            out += [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+        return out
 
     def _learn(self, words: list[str], run: int = 256) -> None:
         """Put the ids of " " + word into the store for each word."""
@@ -162,7 +166,7 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterable[pa.RecordBatch], column: int, path: str, end: int | None, most_bytes: int = 12 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterable[pa.RecordBatch], column: int, path: str, end: int | None, most_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most about ``most_bytes`` of text, their token offsets and ids."""
     encode = encoder(path)
     for batch in batches:
