@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import chat, embedding_dedup, mixing, packing, quality, separator_scan, simhash, substring, token_output, toxicity
 
 _MODULES = {
@@ -22,8 +23,16 @@ _MODULES = {
 }
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: _shipped(module.query) for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
