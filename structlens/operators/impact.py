@@ -15,13 +15,18 @@ def risk_score(direct: Column, transitive: Column, tests: Column) -> Column:
 def blast_radius(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each target (symbol, file_path): dependents are files elsewhere with a symbol whose name holds the target's, in any case.
 
-    The names that hold each target are found among distinct names first, then met with files by an equi join, so
-    the comparison by substring is between distinct texts only.
+    Distinct names and targets meet by an equi join on the target's first (up to three) characters, which any name that
+    holds it has among its own runs of characters; only those pairs are compared as texts.
     """
     t = targets.select("symbol", F.col("file_path").alias("def_file")).distinct()
     names = symbols.select("name").distinct()
     words = t.select("symbol").distinct()
-    held = names.join(words, F.contains(F.lower(names["name"]), F.lower(words["symbol"])))
+    low = F.lower("name")
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(k)))
+    runs = F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
+    names = names.withColumn("run", F.explode(runs))
+    words = words.withColumn("start", F.left(F.lower("symbol"), F.lit(3)))
+    held = names.join(words, F.col("run") == F.col("start")).where(F.contains(low, F.lower("symbol"))).select("name", "symbol").distinct()
     met = t.join(held, "symbol").join(symbols.select("name", "file_path"), "name").where("file_path <> def_file")
     per = met.select("symbol", "def_file", "file_path").distinct().withColumn("is_test", text.is_test_path(F.col("file_path")))
     counts = per.groupBy("symbol", "def_file").agg(F.count_if(~F.col("is_test")).alias("direct"), F.count_if("is_test").alias("tests"))

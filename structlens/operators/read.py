@@ -53,8 +53,11 @@ def search_symbols(symbols: DataFrame, pattern: str, *, kind: str | None = None,
     hit = hit if kind is None else hit.where(F.col("kind") == kind)
     if limit is None:
         return hit.withColumn("truncated", F.lit(False))
-    total = hit.agg(F.count(F.lit(1)).alias("total"))
-    return hit.orderBy("file_path", "seq").limit(limit).crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > limit).drop("total")
+    # one row more than asked for tells whether there are more; the windows see those few rows only
+    few = hit.orderBy("file_path", "seq").limit(limit + 1)
+    every = W.orderBy("file_path", "seq")
+    few = few.withColumn("nth", F.row_number().over(every)).withColumn("truncated", F.max("nth").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) > limit)
+    return few.where(F.col("nth") <= limit).drop("nth")
 
 
 def get_signature(symbols: DataFrame) -> DataFrame:

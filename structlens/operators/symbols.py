@@ -110,9 +110,7 @@ def doc_comments(lines: DataFrame) -> DataFrame:
     w = W.partitionBy("file_path").orderBy("line_no")
     rows = lines.select("file_path", "line_no", t.alias("t"), mark.alias("mark"), (mark | attribute).alias("above"))
     rows = rows.withColumn("stop", F.max(F.when(~F.col("above"), F.col("line_no"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    head = F.lead("stop").over(w) > F.col("stop")
     block = rows.where("above").groupBy("file_path", "stop").agg(F.array_sort(F.collect_list(F.when(F.col("mark"), F.struct("line_no", "t")))).alias("parts"), F.max("line_no").alias("until"))
-    del head
     return block.select("file_path", (F.col("until") + 1).alias("doc_for"), F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("doc")).where("doc <> ''")
 
 

@@ -77,7 +77,9 @@ def detect_roots(files: DataFrame, present: DataFrame, spark: SparkSession) -> D
     markers = [(lang, m) for lang, ms in fixed.ROOT_MARKERS.items() for m in ms]
     marks = spark.createDataFrame(markers, "m_language string, marker string")
     there = present.select(folder(F.col("path")).alias("p_dir"), text.file_name(F.col("path")).alias("p_name"))
-    there_marks = there.join(F.broadcast(marks), F.expr("p_name = marker OR (startswith(marker, '*') AND endswith(p_name, substring(marker, 2)))")).select("p_dir", "m_language").distinct()
+    # a name is met as it is and as "*.extension"
+    named = there.withColumn("p_mark", F.explode(F.array_distinct(F.array(F.col("p_name"), F.concat(F.lit("*."), F.substring_index("p_name", ".", -1))))))
+    there_marks = named.join(F.broadcast(marks), F.col("p_mark") == F.col("marker")).select("p_dir", "m_language").distinct()
     found = own.join(there_marks, (own["dir"] == there_marks["p_dir"]) & (own["language"] == there_marks["m_language"]))
     depth = F.length("dir")
     pick = found.groupBy("file_path").agg(F.when(F.first("language") == "rust", F.min_by("dir", depth)).otherwise(F.max_by("dir", depth)).alias("marked"))
