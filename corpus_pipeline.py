@@ -14,16 +14,19 @@ from structlens.session import ship
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
+    ship(spark)
     return toxicity.non_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash component."""
+    ship(spark)
     return simhash.representatives(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that already start in one with a smaller id."""
+    ship(spark)
     return substring.deduplicated(docs)
 
 
@@ -34,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin of every piece of every document."""
+    ship(spark)
     return packing.best_fit(docs).select("shard", "bin", "doc_id", "start_word", "n_words")
 
 
@@ -51,7 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result is written to the shared folder and read back as the next one's input."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = _work.keep(stage(spark, docs, sf_dir), f"stage-{name}")
