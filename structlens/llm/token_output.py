@@ -38,7 +38,7 @@ _ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 #: Between a letter or digit and one of these, pre-tokens always end.
 _MARKS = (".", ",")
 _MARKED = r"[\pL\pN][.,]$"
-_MAX_STORE = 550_000
+_MAX_STORE = 700_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, token_ids array<int>"
 
 
@@ -126,7 +126,8 @@ class PieceEncoder:
         marked = pc.match_substring_regex(all_, _MARKED)
         plain, both = all_.filter(pc.invert(marked)).to_pylist(), all_.filter(marked)
         stems = pc.utf8_slice_codeunits(both, 0, -1).to_pylist()
-        self._learn(list({*plain, *stems}.difference(self.place)))
+        place = self.place
+        self._learn([*plain, *{w for w in stems if w not in place}.difference(plain)])
         if stems:
             mark = np.where(pc.ends_with(both, _MARKS[0]).to_numpy(zero_copy_only=False), 1, 2)
             pairs = np.column_stack([np.fromiter(map(self.place.__getitem__, stems), np.int64, len(stems)), mark]).ravel()
@@ -145,13 +146,19 @@ class PieceEncoder:
         number, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) > _MAX_STORE:
             self._forget(distinct)
-        self._meet([p for p in distinct if p not in self.place])
-        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[number]
+        found = list(map(self.place.get, distinct))
+        new = [k for k, f in enumerate(found) if f is None]
+        if new:
+            words = [distinct[k] for k in new]
+            self._meet(words)
+            for k, w in zip(new, words, strict=True):
+                found[k] = self.place[w]
+        places = np.asarray(found, np.int64)[number]
         # first pieces have no space before them, and whole texts no pieces
-        whole = [t if o else p for t, p, o in zip(pc.if_else(odd, texts, "").to_pylist(), pieces.take(pa.array(at[:-1])).to_pylist(), odd.to_pylist(), strict=True)]
-        first = self._library(whole)
+        starts = pc.if_else(odd, texts, pieces.take(pa.array(at[:-1]))).dictionary_encode()
+        first = self._library(starts.dictionary.to_pylist())
         kept = self.n
-        places[at[:-1]] = self._append(np.concatenate(first), np.cumsum([len(x) for x in first])) + np.arange(n)
+        places[at[:-1]] = self._append(np.concatenate(first), np.cumsum([len(x) for x in first])) + starts.indices.to_numpy()
         if end is not None:
             places = np.insert(places, at[1:], self._append(np.asarray([end], np.uint32), np.asarray([1])))
             at = at + np.arange(n + 1)
@@ -197,7 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, part, np.int32)), rows.column(0), pa.array(starts), pa.array(np.diff(offsets)), lists], names=["part", "doc_id", "local_start", "n_tokens", "token_ids"])
 
     options = {
-        "compression": "snappy",
+        "compression": "uncompressed",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),
