@@ -68,20 +68,28 @@ class PieceEncoder:
         self.place: dict[str, int] = {}
         self._forget()
 
-    def _forget(self, but: list[str] = ()) -> None:
-        """Start the store again, with the known ones of the words ``but``: place 0 is the empty piece, then the marks."""
-        words = [w for w in but if w in self.place and w]
-        offsets, ids = self._take(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))) if words else (np.zeros(1, np.int64), np.empty(0, np.uint32))
+    def _forget(self) -> None:
+        """Start the store again with the pieces that several batches had: place 0 is the empty piece, then the marks."""
+        least, words = 2, []
+        while self.place:
+            words = [w for w, p in self.place.items() if self.hits[p] >= least and w]
+            if len(words) <= _MAX_STORE // 2:
+                break
+            least *= 2
+        old = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        offsets, ids = self._take(old) if words else (np.zeros(1, np.int64), np.empty(0, np.uint32))
+        hits = self.hits[old] // 2 if words else np.empty(0, np.int64)
         self.place = {"": 0}
-        self.ids, self.ends, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 1
+        self.ids, self.ends, self.hits, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
         self._append(np.concatenate(self.marks), np.cumsum([len(x) for x in self.marks]))
         first = self._append(ids[offsets[0] : offsets[-1]], offsets[1:] - offsets[0])
+        self.hits[first : self.n] = hits
         self.place.update(zip(words, range(first, self.n), strict=True))
 
     def _append(self, ids: np.ndarray, ends: np.ndarray) -> int:
         """Put lists of ids into the store; the place of the first."""
         first, used = self.n, int(self.ends[self.n - 1])
-        for name, need in (("ids", used + len(ids)), ("ends", first + len(ends))):
+        for name, need in (("ids", used + len(ids)), ("ends", first + len(ends)), ("hits", first + len(ends))):
             old = getattr(self, name)
             if need > len(old):
                 new = np.zeros(max(need, 2 * len(old)), old.dtype)
@@ -89,6 +97,7 @@ class PieceEncoder:
                 setattr(self, name, new)
         self.ids[used : used + len(ids)] = ids
         self.ends[first : first + len(ends)] = used + ends
+        self.hits[first : first + len(ends)] = 0
         self.n += len(ends)
         return first
 
@@ -145,7 +154,7 @@ class PieceEncoder:
         coded = pieces.dictionary_encode()
         number, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) > _MAX_STORE:
-            self._forget(distinct)
+            self._forget()
         found = list(map(self.place.get, distinct))
         new = [k for k, f in enumerate(found) if f is None]
         if new:
@@ -153,7 +162,9 @@ class PieceEncoder:
             self._meet(words)
             for k, w in zip(new, words, strict=True):
                 found[k] = self.place[w]
-        places = np.asarray(found, np.int64)[number]
+        found = np.asarray(found, np.int64)
+        self.hits[found] += 1
+        places = found[number]
         # first pieces have no space before them, and whole texts no pieces
         starts = pc.if_else(odd, texts, pieces.take(pa.array(at[:-1]))).dictionary_encode()
         first = self._library(starts.dictionary.to_pylist())
