@@ -9,8 +9,8 @@ from . import fixed
 
 
 def trim(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without ASCII white space at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def count_of(c: Column, needle: str) -> Column:

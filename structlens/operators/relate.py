@@ -31,11 +31,21 @@ def callers_and_callees(calls: DataFrame) -> DataFrame:
     return both.select("file_path", "name", joined("callers").alias("callers"), joined("callees").alias("callees"))
 
 
-def find_references(targets: DataFrame, tokens: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
-    """file_path, target, line_no, col: tokens of the same file with the target's text, without exact definition spans."""
+def find_references(targets: DataFrame, lines: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
+    """file_path, target, line_no, col (in characters): identifiers of the same file equal to the target, without exact
+    definition spans.
+
+    Identifiers meet targets by an equi join on (file, text); columns are only worked out for those that match.
+    """
     t = targets.select(F.col("file_path").alias("t_path"), F.col("text").alias("target")).distinct()
-    met = tokens.join(t, (tokens["file_path"] == t["t_path"]) & (tokens["text"] == t["target"])).select("file_path", "target", "line_no", "col")
-    return met if definitions is None else met.join(definitions.select("file_path", "target", "line_no", "col"), ["file_path", "target", "line_no", "col"], "left_anti")
+    word = r"[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*"
+    names = lines.select("file_path", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(word), F.lit(0))).alias("nth", "name"))
+    met = names.join(t, (names["file_path"] == t["t_path"]) & (names["name"] == t["target"])).select("file_path", "target", "line_no", "nth")
+    l = lines.select(F.col("file_path").alias("l_path"), F.col("line_no").alias("l_no"), "text")  # noqa: E741
+    out = met.join(l, (met["file_path"] == l["l_path"]) & (met["line_no"] == l["l_no"]))
+    ahead = F.length(F.array_join(F.slice(F.split("text", word), F.lit(1), F.col("nth") + 1), "")) + F.length(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(word), F.lit(0)), F.lit(1), F.col("nth")), ""))
+    out = out.select("file_path", "target", "line_no", ahead.alias("col"))
+    return out if definitions is None else out.join(definitions.select("file_path", "target", "line_no", "col"), ["file_path", "target", "line_no", "col"], "left_anti")
 
 
 def references_by_file(references: DataFrame) -> DataFrame:

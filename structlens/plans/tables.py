@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources.files import explode_lines
 
 
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.coalesce("text", F.lit("")).alias("source"))
+    return spread(table(spark, d, "documents")).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.coalesce("text", F.lit("")).alias("source"))
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +26,7 @@ def doc_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.regexp_replace(F.coalesce("html", F.lit("")), ">", ">\n").alias("source"))
+    return spread(table(spark, d, "pages")).select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.regexp_replace(F.coalesce("html", F.lit("")), ">", ">\n").alias("source"))
 
 
 def page_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import edit, outline, read, relate
-from ..operators import symbols as sym
 from ..sources import files as src
 from ..sources import toml
 from . import tables as t
@@ -235,7 +234,7 @@ SELECT w.file_path, f.target, w.line_no, count(*) AS n FROM w JOIN first f ON f.
 def find_references(s, d):
     lines = t.doc_lines(s, d)
     target = lines.where("line_no = 0").select("file_path", F.regexp_extract("text", r"([A-Za-z_]\w*)", 1).alias("text"))
-    refs = relate.find_references(target, sym.tokens(lines.where(F.col("text").rlike("^[ -~]*$"))))
+    refs = relate.find_references(target, lines.where(F.col("text").rlike("^[ -~]*$")))
     return refs.groupBy("file_path", "target", "line_no").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,4 +1,4 @@
-"""Making the package importable on the workers."""
+"""Sessions: making the package importable on the workers, and using all cores for small inputs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -29,3 +29,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root))
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is so small that its scan would use less than a quarter of them.
+
+    Only the planner's size estimate is asked for; an input of the size of the cluster is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if size < split * cores / 4 else df
