@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import _work
 from ._text import WORD
 
@@ -52,7 +53,7 @@ def _covered(hashes: Column) -> Column:
 def base_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), text.alias("t"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), text.alias("t")))
     rows = rows.select("doc_id", "stratum", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     n = F.size("w")
     hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import _work
 from .token_output import encoded
 
@@ -31,7 +32,8 @@ BLOCK_TOKENS = 1 << 20
 
 
 def write_flat(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, width: int = 2, text_col: str = "text") -> None:
-    """Encode all documents, in the order in which they are read, into flat files in ``out``; nothing is shuffled.
+    """Encode all documents, in the order in which they are read, into flat files in ``out``; nothing is shuffled
+    (but an input so small that it would not use the cores).
 
     The text writer puts the raw bytes of a column and its line separator one after another; with the end id
     as separator (its bytes have to be ASCII) that is the flat format.
@@ -48,7 +50,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int =
             column = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([column], names=["ids"])
 
-    ids = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "ids binary")
+    ids = spread(docs.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(encode, "ids binary")
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator.decode("ascii")).option("compression", "none").text(out)
 
 

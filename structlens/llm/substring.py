@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import _work
 from ._text import Grams, HashCache, encode, mix, word_chunks
 
@@ -185,7 +186,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     document of smallest id that loses words, c_id, c_k, n_gone, kept_sha and the kept text."""
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
-    seen = _work.keep(src.mapInArrow(_survey(window, phrase), "doc_id long, k long, n_words long, sha binary, anchors array<long>"), "survey")
+    seen = _work.keep(spread(src).mapInArrow(_survey(window, phrase), "doc_id long, k long, n_words long, sha binary, anchors array<long>"), "survey")
     reps = seen.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("rep")).withColumnRenamed("sha", "r_sha")
     rows = _work.keep(seen.join(reps, seen["sha"] == reps["r_sha"], "left").withColumn("anchors", F.when(F.col("doc_id") == F.col("rep"), F.col("anchors"))).drop("r_sha"), "rows")
     loose = rows.where("doc_id = rep").select("doc_id", "k", F.explode("anchors").alias("a"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import _work
 
 _WORD = re.compile(r"\w+")
@@ -141,7 +142,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, unlabelled: int = 8000, features: int = 2000, least: int = 5, z: float = 2.5, **options) -> Model:
     """Fit on the confirmed toxic and a sample of all rows outside the held-out fold."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND l_id IS NOT NULL").where(~held_out(F.col("l_id")))
     marks = marks.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     n_known, n_toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # about ``positives`` ids by the filter above, so the side is small and the texts are not shuffled
     pos = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["l_id"], "left_semi").withColumn("positive", F.lit(True))
     unl = rows.where(part("doc_id", 12, unlabelled, n_rows)).withColumn("positive", F.lit(False))
-    sample = _work.keep(pos.unionByName(unl), "toxicity")
+    sample = spread(_work.keep(pos.unionByName(unl), "toxicity"))
     n_pos, n_unl = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not n_pos or not n_unl:
         return Model({}, float(np.log(prior / (1 - prior))))
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col
             s = [own.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     return rows.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(rate, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -199,7 +200,7 @@ def non_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
             yield batch.filter(keep)
 
     at = docs.columns.index(options.get("text_col", "text"))
-    return docs.mapInArrow(verdict, docs.schema)
+    return spread(docs).mapInArrow(verdict, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
