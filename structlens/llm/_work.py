@@ -57,7 +57,17 @@ def drop_table(df: DataFrame) -> None:
             drop(df.sparkSession, path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this session; call it after results are stored."""
+def made() -> frozenset[str]:
+    """The folders of this session so far, for :func:`clear`."""
+    return frozenset(_MADE)
+
+
+def clear(spark: SparkSession, *, before: frozenset[str] = frozenset(), but: DataFrame | None = None) -> None:
+    """Delete the intermediate tables of this session that were not there ``before``, except that behind ``but``.
+
+    Call it once results are stored: results that are not written yet may still read them.
+    """
+    needed = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in but.inputFiles()} if but is not None else set()
     for path in list(_MADE):
-        drop(spark, path)
+        if path not in before and path.rsplit("/", 1)[1] not in needed:
+            drop(spark, path)

@@ -115,3 +115,15 @@ def test_odd_size_raises(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"123")
     with pytest.raises(Exception, match="not a file of ids"):
         separator_scan.documents(separator_scan.flat_files(spark, str(tmp_path))).collect()
+
+
+def test_random_texts_and_a_small_store(tk, monkeypatch):
+    import random
+
+    monkeypatch.setattr(token_output, "_MAX_STORE", 60)
+    encode, rng = token_output.PieceEncoder(PATH), random.Random(0)
+    atoms = ["a", "B", "foo", ".", ",", "..", "\n", " ", "\n\n", "é", "1", "'s", "#", "漢", "😀", "\t", "<|endoftext|>", "-", "foo.", "bar,"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 14))) for _ in range(20)]
+        offsets, ids = encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [_ids(tk, t) for t in texts]
