@@ -54,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written to the shared folder and read back as the next one's input."""
+    """All stages; each result is written to the shared folder and read back as the next one's input, and what
+    the stage needed on the way is deleted."""
+    before = _work.made()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = _work.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        _work.clear(spark, before=before, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
