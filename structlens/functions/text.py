@@ -127,7 +127,7 @@ def is_exported(ext: Column, name: Column, signature: Column) -> Column:
     return (
         F.when(ext == "rs", signature.startswith("pub ") | signature.startswith("pub("))
         .when(ext == "py", ~name.startswith("_"))
-        .when(ext.isin("js", "jsx", "ts", "tsx"), signature.contains("export"))
+        .when(ext.isin("js", "jsx", "ts", "tsx", "mjs"), signature.contains("export"))
         .when(ext == "go", name.rlike(r"^\p{Lu}"))
         .otherwise(F.lit(True))
     )

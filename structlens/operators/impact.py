@@ -34,14 +34,32 @@ def blast_radius(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("risk", risk_score(F.col("direct"), F.lit(0), F.col("tests")))
 
 
-def analyze_impact(references: DataFrame, callers: DataFrame) -> DataFrame:
-    """target, n_references, n_files, n_callers, risk, factors, confidence.
+def analyze_impact(targets: DataFrame, references: DataFrame, callers: DataFrame, callees: DataFrame, *, cross_file: bool = True) -> DataFrame:
+    """target, n_references, n_files, n_callers, n_callees, risk, factors, confidence.
 
-    ``references`` has target and file_path, one row a reference; ``callers`` has target and caller.
+    ``targets`` has target, n_same (symbols of the same qualified name elsewhere) and n_ambiguous (of the same name
+    only); ``references`` has target and file_path, one row a reference; ``callers`` target and caller, ``callees`` target and
+    callee. ``cross_file`` tells whether references from other files could be found.
     """
-    r = references.groupBy("target").agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("file_path").alias("n_files"), F.max(text.is_test_path(F.col("file_path")).cast("int")).alias("tested"))
-    c = callers.groupBy("target").agg(F.countDistinct("caller").alias("n_callers"))
-    out = r.join(c, "target", "left").withColumn("n_callers", F.coalesce("n_callers", F.lit(0)))
-    risk = F.when((F.col("n_files") > 5) | (F.col("n_references") > 20), "high").when((F.col("n_files") > 1) | (F.col("n_references") > 5), "medium").otherwise("low")
-    factors = F.array_compact(F.array(F.when(F.col("n_files") > 1, "several files"), F.when(F.col("n_references") > 20, "many references"), F.when(F.col("n_callers") > 3, "many callers"), F.when(F.col("tested") == 0, "no tests")))
-    return out.select("target", "n_references", "n_files", "n_callers", risk.alias("risk"), F.array_join(factors, ",").alias("factors"), F.when(F.col("n_references") > 0, 0.8).otherwise(0.3).alias("confidence"))
+    names_test = lambda c: F.max(F.contains(c, F.lit("test")).cast("int"))
+    r = references.groupBy("target").agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("file_path").alias("n_files"), names_test("file_path").alias("t1"))
+    c = callers.groupBy("target").agg(F.countDistinct("caller").alias("n_callers"), names_test("caller").alias("t2"))
+    a = callees.groupBy("target").agg(F.countDistinct("callee").alias("n_callees"))
+    out = targets.join(r, "target", "left").join(c, "target", "left").join(a, "target", "left").na.fill(0)
+    files, refs = F.col("n_files"), F.col("n_references")
+    risk = F.when((files == 0) | ((files <= 1) & (refs <= 2)), "low").when((files <= 3) & (refs <= 6), "medium").otherwise("high")
+    # The texts of the risk factors, in order.
+    factors = [
+        (files > 1, "cross-file references"),
+        (refs > 5, "many references"),
+        (F.col("n_callers") > 0, "has local callers"),
+        (F.col("n_callees") > 0, "has downstream local callees"),
+        (F.greatest("t1", "t2") == 1, "touches tests"),
+        (F.col("n_same") > 0, "same scoped symbol elsewhere in project"),
+        (F.lit(not cross_file), "cross-file references unavailable in backend"),
+        (F.col("n_ambiguous") > 0, "same-name symbols elsewhere in project"),
+        (F.col("n_ambiguous") > 0, "related symbol matching is name-based"),
+    ]
+    listed = F.array_join(F.array_compact(F.array(*[F.when(when, what) for when, what in factors])), ",")
+    guess = F.lit(not cross_file) | (F.col("n_same") > 0) | (F.col("n_ambiguous") > 0)
+    return out.select("target", "n_references", "n_files", "n_callers", "n_callees", risk.alias("risk"), listed.alias("factors"), F.when(guess, "heuristic").otherwise("strong").alias("confidence"))

@@ -19,11 +19,11 @@ def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
 def classify_changes(versions: DataFrame) -> DataFrame:
     """Adds change to (path, version, signature_hash, content_hash, api): against the version before.
 
-    Nothing changed: Skip; the content only: PartialUpdate; the signature: ArchitectureUpdate; no version before: FullUpdate.
+    No version before: FullUpdate; the same content: Skip; else the same signature: PartialUpdate; else ArchitectureUpdate.
     """
     w = W.partitionBy("path").orderBy("version")
     before = versions.withColumns({"s0": F.lag("signature_hash").over(w), "c0": F.lag("content_hash").over(w), "nth": F.row_number().over(w)})
-    change = F.when(F.col("nth") == 1, "FullUpdate").when(~F.col("signature_hash").eqNullSafe(F.col("s0")), "ArchitectureUpdate").when(~F.col("content_hash").eqNullSafe(F.col("c0")), "PartialUpdate").otherwise("Skip")
+    change = F.when(F.col("nth") == 1, "FullUpdate").when(F.col("content_hash").eqNullSafe(F.col("c0")), "Skip").when(F.col("signature_hash").eqNullSafe(F.col("s0")), "PartialUpdate").otherwise("ArchitectureUpdate")
     return before.withColumn("change", change).drop("s0", "c0", "nth")
 
 
@@ -53,20 +53,28 @@ def cache_upsert(cache: DataFrame, done: DataFrame, *, prune: bool) -> DataFrame
     return upsert(cache, done, ["path"], prune=prune)
 
 
-def export_status(processed: Column, cached: Column, failed: Column) -> Column:
+def export_status(supported: Column, processed: Column, failed: Column) -> Column:
     """Text status of an export run."""
-    return F.when((failed > 0) & (processed > 0), "partial").when(processed > 0, "exported").when(failed > 0, "failed").when(cached > 0, "up_to_date").otherwise("empty")
+    return F.when((processed > 0) & (failed > 0), "partial").when(processed > 0, "exported").when(failed > 0, "failed").when(supported == 0, "empty").otherwise("up_to_date")
 
 
-def refresh_kind(processed: Column, cached: Column, failed: Column) -> Column:
-    return F.when((processed > 0) & (cached == 0) & (failed == 0), "full").when(processed > 0, "incremental").when(cached > 0, "unchanged").otherwise("none")
+def export_outcome(supported: Column, processed: Column, cached: Column, failed: Column) -> Column:
+    failures = F.when((processed > 0) | (cached > 0), "partial_success").otherwise("full_failure")
+    return F.when(supported == 0, "no_supported_files").when(failed > 0, failures).when(processed > 0, "complete_success").otherwise("cached_reuse")
 
 
-def safe_to_consume(processed: Column, cached: Column, failed: Column) -> Column:
-    return (failed == 0) & ((processed > 0) | (cached > 0))
+def refresh_kind(supported: Column, processed: Column, cached: Column, failed: Column) -> Column:
+    fresh = F.when(cached > 0, "partial_refresh").otherwise("full_refresh")
+    return F.when(processed > 0, fresh).when((supported == 0) | (failed > 0), "no_refresh").otherwise("cached_reuse")
+
+
+def update_class(outcome: Column, cached: Column) -> Column:
+    """What an export means for those who read it."""
+    return F.when(outcome == "full_failure", "failed").when(outcome.isin("cached_reuse", "no_supported_files"), "unchanged").when((outcome == "partial_success") | (cached > 0), "incremental").otherwise("fresh")
 
 
 def export_report(runs: DataFrame) -> DataFrame:
-    """status, refresh, safe and prune for counters (processed, cached, failed)."""
-    p, c, f = F.col("processed"), F.col("cached"), F.col("failed")
-    return runs.withColumns({"status": export_status(p, c, f), "refresh": refresh_kind(p, c, f), "safe": safe_to_consume(p, c, f), "prune": c == 0})
+    """Adds status, outcome, refresh, update_class, safe and prune to counters (supported, processed, cached, failed)."""
+    s, p, c, f = (F.col(x) for x in ("supported", "processed", "cached", "failed"))
+    out = runs.withColumns({"status": export_status(s, p, f), "outcome": export_outcome(s, p, c, f), "refresh": refresh_kind(s, p, c, f), "safe": (s > 0) & (f == 0), "prune": c == 0})
+    return out.withColumn("update_class", update_class(F.col("outcome"), c))

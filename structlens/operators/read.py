@@ -76,8 +76,9 @@ def get_exports(symbols: DataFrame) -> DataFrame:
 def chunk_boundaries(symbols: DataFrame, strategy: str) -> DataFrame:
     """Top-level symbols that start a chunk under a strategy; an unknown strategy has none."""
     top = symbols.where("depth = 0")
-    rules: dict[str, Column] = {"function": F.col("kind") == "Function", "class": F.col("kind").isin("Class", "Struct"), "toplevel": ~F.col("kind").isin("Variable", "Import"), "semantic": ~F.col("kind").isin("Variable", "Import")}
-    return top.where(rules.get(strategy.lower(), F.lit(False)))
+    rest = ~F.col("kind").isin("Variable", "Import")
+    rules: dict[str, Column] = {"Function": F.col("kind") == "Function", "Class": F.col("kind").isin("Class", "Struct"), "TopLevel": rest, "Semantic": rest}
+    return top.where(rules.get(strategy, F.lit(False)))
 
 
 def get_scope(positions: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -132,18 +133,20 @@ def marked_above(lines: DataFrame, mark: str, back: int = 5) -> DataFrame:
 
 
 def get_tests(symbols: DataFrame, lines: DataFrame) -> DataFrame:
-    """Test functions by the rule of the file's language."""
+    """Tests by the rule of the file's language; Rust functions also count inside a module named ``tests``."""
     ext = text.extension(symbols["file_path"])
     rust = marked_above(lines, "#[test]").where("marked").select(F.col("file_path").alias("m_path"), F.col("line_no").alias("m_line"))
-    met = symbols.where(F.col("kind").isin("Function", "Method")).join(rust, (symbols["file_path"] == rust["m_path"]) & (symbols["line_start"] == rust["m_line"]), "left")
+    mods = symbols.where("kind = 'Module' AND name = 'tests'").select(F.col("file_path").alias("t_path"), F.col("line_start").alias("t_start"), F.col("line_end").alias("t_end"))
+    inside = symbols.join(mods, (symbols["file_path"] == mods["t_path"]) & symbols["line_start"].between(mods["t_start"], mods["t_end"])).select(F.col("file_path").alias("i_path"), F.col("seq").alias("i_seq")).distinct()
+    function = F.col("kind").isin("Function", "Method")
+    met = symbols.join(inside, (symbols["file_path"] == inside["i_path"]) & (symbols["seq"] == inside["i_seq"]), "left").join(rust, (symbols["file_path"] == rust["m_path"]) & (symbols["line_start"] == rust["m_line"]), "left")
     rule = (
-        F.when(ext == "rs", F.col("m_line").isNotNull() | F.coalesce(F.contains("doc_comment", F.lit("#[test]")), F.lit(False)))
-        .when(ext == "py", F.col("name").startswith("test_"))
-        .when(ext.isin("js", "jsx", "ts", "tsx"), F.col("name").contains("test") | F.col("name").contains("it") | F.col("name").contains("describe"))
-        .when(ext == "go", F.col("name").startswith("Test"))
-        .otherwise(F.lower("name").contains("test"))
+        F.when(ext == "rs", function & (F.col("m_line").isNotNull() | F.col("i_seq").isNotNull() | F.coalesce(F.contains("doc_comment", F.lit("#[test]")), F.lit(False))))
+        .when(ext == "py", (function & F.col("name").startswith("test_")) | ((F.col("kind") == "Class") & F.col("name").startswith("Test")))
+        .when(ext.isin("js", "jsx", "ts", "tsx", "mjs"), function & (F.col("name").contains("test") | F.col("name").contains("it") | F.col("name").contains("describe")))
+        .otherwise(F.col("name").startswith("test"))
     )
-    return met.where(rule).drop("m_path", "m_line")
+    return met.where(rule).drop("m_path", "m_line", "i_path", "i_seq")
 
 
 def annotations(lines: DataFrame, tags: list[str] = fixed.TAGS) -> DataFrame:

@@ -77,10 +77,10 @@ def get_exports(s, d):
     return read.get_exports(t.symbols(s, d)).select("file_path", "seq", "name")
 
 
-@query("chunk_boundaries", f"{_W} SELECT 'class' AS strategy, file_path, seq FROM symbols WHERE depth = 1 AND kind IN ('Class', 'Struct') UNION ALL SELECT 'toplevel', file_path, seq FROM symbols WHERE depth = 1 AND kind NOT IN ('Variable', 'Import')")
+@query("chunk_boundaries", f"{_W} SELECT 'Class' AS strategy, file_path, seq FROM symbols WHERE depth = 1 AND kind IN ('Class', 'Struct') UNION ALL SELECT 'TopLevel', file_path, seq FROM symbols WHERE depth = 1 AND kind NOT IN ('Variable', 'Import')")
 def chunk_boundaries(s, d):
     top = t.symbols(s, d).where("depth = 1").withColumn("depth", F.lit(0))
-    one = [read.chunk_boundaries(top, k).select(F.lit(k).alias("strategy"), "file_path", "seq") for k in ("class", "toplevel")]
+    one = [read.chunk_boundaries(top, k).select(F.lit(k).alias("strategy"), "file_path", "seq") for k in ("Class", "TopLevel")]
     return one[0].unionByName(one[1])
 
 
@@ -132,9 +132,9 @@ def summarize_file(s, d):
 
 @query(
     "get_tests",
-    rf"""{_W}, e AS (SELECT *, regexp_extract(file_path, '[^/]\.([^./]+)$', 1) AS ext FROM symbols WHERE kind IN ('Function', 'Method'))
-    SELECT file_path, seq, name FROM e WHERE CASE ext WHEN 'rs' THEN EXISTS (SELECT 1 FROM symbols b WHERE b.file_path = e.file_path AND b.seq BETWEEN e.seq - 5 AND e.seq - 1 AND b.kind = 'Class') WHEN 'py' THEN starts_with(name, 'test_')
-      WHEN 'ts' THEN contains(name, 'test') OR contains(name, 'it') OR contains(name, 'describe') WHEN 'go' THEN starts_with(name, 'Test') ELSE contains(lower(name), 'test') END""",
+    rf"""{_W}, e AS (SELECT *, regexp_extract(file_path, '[^/]\.([^./]+)$', 1) AS ext FROM symbols)
+    SELECT file_path, seq, name FROM e WHERE CASE ext WHEN 'rs' THEN kind = 'Method' AND EXISTS (SELECT 1 FROM symbols b WHERE b.file_path = e.file_path AND b.seq BETWEEN e.seq - 5 AND e.seq - 1 AND b.kind = 'Class') WHEN 'py' THEN (kind = 'Method' AND starts_with(name, 'test_')) OR (kind = 'Class' AND starts_with(name, 'Test'))
+      WHEN 'ts' THEN kind = 'Method' AND (contains(name, 'test') OR contains(name, 'it') OR contains(name, 'describe')) ELSE starts_with(name, 'test') END""",
 )
 def get_tests(s, d):
     symbols = t.symbols(s, d)
@@ -212,15 +212,21 @@ def references_by_file(s, d):
 
 @query(
     "analyze_impact",
-    f"""WITH {_REFS}, g AS (SELECT target, count(*) AS n_references, count(DISTINCT file_path) AS n_files, count(DISTINCT caller) AS n_callers,
-      max((contains(file_path, '/test') OR contains(file_path, '_test') OR regexp_matches(file_path, '(^|/)tests(/|$)'))::INT) AS tested FROM refs GROUP BY target)
-    SELECT target, n_references, n_files, n_callers, CASE WHEN n_files > 5 OR n_references > 20 THEN 'high' WHEN n_files > 1 OR n_references > 5 THEN 'medium' ELSE 'low' END AS risk,
-      concat_ws(',', CASE WHEN n_files > 1 THEN 'several files' END, CASE WHEN n_references > 20 THEN 'many references' END, CASE WHEN n_callers > 3 THEN 'many callers' END, CASE WHEN tested = 0 THEN 'no tests' END) AS factors,
-      CASE WHEN n_references > 0 THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM g""",
+    f"""WITH {_REFS}, k AS (SELECT DISTINCT target FROM refs), r AS (SELECT target, count(*) AS n_references, count(DISTINCT file_path) AS n_files, max(contains(file_path, 'test')::INT) AS t1 FROM refs WHERE file_path < 'n/16' GROUP BY target),
+    c AS (SELECT target, count(DISTINCT caller) AS n_callers, max(contains(caller, 'test')::INT) AS t2 FROM refs WHERE caller < 'c3' GROUP BY target),
+    a AS (SELECT target, count(DISTINCT caller) AS n_callees FROM refs WHERE caller > 'c7' GROUP BY target),
+    g AS (SELECT k.target, coalesce(n_references, 0) AS n_references, coalesce(n_files, 0) AS n_files, coalesce(n_callers, 0) AS n_callers, coalesce(n_callees, 0) AS n_callees, greatest(coalesce(t1, 0), coalesce(t2, 0)) AS tested,
+      length(k.target) % 2 AS n_same, length(k.target) % 3 AS n_ambiguous FROM k LEFT JOIN r USING (target) LEFT JOIN c USING (target) LEFT JOIN a USING (target))
+    SELECT target, n_references, n_files, n_callers, n_callees, CASE WHEN n_files = 0 OR (n_files <= 1 AND n_references <= 2) THEN 'low' WHEN n_files <= 3 AND n_references <= 6 THEN 'medium' ELSE 'high' END AS risk,
+      concat_ws(',', CASE WHEN n_files > 1 THEN 'cross-file references' END, CASE WHEN n_references > 5 THEN 'many references' END, CASE WHEN n_callers > 0 THEN 'has local callers' END, CASE WHEN n_callees > 0 THEN 'has downstream local callees' END, CASE WHEN tested = 1 THEN 'touches tests' END,
+        CASE WHEN n_same > 0 THEN 'same scoped symbol elsewhere in project' END, CASE WHEN n_ambiguous > 0 THEN 'same-name symbols elsewhere in project,related symbol matching is name-based' END) AS factors,
+      CASE WHEN n_same > 0 OR n_ambiguous > 0 THEN 'heuristic' ELSE 'strong' END AS confidence FROM g""",
 )
 def analyze_impact(s, d):
     r = _references(s, d)
-    return impact.analyze_impact(r, r.select("target", "caller"))
+    size = F.length("target")
+    targets = r.select("target").distinct().select("target", (size % 2).alias("n_same"), (size % 3).alias("n_ambiguous"))
+    return impact.analyze_impact(targets, r.where("file_path < 'n/16'"), r.where("caller < 'c3'").select("target", "caller"), r.where("caller > 'c7'").select("target", F.col("caller").alias("callee")))
 
 
 @query(

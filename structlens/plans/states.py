@@ -115,7 +115,7 @@ def fingerprints(s, d):
 @query(
     "classify_change",
     f"""WITH {t.VERSIONS}, l AS (SELECT *, lag(signature_hash) OVER w AS s0, lag(content_hash) OVER w AS c0, row_number() OVER w AS nth FROM versions WINDOW w AS (PARTITION BY path ORDER BY ts, event_id))
-    SELECT path, event_id, CASE WHEN nth = 1 THEN 'FullUpdate' WHEN signature_hash IS DISTINCT FROM s0 THEN 'ArchitectureUpdate' WHEN content_hash IS DISTINCT FROM c0 THEN 'PartialUpdate' ELSE 'Skip' END AS change FROM l""",
+    SELECT path, event_id, CASE WHEN nth = 1 THEN 'FullUpdate' WHEN content_hash IS NOT DISTINCT FROM c0 THEN 'Skip' WHEN signature_hash IS NOT DISTINCT FROM s0 THEN 'PartialUpdate' ELSE 'ArchitectureUpdate' END AS change FROM l""",
 )
 def classify_change(s, d):
     return incremental.classify_changes(t.versions(s, d)).select("path", "event_id", "change")
@@ -155,13 +155,16 @@ _RUNS = "runs AS (SELECT user_id, count(*) FILTER (event_type = 'purchase' AND u
 
 @query(
     "export_status",
-    f"""WITH {_RUNS} SELECT user_id, processed, cached, failed, CASE WHEN failed > 0 AND processed > 0 THEN 'partial' WHEN processed > 0 THEN 'exported' WHEN failed > 0 THEN 'failed' WHEN cached > 0 THEN 'up_to_date' ELSE 'empty' END AS status,
-    CASE WHEN processed > 0 AND cached = 0 AND failed = 0 THEN 'full' WHEN processed > 0 THEN 'incremental' WHEN cached > 0 THEN 'unchanged' ELSE 'none' END AS refresh, failed = 0 AND (processed > 0 OR cached > 0) AS safe, cached = 0 AS prune FROM runs""",
+    f"""WITH {_RUNS}, s AS (SELECT *, processed + cached + failed AS supported FROM runs), o AS (SELECT *, CASE WHEN supported = 0 THEN 'no_supported_files' WHEN failed > 0 AND processed + cached > 0 THEN 'partial_success' WHEN failed > 0 THEN 'full_failure' WHEN processed > 0 THEN 'complete_success' ELSE 'cached_reuse' END AS outcome FROM s)
+    SELECT *, CASE WHEN failed > 0 AND processed > 0 THEN 'partial' WHEN processed > 0 THEN 'exported' WHEN failed > 0 THEN 'failed' WHEN supported = 0 THEN 'empty' ELSE 'up_to_date' END AS status,
+    CASE WHEN processed > 0 AND cached > 0 THEN 'partial_refresh' WHEN processed > 0 THEN 'full_refresh' WHEN supported = 0 OR failed > 0 THEN 'no_refresh' ELSE 'cached_reuse' END AS refresh, supported > 0 AND failed = 0 AS safe, cached = 0 AS prune,
+    CASE outcome WHEN 'full_failure' THEN 'failed' WHEN 'cached_reuse' THEN 'unchanged' WHEN 'no_supported_files' THEN 'unchanged' WHEN 'partial_success' THEN 'incremental' ELSE CASE WHEN cached > 0 THEN 'incremental' ELSE 'fresh' END END AS update_class FROM o""",
 )
 def export_status(s, d):
     u = F.col("user_id")
     kind = lambda k, m: F.count_if((F.col("event_type") == k) & (u % m != 0))
-    return incremental.export_report(t.table(s, d, "events").groupBy("user_id").agg(kind("purchase", 4).alias("processed"), kind("view", 3).alias("cached"), kind("error", 5).alias("failed")))
+    runs = t.table(s, d, "events").groupBy("user_id").agg(kind("purchase", 4).alias("processed"), kind("view", 3).alias("cached"), kind("error", 5).alias("failed"))
+    return incremental.export_report(runs.withColumn("supported", F.col("processed") + F.col("cached") + F.col("failed")))
 
 
 @query(

@@ -22,12 +22,12 @@ def _classify(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
                 continue  # older than what is known: late, and ignored
             if last is None:
                 change = "FullUpdate"
-            elif row.signature_hash != last[1]:
-                change = "ArchitectureUpdate"
-            elif row.content_hash != last[2]:
+            elif row.content_hash == last[2]:
+                change = "Skip"
+            elif row.signature_hash == last[1]:
                 change = "PartialUpdate"
             else:
-                change = "Skip"
+                change = "ArchitectureUpdate"
             last = (row.version.to_pydatetime(), row.signature_hash, row.content_hash)
             out.append((key[0], row.version, change))
         yield pd.DataFrame(out, columns=["path", "version", "change"])
