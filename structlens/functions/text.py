@@ -234,3 +234,9 @@ def parameters(signature: Column) -> Column:
     parts = F.aggregate(F.split(inner, ""), start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
     named = F.filter(F.transform(parts, trim), lambda p: (p != "") & ~p.isin("self", "&self", "&mut self"))
     return F.transform(named, lambda p: F.struct(trim(F.substring_index(p, ":", 1)).alias("name"), F.when(p.contains(":"), trim(F.substring(p, F.instr(p, ":") + 1, F.length(p)))).alias("type")))
+
+
+def cache_scope(root: Column, git_dir: Column, head: Column) -> Column:
+    """The name of a project's cache: a hash of its root and, in a checkout, of the git folder and the head."""
+    nothing = F.lit("")
+    return hex16(fnv1a(F.concat(root, F.coalesce(git_dir, nothing), F.coalesce(head, nothing))))

@@ -7,6 +7,8 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 
 def load_toml(spark: SparkSession, path: str) -> DataFrame:
     """language, binary, args, enabled of the ``languages`` tables of a TOML text, read through Spark."""
@@ -32,3 +34,16 @@ def plugin_for(files: DataFrame, plugins: DataFrame) -> DataFrame:
     """Adds plugin to files with ext: of the plugins (plugin, place, extensions) that know it, the first registered."""
     known = plugins.select("plugin", "place", F.explode("extensions").alias("p_ext")).groupBy("p_ext").agg(F.min_by("plugin", "place").alias("plugin"))
     return files.join(F.broadcast(known), files["ext"] == known["p_ext"], "left").drop("p_ext")
+
+
+def language_status(spark: SparkSession, servers: DataFrame, installed: DataFrame) -> DataFrame:
+    """language, has_patterns, binary, available for every language; ``installed`` lists binaries."""
+    known = spark.createDataFrame([(x, x in fixed.PATTERN_LANGUAGES) for x in fixed.EXTENSIONS], "language string, has_patterns boolean")
+    there = installed.select(F.col("binary").alias("i_binary")).distinct()
+    out = known.join(servers.select("language", "binary"), "language", "left")
+    return out.join(there, out["binary"] == there["i_binary"], "left").select("language", "has_patterns", "binary", F.col("i_binary").isNotNull().alias("available"))
+
+
+def languages_by_binary(servers: DataFrame) -> DataFrame:
+    """binary and its languages, sorted, as one text."""
+    return servers.where("binary IS NOT NULL").groupBy("binary").agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))

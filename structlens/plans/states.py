@@ -196,3 +196,34 @@ def servers(s, d):
 def plugin_for(s, d):
     plugins = s.createDataFrame([("toml", 0, ["toml"]), ("first", 1, ["yml", "md"]), ("second", 2, ["md", "txt", "toml"])], "plugin string, place int, extensions array<string>")
     return config.plugin_for(t.paths(s, d).withColumn("ext", text.extension(F.col("path"))), plugins).select("part_id", "plugin")
+
+
+_SERVERS = "sv(language) AS (VALUES " + ", ".join(f"('{x}')" for x in fixed.EXTENSIONS) + ")"
+
+
+def _servers(s):
+    return s.createDataFrame([(x, "srv-" + x[0]) for x in fixed.EXTENSIONS], "language string, binary string")
+
+
+@query("language_status", f"WITH {_SERVERS} SELECT language, language IN ({_IN(fixed.PATTERN_LANGUAGES)}) AS has_patterns, 'srv-' || left(language, 1) AS server_binary, left(language, 1) < 'm' AS available FROM sv")
+def language_status(s, d):
+    installed = s.createDataFrame([("srv-" + c,) for c in "abcdefghijkl"], "binary string")
+    return config.language_status(s, _servers(s), installed).withColumnRenamed("binary", "server_binary")
+
+
+@query("languages_by_binary", f"WITH {_SERVERS} SELECT 'srv-' || left(language, 1) AS server_binary, string_agg(language, ',' ORDER BY language) AS languages FROM sv GROUP BY left(language, 1)")
+def languages_by_binary(s, d):
+    return config.languages_by_binary(_servers(s)).withColumnRenamed("binary", "server_binary")
+
+
+@query(
+    "cache_scope",
+    f"""WITH RECURSIVE b AS (SELECT n_nationkey AS k, '/w/' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN '/w/.gitrefs/heads/main' ELSE '' END AS t FROM nation),
+    f AS (SELECT k, hex(encode(t)) AS x, 1 AS i, {fixed.FNV_OFFSET}::HUGEINT AS h FROM b UNION ALL
+      SELECT k, x, i + 2, ((h - h % 256 + xor((h % 256)::BIGINT, ('0x' || substring(x, i, 2))::BIGINT)) * {fixed.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT FROM f WHERE i < length(x))
+    SELECT k, lower(lpad(hex(h::UBIGINT), 16, '0')) AS scope FROM f WHERE i > length(x)""",
+)
+def cache_scope(s, d):
+    git = F.col("n_nationkey") % 2 == 0
+    scope = text.cache_scope(F.concat(F.lit("/w/"), "n_name"), F.when(git, "/w/.git"), F.when(git, "refs/heads/main"))
+    return t.table(s, d, "nation").select(F.col("n_nationkey").alias("k"), scope.alias("scope"))
