@@ -29,7 +29,7 @@ def blast_radius(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     held = names.join(words, F.col("run") == F.col("start")).where(F.contains(low, F.lower("symbol"))).select("name", "symbol").distinct()
     met = t.join(held, "symbol").join(symbols.select("name", "file_path"), "name").where("file_path <> def_file")
     per = met.select("symbol", "def_file", "file_path").distinct().withColumn("is_test", text.is_test_path(F.col("file_path")))
-    counts = per.groupBy("symbol", "def_file").agg(F.count_if(~F.col("is_test")).alias("direct"), F.count_if("is_test").alias("tests"))
+    counts = per.groupBy("symbol", "def_file").agg(F.count(F.lit(1)).alias("direct"), F.count_if("is_test").alias("tests"))
     out = t.join(counts, ["symbol", "def_file"], "left").select("symbol", F.col("def_file").alias("file_path"), F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("tests", F.lit(0)).alias("tests"))
     return out.withColumn("risk", risk_score(F.col("direct"), F.lit(0), F.col("tests")))
 

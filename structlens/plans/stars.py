@@ -234,7 +234,7 @@ def analyze_impact(s, d):
     """WITH sy AS (SELECT DISTINCT p_brand || CASE WHEN p_size % 2 = 0 THEN '_' || p_size ELSE '' END AS name, CASE WHEN p_size % 7 = 0 THEN 'a/tests/' ELSE 'src/' END || (p_partkey % 30) || '.rs' AS file_path FROM part),
     tg AS (SELECT name AS symbol, min(file_path) AS file_path FROM sy GROUP BY name),
     m AS (SELECT DISTINCT tg.symbol, tg.file_path, sy.file_path AS f FROM tg JOIN sy ON contains(lower(sy.name), lower(tg.symbol)) AND sy.file_path <> tg.file_path),
-    c AS (SELECT tg.symbol, tg.file_path, count(*) FILTER (f NOT LIKE '%/test%') AS direct, count(*) FILTER (f LIKE '%/test%') AS tests FROM tg LEFT JOIN m USING (symbol, file_path) GROUP BY ALL)
+    c AS (SELECT tg.symbol, tg.file_path, count(f) AS direct, count(*) FILTER (f LIKE '%/test%') AS tests FROM tg LEFT JOIN m USING (symbol, file_path) GROUP BY ALL)
     SELECT *, least(1.0::DOUBLE, (direct * 2.0::DOUBLE + 0.0::DOUBLE + tests) / 10.0::DOUBLE) AS risk FROM c""",
 )
 def blast_radius(s, d):
