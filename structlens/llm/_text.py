@@ -7,9 +7,10 @@ inside a multi-byte UTF-8 sequence, so splitting the encoded text is exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,10 +40,17 @@ def word_chunks(data: bytes, chunk: int = _CHUNK) -> Iterator[list[bytes]]:
         at = end
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that Python holds few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class HashCache(dict):
     """word -> XXH64 with seed 42; forgets everything when it has grown too large."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

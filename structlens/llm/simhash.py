@@ -31,7 +31,7 @@ from ..session import spread
 from . import _work
 from ._blocks import paired_chunks, runs, star, units
 from ._components import components
-from ._text import encode, word_chunks
+from ._text import encode, small, word_chunks
 
 DISTANCE = 4
 SHINGLE = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id and fp, the fingerprint as a signed long."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in small(batches):
             fp = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from . import _work
-from ._text import Grams, HashCache, encode, mix, word_chunks
+from ._text import Grams, HashCache, encode, mix, small, word_chunks
 
 WINDOW = 50
 PHRASE = 20
@@ -74,7 +74,7 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> t
 
 def _survey(window: int, phrase: int):
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             n, sha, found = [], [], []
             for t in batch.column(2).to_pylist():
                 norm = normal(t)
@@ -104,7 +104,7 @@ def _spaces(text: str) -> np.ndarray:
 def _shards(batches, phrase: int, window: int, shard_chars: int):
     """Lists of (row, text, spaces, hashes, anchor per window, recurring) and the phrases found in them."""
     rows, found, chars = [], {}, 0
-    for batch in batches:
+    for batch in small(batches):
         for doc_id, k, t, recurring in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
             norm = normal(t)
             h = word_hashes(norm)
@@ -167,7 +167,7 @@ def removed_words(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 def _cut(window: int):
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             gone, sha, kept = [], [], []
             for t, starts in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = normal(t).split(b" ")
@@ -181,7 +181,7 @@ def _cut(window: int):
     return work
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Per row doc_id, k (hash of the text), n_words, sha and rep (the smallest id with these words); and, per
     document of smallest id that loses words, c_id, c_k, n_gone, kept_sha and the kept text."""
     text = F.col(text_col).cast("string")

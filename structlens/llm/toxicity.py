@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from . import _work
+from ._text import small
 
 _WORD = re.compile(r"\w+")
 THRESHOLD = 0.7
@@ -58,7 +59,7 @@ def _pick_features(sample: DataFrame, n_pos: int, n_unl: int, features: int, lea
 
     def count(batches):
         pos, unl = Counter(), Counter()
-        for batch in batches:
+        for batch in small(batches):
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (pos if y else unl).update(_document_features(t))
         keys = [k for k in {*pos, *unl} if pos[k] + unl[k] > 1]
@@ -163,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     index = {f: i for i, f in enumerate(names)}
 
     def encode(batches):
-        for batch in batches:
+        for batch in small(batches):
             lists = [sorted(index[f] for f in _document_features(t) if f in index) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "positive", "f"])
 
@@ -180,7 +181,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col
 
     def rate(batches):
         own = Model(weights, bias)
-        for batch in batches:
+        for batch in small(batches):
             s = [own.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -195,7 +196,7 @@ def non_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
 
     def verdict(batches):
         own = Model(weights, bias)
-        for batch in batches:
+        for batch in small(batches):
             keep = pa.array([own.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
