@@ -33,11 +33,22 @@ def folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+_ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def keep(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    Meanwhile Arrow batches have at most a thousand rows: ten thousand whole texts at a time, the default, take
+    memory in the JVM and in Python for nothing. The session's setting is put back.
+    """
     spark = df.sparkSession
-    path = folder(spark, label)
-    df.write.options(**options).parquet(path)
+    path, rows = folder(spark, label), spark.conf.get(_ROWS_A_BATCH)
+    spark.conf.set(_ROWS_A_BATCH, str(min(1000, int(rows)) if int(rows) > 0 else 1000))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_ROWS_A_BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
