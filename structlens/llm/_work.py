@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,19 +38,26 @@ def folder(spark: SparkSession, label: str) -> str:
 _ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def keep(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here.
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows while something is written; the session's setting is put back.
 
-    Meanwhile Arrow batches have at most a thousand rows: ten thousand whole texts at a time, the default, take
-    memory in the JVM and in Python for nothing. The session's setting is put back.
+    Ten thousand whole texts at a time, the default, take memory in the JVM and in Python for nothing.
     """
-    spark = df.sparkSession
-    path, rows = folder(spark, label), spark.conf.get(_ROWS_A_BATCH)
-    spark.conf.set(_ROWS_A_BATCH, str(min(1000, int(rows)) if int(rows) > 0 else 1000))
+    before = spark.conf.get(_ROWS_A_BATCH)
+    spark.conf.set(_ROWS_A_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
-        df.write.options(**options).parquet(path)
+        yield
     finally:
-        spark.conf.set(_ROWS_A_BATCH, rows)
+        spark.conf.set(_ROWS_A_BATCH, before)
+
+
+def keep(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    spark = df.sparkSession
+    path = folder(spark, label)
+    with batches_of(spark, 1000):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -184,7 +184,7 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterable[pa.RecordBatch], column: int, path: str, end: int | None, most_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterable[pa.RecordBatch], column: int, path: str, end: int | None, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most about ``most_bytes`` of text, their token offsets and ids."""
     encode = encoder(path)
     for batch in batches:
@@ -223,7 +223,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
         "parquet.enable.dictionary#part": "true",
         "parquet.enable.dictionary#token_ids.list.element": str(ids_encoding == "dictionary").lower(),
     }
-    ordered(docs, id_col, text_col).mapInArrow(encode, SCHEMA).write.options(**options).parquet(out)
+    with _work.batches_of(docs.sparkSession, 1800):
+        ordered(docs, id_col, text_col).mapInArrow(encode, SCHEMA).write.options(**options).parquet(out)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
