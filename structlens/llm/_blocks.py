@@ -73,18 +73,16 @@ def runs(keys: list[np.ndarray]) -> np.ndarray:
 def star(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """The smallest index reachable from each of n items over the links left[i] - right[i]."""
     label = np.arange(n)
-    while len(left):
-        low = np.minimum(label[left], label[right])
-        before = label.copy()
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
+    while True:
+        # labels are roots here: the higher root of each link is hooked to the lowest one that it meets, with all that follow it
+        a, b = label[left], label[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        if not len(left):
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while True:
             jump = label[label]
             if np.array_equal(jump, label):
                 break
             label = jump
-        if np.array_equal(before, label):
-            break
-        apart = label[left] != label[right]
-        left, right = left[apart], right[apart]
-    return label
