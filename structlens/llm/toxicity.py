@@ -62,7 +62,8 @@ def _pick_features(sample: DataFrame, n_pos: int, n_unl: int, features: int, lea
         for batch in small(batches):
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (pos if y else unl).update(_document_features(t))
-        keys = [k for k in {*pos, *unl} if pos[k] + unl[k] > 1]
+        # also what a task sees once: only sums over all tasks say what is rare
+        keys = list({*pos, *unl})
         for at in range(0, len(keys), 20_000):
             own = keys[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([pos[k] for k in own], pa.int64()), pa.array([unl[k] for k in own], pa.int64())], names=["f", "pos", "unl"])

@@ -65,3 +65,11 @@ def test_awkward_rows(spark, awkward, empty):
     assert none.score("anything") < 1e-6
     kept = toxicity.non_toxic(awkward, labels.limit(0))
     assert kept.schema == awkward.schema and kept.count() == awkward.count()
+
+
+def test_features_do_not_depend_on_the_number_of_tasks(spark):
+    # a word that each task sees at most once
+    rows = [(f"zark {VOCAB[i % len(VOCAB)]}", True) for i in range(12)] + [(f"{VOCAB[i % len(VOCAB)]} {VOCAB[-1 - i]}", False) for i in range(24)]
+    sample = spark.createDataFrame(rows, "text string, positive boolean")
+    one, many = (toxicity._pick_features(df, 12, 24, 2000, 5, 2.5) for df in (sample.coalesce(1), sample.repartition(36)))
+    assert "=zark" in one and many == one
