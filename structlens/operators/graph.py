@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -50,11 +51,11 @@ def skeletonize(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("description", text.skeleton(F.col("description")))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, *, most_steps: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, *, most_steps: int | None = None) -> DataFrame:
     """seed, node, distance: everything that depends on a seed over edges (source depends on target), by a frontier search.
 
     Each step joins the frontier with the edges, drops what was visited and is written to the shared folder, so
-    lineage stays short and a lost executor costs one step.
+    lineage stays short and a lost executor costs one step. The search ends when nothing new is found; with ``most_steps`` it raises if there is more beyond them.
     """
     spark = edges.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
@@ -67,11 +68,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, *, most_steps: int = 200) -> D
 
     visited = keep(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct())
     frontier = visited
-    for step in range(1, most_steps + 1):
+    for step in itertools.count(1):
         found = frontier.join(back, frontier["node"] == back["at"]).select("seed", F.col("next").alias("node")).distinct()
         new = keep(found.join(visited, ["seed", "node"], "left_anti").withColumn("distance", F.lit(step)))
         if not new.take(1):
             break
+        if most_steps is not None and step > most_steps:
+            raise RuntimeError(f"nodes more than {most_steps} steps away")
         visited, frontier = keep(visited.unionByName(new)), new
     return visited
 

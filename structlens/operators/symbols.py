@@ -7,7 +7,7 @@ starts with ``end`` (Ruby, Lua, Elixir). Strings and comments that hold brackets
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,25 +72,35 @@ def declarations(lines: DataFrame) -> DataFrame:
     return out.withColumn("name", cut).withColumn("column_start", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
 
 
+def _first_within(rows: DataFrame, heads: Column, limit: Column, enders: Column, level: Column, name: str) -> DataFrame:
+    """Adds ``name``: for the lines ``heads`` the first later line of ``enders`` whose ``level`` is at most ``limit``, by a join of the two."""
+    a = rows.where(heads).select(F.col("file_path").alias("a_path"), F.col("line_no").alias("a"), limit.alias("a_limit"))
+    b = rows.where(enders).select(F.col("file_path").alias("b_path"), F.col("line_no").alias("b"), level.alias("b_level"))
+    met = a.join(b, (F.col("a_path") == F.col("b_path")) & (F.col("b") > F.col("a")) & (F.col("b_level") <= F.col("a_limit"))).groupBy("a_path", "a").agg(F.min("b").alias(name))
+    return rows.join(met, (rows["file_path"] == met["a_path"]) & (rows["line_no"] == met["a"]), "left").drop("a_path", "a")
+
+
 def block_ends(lines: DataFrame) -> DataFrame:
     """Adds line_end to every line, taken as the head of a block."""
     rows = bracket_depths(lines).withColumn("lead", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
     w = W.partitionBy("file_path")
     blank = F.col("t") == ""
-    rows = rows.withColumn("last", F.max("line_no").over(w))
+    rows = rows.withColumn("last", F.max("line_no").over(w)).withColumn("step", F.ceil(F.col("lead") / 4).cast("int"))
+    # levels beyond the windows below, by joins among their lines
+    rows = _first_within(rows, (F.col("depth_out") > F.col("depth_in")) & (F.col("depth_in") > 23), F.col("depth_in"), F.col("depth_out") > 23, F.col("depth_out"), "deep_shut")
+    rows = _first_within(rows, F.col("step") > 15, 4 * F.col("step"), ~blank & (F.col("lead") > 60), F.col("lead"), "deep_lead")
     # where does the depth come back to what it was before the line: the first later line of depth_out <= depth_in
     deep = F.least(F.col("depth_out"), F.lit(31))
     after = w.orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
     shut = F.array(*[F.last(F.when(F.col("depth_out") <= d, F.col("line_no")), ignorenulls=True).over(after) for d in range(24)])
-    rows = rows.withColumn("shut", F.when(F.col("depth_out") > F.col("depth_in"), F.get(shut, F.least(F.col("depth_in"), F.lit(23)))).otherwise(F.col("line_no")))
+    rows = rows.withColumn("shut", F.when(F.col("depth_out") > F.col("depth_in"), F.least(F.get(shut, F.least(F.col("depth_in"), F.lit(23))), "deep_shut")).otherwise(F.col("line_no")))
     # a body that opens on the next line
     nxt = w.orderBy("line_no")
     rows = rows.withColumn("opens_next", F.lead("t").over(nxt).startswith("{")).withColumn("next_shut", F.lead("shut").over(nxt)).withColumn("deep", deep)
     braces = F.when(F.col("opens_next") & (F.col("depth_out") == F.col("depth_in")), F.col("next_shut")).otherwise(F.col("shut"))
     # the last line before one that is not blank and not deeper indented
     leads = F.array(*[F.last(F.when(~blank & (F.col("lead") <= 4 * d), F.col("line_no")), ignorenulls=True).over(after) for d in range(16)])
-    step = F.least(F.ceil(F.col("lead") / 4).cast("int"), F.lit(15))
-    out = F.get(leads, step)
+    out = F.least(F.get(leads, F.least(F.col("step"), F.lit(15))), "deep_lead")
     rows = rows.withColumn("dedent", F.coalesce(out - 1, F.col("last")))
     ended = F.coalesce(out, F.col("last"))
     end = F.when(F.col("language").isin(*_INDENTED), F.col("dedent")).when(F.col("language").isin(*_ENDED), ended).otherwise(F.coalesce(braces, F.col("last")))
@@ -99,7 +109,7 @@ def block_ends(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("line_end", F.greatest(end, F.col("line_no"))).withColumn("filled", filled)
     fill = rows.select(F.col("file_path").alias("f_path"), F.col("line_no").alias("f_line"), F.col("filled").alias("f_end"))
     rows = rows.join(fill, (rows["file_path"] == fill["f_path"]) & (rows["line_end"] == fill["f_line"]), "left")
-    return rows.withColumn("line_end", F.greatest(F.coalesce("f_end", "line_end"), F.col("line_no"))).drop("f_path", "f_line", "f_end", "filled", "shut", "dedent", "next_shut", "opens_next", "deep")
+    return rows.withColumn("line_end", F.greatest(F.coalesce("f_end", "line_end"), F.col("line_no"))).drop("f_path", "f_line", "f_end", "filled", "shut", "dedent", "next_shut", "opens_next", "deep", "step", "deep_shut", "deep_lead")
 
 
 def doc_comments(lines: DataFrame) -> DataFrame:
