@@ -1,20 +1,23 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
-Centroids are fitted on a bounded sample of distinct directions (``sample_rows``). Every vector is
-put into its ``probes`` nearest cells, cells are compared in pairs of bounded chunks by
-matrix products in double precision, and a pair that shares several cells is counted in the first
-one only. Vectors with equal components are one class with a multiplicity before anything is compared,
-so copies are never expanded into pairs; a unit of work emits link counts
-per class and a spanning star of its links, never the pairs.
-
-Up to ``exact_rows`` classes there is one cell, and the comparison is complete. Beyond, a link is found if
-its two vectors share one of their nearest cells; ``recall`` measures that against all
-rows for a fixed share of queries.
+Centroids are fitted on a bounded sample of distinct directions (``sample_rows``), and their number grows with the
+vectors: about one for every ``cell_rows``. What one level of centroids can't give, since the sample is bounded, a
+second gives: centroids of the residuals, shared by all cells, so that a cell is a pair of a centroid and a residual
+centroid. Centroids that nearly coincide are merged, so a dense group of copies is one cell and not scattered over
+many. Every vector lives in its nearest cell and visits the next ``probes - 1``; a cell compares its own vectors with
+each other and with its visitors by matrix products in double precision, in units of bounded size. A pair that two
+cells would meet is counted in the lower one only. Vectors with equal components are one class with a
+multiplicity before anything is compared, so copies are never expanded into pairs; a unit of work
+emits link counts per class and a spanning star of its links, never the pairs.
+
+A link is found if one of its vectors visits the cell of the other: always, if there are no more cells than probes;
+beyond that, ``recall`` measures it against all rows for a fixed share of queries.
 
 Defined results: null or zero vectors and vectors with null or non-finite components link with
 nothing; vectors of different lengths never link; repeated rows are linked copies; null
 ids form rows like any other but are never a component's id; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored. Vectors are scaled by their largest component before norms are taken, so
+neither very large nor very small components overflow.
 """
 
 from __future__ import annotations
@@ -25,107 +28,217 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _work
-from ._blocks import paired_chunks, runs, star, units
+from ._blocks import runs, star, units
 from ._components import components
 
 COSINE = 0.9
+#: Up to so many cells of more than one unit, their sizes reach the vectors by a broadcast (under 10 MB); beyond, by a join.
+BROADCAST_CELLS = 200_000
 
 
-def directions(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and unit vectors (double) of a list column; all lists have the same length and are usable."""
+def directions(batch_column: pa.Array) -> np.ndarray:
+    """Unit vectors (double) of a list column; all lists have the same length and are usable."""
     values = batch_column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = values.reshape(len(batch_column), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
-    """k unit centroids of unit vectors; empty cells are moved to the worst-served vectors."""
+def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
     for _ in range(rounds):
-        best, cos = np.empty(len(x), np.int64), np.empty(len(x))
+        best, score = np.empty(len(x), np.int64), np.empty(len(x))
+        shift = 0 if spherical else (c * c).sum(1) / 2
         for at in range(0, len(x), 4096):
-            s = x[at : at + 4096] @ c.T
-            best[at : at + 4096], cos[at : at + 4096] = s.argmax(1), s.max(1)
+            s = x[at : at + 4096] @ c.T - shift
+            best[at : at + 4096], score[at : at + 4096] = s.argmax(1), s.max(1)
         total = np.zeros_like(c)
         np.add.at(total, best, x)
-        norm = np.sqrt((total * total).sum(1))
-        empty = np.flatnonzero(norm < 1e-12)
-        total[empty] = x[np.argsort(cos, kind="stable")[: len(empty)]]
-        norm[empty] = 1
-        c = total / norm[:, None]
+        size = np.sqrt((total * total).sum(1)) if spherical else np.bincount(best, minlength=k).astype(np.float64)
+        empty = np.flatnonzero(size < 1e-12)
+        total[empty] = x[np.argsort(score, kind="stable")[: len(empty)]]
+        size[empty] = 1
+        c = total / size[:, None]
     return c
 
 
+def _apart(c: np.ndarray, distance: float) -> np.ndarray:
+    """Centroids in order, without those within ``distance`` of one before them."""
+    kept = np.empty((0, c.shape[1]))
+    for row in c:
+        if not len(kept) or ((kept - row) ** 2).sum(1).min() > distance * distance:
+            kept = np.vstack([kept, row])
+    return kept
+
+
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
+    """k unit centroids of unit vectors; empty cells are moved to the worst-served vectors."""
+    return _kmeans(x, k, rounds, seed, True)
+
+
+class Cells:
+    """Cells of vectors of one length: a centroid and a residual centroid each."""
+
+    #: Two centroids nearer than this (cosine 0.8) are one: vectors that link are within 0.45 of each other.
+    MERGED = math.sqrt(0.4)
+
+    def __init__(self, x: np.ndarray, cells: int, most: int):
+        first = min(cells, len(x) // 8 + 1, most)
+        self.centroids = _apart(spherical_kmeans(x, first), self.MERGED)
+        second = min(-(-cells // first), len(x) // 8 + 1, most)
+        self.residuals = np.zeros((1, x.shape[1]))
+        if second > 1:
+            rest = x - self.centroids[np.concatenate([(x[at : at + 4096] @ self.centroids.T).argmax(1) for at in range(0, len(x), 4096)])]
+            self.residuals = _apart(_kmeans(rest, second, 12, 1, False), self.MERGED / 2)
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The numbers of the nearest cells of each unit vector, nearest first; -1 where there are no more."""
+        k, m = len(self.centroids), len(self.residuals)
+        s = x @ self.centroids.T
+        take = min(probes, k)
+        coarse = np.argpartition(-s, take - 1, axis=1)[:, :take]
+        if m == 1:
+            score, cell = np.take_along_axis(s, coarse, 1), coarse
+        else:
+            shift, few = (self.residuals**2).sum(1) / 2, min(probes, m)
+            scores, cells = [], []
+            for j in range(take):
+                # |x - c - r|^2 is least where (x - c) r - |r|^2 / 2 + x c is greatest
+                part = (x - self.centroids[coarse[:, j]]) @ self.residuals.T - shift
+                best = np.argpartition(-part, few - 1, axis=1)[:, :few]
+                scores.append(np.take_along_axis(part, best, 1) + np.take_along_axis(s, coarse[:, j : j + 1], 1))
+                cells.append(coarse[:, j : j + 1] * m + best)
+            score, cell = np.hstack(scores), np.hstack(cells)
+        order = np.lexsort((cell, -score))[:, :probes]
+        out = np.full((len(x), probes), -1, np.int64)
+        out[:, : order.shape[1]] = np.take_along_axis(cell, order, 1)
+        return out
+
+
 def classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """All rows with the class they belong to (null: links with nothing), and the classes: cls, first id, n, v."""
-    v = F.col(vector_col).cast("array<double>")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf"))
-    plain = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
+    good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    zero = F.lit(0).cast(T.FloatType() if single else T.DoubleType())
+    plain = F.transform("v", lambda x: F.when(x == 0, zero).otherwise(x))  # -0.0 becomes 0.0
     rows = rows.withColumn("v", F.when(good, plain))
     rows = rows.withColumn("cls", F.when(F.col("v").isNotNull(), F.struct(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))))
     found = rows.where("v IS NOT NULL").groupBy("cls").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    return rows.select("vec_id", "cls"), found
+    return rows, found
 
 
-def _cells(found: DataFrame, n: int, dim: int, *, exact_rows: int, cell_rows: int, most_cells: int, sample_rows: int, probes: int) -> DataFrame:
-    """key, near (its other cells) and the columns of ``found`` for every cell of every class of one length."""
-    if n <= exact_rows:
-        return found.select(F.lit(0).cast("long").alias("key"), F.array(F.lit(0)).alias("near"), "id", "n", "v")
+def fit(rows: DataFrame, *, cell_rows: int, most_cells: int, sample_rows: int) -> dict[int, Cells]:
+    """Cells by length of vector, from a sample of at most about ``sample_rows`` different vectors of ``rows`` (v)."""
+    usable = rows.where("v IS NOT NULL")
+    n = usable.count()
+    if not n:
+        return {}
     rate = min(1.0, sample_rows / n)
-    sample = found.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(rate * (1 << 20))).orderBy("id").limit(sample_rows).select("v").toArrow().column(0).combine_chunks()
-    x = directions(sample)
-    k = min(most_cells, len(x) // 8 + 1, math.ceil(n / cell_rows) + 1)
-    centroids = spherical_kmeans(x, k)
-    take = min(probes, k)
+    chosen = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 30)) < int(rate * (1 << 30))
+    # copies are all in or all out, and one of each is enough
+    sample = usable.where(chosen).select(F.xxhash64("v").alias("h"), "v").groupBy("h").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n")).orderBy("h").toArrow()
+    lists, of = sample.column("v").combine_chunks(), {}
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    lengths = np.diff(lists.offsets.to_numpy())
+    for dim in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == dim)
+        x = directions(lists.take(pa.array(own)))
+        # how many different vectors of this length there are, by the sample's share
+        of[dim] = Cells(x, math.ceil(len(own) / rate / cell_rows) + 1, most_cells)
+    return of
+
+
+def _assign(of: dict[int, Cells], probes: int):
+    """Adds near, the nearest cells (the first is home), to batches whose last column is v."""
 
-    def assign(batches):
+    def work(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                s = directions(part.column(2)) @ centroids.T
-                near = np.sort(np.argpartition(-s, take - 1, axis=1)[:, :take], axis=1).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, take, dtype=np.int32)), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "n", "v", "near"])
+            lists = batch.column(batch.num_columns - 1)
+            lengths = np.diff(lists.offsets.to_numpy())
+            near = np.full((batch.num_rows, probes), -1, np.int64)
+            near[:, 0] = 0
+            for dim in np.unique(lengths).tolist():
+                if dim in of:
+                    own = np.flatnonzero(lengths == dim)
+                    for at in range(0, len(own), 1024):
+                        part = own[at : at + 1024]
+                        near[part] = of[dim].nearest(directions(lists.take(pa.array(part))), probes)
+            flat = near.ravel()
+            ends = np.append(0, np.cumsum((near >= 0).sum(1))).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[flat >= 0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "near"])
+
+    return work
+
 
-    put = found.select("id", "n", "v").mapInArrow(assign, "id long, n long, v array<double>, near array<int>")
-    return put.withColumn("cell", F.explode("near")).select(F.col("cell").cast("long").alias("key"), "near", "id", "n", "v")
+def _dealt(cells: DataFrame, chunk_rows: int, segment_rows: int) -> DataFrame:
+    """dim, cell, base, part, role, id, n, near, v: the units of work.
+
+    The residents of a cell are cut into chunks. A unit has one chunk as base (role 0) and one part of what the
+    base is compared with (role 1): residents of later chunks and visitors.
+    """
+    visits = cells.select("dim", "id", "n", "near", "v", F.posexplode("near").alias("rank", "cell"))
+    home = F.col("rank") == 0
+    sizes = cells.select("dim", F.posexplode("near").alias("rank", "cell")).groupBy("dim", "cell").agg(F.count_if(home).alias("residents"), F.count(F.lit(1)).alias("all"))
+    sizes = sizes.select(F.col("dim").alias("s_dim"), F.col("cell").alias("s_cell"), F.ceil(F.col("residents") / chunk_rows).cast("int").alias("chunks"), F.ceil(F.col("all") / segment_rows).cast("int").alias("parts"))
+    # most cells are one unit: only the others have to be known
+    large = _work.keep(sizes.where("chunks > 1 OR parts > 1"), "large-cells")
+    large = F.broadcast(large) if large.count() <= BROADCAST_CELLS else large
+    rows = visits.join(large, (visits["dim"] == large["s_dim"]) & (visits["cell"] == large["s_cell"]), "left")
+    rows = rows.withColumns({"chunks": F.greatest(F.coalesce("chunks", F.lit(1)), F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
+    number = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), of).cast("int")
+    rows = rows.withColumn("chunk", F.when(home, number(7, F.col("chunks"))))
+    unit = lambda base, part, role: F.struct(base.alias("base"), part.alias("part"), F.lit(role).alias("role"))
+    own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: unit(F.col("chunk"), part, 0))
+    # a sequence would run backwards for the first chunk
+    below = F.when(home & (F.col("chunk") == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.when(home, F.col("chunk")).otherwise(F.col("chunks")) - 1))
+    met = F.transform(below, lambda base: unit(base, number(8, F.col("parts")), 1))
+    rows = rows.withColumn("unit", F.explode(F.when(home, F.concat(own, met)).otherwise(met)))
+    return rows.select("dim", "cell", "unit.base", "unit.part", "unit.role", "id", "n", "near", "v")
 
 
 def _compare(cosine: float):
     """Per unit: (id, links, root) for the classes that have links in it; links counts linked rows."""
 
     def work(batches):
-        for table in units(batches, 3):
+        for table in units(batches, 4):
             table = table.combine_chunks()
-            keys = [table.column(k).to_numpy() for k in range(3)]
+            keys = [table.column(k).to_numpy() for k in range(4)]
             edge = runs(keys)
-            side, ident, n = (table.column(k).to_numpy() for k in (3, 4, 5))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
+            role, ident, n = (table.column(k).to_numpy() for k in (4, 5, 6))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 part = table.slice(a, b - a)
-                x = directions(part.column(6).combine_chunks())
-                near = part.column(7).combine_chunks()
-                near = near.flatten().to_numpy().reshape(b - a, -1)
-                own_n, cross = n[a:b], keys[1][a] != keys[2][a]
-                first = np.flatnonzero(side[a:b] == 0) if cross else np.arange(b - a)
-                second = np.flatnonzero(side[a:b] == 1) if cross else first
+                lists = part.column("near").combine_chunks()
+                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                base = int((role[a:b] == 0).sum())
+                if not base or (b - a < 2):
+                    continue
+                x = directions(part.column("v").combine_chunks())
+                off, flat, cell = lists.offsets.to_numpy(), lists.values.to_numpy(), keys[1][a]
+                width = int(np.diff(off).max())
+                near = np.full((b - a, width), -1, np.int64)
+                near[np.arange(width)[None, :] < np.diff(off)[:, None]] = flat[off[0] : off[-1]]
+                home, own_n = near[:, 0], n[a:b]
+                # rows after ``base`` are compared with the base, and the base with itself in the first part
+                first = 0 if keys[3][a] == 0 else base
                 count, label = np.zeros(b - a, np.int64), np.arange(b - a)
-                for at in range(0, len(first), 512):
-                    rows = first[at : at + 512]
-                    i, j = np.nonzero(x[rows] @ x[second].T >= cosine)
-                    i, j = rows[i], second[j]
-                    # the first cell that both are in counts the pair
-                    both = (near[i][:, :, None] == near[j][:, None, :]).any(2)
-                    lowest = near[i, both.argmax(1)]
-                    keep = (lowest == keys[0][a]) & (i != j)
+                for at in range(first, b - a, 512):
+                    stop = min(at + 512, b - a)
+                    j, i = np.nonzero(x[at:stop] @ x[:base].T >= cosine)
+                    j = j + at
+                    # of two rows of the base, each pair once; what the lower of two cells meets is not counted here
+                    keep = (j >= base) | (i < j)
+                    away = (home[j] != cell) & (home[j] < cell)
+                    keep &= ~(away & (near[i] == home[j][:, None]).any(1))
                     i, j = i[keep], j[keep]
                     np.add.at(count, i, own_n[j])
-                    if cross:
-                        np.add.at(count, j, own_n[i])
+                    np.add.at(count, j, own_n[i])
                     label = star(np.concatenate([np.arange(b - a), i]), np.concatenate([label, j]), b - a)
                 hit = np.flatnonzero(count)
                 if len(hit):
@@ -134,29 +247,20 @@ def _compare(cosine: float):
     return work
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = 6, exact_rows: int = 4096, cell_rows: int = 1024, most_cells: int = 1 << 15, sample_rows: int = 40_000, chunk_rows: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = 4, cell_rows: int = 1024, most_cells: int = 5000, sample_rows: int = 40_000, chunk_rows: int = 2048, segment_rows: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    spark = vectors.sparkSession
     rows, found = classes(vectors, id_col=id_col, vector_col=vector_col)
-    rows = _work.keep(rows, "vectors")
-    found = _work.keep(found.withColumn("id", F.xxhash64("cls.h1", "cls.h2")).withColumn("dim", F.size("v")), "classes")
-    sizes = found.groupBy("dim").count().collect()
-    parts = []
-    for dim, n in sizes:
-        own = found.where(F.col("dim") == dim)
-        cells = _work.keep(_cells(own, n, dim, exact_rows=exact_rows, cell_rows=cell_rows, most_cells=most_cells, sample_rows=sample_rows, probes=probes), "cells")
-        units_ = paired_chunks(cells, "key", "id", chunk_rows).select("key", "ci", "cj", "side", "id", "n", "v", "near")
-        parts.append(units_.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "id").mapInArrow(_compare(cosine), "id long, links long, root long"))
-    if not parts:
-        links = spark.createDataFrame([], "id long, links long, root long")
-    else:
-        links = parts[0]
-        for p in parts[1:]:
-            links = links.unionByName(p)
-    links = _work.keep(links, "links")
+    of = fit(rows, cell_rows=cell_rows, most_cells=most_cells, sample_rows=sample_rows)
+    rows = _work.keep(rows.select("vec_id", "cls"), "vectors")
+    found = found.select("cls", "first", F.size("v").alias("dim"), F.xxhash64("cls.h1", "cls.h2").alias("id"), "n", "v")
+    schema = T.StructType([*found.schema.fields, T.StructField("near", T.ArrayType(T.LongType()))])
+    cells = _work.keep(found.mapInArrow(_assign(of, probes), schema), "cells")
+    dealt = _dealt(cells, chunk_rows, segment_rows)
+    dealt = dealt.repartition("dim", "cell", "base", "part").sortWithinPartitions("dim", "cell", "base", "part", "role", "id")
+    links = _work.keep(dealt.mapInArrow(_compare(cosine), "id long, links long, root long"), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "l_id")
     roots = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("a", "r_id")
-    by = found.select("cls", "id", "first", "n")
+    by = cells.select("cls", "id", "first", "n")
     by = by.join(counts, by["id"] == counts["l_id"], "left").join(roots, by["id"] == roots["r_id"], "left")
     by = _work.keep(by.select("cls", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), "linked")
     lowest = by.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "o_root")
@@ -172,7 +276,7 @@ def recall(vectors: DataFrame, *, every: int = 20, cosine: float = COSINE, **opt
     got = found.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
     rows, known = classes(vectors)
     known = _work.keep(known, "classes")
-    queries = rows.where(F.col("vec_id") % every == 0).join(known.select("cls", "v"), "cls")
+    queries = rows.select("vec_id", "cls").where(F.col("vec_id") % every == 0).join(known.select("cls", "v"), "cls")
     there = 0
     for block in _blocks(queries.select("v")):
 
@@ -198,6 +302,7 @@ def _blocks(queries: DataFrame, rows: int = 2048):
 
 def _unit(rows: list) -> np.ndarray:
     x = np.asarray(rows, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 

@@ -1,6 +1,7 @@
 """Embedding dedup against all pairs, and its recall with cells."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from structlens.llm import embedding_dedup
 
@@ -36,9 +37,9 @@ def _vectors(n, d=8, seed=0):
     return [(i, [float(x) for x in centres[i % len(centres)] + rng.normal(size=d) * rng.choice([0, 0.05, 0.4])]) for i in range(n)]
 
 
-def test_one_cell_is_exact(spark):
+def test_few_cells_are_exact(spark):
     rows = _vectors(150) + [(900, None), (901, []), (902, [0.0] * 8), (903, [1.0, None] * 4), (904, [float("nan")] * 8), (905, [float("inf")] * 8), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (908, [-0.0, 1.0]), (909, [0.0, 1.0])]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), chunk_rows=20).collect()
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), chunk_rows=20, segment_rows=30).collect()
     assert sorted(tuple(r) for r in got) == _expected(rows)
 
 
@@ -46,20 +47,45 @@ def test_cells_count_each_pair_once(spark):
     rows = _vectors(300, seed=2)
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
     # as many probes as cells: every pair shares several cells, and the result is exact
-    got = embedding_dedup.near_duplicates(df, exact_rows=0, cell_rows=80, probes=99, chunk_rows=16).collect()
+    got = embedding_dedup.near_duplicates(df, cell_rows=80, probes=99, chunk_rows=16, segment_rows=50).collect()
     assert sorted(tuple(r) for r in got) == _expected(rows)
 
 
 def test_recall_and_precision_with_few_probes(spark):
     rows = _vectors(900, d=16, seed=3)
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
-    options = {"exact_rows": 0, "cell_rows": 60, "probes": 4}
+    options = {"cell_rows": 60, "probes": 4}
     found, there = embedding_dedup.recall(df, **options)
     assert there > 0 and found >= 0.9 * there
     exact = {i: n for i, n, _, _ in _expected(rows)}
     assert all(r.n_links <= exact[r.vec_id] for r in embedding_dedup.near_duplicates(df, **options).collect())
 
 
+def test_two_levels_of_cells(spark):
+    rows = _vectors(900, d=16, seed=3)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    exact = embedding_dedup.near_duplicates(df, cell_rows=10, most_cells=9, probes=200, chunk_rows=16).collect()
+    assert sorted(tuple(r) for r in exact) == _expected(rows)
+    found, there = embedding_dedup.recall(df, cell_rows=20, most_cells=9, probes=6)
+    assert there > 0 and found >= 0.9 * there
+
+
+def test_a_dense_group_is_one_cell(spark):
+    rng = np.random.default_rng(1)
+    far, centre = rng.normal(size=(600, 16)), rng.normal(size=16)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(far)] + [(1000 + i, [float(x) for x in centre + rng.normal(size=16) * 0.05]) for i in range(400)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = embedding_dedup.near_duplicates(df, cell_rows=20, probes=2, chunk_rows=50, segment_rows=70).collect()
+    assert sorted(tuple(r) for r in got if r.vec_id >= 1000) == [r for r in _expected(rows) if r[0] >= 1000]
+
+
+def test_very_large_and_very_small_components_and_clashing_names(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 0.0]), (3, [1e-200, 1e-201]), (4, [0.0, 1e300])]
+    df = spark.createDataFrame([(i, v, "x", 7, "y") for i, v in rows], "vec_id long, embedding array<double>, id string, n int, cls string").withColumns({c: F.lit(1) for c in ("v", "near", "cell", "dim", "role", "unit")})
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (3, 3, 0, False), (4, 0, 4, True)]
+
+
 def test_hot_copies_repeated_rows_and_empty(spark):
     rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(200)] + [(5, [1.0, 2.0, 3.0], 0), (700, [3.0, 6.0, 9.0], 0), (None, [0.0, 1.0, 0.0], 1)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
