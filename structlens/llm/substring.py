@@ -5,18 +5,21 @@ with the smallest hash. Two equal windows have equal anchors, so only windows ar
 anchors can recur. In steps, each linear in the words of the corpus:
 
 1. every text is hashed once; exact copies are classes with their smallest id, and only that member goes on;
-2. anchors that occur in two or more classes are the recurring phrases (an aggregation
+2. anchors that occur in two or more different texts are confirmed as recurring phrases (an aggregation
    with map-side minimum and maximum, so a phrase of millions of documents is one row a task);
-3. documents with recurring phrases are dealt out by id; each shard of them (``shard_chars``
-   characters of phrases at most) compiles its own phrases into one Aho-Corasick automaton and
-   streams its documents through it once, which locates every occurrence; windows around the
-   occurrences whose anchor recurs become candidates;
-4. candidates are confirmed by 96 bits of hash over all their words: the smallest id per window, joined
+3. all documents that go on are dealt out by id; each shard of them (``shard_chars`` characters of texts and phrases at
+   most) compiles the recurring phrases of its documents into one Aho-Corasick automaton, each read once from the first of them
+   that has it, and streams all its documents through it, which locates every occurrence; windows whose
+   anchor is at a located occurrence become candidates;
+4. candidates are confirmed by 95 bits of hash over all their words: the smallest id per window, joined
    back, gives the words to remove.
 
 A document's phrases are only in the automaton of its own shard, so automata grow with a shard and not with the
 corpus, and every document is streamed once.
 
+The classes of a few very frequent texts (at most ``1 / HOT`` of them, since each has more than that share of all rows) reach their rows by a
+broadcast, the others by a join, so that no task gets all copies of one text.
+
 Defined results: a null text has no words; a text shorter than a window loses nothing; repeated rows
 have the same id, so none counts as smaller and all stay; rows without an id remove nothing and lose nothing;
 an empty table gives an empty result; other columns are ignored or, by :func:`deduplicated`, kept.
@@ -25,6 +28,7 @@ an empty table gives an empty result; other columns are ignored or, by :func:`de
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import ahocorasick
@@ -39,6 +43,8 @@ from ._text import Grams, HashCache, encode, mix, small, word_chunks
 
 WINDOW = 50
 PHRASE = 20
+#: The share of all rows from which on a text is one of the few very frequent ones.
+HOT = 0.001
 _SPACE = re.compile(rb"[ \t\n\v\f\r]+")
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _cache = HashCache()
@@ -102,46 +108,71 @@ def _spaces(text: str) -> np.ndarray:
 
 
 def _shards(batches, phrase: int, window: int, shard_chars: int):
-    """Lists of (row, text, spaces, hashes, anchor per window, recurring) and the phrases found in them."""
-    rows, found, chars = [], {}, 0
+    """Lists of (row, text, spaces, hashes, phrase hashes, anchor per window) and the recurring phrases in them."""
+    rows, phrases, read, chars = [], {}, set(), 0
     for batch in small(batches):
         for doc_id, k, t, recurring in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
             norm = normal(t)
             h = word_hashes(norm)
             g, low = anchors(h, window, phrase)
-            known = np.asarray(recurring.values, np.int64).view(np.uint64)
             text = " " + norm.decode("utf-8", "surrogatepass") + " "
             spaces = _spaces(text)
-            for p in np.flatnonzero(np.isin(g, known)).tolist():
-                own = text[spaces[p] : spaces[p + phrase] + 1]
-                if own not in found:
-                    found[own] = len(own)
+            wanted = [x for x in recurring.as_py() or () if x not in read]
+            if wanted:
+                # the first place of each phrase that no document before had; the automaton finds all others
+                places = np.flatnonzero(np.isin(g, np.asarray(wanted, np.int64).view(np.uint64)))
+                for p in places[np.unique(g[places], return_index=True)[1]].tolist():
+                    own = text[spaces[p] : spaces[p + phrase] + 1]
+                    phrases[own] = len(own)
                     chars += len(own)
-            rows.append((doc_id, k, t, text, spaces, h, np.isin(low, known)))
+                read.update(wanted)
+            rows.append((doc_id, k, t, text, spaces, h, g, low))
             chars += len(text)
             if chars >= shard_chars:
-                yield rows, found
-                rows, found, chars = [], {}, 0
+                yield rows, phrases
+                rows, phrases, read, chars = [], {}, set(), 0
     if rows:
-        yield rows, found
+        yield rows, phrases
+
+
+def compiled(phrases: dict[str, int]):
+    """The automaton of recurring phrases with their lengths; None if there are none."""
+    if not phrases:
+        return None
+    automaton = ahocorasick.Automaton()
+    for p, size in phrases.items():
+        automaton.add_word(p, size)
+    automaton.make_automaton()
+    return automaton
+
+
+def _located(g: np.ndarray, low: np.ndarray, found: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Windows whose anchor is one of the phrases that start at the words ``found``."""
+    if not len(low) or not len(found):
+        return np.empty(0, np.int64)
+    # elsewhere nothing can be as small as the anchor: the least hash of a window is its anchor's only if that was found
+    far = np.full(len(g), np.uint64(0xFFFFFFFFFFFFFFFF))
+    far[found] = g[found]
+    near = np.zeros(len(g), np.int64)
+    near[found] = 1
+    near = np.append(0, np.cumsum(near))
+    width = window - phrase + 1
+    return np.flatnonzero((_minima(far, width) == low) & (near[width:] > near[:-width]))
 
 
 def _locate(window: int, phrase: int, shard_chars: int):
     """Candidate windows of the documents of a partition."""
 
     def work(batches):
-        for rows, found in _shards(batches, phrase, window, shard_chars):
-            automaton = ahocorasick.Automaton()
-            for p, size in found.items():
-                automaton.add_word(p, size)
-            automaton.make_automaton()
+        for rows, phrases in _shards(batches, phrase, window, shard_chars):
+            automaton = compiled(phrases)
+            if automaton is None:
+                continue
             ids, ks, texts, at, one, two = [], [], [], [], [], []
-            for doc_id, k, t, text, spaces, h, likely in rows:
-                q = _occurrences(text, spaces, automaton) if found else np.empty(0, np.int64)
-                near = np.zeros(len(likely) + 1, np.int64)
-                np.add.at(near, np.clip(q + phrase - window, 0, len(likely)), 1)
-                np.add.at(near, np.clip(q + 1, 0, len(likely)), -1)
-                p = np.flatnonzero((np.cumsum(near)[:-1] > 0) & likely)
+            for doc_id, k, t, text, spaces, h, g, low in rows:
+                if not len(low):
+                    continue
+                p = _located(g, low, _occurrences(text, spaces, automaton), window, phrase)
                 if len(p):
                     ids.append(doc_id)
                     ks.append(k)
@@ -181,20 +212,35 @@ def _cut(window: int):
     return work
 
 
+def _with_classes(seen: DataFrame) -> DataFrame:
+    """Adds rep, the smallest id with the same words; null ids form no class."""
+    reps = seen.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    reps = _work.keep(reps, "copied")
+    least = F.lit(math.ceil(seen.count() * HOT))
+    hot, cold = reps.where(F.col("n") > least), reps.where(F.col("n") <= least)
+    # fewer than 1 / HOT rows, whatever the input
+    rows = seen.join(F.broadcast(hot.select(F.col("sha").alias("h_sha"), F.col("rep").alias("h_rep"))), F.col("sha") == F.col("h_sha"), "left").drop("h_sha")
+    done = rows.where("h_rep IS NOT NULL").withColumnRenamed("h_rep", "rep")
+    rest = rows.where("h_rep IS NULL").drop("h_rep").join(cold.select(F.col("sha").alias("r_sha"), "rep"), F.col("sha") == F.col("r_sha"), "left").drop("r_sha")
+    return done.unionByName(rest).withColumn("rep", F.coalesce("rep", "doc_id"))
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Per row doc_id, k (hash of the text), n_words, sha and rep (the smallest id with these words); and, per
     document of smallest id that loses words, c_id, c_k, n_gone, kept_sha and the kept text."""
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
     seen = _work.keep(spread(src).mapInArrow(_survey(window, phrase), "doc_id long, k long, n_words long, sha binary, anchors array<long>"), "survey")
-    reps = seen.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("rep")).withColumnRenamed("sha", "r_sha")
-    rows = _work.keep(seen.join(reps, seen["sha"] == reps["r_sha"], "left").withColumn("anchors", F.when(F.col("doc_id") == F.col("rep"), F.col("anchors"))).drop("r_sha"), "rows")
+    rows = _with_classes(seen)
+    rows = _work.keep(rows.withColumn("anchors", F.when(F.col("doc_id") == F.col("rep"), F.col("anchors"))), "rows")
     loose = rows.where("doc_id = rep").select("doc_id", "k", F.explode("anchors").alias("a"))
     common = loose.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("a").alias("c_a"))
     # kept, so that both sides of the join below are plain exchanges, which adaptive execution can split
     common = _work.keep(common, "common")
+    firsts = rows.where("doc_id = rep AND n_words > 0").select(F.col("doc_id").alias("f_id"), F.col("k").alias("f_k")).distinct()
     own = loose.join(common, loose["a"] == common["c_a"]).groupBy("doc_id", "k").agg(F.collect_set("a").alias("recurring")).select(F.col("doc_id").alias("o_id"), F.col("k").alias("o_k"), "recurring")
-    busy = src.join(own, (src["doc_id"] == own["o_id"]) & (src["k"] == own["o_k"])).select("doc_id", "k", "text", "recurring")
+    own = firsts.join(own, (firsts["f_id"] == own["o_id"]) & (firsts["f_k"] == own["o_k"]), "left").select("f_id", "f_k", "recurring")
+    busy = src.join(own, (src["doc_id"] == own["f_id"]) & (src["k"] == own["f_k"])).select("doc_id", "k", "text", "recurring")
     found = _work.keep(busy.mapInArrow(_locate(window, phrase, shard_chars), "doc_id long, k long, text string, pos array<int>, h1 array<long>, h2 array<int>"), "windows", compression="zstd")
     wins = found.select("doc_id", "k", F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select("doc_id", "k", "w.h1", "w.h2", "w.pos")
     least = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "lo")
