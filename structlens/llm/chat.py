@@ -1,6 +1,6 @@
 """Chat formatting from event logs.
 
-A log is partitioned by conversation and sorted by sequence; one streaming pass folds it into final messages and
+A log is dealt by conversation and sorted by sequence; one streaming pass folds it into final messages and
 renders them. Events:
 
 * ``message``  a new turn with role and text;
@@ -13,26 +13,30 @@ with any number of backslashes between them, one more backslash is put, so no te
 role, backslashes and line feeds are escaped first. Assistant texts are under the loss mask, given as
 code point spans of the formatted text.
 
-A conversation is written as rows of at most about ``chunk_chars`` characters, cut between turns,
-so neither writer nor reader ever holds more of a conversation than its log since
-the last event that may still change it; the fold of the log itself keeps one conversation's turns, since
-any later event may refer back to them. Logs of messages only are rendered as they come, and a long conversation is
-dealt to several tasks. Reading back streams a conversation's chunks in order, since a digest has to see them so.
+A log is dealt by ranges of (conversation, sequence), so a conversation of any length is folded by as many tasks as it
+needs: each folds its segment from nothing and says whether any event of it refers to a turn before the segment. A conversation in
+several segments of which one does is folded again, as a whole, in one task; that is the only case in which a task holds all
+turns of a conversation.
+
+A conversation is written as rows of at most about ``chunk_chars`` characters, cut between turns. Reading back streams a
+conversation's chunks in order, since a digest has to see them so.
 
 Defined results: a null text is empty, a null role is an empty role; events without a known type are messages; events
-with the same sequence are ordered by type, role, text and target; an edit or regeneration of a turn that isn't there
+with the same sequence are ordered by type, role, text and target (they are never dealt to different tasks); an edit or regeneration of a turn that isn't there
 changes nothing, and a delta without a turn opens one without a role; null conversation ids are one conversation;
-repeated rows are repeated turns; an empty table gives an empty result; other columns are ignored.
+repeated rows are repeated turns; a conversation without turns in the end has no rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _work
@@ -60,13 +64,16 @@ def unescape_role(role: str) -> str:
 
 
 class Fold:
-    """The turns of one conversation after the events so far."""
+    """The turns of one conversation after the events so far; ``open`` once one of them may refer to a turn before the first event."""
 
     def __init__(self):
         self.turns: list[list] = []
+        self.open = False
 
     def apply(self, kind: str | None, target: int | None, role: str | None, text: str | None) -> None:
         turns, at = self.turns, len(self.turns) - 1 if target is None else target
+        if kind in ("delta", "edit", "regenerate") and (target is not None and kind != "delta" or not turns):
+            self.open = True
         if kind == "delta":
             if not turns:
                 turns.append(["", []])
@@ -110,53 +117,64 @@ class Renderer:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "chunk", "formatted", "mask_starts", "mask_ends"])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "chunk", "formatted", "mask_starts", "mask_ends", "open"])
 
 
-def format_log(events: DataFrame, *, plain: bool = False, chunk_chars: int = 1 << 20, conv_col: str = "conv_id", seq_col: str = "seq", kind_col: str = "kind", target_col: str = "target", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Formatted chunks of every conversation of an event log; ``plain``: all events are messages, nothing is held back."""
-    log = events.select(
-        F.col(conv_col).cast("long").alias("conv_id"), F.col(seq_col).cast("long").alias("seq"),
-        F.lit(None).cast("string").alias("kind") if plain else F.col(kind_col).cast("string").alias("kind"),
-        F.lit(None).cast("int").alias("target") if plain else F.col(target_col).cast("int").alias("target"),
-        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
-    )
+def _folded(chunk_chars: int):
+    """Chunks of the conversations, or segments of them, in sorted events; the last chunk of each says whether it is open."""
 
     def work(batches):
-        held, none, first = [], object(), TaskContext.get().partitionId() << 32
-        conv, fold, out = none, Fold(), Renderer(chunk_chars, first)
+        held, conv, fold, first = [], None, None, TaskContext.get().partitionId() << 32
 
         def done():
+            out = Renderer(chunk_chars, first)
             for role, parts in fold.turns:
                 out.add(role, "".join(parts))
             out.cut()
-            held.extend((conv, *r) for r in out.rows)
+            held.extend((conv, *r, False) for r in out.rows)
+            if fold.open:
+                held.append((conv, out.chunk, "", [], [], True))
 
         for batch in batches:
-            for c, _, kind, target, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if conv is none or c != conv:
-                    if conv is not none:
+            columns = [batch.column(name).to_pylist() for name in ("conv_id", "kind", "target", "role", "text")]
+            for c, kind, target, role, text in zip(*columns, strict=True):
+                if fold is None or c != conv:
+                    if fold is not None:
                         done()
-                    conv, fold, out = c, Fold(), Renderer(chunk_chars, first)
-                if plain:
-                    out.add(role or "", text or "")
-                    if out.rows:
-                        held.extend((conv, *r) for r in out.rows)
-                        out.rows = []
-                else:
-                    fold.apply(kind, target, role, text)
+                    conv, fold = c, Fold()
+                fold.apply(kind, target, role, text)
                 if len(held) >= 512:
                     yield _batch(held)
                     held.clear()
-        if conv is not none:
+        if fold is not None:
             done()
         if held:
             yield _batch(held)
 
-    # messages alone may be cut anywhere: ranges of (conversation, sequence) split a hot conversation over tasks
-    dealt = log.repartitionByRange("conv_id", "seq", "role", "text") if plain else log.repartition("conv_id")
-    return dealt.sortWithinPartitions("conv_id", "seq", "kind", "role", "text", "target").mapInArrow(work, SCHEMA)
+    return work
+
+
+def format_log(events: DataFrame, *, chunk_chars: int = 1 << 20, conv_col: str = "conv_id", seq_cols: Sequence[str] = ("seq",), kind_col: str | None = "kind", target_col: str | None = "target", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Formatted chunks of every conversation of an event log, folded; without ``kind_col`` all events are messages."""
+    keys = [f"seq{i}" for i in range(len(seq_cols))]
+    log = events.select(
+        F.col(conv_col).cast("long").alias("conv_id"), *[F.col(c).cast("long").alias(k) for c, k in zip(seq_cols, keys, strict=True)],
+        (F.col(kind_col) if kind_col else F.lit(None)).cast("string").alias("kind"), (F.col(target_col) if target_col else F.lit(None)).cast("int").alias("target"),
+        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
+    )
+    order = ["conv_id", *keys, "kind", "role", "text", "target"]
+    fold = lambda dealt: dealt.sortWithinPartitions(*order).mapInArrow(_folded(chunk_chars), SCHEMA + ", open boolean")
+    # equal keys stay together, so events of one sequence are never torn apart
+    parts = _work.keep(fold(log.repartitionByRange("conv_id", *keys)), "segments")
+    key = F.struct("conv_id")  # a null conversation is one, too
+    torn = parts.groupBy(key.alias("t")).agg(F.max("open").alias("open"), F.min(F.shiftright("chunk", 32)).alias("lo"), F.max(F.shiftright("chunk", 32)).alias("hi")).where("open AND lo < hi").select("t")
+    torn = _work.keep(torn, "torn")
+    whole = parts.where("formatted <> ''").drop("open")
+    if torn.take(1):
+        again = log.join(torn, F.struct(log["conv_id"]) == torn["t"], "left_semi")
+        whole = whole.join(torn, F.struct(whole["conv_id"]) == torn["t"], "left_anti").unionByName(fold(again.repartition("conv_id")).where("formatted <> ''").drop("open"))
+    return whole
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
@@ -196,12 +214,37 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def event_log(talk: DataFrame) -> DataFrame:
+    """conv_id, turn, nth, step, kind, target, role, text: messages (conv_id, turn, role, text) as the events that they could come from.
+
+    By a hash of its place, a message is one event, or starts and is streamed in two deltas, or is edited after a draft, or is
+    generated again after a first attempt; folded, the log is the messages again. ``nth`` orders messages of one turn by role and text.
+    """
+    talk = talk.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = talk.repartitionByRange("conv_id", "turn").withColumn("nth", F.row_number().over(place)).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+
+    def event(step: int, kind: str, role: Column | None = None, text: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (none if role is None else role).alias("role"), (none if text is None else text).alias("text"))
+
+    role, text = F.col("role"), F.col("text")
+    head, tail = F.substring(text, F.lit(1), F.col("half")), F.substring(text, F.col("half") + 1, F.length(text))
+    streamed = F.array(event(0, "start", role), event(1, "delta", None, head), event(2, "delta", None, tail))
+    edited = F.array(event(0, "message", role, head), event(1, "edit", None, text))
+    again = F.array(event(0, "start", role), event(1, "delta", None, tail), event(2, "regenerate"), event(3, "start", role), event(4, "delta", None, text))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    events = F.when(way == 0, streamed).when(way == 1, edited).when(way == 2, again).otherwise(F.array(event(0, "message", role, text)))
+    return rows.select("conv_id", "turn", "nth", F.explode(events).alias("e")).select("conv_id", "turn", "nth", "e.step", "e.kind", F.lit(None).cast("int").alias("target"), "e.role", "e.text")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one with control strings in its texts, formatted, written and read back."""
+    """All conversations and one with control strings in its texts: as an event log, folded, formatted, written and read back."""
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], talk.schema)
-    chunks = _work.keep(format_log(talk.unionByName(extra), plain=True, seq_col="turn"), "chat")
+    log = _work.keep(event_log(talk.unionByName(extra)), "events")
+    chunks = _work.keep(format_log(log, seq_cols=("turn", "nth", "step")), "chat")
     return read_back(chunks)
 
 

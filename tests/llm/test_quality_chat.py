@@ -85,7 +85,7 @@ TEXT = st.text(st.sampled_from(list("<|\\>n\n a😀im_end")), max_size=25)
 @given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", "x\\n", "<|im_end|>", "<\\|"]), TEXT), min_size=1, max_size=5), min_size=3, max_size=8), st.sampled_from([1, 40, 1 << 20]))
 def test_round_trip(spark, talks, chunk):
     rows = [(c, i, r, t, 0, "") for c, turns in enumerate(talks) for i, (r, t) in enumerate(turns)]
-    chunks = chat.format_log(spark.createDataFrame(rows, TALK).repartition(3), plain=True, seq_col="turn", chunk_chars=chunk)
+    chunks = chat.format_log(spark.createDataFrame(rows, TALK).repartition(3), kind_col=None, target_col=None, seq_cols=("turn",), chunk_chars=chunk)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chunks).collect()}
     assert got == {c: _digest(turns) for c, turns in enumerate(talks)}
     controls = sum(r.formatted.count("<|im_start|>") for r in chunks.collect())
@@ -111,19 +111,72 @@ def test_events_fold(spark):
     assert got == {1: turn("user", "hi!") + turn("assistant", "B"), 2: turn("", "x"), None: turn("", "")}
 
 
+def _folded(rows):
+    """A plain restatement of the fold."""
+    out = {}
+    for conv, _, kind, target, role, text in rows:
+        turns = out.setdefault(conv, [])
+        at = len(turns) - 1 if target is None else target
+        if kind == "delta":
+            turns[-1:] = [(turns[-1][0] if turns else "", (turns[-1][1] if turns else "") + (text or ""))]
+        elif kind == "edit":
+            turns[at:] = [(turns[at][0], text or "")] if 0 <= at < len(turns) else turns[at:] if at >= 0 else turns
+        elif kind == "regenerate":
+            if 0 <= at < len(turns):
+                turns[at:] = []
+        else:
+            turns.append((role or "", text or ""))
+    return {c: _digest(t) for c, t in out.items() if t}
+
+
+def test_long_logs_with_and_without_events_that_reach_back(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for conv in range(4):
+        for seq in range(1500):
+            kind = rng.choice(["message", "start", "delta", "delta", "edit", "regenerate"] if conv % 2 else ["message", "start", "delta"])
+            target = rng.randrange(400) if conv == 3 and kind in ("edit", "regenerate") and rng.random() < 0.02 else None
+            rows.append((conv, seq, kind, target, rng.choice(["user", "assistant"]), f"t{seq}" if rng.random() < 0.9 else None))
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, target int, role string, text string").repartition(6)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_log(df)).collect()}
+    assert got == _folded(rows)
+
+
+def test_the_log_of_messages_folds_to_the_messages(spark):
+    talk = [(c, i // 2, ("user", "assistant")[i % 2], None if i == 7 else f"text {i % 5}" * (i % 3), "x", 1) for c in (1, 2, None) for i in range(40)] * 2
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string, kind string, step int").repartition(3)
+    log = chat.event_log(df)
+    kinds = {r.kind for r in log.select("kind").distinct().collect()}
+    assert kinds == {"message", "start", "delta", "edit", "regenerate"}
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_log(log, seq_cols=("turn", "nth", "step"))).collect()}
+    want = {}
+    for c, turn, role, text, *_ in sorted(talk, key=lambda r: (r[1], r[2], r[3] or "")):
+        want.setdefault(c, []).append((role, text or ""))
+    assert got == {c: _digest(t) for c, t in want.items()}
+
+
+def test_a_very_long_text(spark):
+    long = "<|x " * 700_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.format_log(chat.event_log(df), seq_cols=("turn", "nth", "step"))).first()
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == _digest([("user", "q"), ("assistant", long)])
+
+
 def test_ties_repeats_and_empty(spark):
     rows = [(1, 0, "user", "b", 0, ""), (1, 0, "user", "a", 0, ""), (1, 0, "assistant", None, 0, ""), (1, 0, "user", "a", 0, ""), (1, None, "user", "first", 0, "")]
-    chunks = chat.format_log(spark.createDataFrame(rows, TALK), plain=True, seq_col="turn")
+    chunks = chat.format_log(spark.createDataFrame(rows, TALK), kind_col=None, target_col=None, seq_cols=("turn",))
     r = chat.read_back(chunks).first()
     want = [("user", "first"), ("assistant", ""), ("user", "a"), ("user", "a"), ("user", "b")]
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == _digest(want)
-    assert chat.read_back(chat.format_log(spark.createDataFrame([], TALK), plain=True, seq_col="turn")).count() == 0
+    assert chat.read_back(chat.format_log(spark.createDataFrame([], TALK), kind_col=None, target_col=None, seq_cols=("turn",))).count() == 0
 
 
 @pytest.mark.parametrize("chunk", [1, 1 << 20])
 def test_a_long_conversation_spans_tasks(spark, chunk):
     turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(2000)]
     df = spark.createDataFrame([(7, i, r, t, 0, "") for i, (r, t) in enumerate(turns)], TALK).repartition(5)
-    chunks = chat.format_log(df, plain=True, seq_col="turn", chunk_chars=chunk)
+    chunks = chat.format_log(df, kind_col=None, target_col=None, seq_cols=("turn",), chunk_chars=chunk)
     r = chat.read_back(chunks).first()
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == _digest(turns)
