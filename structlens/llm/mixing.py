@@ -11,8 +11,8 @@ key deals a source into about sqrt(rows) buckets, sums run inside
 buckets, and one row a bucket carries the sums across.
 
 Defined results: null text has size 0; a null source is a source of its own, last
-in order; repeated rows are separate documents; ties in the order key are
-broken by id; an empty table gives an empty result; other columns are ignored by
+in order; repeated rows are separate documents; the order key is a hash of id and text, so rows that share it are
+the same document and may change places without a change in the result; an empty table gives an empty result; other columns are ignored by
 :func:`plan` and kept by :func:`mixed_documents`.
 """
 
@@ -88,6 +88,10 @@ def position(demand: Column, place: Column, schedules: Sequence[Sequence[tuple[f
     return out
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def _key(source: Column) -> Column:
     """A source as a text that is never null, so that joins and windows agree on one partitioning."""
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
@@ -104,15 +108,16 @@ def _with_sources(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def laid_out(rows: DataFrame, targets: DataFrame, *, most: int = 2, cut: str = "word") -> DataFrame:
     """Adds source_size, target, place, and ``uses``: the (offset, words) of each use of a document.
 
-    ``rows`` has doc_id, source and size. cut="word" ends a source at the very word where its target
+    ``rows`` has doc_id, source, size, digest (a hash of the text) and tie (what else tells rows apart). cut="word" ends a source at the very word where its target
     is met; cut="document" takes whole documents, the last one if at least half of it fits.
     """
     most_rows = targets.agg(F.max("n")).first()[0] or 1
     buckets = max(1, math.isqrt(most_rows))
-    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # with the text's hash, rows of one id, or without any, spread over all buckets
+    key = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest")))
     rows = _with_sources(rows.withColumn("k", key), targets)
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("k", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).cast("long"))
-    inside = W.partitionBy("sk", "bucket").orderBy("k", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("sk", "bucket").orderBy("k", "tie").rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("words"))
     across = W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("sk").alias("b_key"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(across), F.lit(0)).alias("ahead"))
@@ -126,23 +131,23 @@ def laid_out(rows: DataFrame, targets: DataFrame, *, most: int = 2, cut: str = "
         words = F.greatest(F.lit(0), F.least(left, F.col("size"))) if cut == "word" else F.when((left > 0) & (left * 2 >= F.col("size")), F.col("size")).otherwise(F.lit(0))
         uses.append(F.struct(offset.alias("offset"), words.cast("long").alias("words")))
     uses = F.filter(F.array(*uses), lambda u: u["words"] > 0)
-    return both.withColumn("uses", uses).drop("k", "bucket", "within", "ahead", "sk", "b_key", "b_bucket")
+    return both.withColumn("uses", uses).drop("k", "digest", "tie", "bucket", "within", "ahead", "sk", "b_key", "b_bucket")
 
 
 def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: int = 2, schedules=SCHEDULES, cut: str = "word") -> DataFrame:
     """doc_id, size, source_size, target, taken, n_uses, position (of the first use), in training order."""
-    sizes = _work.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
+    sizes = _work.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _digest(F.col(text_col)).alias("digest"), F.lit(0).cast("long").alias("tie")), "sizes")
     targets = _work.keep(source_targets(sizes, weights=weights, share=share, most=most), "targets")
     out = laid_out(sizes, targets, most=most, cut=cut)
     first = position(F.get("uses", F.lit(0))["offset"] / F.col("target"), F.col("place"), schedules)
     out = out.withColumn("taken", F.aggregate("uses", F.lit(0).cast("long"), lambda a, u: a + u["words"]))
     out = out.select("doc_id", "size", "source_size", "target", "taken", F.size("uses").cast("long").alias("n_uses"), F.floor(first * F.lit(1e6)).cast("long").alias("position"))
-    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id", "size", "taken")
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: int = 2, schedules=SCHEDULES) -> DataFrame:
     """The mix itself: one row with all columns of ``docs`` for each use of a whole document, in training order."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _digest(F.col(text_col)).alias("digest"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("tie"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     targets = _work.keep(source_targets(rows.select("source", "size"), weights=weights, share=share, most=most), "targets")
     out = laid_out(rows, targets, most=most, cut="document").select("row", "doc_id", "target", "place", F.explode("uses").alias("use"))
     at = position(F.col("use.offset") / F.col("target"), F.col("place"), schedules)
@@ -157,7 +162,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH sizes AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 stats AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 ranked AS (
@@ -175,7 +180,7 @@ targets AS (
   SELECT source, place, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM level) * weight, cap::DOUBLE)) AS target FROM filled),
 laid AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.place,
-    CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || s.doc_id), s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+    CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || s.digest) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 used AS (
   SELECT *, greatest(0, least(CAST(round(target) AS BIGINT) - ahead, size)) AS one,

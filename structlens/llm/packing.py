@@ -8,7 +8,8 @@ opened. No piece is dropped: a piece that fits nowhere opens a bin.
 
 Pieces are dealt by a hash of their document into shards of about ``shard_pieces``; a shard is packed in one task with
 narrow rows only. Conflicts are about members of one bin, and bins never span shards, so shards need not know of
-each other; a hot source is spread over all of them.
+each other; a hot source is spread over all of them. Where a piece goes depends on the rows alone and not on how they are split or ordered:
+rows with the same id, text, source and cluster are counted, and then numbered.
 
 Defined results: null and empty texts have no pieces; a null source or cluster conflicts with nothing; two pieces of one document
 are of one cluster; repeated rows are of one cluster; an empty table gives an empty result;
@@ -29,6 +30,8 @@ from ._blocks import runs, units
 from .mixing import size_of
 
 CAPACITY = 2048
+#: So many rows that are the same are numbered by one task.
+SAME_ROWS = 65_536
 
 
 class Bins:
@@ -117,20 +120,26 @@ def best_fit(docs: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = 4
     """shard, bin, doc_id, copy, start_word, n_words: where every piece of every document goes.
 
     ``cluster`` is the duplicate cluster of a row (default: a hash of the text, so copies never share a bin).
-    ``copy`` tells the rows of one id apart.
+    ``copy`` numbers rows that are the same.
     """
     own = F.xxhash64(F.col(text_col).cast("string")) if cluster is None else cluster
     source = F.xxhash64(source_col) if one_per_source else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(source_col).isNotNull(), source).alias("s"), own.alias("c"), size_of(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("copy"))
-    rows = _work.keep(rows.where("size > 0"), "packing")
-    per = F.lit(capacity).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(source_col).isNotNull(), source).alias("s"), own.alias("c"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), size_of(F.col(text_col)).alias("size"))
+    rows = rows.where("size > 0").groupBy("doc_id", "s", "c", "h", "size").agg(F.count(F.lit(1)).alias("same"))
+    rows = _work.keep(rows, "packing")
+    per, block = F.lit(capacity).cast("long"), F.lit(SAME_ROWS).cast("long")
+    n = rows.agg(F.sum(F.ceil(F.col("size") / per) * F.col("same"))).first()[0] or 0
+    shards = max(1, -(-n // shard_pieces))
+    # very many of the same are numbered in blocks, by as many tasks
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1, block)))
+    if n > SAME_ROWS:
+        rows = rows.repartition("doc_id", "h", "first")
+    rows = rows.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + block, F.col("same")) - 1)))
     pieces = rows.withColumn("start_word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, per)))
     pieces = pieces.withColumn("n_words", F.least(per, F.col("size") - F.col("start_word")))
-    n = rows.agg(F.sum(F.ceil(F.col("size") / per))).first()[0] or 0
-    shards = max(1, -(-n // shard_pieces))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "start_word"), F.lit(shards)).cast("int"))
-    pieces = pieces.select("shard", "n_words", "doc_id", "start_word", "copy", "s", "c")
-    dealt = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("n_words"), "doc_id", "start_word", "copy")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", "copy", "start_word"), F.lit(shards)).cast("int"))
+    pieces = pieces.select("shard", "n_words", "doc_id", "start_word", "copy", "h", "s", "c")
+    dealt = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("n_words"), "doc_id", "h", "s", "c", "start_word", "copy")
     return dealt.mapInArrow(_shards(capacity), "shard int, bin long, doc_id long, copy long, start_word long, n_words long")
 
 

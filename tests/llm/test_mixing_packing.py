@@ -57,6 +57,38 @@ def test_mixed_documents_are_whole(spark):
     assert all(min(abs(r.s - t) for t in p.values()) <= 60 for r in got)
 
 
+def _repeated_ids(spark):
+    """Rows of one id, or none, with different texts and sources, and some that are the same."""
+    rows = [(7 if i % 3 else None, " ".join(["w"] * (i % 23 + 1)), ["a", "b", None][i % 3 if i % 5 else 0], i % 4) for i in range(300)]
+    return rows + rows[:60] + [(1, "x y", "a", 0)] * 40
+
+
+def test_reruns_agree_whatever_the_order_of_the_rows(spark):
+    rows = _repeated_ids(spark)
+    plans, mixes, packs = set(), set(), set()
+    for n, own in ((1, rows), (5, rows[::-1]), (9, sorted(rows, key=lambda r: (r[3], len(r[1]))))):
+        df = spark.createDataFrame(own, SCHEMA).repartition(n) if n > 1 else spark.createDataFrame(own, SCHEMA).coalesce(1)
+        plans.add(str(sorted(map(str, mixing.plan(df).collect()))))
+        mixes.add(str(sorted(map(str, mixing.mixed_documents(df).collect()))))
+        packs.add(str(sorted(map(str, packing.best_fit(df, capacity=20, shard_pieces=64).collect()))))
+    assert len(plans) == len(mixes) == len(packs) == 1
+
+
+def test_mixed_awkward_documents_are_whole_rows(spark, awkward):
+    mix = [tuple(r) for r in mixing.mixed_documents(awkward).collect()]
+    own = [tuple(r) for r in awkward.collect()]
+    assert set(mix) <= set(own) and all(mix.count(r) <= 2 * own.count(r) for r in set(mix))
+    assert all(r[1] and r[1].split() for r in mix)
+
+
+def test_many_rows_that_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SAME_ROWS", 100)
+    docs = spark.createDataFrame([(1, "a b c", "s", 0)] * 1234 + [(2, "d", None, 0)] * 3, SCHEMA)
+    rows = packing.best_fit(docs, capacity=4, shard_pieces=50).collect()
+    assert sorted((r.doc_id, r["copy"]) for r in rows) == [(1, i) for i in range(1234)] + [(2, i) for i in range(3)]
+    assert len({(r.shard, r.bin) for r in rows if r.doc_id == 1}) == 1234
+
+
 def test_mixing_awkward_and_empty(spark, awkward, empty):
     assert mixing.plan(awkward).count() == awkward.count()
     assert mixing.plan(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
