@@ -95,6 +95,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def risk_step(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step goes down along, as derivatives by the outputs on positives and unlabelled texts.
+
+    Usually the whole risk, prior R+ + (Ru - prior R-); where the risk of the negatives, Ru - prior R-, is below zero, that risk
+    alone, upwards.
+    """
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    if np.mean(np.logaddexp(0, zu)) >= prior * np.mean(np.logaddexp(0, zp)):
+        return np.full(len(zp), -prior / len(zp)), su / len(zu)
+    return prior * sp / len(zp), -su / len(zu)
+
+
 def fit(pos: SparseRows, unl: SparseRows, size: int, prior: float, *, rounds: int = 300, rate: float = 0.05, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam on the full samples.
 
@@ -104,12 +116,7 @@ def fit(pos: SparseRows, unl: SparseRows, size: int, prior: float, *, rounds: in
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, total, n = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), 0
     for step in range(1, rounds + 1):
-        zp, zu = pos.dot(w) + b, unl.dot(w) + b
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        if np.mean(np.logaddexp(0, zu)) >= prior * np.mean(np.logaddexp(0, zp)):
-            rp, ru = np.full(pos.n, -prior / pos.n), su / unl.n
-        else:
-            rp, ru = prior * (2 * sp - 1) / pos.n, -su / unl.n
+        rp, ru = risk_step(pos.dot(w) + b, unl.dot(w) + b, prior)
         g = np.append(pos.transposed_dot(rp, size) + unl.transposed_dot(ru, size) + l2 * w, rp.sum() + ru.sum())
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g

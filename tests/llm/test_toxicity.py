@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from structlens.llm import toxicity
 
@@ -45,6 +46,24 @@ def test_labels_of_the_held_out_fold_are_never_read(spark):
     assert one.bias == two.bias and one.weights == two.weights
 
 
+@pytest.mark.parametrize("below", [False, True])
+def test_steps_follow_the_published_risk(below):
+    rng = np.random.default_rng(2)
+    zp, zu, prior = rng.normal(size=7) + (9 if below else 0), rng.normal(size=11) - (6 if below else 0), 0.3
+    loss = lambda z, y: np.mean(np.logaddexp(0, -y * z))
+    negative = lambda p, u: loss(u, -1) - prior * loss(p, -1)
+    assert (negative(zp, zu) < 0) == below
+    # the whole risk down, or the risk of the negatives up
+    target = (lambda p, u: -negative(p, u)) if below else (lambda p, u: prior * loss(p, 1) + negative(p, u))
+    rp, ru = toxicity.risk_step(zp, zu, prior)
+    for z, r, at in ((zp, rp, 0), (zu, ru, 1)):
+        for i in range(len(z)):
+            step = np.zeros(len(z))
+            step[i] = 1e-6
+            ends = [target(*((z + s, zu) if at == 0 else (zp, z + s))) for s in (step, -step)]
+            assert abs((ends[0] - ends[1]) / 2e-6 - r[i]) < 1e-6
+
+
 def test_risk_is_lower_after_fitting():
     rng = np.random.default_rng(0)
     pos = toxicity.SparseRows([np.array([0, 2 + rng.integers(5)]) for _ in range(60)])
