@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from awkward_data import awkward_rows
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers  # noqa: E402
@@ -93,8 +94,17 @@ def test_flat_files_of_awkward_rows(spark, awkward, tk, width):
     assert sorted(r.ordinal for r in got) == list(range(len(got)))
 
 
+def test_counts_are_given_to_their_documents(spark, awkward, tk):
+    out = _work.folder(spark, "f")
+    separator_scan.write_flat(awkward, PATH, out)
+    found = separator_scan.documents(separator_scan.flat_files(spark, out), block_tokens=50).withColumn("file", separator_scan.file_number(F.col("path")))
+    got = found.join(separator_scan.document_ids(spark, out), ["file", "nth"]).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == sorted((-1 if r[0] is None else r[0], len(_ids(tk, r[1]))) for r in awkward_rows())
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 20])
 @pytest.mark.parametrize("block", [1, 3, 1000])
-def test_scan_of_any_blocks(spark, tmp_path, block):
+def test_scan_of_any_blocks(spark, tmp_path, block, whole):
     rng = np.random.default_rng(block)
     want = []
     for k, n in enumerate([0, 1, 50, 200]):
@@ -106,7 +116,7 @@ def test_scan_of_any_blocks(spark, tmp_path, block):
             last = e
         if last + 1 < n:
             want.append((f"f{k}.bin", last + 1, n - last - 1, False))
-    got = separator_scan.documents(separator_scan.flat_files(spark, str(tmp_path)), block_tokens=block).collect()
+    got = separator_scan.documents(separator_scan.flat_files(spark, str(tmp_path)), block_tokens=block, whole_bytes=whole).collect()
     got = sorted((r.ordinal, r.path.rsplit("/", 1)[1], r.start, r.n_tokens, r.ended) for r in got)
     assert [g[1:] for g in got] == want and [g[0] for g in got] == list(range(len(want)))
 
