@@ -19,10 +19,12 @@ _MADE: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none (tests)."""
+    """The shared folder; a temporary one only on a local master whose session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="structlens-")
     return _FALLBACK["dir"]
