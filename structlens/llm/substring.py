@@ -7,7 +7,7 @@ anchors can recur. In steps, each linear in the words of the corpus:
 1. every text is hashed once; exact copies are classes with their smallest id, and only that member goes on;
 2. anchors that occur in two or more different texts are confirmed as recurring phrases (an aggregation
    with map-side minimum and maximum, so a phrase of millions of documents is one row a task);
-3. all documents that go on are dealt out by id; each shard of them (``shard_chars`` characters of texts and phrases at
+3. all of these documents that hold a window are dealt out by id; each shard of them (``shard_chars`` characters of texts and phrases at
    most) compiles the recurring phrases of its documents into one Aho-Corasick automaton, each read once from the first of them
    that has it, and streams all its documents through it, which locates every occurrence; windows whose
    anchor is at a located occurrence become candidates;
@@ -237,7 +237,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     common = loose.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("a").alias("c_a"))
     # kept, so that both sides of the join below are plain exchanges, which adaptive execution can split
     common = _work.keep(common, "common")
-    firsts = rows.where("doc_id = rep AND n_words > 0").select(F.col("doc_id").alias("f_id"), F.col("k").alias("f_k")).distinct()
+    firsts = rows.where(F.expr(f"doc_id = rep AND n_words >= {window}")).select(F.col("doc_id").alias("f_id"), F.col("k").alias("f_k")).distinct()
     own = loose.join(common, loose["a"] == common["c_a"]).groupBy("doc_id", "k").agg(F.collect_set("a").alias("recurring")).select(F.col("doc_id").alias("o_id"), F.col("k").alias("o_k"), "recurring")
     own = firsts.join(own, (firsts["f_id"] == own["o_id"]) & (firsts["f_k"] == own["o_k"]), "left").select("f_id", "f_k", "recurring")
     busy = src.join(own, (src["doc_id"] == own["f_id"]) & (src["k"] == own["f_k"])).select("doc_id", "k", "text", "recurring")
