@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import stars, states, texts
+from .plans import code, stars, states, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**texts.Q, **stars.Q, **states.Q}
+    return {**texts.Q, **stars.Q, **states.Q, **code.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**texts.O, **stars.O, **states.O}
+    return {**texts.O, **stars.O, **states.O, **code.O}

@@ -1,18 +1,24 @@
 """Symbols from source text by line patterns and block ends.
 
-There is no grammar: a pattern set per language finds declarations on single lines; a block ends where the bracket
-depth returns (brace languages), where the indentation does (Python), or at the next line of the same indentation that
-starts with ``end`` (Ruby, Lua, Elixir). Strings and comments that hold brackets or declarations can mislead it.
+There is no grammar: strings and comments are masked, and a pattern set per language finds declarations on single lines. A block
+ends where the bracket depth returns (brace languages), where the indentation does, whatever its width (Python), or at the next line
+of the same indentation that starts with ``end`` (Ruby, Lua, Elixir). Ends, comments, signatures and enclosing blocks come
+from one pass over the lines of each file.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from .outline import bracket_depths
+from .ordered import first_at_most, group_starts, in_file_order, whole_groups
 
 _ID = r"([\p{L}_][\p{L}\p{N}_]*)"
 _MOD = r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|export|default|open|sealed|partial|unsafe|const|inline|extern)\s+)*"
@@ -32,7 +38,8 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
     "go": [("Function", r"^func\s+" + _ID), ("Type", r"^type\s+" + _ID), ("Import", r"^(import\s+.*)$")],
     "java": [
         ("Class", _MOD + r"class\s+" + _ID), ("Trait", _MOD + r"interface\s+" + _ID), ("Enum", _MOD + r"enum\s+" + _ID), ("Import", r"^\s*(import\s+[^;]+;)"),
-        ("Function", _MOD + r"(?:[\w<>\[\], ?.]+\s+)?" + _ID + r"\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?\{"),
+        ("Function", _MOD + r"(?!(?:return|new|throw|else|if|while|for|switch|catch|do|try|synchronized)\b)(?:[\w<>\[\], ?.]+\s+)?" + _ID + r"\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?\{"),
+        ("Function", _MOD + r"(?!(?:return|new|throw|else|if|while|for|switch|catch|do|try|synchronized)\b)[\w<>\[\], ?.]+\s+" + _ID + r"\s*\([^;(]*\)\s*(?:throws\s+[\w., ]+)?;"),
         ("Variable", _MOD + r"[\w<>\[\].]+\s+" + _ID + r"\s*(?:=[^;]*)?;"),
     ],
     "c": [("Struct", r"^\s*(?:typedef\s+)?struct\s+" + _ID + r"\s*\{"), ("Enum", r"^\s*(?:typedef\s+)?enum\s+" + _ID + r"\s*\{"), ("Function", r"^\s*#define\s+" + _ID + r"\("), ("Type", r"^\s*typedef\s+[^{}]*?" + _ID + r"\s*;"), ("Function", r"^(?!\s*(?:return|else|if|while|for|switch)\b)[\w*\s]+?[\s*]" + _ID + r"\s*\([^;{]*\)\s*[;{]?\s*$")],
@@ -52,98 +59,263 @@ PATTERNS["typescript"] = PATTERNS["javascript"]
 GENERIC = [("Class", r"^\s{0,4}(?:\w+\s+)*?(?:class|struct|interface|trait|enum|type|module|object)\s+" + _ID), ("Function", r"^\s{0,4}(?:\w+\s+)*?(?:fn|func|function|fun|def|defn|let rec)\s+" + _ID), ("Import", r"^((?:import|use|require|open|include)\s+.*)$")]
 _INDENTED = ("python", "haskell", "yaml")
 _ENDED = ("ruby", "lua", "elixir", "julia")
+#: Languages with "#" comments, with "--" comments, and those in which a single quote isn't the start of a string.
+_HASH = ("python", "ruby", "bash", "elixir", "julia", "yaml", "terraform", "nix")
+_DASH = ("lua", "haskell")
+_QUOTED, _SINGLE, _BACK = r"\"(?:\\.|[^\"\\])*\"", r"'(?:\\.|[^'\\])*'", r"`(?:\\.|[^`\\])*`"
+_TRIPLE = r"\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|(\"\"\"|''')"
+_LETTER = r"'(?:\\[^']+|[^'\\])'"
+_MIDDLE = r"^(?:else|elsif|elseif|rescue|ensure|catch|after|when)\b"
 
 
-def declarations(lines: DataFrame) -> DataFrame:
-    """Lines (file_path, language, line_no, text) that declare something, with kind, name and column_start.
+def masked(lines: DataFrame) -> DataFrame:
+    """Adds code, the text without strings and comments, and inside, whether the line begins within a longer one of these."""
+    lang, line = F.coalesce(F.col("language"), F.lit("")), F.col("text")
+    w = W.partitionBy("file_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
 
-    One generated CASE per language: every line is matched against its own language's patterns only.
-    """
+    def without(c: Column) -> Column:
+        """Closed strings and comments gone; a mark that opens a longer one stays."""
+        slashes = lambda quotes: F.regexp_replace(c, f"{_QUOTED}|{quotes}|{_BACK}|//.*|/\\*.*?\\*/", "")
+        return (
+            F.when(lang == "python", F.regexp_replace(c, f"{_TRIPLE}|{_QUOTED}|{_SINGLE}|#.*", "$1"))
+            .when(lang.isin(*_HASH), F.regexp_replace(c, f"{_QUOTED}|{_SINGLE}|#.*", ""))
+            .when(lang.isin(*_DASH), F.regexp_replace(c, f"{_QUOTED}|{_SINGLE}|--.*", ""))
+            .when(lang == "rust", F.regexp_replace(c, f"r#+\".*?\"#+|{_QUOTED}|{_LETTER}|//.*|/\\*.*?\\*/", ""))
+            .otherwise(slashes(_SINGLE))
+        )
+
+    rest = without(line)
+    slashed = ~lang.isin(*_HASH, *_DASH)
+    # what a line leaves open: a block comment until the next end of one, a long string until the next mark
+    left = F.when(slashed, F.when(rest.contains("/*"), 1).when(line.contains("*/"), 0))
+    marks = F.when(lang == "python", F.regexp_count(rest, F.lit("\"\"\"|'''"))).otherwise(0)
+    rows = lines.withColumns({"rest": rest, "left": left, "marks": marks})
+    inside = F.when(lang == "python", F.coalesce(F.sum("marks").over(w), F.lit(0)) % 2 == 1).otherwise(F.coalesce(F.last("left", ignorenulls=True).over(w), F.lit(0)) == 1)
+    rows = rows.withColumn("inside", inside)
+    ended = F.when(slashed, F.regexp_extract(line, r"\*/(.*)$", 1)).otherwise(F.regexp_extract(line, "(?:\"\"\"|''')(.*)$", 1))
+    open_ = F.when(slashed, F.substring_index("rest", "/*", 1)).when(lang == "python", F.regexp_replace("rest", "(?:\"\"\"|''').*$", "")).otherwise(F.col("rest"))
+    return rows.withColumn("code", F.when(F.col("inside"), without(ended)).otherwise(open_)).drop("rest", "left", "marks")
+
+
+def _shaped(lines: DataFrame) -> DataFrame:
+    """Lines with code, inside, depth_in and depth_out (brackets outside of strings and comments), lead, solid, middle, ender, opens."""
+    rows = masked(lines)
+    rows = rows.withColumns({"code": text.trim(F.col("code")), "step": text.chars_of(F.col("code"), "{[(") - text.chars_of(F.col("code"), "}])")})
+    run = W.partitionBy("file_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum("step").over(run))
+    rows = rows.withColumn("depth_out", (F.col("s") - F.least(F.lit(0), F.min("s").over(run))).cast("int"))
+    rows = rows.withColumn("depth_in", F.lag("depth_out", 1, 0).over(W.partitionBy("file_path").orderBy("line_no")))
+    white = F.regexp_extract("text", r"^(\s*)", 1)
+    return rows.withColumns(
+        {
+            "lead": F.length(white) + text.chars_of(white, "\t") * 7, "solid": F.col("code") != "",
+            "middle": F.col("code").rlike(_MIDDLE), "ender": F.col("code").rlike(r"^end\b"), "opens": F.col("code").startswith("{"),
+        }
+    ).drop("step", "s")
+
+
+def _ends(language: str | None, rows: dict[str, np.ndarray]) -> list[int]:
+    """The last line of each line of a file, taken as the head of a block."""
+    n = len(rows["lead"])
+    solid, lead = rows["solid"].tolist(), rows["lead"].tolist()
+    before = np.maximum.accumulate(np.where(rows["solid"], np.arange(n), -1)).tolist()  # the last solid line up to each
+    out = list(range(n))
+    if language in _INDENTED or language in _ENDED:
+        # a line within brackets goes on with the one before
+        able = (rows["solid"] & (rows["depth_in"] == 0) & ~(rows["middle"] if language in _ENDED else False)).tolist()
+        stop = first_at_most(lead, lead, candidate=able)
+        ender = rows["ender"].tolist()
+        for i, j in enumerate(stop):
+            if language in _INDENTED:
+                out[i] = max(i, before[(j if j >= 0 else n) - 1])
+            elif j < 0:
+                out[i] = max(i, before[n - 1])
+            elif ender[j] and lead[j] == lead[i]:
+                out[i] = j
+        return out
+    into, left, opens = rows["depth_in"].tolist(), rows["depth_out"].tolist(), rows["opens"].tolist()
+    shut = first_at_most(left, into, own=True)
+    shut = [n - 1 if j < 0 else j for j in shut]
+    following = n
+    for i in range(n - 1, -1, -1):
+        # a body that opens on the next line
+        nearby = following < n and opens[following] and left[i] == into[i]
+        out[i] = shut[following] if nearby else shut[i]
+        if solid[i]:
+            following = i
+    return out
+
+
+_PASSED = ("lead", "solid", "depth_in", "depth_out", "middle", "ender", "opens")
+
+
+def _files(batches):
+    """(table of one file, its language, its shape) for each file."""
+    for table in whole_groups(batches):
+        starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
+        arrays = {c: table.column(c).to_numpy() for c in _PASSED}
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            own = table.slice(a, b - a)
+            yield own, own.column("language")[0].as_py(), {c: v[a:b] for c, v in arrays.items()}
+
+
+def block_ends(lines: DataFrame) -> DataFrame:
+    """Adds line_end to every line, taken as the head of a block."""
+    wide = in_file_order(_shaped(lines), "line_no")
+    names = lines.columns
+
+    def work(batches):
+        for own, language, rows in _files(batches):
+            first = own.column("line_no")[0].as_py()
+            ends = pa.array(np.asarray(_ends(language, rows)) + first, pa.int32())
+            yield from own.select(names).append_column("line_end", ends).to_batches()
+
+    return wide.mapInArrow(work, T.StructType([*lines.schema.fields, T.StructField("line_end", T.IntegerType())]))
+
+
+def _declared(c: Column) -> tuple[Column, Column]:
+    """Kind and name of what a line declares: one generated CASE per language, so that a line meets its own language's patterns only."""
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for lang, rules in [*PATTERNS.items(), (None, GENERIC)]:
         k, n = F.lit(None).cast("string"), F.lit(None).cast("string")
         for what, pattern in reversed(rules):
-            hit = F.col("text").rlike(pattern)
-            k, n = F.when(hit, what).otherwise(k), F.when(hit, F.regexp_extract("text", pattern, 1)).otherwise(n)
+            hit = c.rlike(pattern)
+            k, n = F.when(hit, what).otherwise(k), F.when(hit, F.regexp_extract(c, pattern, 1)).otherwise(n)
         own = F.col("language") == lang if lang else ~F.coalesce(F.col("language"), F.lit("")).isin(*PATTERNS)
         kind, name = F.when(own, k).otherwise(kind), F.when(own, n).otherwise(name)
+    return kind, name
+
+
+def declarations(lines: DataFrame) -> DataFrame:
+    """Lines (file_path, language, line_no, text) that declare something, with kind, name and column_start."""
+    kind, name = _declared(F.col("text"))
     out = lines.withColumn("kind", kind).withColumn("name", name).where("kind IS NOT NULL AND name <> ''")
     cut = F.when(F.col("kind") == "Import", F.decode(F.substring(F.encode("name", "UTF-8"), 1, 200), "UTF-8")).otherwise(F.col("name"))
     return out.withColumn("name", cut).withColumn("column_start", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
 
 
-def _first_within(rows: DataFrame, heads: Column, limit: Column, enders: Column, level: Column, name: str) -> DataFrame:
-    """Adds ``name``: for the lines ``heads`` the first later line of ``enders`` whose ``level`` is at most ``limit``, by a join of the two."""
-    a = rows.where(heads).select(F.col("file_path").alias("a_path"), F.col("line_no").alias("a"), limit.alias("a_limit"))
-    b = rows.where(enders).select(F.col("file_path").alias("b_path"), F.col("line_no").alias("b"), level.alias("b_level"))
-    met = a.join(b, (F.col("a_path") == F.col("b_path")) & (F.col("b") > F.col("a")) & (F.col("b_level") <= F.col("a_limit"))).groupBy("a_path", "a").agg(F.min("b").alias(name))
-    return rows.join(met, (rows["file_path"] == met["a_path"]) & (rows["line_no"] == met["a"]), "left").drop("a_path", "a")
+_STRING = re.compile(r"[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')")
 
 
-def block_ends(lines: DataFrame) -> DataFrame:
-    """Adds line_end to every line, taken as the head of a block."""
-    rows = bracket_depths(lines).withColumn("lead", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
-    w = W.partitionBy("file_path")
-    blank = F.col("t") == ""
-    rows = rows.withColumn("last", F.max("line_no").over(w)).withColumn("step", F.ceil(F.col("lead") / 4).cast("int"))
-    # levels beyond the windows below, by joins among their lines
-    rows = _first_within(rows, (F.col("depth_out") > F.col("depth_in")) & (F.col("depth_in") > 23), F.col("depth_in"), F.col("depth_out") > 23, F.col("depth_out"), "deep_shut")
-    rows = _first_within(rows, F.col("step") > 15, 4 * F.col("step"), ~blank & (F.col("lead") > 60), F.col("lead"), "deep_lead")
-    # where does the depth come back to what it was before the line: the first later line of depth_out <= depth_in
-    deep = F.least(F.col("depth_out"), F.lit(31))
-    after = w.orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
-    shut = F.array(*[F.last(F.when(F.col("depth_out") <= d, F.col("line_no")), ignorenulls=True).over(after) for d in range(24)])
-    rows = rows.withColumn("shut", F.when(F.col("depth_out") > F.col("depth_in"), F.least(F.get(shut, F.least(F.col("depth_in"), F.lit(23))), "deep_shut")).otherwise(F.col("line_no")))
-    # a body that opens on the next line
-    nxt = w.orderBy("line_no")
-    rows = rows.withColumn("opens_next", F.lead("t").over(nxt).startswith("{")).withColumn("next_shut", F.lead("shut").over(nxt)).withColumn("deep", deep)
-    braces = F.when(F.col("opens_next") & (F.col("depth_out") == F.col("depth_in")), F.col("next_shut")).otherwise(F.col("shut"))
-    # the last line before one that is not blank and not deeper indented
-    leads = F.array(*[F.last(F.when(~blank & (F.col("lead") <= 4 * d), F.col("line_no")), ignorenulls=True).over(after) for d in range(16)])
-    out = F.least(F.get(leads, F.least(F.col("step"), F.lit(15))), "deep_lead")
-    rows = rows.withColumn("dedent", F.coalesce(out - 1, F.col("last")))
-    ended = F.coalesce(out, F.col("last"))
-    end = F.when(F.col("language").isin(*_INDENTED), F.col("dedent")).when(F.col("language").isin(*_ENDED), ended).otherwise(F.coalesce(braces, F.col("last")))
-    # trailing blank lines don't belong to an indented block
-    filled = F.last(F.when(~blank, F.col("line_no")), ignorenulls=True).over(nxt.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("line_end", F.greatest(end, F.col("line_no"))).withColumn("filled", filled)
-    fill = rows.select(F.col("file_path").alias("f_path"), F.col("line_no").alias("f_line"), F.col("filled").alias("f_end"))
-    rows = rows.join(fill, (rows["file_path"] == fill["f_path"]) & (rows["line_end"] == fill["f_line"]), "left")
-    return rows.withColumn("line_end", F.greatest(F.coalesce("f_end", "line_end"), F.col("line_no"))).drop("f_path", "f_line", "f_end", "filled", "shut", "dedent", "next_shut", "opens_next", "deep", "step", "deep_shut", "deep_lead")
+def _comment_above(i: int, texts: list[str], code: list[str], inside: list[bool], language: str | None) -> str | None:
+    """The comment lines above a line; attributes and blank lines in between are skipped."""
+    found = []
+    for k in range(i - 1, -1, -1):
+        t = texts[k].strip()
+        if not code[k]:
+            if t and (language != "python" or t.startswith("#")):
+                found.append(texts[k].rstrip() if inside[k] else t)
+            elif t:
+                break
+        elif not code[k].startswith(("#[", "@")):
+            break
+    return "\n".join(reversed(found)) or None
 
 
-def doc_comments(lines: DataFrame) -> DataFrame:
-    """file_path, doc_for, doc: the comment lines directly above a line (attributes in between are skipped)."""
-    t = text.trim(F.col("text"))
-    mark = t.startswith("//") | t.startswith("/*") | t.startswith("*") | (t.startswith("#") & ~t.startswith("#["))
-    attribute = t.startswith("#[") | t.startswith("@")
-    w = W.partitionBy("file_path").orderBy("line_no")
-    rows = lines.select("file_path", "line_no", t.alias("t"), mark.alias("mark"), (mark | attribute).alias("above"))
-    rows = rows.withColumn("stop", F.max(F.when(~F.col("above"), F.col("line_no"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    block = rows.where("above").groupBy("file_path", "stop").agg(F.array_sort(F.collect_list(F.when(F.col("mark"), F.struct("line_no", "t")))).alias("parts"), F.max("line_no").alias("until"))
-    return block.select("file_path", (F.col("until") + 1).alias("doc_for"), F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("doc")).where("doc <> ''")
+def _docstring(head: int, end: int, texts: list[str]) -> str | None:
+    """The string that a body begins with, with its quotes; ``head`` is the last line of the header."""
+    at = next((k for k in range(head + 1, end + 1) if texts[k].strip()), None)
+    if at is None:
+        return None
+    first = texts[at].strip()
+    mark = _STRING.match(first)
+    if not mark:
+        return None
+    quote, rest = mark[1], first[mark.end() :]
+    if len(quote) == 1:
+        whole = re.match(r"(?:\\.|[^\\])*?" + quote, rest)
+        return first[: mark.end() + whole.end()] if whole else None
+    out = [first[: mark.end()]]
+    for k in range(at, end + 1):
+        part = rest if k == at else texts[k]
+        if quote in part:
+            return "\n".join([*out[:-1], out[-1] + part[: part.index(quote) + 3]]) if k == at else "\n".join([*out, part[: part.index(quote) + 3]])
+        out = [out[0] + part] if k == at else [*out, part]
+    return None
+
+
+_HEAD = T.StructType(
+    [
+        T.StructField("file_path", T.StringType()), T.StructField("language", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType()),
+        T.StructField("column_start", T.IntegerType()), T.StructField("column_end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()),
+        T.StructField("signature", T.StringType()), T.StructField("doc_comment", T.StringType()), T.StructField("scope_path", T.ArrayType(T.StringType())), T.StructField("parent_line", T.IntegerType()),
+    ]
+)
+_ARROW = pa.schema(
+    [
+        ("file_path", pa.string()), ("language", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()), ("kind", pa.string()), ("name", pa.string()),
+        ("signature", pa.string()), ("doc_comment", pa.string()), ("scope_path", pa.list_(pa.string())), ("parent_line", pa.int32()),
+    ]
+)
+_FLAT = ("Import", "Constant", "Variable")
+_IMPL = re.compile(r"\s*(?:unsafe\s+)?impl\b")
+
+
+def _heads(language: str | None, rows: dict[str, np.ndarray], kinds: list, names: list, texts: list[str], code: list[str], inside: list[bool]):
+    """The symbols of one file as rows without path and language; lines from 0."""
+    ends, into = _ends(language, rows), rows["depth_in"].tolist()
+    closed = first_at_most(rows["depth_out"].tolist(), into, own=True)
+    around: list[tuple[int, int, str, bool]] = []  # the blocks that a line is in: first and last line, name, is it an impl
+    for i, kind in enumerate(kinds):
+        if kind is None or not names[i] or not code[i] or inside[i]:
+            continue
+        end = (closed[i] if closed[i] >= 0 else i) if kind in _FLAT or code[i].endswith(";") else ends[i]
+        while around and around[-1][1] < i:
+            around.pop()
+        body, name = "\n".join(texts[i : end + 1]) if kind == "Import" else None, names[i]
+        if body is not None:
+            name = body.strip().encode("utf-8", "surrogatepass")[:200].decode("utf-8", "ignore")
+        opening = next((k for k in range(i, end + 1) if "{" in texts[k]), None)
+        if language == "rust" and kind == "Function" and opening is None:
+            continue  # a signature without a body
+        if language == "python" or opening is None:
+            signature = texts[i].strip()
+        else:
+            signature = "\n".join([*texts[i:opening], texts[opening][: texts[opening].index("{")]]).strip()
+        doc = _comment_above(i, texts, code, inside, language)
+        if doc is None and language == "python" and kind in ("Function", "Class"):
+            doc = _docstring(closed[i] if closed[i] >= 0 else i, end, texts)
+        lead = len(texts[i]) - len(texts[i].lstrip())
+        last = len(texts[end].rstrip().encode("utf-8", "surrogatepass"))
+        generic, scope = language not in PATTERNS, []
+        if generic and around:
+            if len(around) > 1:
+                continue  # only what is at the top and one level below
+            scope = [around[-1][2]]
+        yield i, end, lead, last, kind, name, signature or None, doc, scope, None
+        if language == "rust" and kind == "Function" and around and around[-1][3]:
+            yield i, end, lead, last, "Method", name, signature or None, doc, [around[-1][2]], around[-1][0]
+        if kind not in _FLAT and end > i:
+            around.append((i, end, name, language == "rust" and bool(_IMPL.match(texts[i]))))
 
 
 def extract_symbols(lines: DataFrame) -> DataFrame:
     """All symbols of lines (file_path, language, line_no, text), in the canonical schema.
 
     Functions inside a Rust ``impl`` block come twice: as functions and as methods of the type, as in the
-    data model that this follows; members of other types are functions with an empty scope.
+    data model that this follows; members of other types are functions with an empty scope. In a language without patterns of its own, a
+    symbol within another has that one as scope, and there is nothing below these.
     """
-    ends = block_ends(lines).select("file_path", "line_no", "line_end")
-    found = declarations(lines).join(ends, ["file_path", "line_no"])
-    found = found.withColumn("line_end", F.when(F.col("kind").isin("Import", "Constant", "Variable"), F.col("line_no")).otherwise(F.col("line_end")))
-    docs = doc_comments(lines).withColumnRenamed("doc_for", "line_no")
-    found = found.join(docs, ["file_path", "line_no"], "left")
-    signature = F.when(F.col("language") == "python", text.trim(F.col("text"))).otherwise(text.trim(F.substring_index("text", "{", 1)))
-    empty = F.array().cast("array<string>")
-    base = found.select("file_path", "language", F.col("line_no").alias("line_start"), "line_end", "column_start", F.length("text").alias("column_end"), "kind", "name", signature.alias("signature"), F.col("doc").alias("doc_comment"), empty.alias("scope_path"), F.col("text").rlike(r"^\s*(?:unsafe\s+)?impl\b").alias("block"))
-    inner = base.where((F.col("language") == "rust") & (F.col("kind") == "Function")).alias("m")
-    outer = base.where((F.col("language") == "rust") & F.col("block")).alias("o")
-    inside = (F.col("m.file_path") == F.col("o.file_path")) & (F.col("m.line_start") > F.col("o.line_start")) & (F.col("m.line_end") <= F.col("o.line_end"))
-    methods = inner.join(outer, inside).select(*[F.lit("Method").alias("kind") if c == "kind" else F.array("o.name").alias(c) if c == "scope_path" else F.col(f"m.{c}") for c in base.columns], F.col("o.line_start").alias("parent_line"))
-    rows = base.withColumn("parent_line", F.lit(None).cast("int")).unionByName(methods)
-    return number(rows.drop("block"))
+    kind, name = _declared(F.col("text"))
+    wide = in_file_order(_shaped(lines.select("file_path", "language", "line_no", "text")).withColumn("kind", kind).withColumn("name", name), "line_no")
+
+    def work(batches):
+        for own, language, rows in _files(batches):
+            kinds = own.column("kind")
+            if kinds.null_count == len(kinds):
+                continue
+            columns = [own.column(c).to_pylist() for c in ("name", "text", "code", "inside")]
+            first, path = own.column("line_no")[0].as_py(), own.column("file_path")[0].as_py()
+            found = [(path, language, i + first, end + first, *rest, parent if parent is None else parent + first) for i, end, *rest, parent in _heads(language, rows, kinds.to_pylist(), *columns)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    return number(wide.mapInArrow(work, _HEAD))
+
+
+def doc_comments(lines: DataFrame) -> DataFrame:
+    """file_path, line_no, doc: the comment (or Python docstring) of every line that declares something."""
+    return extract_symbols(lines).where("doc_comment IS NOT NULL AND depth = 0").select("file_path", F.col("line_start").alias("line_no"), F.col("doc_comment").alias("doc")).distinct()
 
 
 def number(rows: DataFrame) -> DataFrame:
