@@ -197,9 +197,11 @@ def utf16_offset(line: Column, column: Column) -> Column:
 
 
 def identifier_at(line: Column, column: Column) -> Column:
-    """The identifier around a byte column; null outside of one or of the line."""
+    """The identifier around a byte column; null outside of one or of the line, or if the column is within a character."""
     whole = F.encode(line, "UTF-8")
-    before = F.decode(F.substring(whole, F.lit(1), column), "UTF-8")
+    at = F.hex(F.substring(whole, column + 1, F.lit(1)))
+    # a byte that goes on with a character begins with the bits 10
+    before = F.when((at != "") & ~at.between("80", "BF"), F.decode(F.substring(whole, F.lit(1), column), "UTF-8"))
     after = F.substring(line, F.length(before) + 1, F.length(line))
     ok = (column < F.octet_length(line)) & after.rlike(r"^[\p{IsAlphabetic}\p{N}_]")
     return F.when(ok, F.concat(F.regexp_extract(before, r"([\p{IsAlphabetic}\p{N}_]*)$", 1), F.regexp_extract(after, r"^([\p{IsAlphabetic}\p{N}_]+)", 1)))

@@ -33,7 +33,7 @@ def servers(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
 def plugin_for(files: DataFrame, plugins: DataFrame) -> DataFrame:
     """Adds plugin to files with ext: of the plugins (plugin, place, extensions) that know it, the first registered."""
     known = plugins.select("plugin", "place", F.explode("extensions").alias("p_ext")).groupBy("p_ext").agg(F.min_by("plugin", "place").alias("plugin"))
-    return files.join(F.broadcast(known), files["ext"] == known["p_ext"], "left").drop("p_ext")
+    return files.join(known, files["ext"] == known["p_ext"], "left").drop("p_ext")
 
 
 def language_status(spark: SparkSession, servers: DataFrame, installed: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,32 +56,37 @@ def skeletonize(nodes: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, *, most_steps: int | None = None) -> DataFrame:
     """seed, node, distance: everything that depends on a seed over edges (source depends on target), by a frontier search.
 
-    Each step joins the frontier with the edges, drops what was visited and is written to the shared folder, so
-    lineage stays short and a lost executor costs one step. The search ends when nothing new is found; with ``most_steps`` it raises if there is more beyond them.
+    Each step joins the frontier with the edges, drops what earlier steps found and appends its own part to the shared folder, so
+    lineage stays short, nothing is written twice and a lost executor costs one step. The search ends when nothing new is found; with
+    ``most_steps`` it raises if there is more beyond them.
     """
     spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
-    back = edges.select(F.col("target").alias("at"), F.col("source").alias("next")).distinct()
+    path = f"{shared_folder(spark)}/structlens/reach-{uuid.uuid4().hex}"
+    back = edges.select(F.col("target").alias("at"), F.col("source").alias("next")).distinct().persist(StorageLevel.DISK_ONLY)
 
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/structlens/reach-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    def part(df: DataFrame, step: int) -> DataFrame:
+        df.write.parquet(f"{path}/part={step}")
+        return spark.read.schema(df.schema).parquet(f"{path}/part={step}")
 
-    visited = keep(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct())
-    frontier = visited
+    frontier = part(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct(), 0)
+    schema = frontier.schema
     for step in itertools.count(1):
+        visited = spark.read.schema(schema).parquet(*[f"{path}/part={i}" for i in range(step)])
         found = frontier.join(back, frontier["node"] == back["at"]).select("seed", F.col("next").alias("node")).distinct()
-        new = keep(found.join(visited, ["seed", "node"], "left_anti").withColumn("distance", F.lit(step)))
-        if not new.take(1):
+        frontier = part(found.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(step)), step)
+        if not frontier.take(1):
             break
         if most_steps is not None and step > most_steps:
             raise RuntimeError(f"nodes more than {most_steps} steps away")
-        visited, frontier = keep(visited.unionByName(new)), new
+    back.unpersist()
     return visited
 
 
-def _local_base() -> str:
-    import tempfile
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only on a local master that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return "file://" + tempfile.mkdtemp(prefix="structlens-")

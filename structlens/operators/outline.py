@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-
-#: Depths whose region ends come from one window; deeper regions use a join among themselves and their enders.
-WINDOW_DEPTHS = 12
-
+from .ordered import first_at_most, group_starts, in_file_order, whole_groups
 
 def bracket_depths(lines: DataFrame) -> DataFrame:
     """Adds opens, closes, depth_in and depth_out: the running bracket depth, which never goes below zero.
@@ -41,16 +41,21 @@ def structural_lines(lines: DataFrame) -> DataFrame:
 
 
 def region_ends(regions: DataFrame) -> DataFrame:
-    """Adds line_end to (file_path, line_no, depth, last_line): the line before the next region that is not deeper."""
-    after = W.partitionBy("file_path").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
-    nexts = F.array(*[F.last(F.when(F.col("depth") == d, F.col("line_no")), ignorenulls=True).over(after) for d in range(WINDOW_DEPTHS)])
-    out = regions.withColumn("nexts", nexts).withColumn("stop", F.array_min(F.slice("nexts", 1, F.least(F.col("depth") + 1, F.lit(WINDOW_DEPTHS))))).drop("nexts")
-    deep = out.where(F.col("depth") >= WINDOW_DEPTHS).select("file_path", F.col("line_no").alias("a"), F.col("depth").alias("a_depth"))
-    enders = out.where(F.col("depth") >= WINDOW_DEPTHS).select(F.col("file_path").alias("e_path"), F.col("line_no").alias("b"), F.col("depth").alias("b_depth"))
-    met = deep.join(enders, (deep["file_path"] == enders["e_path"]) & (F.col("b") > F.col("a")) & (F.col("b_depth") <= F.col("a_depth"))).groupBy(F.col("file_path").alias("m_path"), "a").agg(F.min("b").alias("deep_stop"))
-    out = out.join(met, (out["file_path"] == met["m_path"]) & (out["line_no"] == met["a"]), "left").drop("m_path", "a")
-    stop = F.least("stop", "deep_stop")
-    return out.withColumn("line_end", F.greatest(F.coalesce(stop - 1, F.col("last_line")), F.col("line_no"))).drop("stop", "deep_stop")
+    """Adds line_end to (file_path, line_no, depth, last_line, ...): the line before the next region that is not deeper."""
+
+    def work(batches):
+        for table in whole_groups(batches):
+            starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
+            line, depth, last = (table.column(c).to_numpy() for c in ("line_no", "depth", "last_line"))
+            end = last.copy()
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                own = depth[a:b].tolist()
+                stop = np.asarray(first_at_most(own, own))
+                inner = np.flatnonzero(stop >= 0)
+                end[a + inner] = line[a + stop[inner]] - 1
+            yield from table.append_column("line_end", pa.array(np.maximum(end, line).astype(np.int32))).to_batches()
+
+    return in_file_order(regions, "line_no").mapInArrow(work, T.StructType([*regions.schema.fields, T.StructField("line_end", T.IntegerType())]))
 
 
 def outline(lines: DataFrame, *, hashed: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .spans import meet
 
 
 def get_symbols(symbols: DataFrame) -> DataFrame:
@@ -28,21 +29,26 @@ def first_by_name(symbols: DataFrame) -> DataFrame:
 
 
 def get_definition(symbols: DataFrame, lines: DataFrame, *, full: bool = False) -> DataFrame:
-    """The first symbol of each name with its body; of more than 50 lines only the first 11 are shown."""
-    own = first_by_name(symbols)
-    body = with_lines(own, lines)
-    n = F.size("body")
+    """The first symbol of each name with its body; of more than 50 lines only the first 11 are shown, and no more than 51 are read."""
+    last = lines.groupBy(F.col("file_path").alias("n_path")).agg(F.max("line_no").alias("last"))
+    own = first_by_name(symbols).join(last, F.col("file_path") == F.col("n_path"), "left").drop("n_path")
+    own = own.withColumn("n", F.least("line_end", F.coalesce("last", F.lit(-1))) - F.col("line_start") + 1).drop("last")
+    body = with_lines(own, lines, most=None if full else 51)
+    n = F.col("n")
     shown = F.array_join("body", "\n") if full else F.when(n > 50, F.concat(F.array_join(F.slice("body", 1, 11), "\n"), F.lit("\n... ("), (n - 11).cast("string"), F.lit(" more lines)"))).otherwise(F.array_join("body", "\n"))
     return body.select("file_path", "name", "kind", "line_start", "line_end", shown.alias("body"))
 
 
-def with_lines(symbols: DataFrame, lines: DataFrame) -> DataFrame:
-    """Adds body, the texts of a symbol's lines in order: a join on the file with a range as condition."""
-    right = lines.select(F.col("file_path").alias("l_path"), "line_no", F.col("text").alias("l_text"))
-    met = symbols.join(right, (symbols["file_path"] == right["l_path"]) & right["line_no"].between(symbols["line_start"], symbols["line_end"]), "left")
-    keys = symbols.columns
-    parts = F.array_sort(F.collect_list(F.when(F.col("line_no").isNotNull(), F.struct("line_no", "l_text"))))
-    return met.groupBy(*keys).agg(F.transform(parts, lambda p: p["l_text"]).alias("body"))
+def with_lines(symbols: DataFrame, lines: DataFrame, *, most: int | None = None) -> DataFrame:
+    """Adds body, the texts of a symbol's lines in order (of its first ``most``, if given). Only places and texts are shuffled."""
+    until = F.col("line_end") if most is None else F.least(F.col("line_end"), F.col("line_start") + most - 1)
+    spans = symbols.select(F.col("file_path").alias("s_path"), F.col("line_start").alias("s_start"), F.col("line_end").alias("s_end"), until.alias("s_until")).distinct()
+    points = lines.select(F.col("file_path").alias("l_path"), "line_no", F.col("text").alias("l_text"))
+    met = meet(points, spans, path="l_path", line="line_no", span_path="s_path", start="s_start", end="s_until")
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "l_text")))
+    bodies = met.groupBy("s_path", "s_start", "s_end").agg(F.transform(parts, lambda p: p["l_text"]).alias("body"))
+    out = symbols.join(bodies, (symbols["file_path"] == bodies["s_path"]) & (symbols["line_start"] == bodies["s_start"]) & (symbols["line_end"] == bodies["s_end"]), "left")
+    return out.drop("s_path", "s_start", "s_end").withColumn("body", F.coalesce("body", F.array().cast("array<string>")))
 
 
 def search_symbols(symbols: DataFrame, pattern: str, *, kind: str | None = None, limit: int | None = None) -> DataFrame:
@@ -84,8 +90,8 @@ def chunk_boundaries(symbols: DataFrame, strategy: str) -> DataFrame:
 def get_scope(positions: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each (file_path, line) the innermost symbol around it: least span, then first in preorder; else top level."""
     p = positions.select(F.col("file_path").alias("p_path"), F.col("line").alias("p_line")).distinct()
-    inside = (p["p_path"] == symbols["file_path"]) & p["p_line"].between(symbols["line_start"], symbols["line_end"])
-    met = p.join(symbols, inside, "left")
+    s = symbols.select("file_path", "line_start", "line_end", "seq", "qualified_name", "kind")
+    met = meet(p, s, path="p_path", line="p_line", span_path="file_path", start="line_start", end="line_end", how="left")
     best = met.groupBy("p_path", "p_line").agg(F.min_by(F.struct("qualified_name", "kind"), F.struct(F.col("line_end") - F.col("line_start"), F.col("seq"))).alias("b"))
     return best.select(F.col("p_path").alias("file_path"), F.col("p_line").alias("line"), F.coalesce("b.qualified_name", F.lit("Top-level scope")).alias("scope"), F.col("b.kind").alias("kind"))
 
@@ -151,11 +157,11 @@ def get_tests(symbols: DataFrame, lines: DataFrame) -> DataFrame:
 
 def annotations(lines: DataFrame, tags: list[str] = fixed.TAGS) -> DataFrame:
     """file_path, line_no, tag, message: of the tags that a line holds in any case, the first in the order of ``tags``."""
-    up = F.upper("text")
+    # matched in the text itself: upper case may have another length
     tag, at = F.lit(None).cast("string"), F.lit(None).cast("int")
     for t in reversed(tags):
-        hit = F.contains(up, F.lit(t.upper()))
-        tag, at = F.when(hit, t).otherwise(tag), F.when(hit, F.locate(t.upper(), up)).otherwise(at)
+        place = F.regexp_instr("text", F.lit(f"(?i)\\Q{t}\\E"))
+        tag, at = F.when(place > 0, t).otherwise(tag), F.when(place > 0, place).otherwise(at)
     rows = lines.withColumn("tag", tag).withColumn("at", at).where("tag IS NOT NULL")
     rest = F.substring("text", F.col("at") + F.length("tag"), F.length("text"))
     message = text.trim(F.regexp_replace(F.regexp_replace(rest, r"^[: \]]+", ""), r"[*/]+$", ""))
@@ -201,7 +207,15 @@ def latest_diagnostics(stream_or_table: DataFrame) -> DataFrame:
 def complexity(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """Complexity and rating of every function: one plus what its lines add."""
     fns = symbols.where(F.col("kind").isin("Function", "Method")).select("file_path", "seq", "name", "line_start", "line_end")
-    worth = lines.select(F.col("file_path").alias("l_path"), "line_no", text.complexity_of(F.col("text")).alias("n")).where("n > 0")
-    met = fns.join(worth, (fns["file_path"] == worth["l_path"]) & worth["line_no"].between(fns["line_start"], fns["line_end"]), "left")
-    out = met.groupBy("file_path", "seq", "name", "line_start", "line_end").agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("complexity"))
+    run = W.partitionBy("l_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    sums = lines.select(F.col("file_path").alias("l_path"), "line_no", text.complexity_of(F.col("text")).alias("n")).withColumn("upto", F.sum("n").over(run))
+    # what the lines of a function add is the running sum at its end less that before its start: two equi joins, no ranges
+    ends = sums.groupBy(F.col("l_path").alias("t_path")).agg(F.max("line_no").alias("last"), F.max("upto").alias("total"))
+    first = sums.select(F.col("l_path").alias("a_path"), F.col("line_no").alias("a_line"), (F.col("upto") - F.col("n")).alias("ahead"))
+    until = sums.select(F.col("l_path").alias("z_path"), F.col("line_no").alias("z_line"), "upto")
+    out = fns.join(ends, fns["file_path"] == ends["t_path"], "left")
+    out = out.join(first, (out["file_path"] == first["a_path"]) & (out["line_start"] == first["a_line"]), "left").join(until, (out["file_path"] == until["z_path"]) & (out["line_end"] == until["z_line"]), "left")
+    reached = F.when(F.col("line_end") > F.col("last"), F.col("total")).otherwise(F.col("upto"))
+    added = F.greatest(F.coalesce(reached - F.coalesce("ahead", F.col("total")), F.lit(0)), F.lit(0))
+    out = out.select("file_path", "seq", "name", "line_start", "line_end", (added + 1).alias("complexity"))
     return out.withColumn("rating", text.complexity_rating(F.col("complexity")))

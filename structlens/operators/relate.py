@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .spans import meet
 
 
 def dependency_map(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """file_path, caller, callee: within a file, a function whose lines hold ``callee(``, itself excluded.
 
-    Lines meet functions by a range join with the file as equi key; calls then meet names by an equi join, so the cost is
+    Lines meet functions by file and neighbourhood; calls then meet names by an equi join, so the cost is
     linear in calls and not functions times lines times functions. For a name that occurs twice, the last function counts.
     """
     calls = lines.select(F.col("file_path").alias("l_path"), "line_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{IsAlphabetic}\p{N}_]+)\("), F.lit(1)))).alias("callee"))
     last = functions.groupBy("file_path", "name").agg(F.max_by(F.struct("line_start", "line_end"), "seq").alias("x")).select("file_path", F.col("name").alias("caller"), "x.line_start", "x.line_end")
-    met = last.join(calls, (last["file_path"] == calls["l_path"]) & calls["line_no"].between(last["line_start"], last["line_end"]))
+    met = meet(calls, last, path="l_path", line="line_no", span_path="file_path", start="line_start", end="line_end")
     known = functions.select(F.col("file_path").alias("n_path"), F.col("name").alias("n_name")).distinct()
     out = met.join(known, (met["file_path"] == known["n_path"]) & (met["callee"] == known["n_name"]), "left_semi")
     return out.where("caller <> callee").select("file_path", "caller", "callee").distinct()
@@ -65,7 +67,8 @@ def diff_symbols(changed: DataFrame, symbols: DataFrame, present: DataFrame) ->
     c = changed.select(F.col("file_path").alias("c_path"), F.col("line_no").alias("c_line")).distinct()
     here = c.join(present.select(F.col("file_path").alias("h_path")).distinct(), F.col("c_path") == F.col("h_path"), "left_semi")
     gone = c.join(present.select(F.col("file_path").alias("h_path")).distinct(), F.col("c_path") == F.col("h_path"), "left_anti")
-    met = here.join(symbols, (here["c_path"] == symbols["file_path"]) & here["c_line"].between(symbols["line_start"], symbols["line_end"]))
+    spans = symbols.select("file_path", "line_start", "line_end", "seq", "stable_id", "kind")
+    met = meet(here, spans, path="c_path", line="c_line", span_path="file_path", start="line_start", end="line_end")
     best = met.groupBy("c_path", "c_line").agg(F.min_by(F.struct("stable_id", "kind"), F.struct(F.col("line_end") - F.col("line_start"), F.col("seq"))).alias("b"))
     kept = best.select(F.col("c_path").alias("file_path"), "b.stable_id", "b.kind", F.lit(None).cast("int").alias("line_no")).distinct()
     return kept.unionByName(gone.select(F.col("c_path").alias("file_path"), F.lit("(deleted)").alias("stable_id"), F.lit(None).cast("string").alias("kind"), F.col("c_line").alias("line_no")))
@@ -93,7 +96,17 @@ def go_to_definition(positions: DataFrame, lines: DataFrame, symbols: DataFrame)
     return at.join(s, (at["file_path"] == s["s_path"]) & (at["identifier"] == s["s_name"]), "left").select("file_path", "line", "column", "identifier", "definition", "ambiguous")
 
 
-def rename_edits(references: DataFrame, names: DataFrame) -> DataFrame:
-    """Edits that put the new name over every reference of a target (file_path, target, new_name)."""
+def related_counts(symbols: DataFrame) -> DataFrame:
+    """name, n, n_qualified (different qualified names): what :func:`related_symbols` pairs, a row a name instead of all pairs."""
+    return symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("qualified_name").alias("n_qualified"), F.min("stable_id").alias("first_id"))
+
+
+def rename_edits(references: DataFrame, names: DataFrame, lines: DataFrame) -> DataFrame:
+    """file_path, start, end, new_text: edits for :func:`edit.apply_edits` that put the new name over every reference of a
+    target (file_path, target, new_name). Offsets count characters of the file, line ends included as one each."""
     met = references.join(names, ["file_path", "target"])
-    return met.select("file_path", F.col("line_no").alias("start_line"), F.col("col").alias("start_col"), F.col("line_no").alias("end_line"), (F.col("col") + F.length("target")).alias("end_col"), F.col("new_name").alias("new_text"))
+    ahead = W.partitionBy("o_path").orderBy("o_line").rowsBetween(W.unboundedPreceding, -1)
+    offsets = lines.select(F.col("file_path").alias("o_path"), F.col("line_no").alias("o_line"), "text").select("o_path", "o_line", F.coalesce(F.sum(F.length("text") + 1).over(ahead), F.lit(0)).alias("offset"))
+    met = met.join(offsets, (met["file_path"] == offsets["o_path"]) & (met["line_no"] == offsets["o_line"]))
+    start = (F.col("offset") + F.col("col")).cast("int")
+    return met.select("file_path", start.alias("start"), (start + F.length("target")).alias("end"), F.col("new_name").alias("new_text"))

@@ -195,14 +195,15 @@ def related_symbols(s, d):
     return relate.related_symbols(p)
 
 
-_REFS = "refs AS (SELECT 'n/' || (o_custkey % 25) || CASE WHEN o_orderkey % 9 = 0 THEN '/tests/a.rs' ELSE '/a.rs' END AS file_path, p_brand || p_size AS target, 'c' || (o_custkey % 10) AS caller FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+_REFS = "refs AS (SELECT 'n/' || (o_custkey % 25) || CASE WHEN o_orderkey % 9 = 0 THEN '/tests/a.rs' ELSE '/a.rs' END AS file_path, p_brand || p_size || '_' || (o_orderkey % 16) AS target, CASE WHEN o_custkey % 3 = 0 THEN 'c' || (o_custkey % 10) WHEN o_custkey % 31 = 0 THEN 'test' END AS caller, CASE WHEN o_custkey % 7 = 1 THEN 'd' || (o_custkey % 10) END AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
 
 
 def _references(s, d):
     li, o, p = t.table(s, d, "lineitem").select("l_orderkey", "l_partkey"), t.table(s, d, "orders").select("o_orderkey", "o_custkey"), t.table(s, d, "part").select("p_partkey", "p_brand", "p_size")
     met = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    k, ten = F.col("o_custkey"), (F.col("o_custkey") % 10).cast("string")
     path = F.concat(F.lit("n/"), (F.col("o_custkey") % 25).cast("string"), F.when(F.col("o_orderkey") % 9 == 0, "/tests/a.rs").otherwise("/a.rs"))
-    return met.select(path.alias("file_path"), F.concat("p_brand", F.col("p_size").cast("string")).alias("target"), F.concat(F.lit("c"), (F.col("o_custkey") % 10).cast("string")).alias("caller"))
+    return met.select(path.alias("file_path"), F.concat("p_brand", F.col("p_size").cast("string"), F.lit("_"), (F.col("o_orderkey") % 16).cast("string")).alias("target"), F.when(k % 3 == 0, F.concat(F.lit("c"), ten)).when(k % 31 == 0, "test").alias("caller"), F.when(k % 7 == 1, F.concat(F.lit("d"), ten)).alias("callee"))
 
 
 @query("references_by_file", f"WITH {_REFS} SELECT file_path, count(*) AS n_references FROM refs GROUP BY file_path")
@@ -212,9 +213,9 @@ def references_by_file(s, d):
 
 @query(
     "analyze_impact",
-    f"""WITH {_REFS}, k AS (SELECT DISTINCT target FROM refs), r AS (SELECT target, count(*) AS n_references, count(DISTINCT file_path) AS n_files, max(contains(file_path, 'test')::INT) AS t1 FROM refs WHERE file_path < 'n/16' GROUP BY target),
-    c AS (SELECT target, count(DISTINCT caller) AS n_callers, max(contains(caller, 'test')::INT) AS t2 FROM refs WHERE caller < 'c3' GROUP BY target),
-    a AS (SELECT target, count(DISTINCT caller) AS n_callees FROM refs WHERE caller > 'c7' GROUP BY target),
+    f"""WITH {_REFS}, k AS (SELECT DISTINCT target FROM refs), r AS (SELECT target, count(*) AS n_references, count(DISTINCT file_path) AS n_files, max(contains(file_path, 'test')::INT) AS t1 FROM refs GROUP BY target),
+    c AS (SELECT target, count(DISTINCT caller) AS n_callers, max(contains(caller, 'test')::INT) AS t2 FROM refs GROUP BY target),
+    a AS (SELECT target, count(DISTINCT callee) AS n_callees FROM refs GROUP BY target),
     g AS (SELECT k.target, coalesce(n_references, 0) AS n_references, coalesce(n_files, 0) AS n_files, coalesce(n_callers, 0) AS n_callers, coalesce(n_callees, 0) AS n_callees, greatest(coalesce(t1, 0), coalesce(t2, 0)) AS tested,
       length(k.target) % 2 AS n_same, length(k.target) % 3 AS n_ambiguous FROM k LEFT JOIN r USING (target) LEFT JOIN c USING (target) LEFT JOIN a USING (target))
     SELECT target, n_references, n_files, n_callers, n_callees, CASE WHEN n_files = 0 OR (n_files <= 1 AND n_references <= 2) THEN 'low' WHEN n_files <= 3 AND n_references <= 6 THEN 'medium' ELSE 'high' END AS risk,
@@ -226,7 +227,7 @@ def analyze_impact(s, d):
     r = _references(s, d)
     size = F.length("target")
     targets = r.select("target").distinct().select("target", (size % 2).alias("n_same"), (size % 3).alias("n_ambiguous"))
-    return impact.analyze_impact(targets, r.where("file_path < 'n/16'"), r.where("caller < 'c3'").select("target", "caller"), r.where("caller > 'c7'").select("target", F.col("caller").alias("callee")))
+    return impact.analyze_impact(targets, r, r.select("target", "caller"), r.select("target", "callee"))
 
 
 @query(
@@ -245,11 +246,13 @@ def blast_radius(s, d):
 
 @query(
     "transitive_dependents",
-    f"""WITH RECURSIVE {t.TRADE}, r AS (SELECT 'n0' AS seed, 'n0' AS node, 0 AS distance UNION SELECT seed, source, distance + 1 FROM r JOIN trade ON target = node WHERE distance < 12)
+    f"""WITH RECURSIVE {t.TRADE}, m AS (SELECT min(ordered) AS first FROM trade_met), r AS (SELECT 'n0' AS seed, 'n0' AS node, 0 AS distance UNION ALL SELECT first, first, 0 FROM m UNION SELECT seed, source, distance + 1 FROM r JOIN trade ON target = node WHERE distance < 120)
     SELECT seed, node, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY seed, node""",
 )
 def transitive_dependents(s, d):
-    return graph.reachable(t.trade_edges(s, d), s.createDataFrame([("n0",)], "seed string"))
+    edges = t.trade_edges(s, d)
+    month = t.table(s, d, "orders").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("seed"))
+    return graph.reachable(edges, month.unionByName(s.createDataFrame([("n0",)], "seed string")))
 
 
 _LABELS = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in fixed.LABELS.items()) + " END"

@@ -130,13 +130,12 @@ symbols AS (SELECT file_path, seq, CASE depth WHEN 1 THEN p0 WHEN 2 THEN p1 END
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    """file_path, line: places to ask about (500 lines of each file at most, by the modulus)."""
-    files = symbols(spark, d).select("file_path").distinct()
-    at = table(spark, d, "supplier").select((F.col("s_suppkey") * 7 % 500).cast("int").alias("line")).distinct()
-    return files.join(F.broadcast(at), F.lit(True))
+    """file_path, line: every line of every file, and one behind its end."""
+    lines = symbols(spark, d).select("file_path", F.col("seq").alias("line"))
+    return lines.unionByName(lines.groupBy("file_path").agg((F.max("line") + 7).alias("line")))
 
 
-POSITIONS = "positions AS (SELECT DISTINCT f.file_path, CAST(s_suppkey * 7 % 500 AS INTEGER) AS line FROM (SELECT DISTINCT file_path FROM symbols) f, supplier)"
+POSITIONS = "positions AS (SELECT file_path, seq AS line FROM symbols UNION ALL SELECT file_path, max(seq) + 7 FROM symbols GROUP BY file_path)"
 
 # --- functions and the lines of their calls: orders are functions, their items are lines ------------------------------
 
@@ -166,22 +165,24 @@ call_map AS (
   JOIN (SELECT file_path, line_no, unnest(regexp_extract_all(text, '([\\pL\\pN_]+)\\(', 1)) AS callee FROM call_lines) c ON c.file_path = f.file_path AND c.line_no BETWEEN f.line_start AND f.line_end
   WHERE f.name <> c.callee AND EXISTS (SELECT 1 FROM call_functions g WHERE g.file_path = f.file_path AND g.name = c.callee))"""
 
-# --- a cyclic graph of nations and brands ---------------------------------------------------------------------------
+# --- a graph with cycles and long ways: nations and brands import each other, months in which orders ship those of the orders ---
 
 
 def trade_edges(spark: SparkSession, d: str) -> DataFrame:
-    """source, target, relation: nations contain segments, brands import nations and nations import brands."""
-    li, p, s = table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "supplier")
-    met = li.where("l_linenumber = 1").select("l_partkey", "l_suppkey").join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """source, target, relation, from all items."""
+    li, p, s, o = (table(spark, d, n) for n in ("lineitem", "part", "supplier", "orders"))
+    met = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate").join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    met = met.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     nation, brand = F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.col("p_brand")
-    up = met.where("l_partkey % 3 = 0").select(brand.alias("source"), nation.alias("target"))
-    down = met.where("l_partkey % 5 = 0").select(nation.alias("source"), brand.alias("target"))
-    return up.unionByName(down).distinct().withColumn("relation", F.lit("imports"))
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    pairs = F.array(F.struct(brand.alias("source"), nation.alias("target")), F.struct(nation.alias("source"), brand.alias("target")), F.struct(month("l_shipdate").alias("source"), month("o_orderdate").alias("target")))
+    return met.select(F.explode(pairs).alias("e")).select("e.source", "e.target").distinct().withColumn("relation", F.lit("imports"))
 
 
 TRADE = """
-trade_met AS (SELECT l_partkey, p_brand AS brand, 'n' || s_nationkey AS nation FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1),
-trade AS (SELECT DISTINCT brand AS source, nation AS target FROM trade_met WHERE l_partkey % 3 = 0 UNION SELECT nation, brand FROM trade_met WHERE l_partkey % 5 = 0)"""
+trade_met AS (SELECT p_brand AS brand, 'n' || s_nationkey AS nation, strftime(l_shipdate, '%Y-%m') AS shipped, strftime(o_orderdate, '%Y-%m') AS ordered
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
+trade AS (SELECT brand AS source, nation AS target FROM trade_met UNION SELECT nation, brand FROM trade_met UNION SELECT shipped, ordered FROM trade_met)"""
 
 # --- versions of files: the events of a user are the history of a path ------------------------------------------------
 

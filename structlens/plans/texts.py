@@ -146,7 +146,7 @@ def toml_regions(s, d):
 
 _DIFF_SQL = r"""
 diffs AS (SELECT o_orderkey AS diff_id, 'diff --git a/f b/f' || chr(10) || '--- a/f' || chr(10) || '+++ b/nation/' || (o_custkey % 25) || '.' || (['rs', 'py', 'ts', 'go', 'java'])[o_custkey % 25 % 5 + 1] || chr(10)
-  || '@@ -1,2 +' || (o_orderkey % 90 + 1) || ',' || (o_orderkey % 4) || ' @@ fn' || chr(10) || '+x' || chr(10) || '@@ -9 +' || (o_orderkey % 50 + 1) || ' @@' || chr(10) || '+y' || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '+++ b/gone.rs' || chr(10) || '@@ -1 +3,2 @@' ELSE '' END AS diff FROM orders WHERE o_orderkey % 10 < 6),
+  || '@@ -1,2 +' || (o_orderkey % 90 + 1) || ',' || (o_orderkey % 4) || ' @@ fn' || chr(10) || '+x' || chr(10) || '@@ -9 +' || (o_orderkey % 50 + 1) || ' @@' || chr(10) || '+y' || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '+++ b/gone.rs' || chr(10) || '@@ -1 +3,2 @@' ELSE '' END AS diff FROM orders),
 d_rows AS (SELECT diff_id, i, p[i] AS text FROM (SELECT diff_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT diff_id, string_split(diff, chr(10)) AS p FROM diffs))),
 d_file AS (SELECT *, last_value(CASE WHEN text LIKE '+++ b/%' THEN substring(text, 7) END IGNORE NULLS) OVER (PARTITION BY diff_id ORDER BY i) AS file_path FROM d_rows),
 d_hunk AS (SELECT *, CAST(regexp_extract(text, '^@@ -\S+ \+(\d+)(?:,(\d+))? @@', 1) AS INTEGER) - 1 AS first, regexp_extract(text, '^@@ -\S+ \+(\d+)(?:,(\d+))? @@', 2) AS n FROM d_file WHERE regexp_matches(text, '^@@ -\S+ \+(\d+)(?:,(\d+))? @@')),
@@ -154,7 +154,7 @@ diff_lines AS (SELECT diff_id, file_path, CAST(unnest(range(first, first + CASE
 
 
 def diffs(s, d):
-    o = t.table(s, d, "orders").where("o_orderkey % 10 < 6")
+    o = t.table(s, d, "orders")
     k, f = F.col("o_orderkey"), F.col("o_custkey") % 25
     ext = F.element_at(F.array(*[F.lit(x) for x in ("rs", "py", "ts", "go", "java")]), (f % 5 + 1).cast("int"))
     st = lambda c: c.cast("string")
@@ -198,11 +198,11 @@ def marked_above(s, d):
 _TAGS = ["license", "copyright", "the", "MIT"]
 
 
-@query("annotations", f"""WITH {t.DOC}, u AS (SELECT *, upper(text) AS x FROM doc_lines WHERE regexp_matches(text, '^[ -~]*$')),
-g AS (SELECT *, CASE {" ".join(f"WHEN contains(x, '{g.upper()}') THEN '{g}'" for g in _TAGS)} END AS tag FROM u)
-SELECT file_path, line_no, tag, {_TRIM.format("regexp_replace(regexp_replace(substring(text, instr(x, upper(tag)) + length(tag)), '^[: \\]]+', ''), '[*/]+$', '')")} AS message FROM g WHERE tag IS NOT NULL""")
+@query("annotations", f"""WITH {t.DOC}, g AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(text, '(?i){g}') THEN '{g}'" for g in _TAGS)} END AS tag FROM doc_lines),
+r AS (SELECT *, CASE tag {" ".join(f"WHEN '{g}' THEN regexp_extract(text, '(?i){g}(.*)$', 1)" for g in _TAGS)} END AS rest FROM g WHERE tag IS NOT NULL)
+SELECT file_path, line_no, tag, {_TRIM.format("regexp_replace(regexp_replace(rest, '^[: \\]]+', ''), '[*/]+$', '')")} AS message FROM r""")
 def annotations(s, d):
-    return read.annotations(t.doc_lines(s, d).where(F.col("text").rlike("^[ -~]*$")), _TAGS)
+    return read.annotations(t.doc_lines(s, d), _TAGS)
 
 
 def _calls_sql(name: str) -> str:
@@ -221,23 +221,26 @@ def call_sites_pages(s, d):
     return read.call_sites(t.page_lines(s, d))
 
 
-@query("identifier_at", rf"""WITH {t.DOC}, p AS (SELECT *, (line_no * 7 + 3) % 40 AS col FROM doc_lines WHERE regexp_matches(text, '^[ -~]*$'))
-SELECT file_path, line_no, CASE WHEN col < strlen(text) AND regexp_matches(substring(text, col + 1), '^[\pL\pN_]') THEN regexp_extract(substring(text, 1, col), '([\pL\pN_]*)$', 1) || regexp_extract(substring(text, col + 1), '^([\pL\pN_]+)', 1) END AS identifier FROM p""")
+@query("identifier_at", rf"""WITH {t.DOC}, p AS (SELECT *, (line_no * 7 + 3) % 40 AS col FROM doc_lines),
+q AS (SELECT *, list_filter(range(0, least(col, length(text)) + 1), lambda n: strlen(left(text, CAST(n AS INTEGER))) = col)[1] AS c FROM p)
+SELECT file_path, line_no, CASE WHEN col < strlen(text) AND c IS NOT NULL AND regexp_matches(substring(text, c + 1), '^[\pL\pN_]') THEN regexp_extract(left(text, c), '([\pL\pN_]*)$', 1) || regexp_extract(substring(text, c + 1), '^([\pL\pN_]+)', 1) END AS identifier FROM q""")
 def identifier_at(s, d):
-    rows = t.doc_lines(s, d).where(F.col("text").rlike("^[ -~]*$"))
-    return rows.select("file_path", "line_no", text.identifier_at(F.col("text"), (F.col("line_no") * 7 + 3) % 40).alias("identifier"))
+    return t.doc_lines(s, d).select("file_path", "line_no", text.identifier_at(F.col("text"), (F.col("line_no") * 7 + 3) % 40).alias("identifier"))
 
 
-@query("find_references", r"""WITH """ + t.DOC + r""", w AS (SELECT file_path, line_no, unnest(regexp_extract_all(text, '([\pL_][\pL\pN_]*)', 1)) AS x FROM doc_lines WHERE regexp_matches(text, '^[ -~]*$')),
+@query("find_references", r"""WITH """ + t.DOC + r""", w AS (SELECT file_path, line_no, unnest(regexp_extract_all(text, '([\pL_][\pL\pN_]*)', 1)) AS x FROM doc_lines),
 first AS (SELECT file_path, regexp_extract(text, '([A-Za-z_]\w*)', 1) AS target FROM doc_lines WHERE line_no = 0)
 SELECT w.file_path, f.target, w.line_no, count(*) AS n FROM w JOIN first f ON f.file_path = w.file_path AND f.target = w.x GROUP BY ALL""")
 def find_references(s, d):
-    lines = t.doc_lines(s, d)
-    target = lines.where("line_no = 0").select("file_path", F.regexp_extract("text", r"([A-Za-z_]\w*)", 1).alias("text"))
-    refs = relate.find_references(target, lines.where(F.col("text").rlike("^[ -~]*$")))
+    refs = relate.find_references(_targets(s, d), t.doc_lines(s, d))
     return refs.groupBy("file_path", "target", "line_no").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _targets(s, d):
+    """The first ASCII identifier of the first line of each text."""
+    return t.doc_lines(s, d).where("line_no = 0").select("file_path", F.regexp_extract("text", r"([A-Za-z_]\w*)", 1).alias("text"))
+
+
 _COMPLEX = " + ".join(f"(length(t) - length(replace(t, '{k}', ''))) // {len(k)}" for k in fixed.BRANCHES)
 
 
