@@ -37,6 +37,20 @@ EXTENSIONS = {
     "typst": ["typ", "typc"],
     "yaml": ["yaml", "yml"],
 }
+# Names of languages for people; their ids for language servers are the names above.
+DISPLAY_NAMES = {
+    "rust": "Rust", "python": "Python", "javascript": "JavaScript", "typescript": "TypeScript", "go": "Go", "java": "Java", "c": "C", "cpp": "C++", "ruby": "Ruby", "elixir": "Elixir", "zig": "Zig",
+    "csharp": "C#", "fsharp": "F#", "swift": "Swift", "php": "PHP", "haskell": "Haskell", "bash": "Bash", "terraform": "Terraform", "kotlin": "Kotlin", "dart": "Dart", "lua": "Lua", "clojure": "Clojure",
+    "ocaml": "OCaml", "julia": "Julia", "nix": "Nix", "gleam": "Gleam", "vue": "Vue", "svelte": "Svelte", "astro": "Astro", "prisma": "Prisma", "typst": "Typst", "yaml": "YAML",
+}
+# Kinds of symbols by the numbers that language servers use; any other is a variable.
+SERVER_KINDS = {2: "Module", 3: "Module", 4: "Module", 5: "Class", 6: "Method", 7: "Property", 8: "Field", 9: "Method", 10: "Enum", 11: "Interface", 12: "Function", 13: "Variable", 14: "Constant", 23: "Struct", 26: "Type"}
+# Tools that need a language server, that prefer one, and that an outline can stand in for.
+NEEDS_SERVER = ["rename_symbol"]
+PREFERS_SERVER = ["get_diagnostics", "find_references", "analyze_impact"]
+OUTLINE_SERVES = ["get_symbols", "get_structure"]
+# Longest source file, in lines, that a project summary reads; most symbols that a search returns.
+SUMMARY_LINES, SEARCH_SYMBOLS = 10_000, 5000
 # Further names of languages.
 ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "golang": "go", "c++": "cpp", "rb": "ruby", "ex": "elixir", "c#": "csharp", "f#": "fsharp", "hs": "haskell", "sh": "bash", "tf": "terraform", "kt": "kotlin", "clj": "clojure", "ml": "ocaml", "jl": "julia", "yml": "yaml"}
 # Languages with pattern sets of their own.

@@ -238,6 +238,50 @@ def parameters(signature: Column) -> Column:
     return F.transform(named, lambda p: F.struct(trim(F.substring_index(p, ":", 1)).alias("name"), F.when(p.contains(":"), trim(F.substring(p, F.instr(p, ":") + 1, F.length(p)))).alias("type")))
 
 
+def symbol_kind(code: Column) -> Column:
+    """The kind of a symbol by the number that language servers use."""
+    out = F.lit("Variable")
+    for number, kind in fixed.SERVER_KINDS.items():
+        out = F.when(code == number, kind).otherwise(out)
+    return out
+
+
+def display_name(language: Column) -> Column:
+    """The name of a language for people; of an unknown one the name itself."""
+    out = language
+    for name, shown in fixed.DISPLAY_NAMES.items():
+        out = F.when(language == name, shown).otherwise(out)
+    return out
+
+
+def line_count(source: Column) -> Column:
+    """Lines of a text; nothing after a final line feed is none."""
+    n = F.length(source) - F.length(F.replace(source, F.lit("\n"), F.lit("")))
+    return n + F.when((source != "") & ~source.endswith("\n"), 1).otherwise(0)
+
+
+def normal_path(path: Column) -> Column:
+    """A path without "." and ".." components; ".." above the root stays out."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    step = lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p)))
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
+
+
+def is_within(path: Column, root: Column) -> Column:
+    """The path, relative to the root if it isn't absolute, is the root or below it, component by component."""
+    base = F.regexp_replace(normal_path(root), "/$", "")
+    whole = normal_path(F.when(path.startswith("/"), path).otherwise(F.concat(root, F.lit("/"), path)))
+    return (whole == base) | F.startswith(whole, F.concat(base, F.lit("/")))
+
+
+def choose_backend(tool: Column, has_patterns: Column, has_server: Column, has_plugin: Column) -> Column:
+    """patterns, server, plugin, heuristic or unavailable: what serves a tool for a language."""
+    outline = F.when(has_server, "server").when(has_plugin, "plugin").otherwise("heuristic")
+    own = F.when(tool.isin(fixed.OUTLINE_SERVES) & ~has_patterns, outline).otherwise("patterns")
+    return F.when(tool.isin(fixed.NEEDS_SERVER), F.when(has_server, "server").otherwise("unavailable")).when(tool.isin(fixed.PREFERS_SERVER) & has_server, "server").otherwise(own)
+
+
 def cache_scope(root: Column, git_dir: Column, head: Column) -> Column:
     """The name of a project's cache: a hash of its root and, in a checkout, of the git folder and the head."""
     nothing = F.lit("")

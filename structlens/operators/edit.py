@@ -21,25 +21,34 @@ def _new(edits: DataFrame, at, content: str = "content") -> DataFrame:
     return edits.select("file_path", at.alias("major"), F.posexplode(F.split(content, "\n")).alias("minor", "text")).select("file_path", "text", F.col("major").cast("double"), "minor")
 
 
+def _checked(lines: DataFrame, edits: DataFrame, first: str, bad, what: str) -> DataFrame:
+    """Edits of known files; one that is ``bad`` (which may name n, the lines of the file) raises."""
+    n = lines.groupBy(F.col("file_path").alias("n_path")).agg((F.max("line_no") + 1).alias("n"))
+    # the message names columns of both sides, so the check stays above the join
+    problem = F.raise_error(F.concat(F.lit(f"{what} out of bounds: "), "file_path", F.lit(" of "), "n_path")).cast("int")
+    return edits.join(n, F.col("file_path") == F.col("n_path")).withColumn(first, F.when(bad, problem).otherwise(F.col(first))).drop("n", "n_path")
+
+
+_BAD_RANGE = "start_line < 1 OR start_line > end_line OR end_line > n"
+
+
 def replace_lines(lines: DataFrame, edits: DataFrame) -> DataFrame:
     """One edit a file: (file_path, start_line, end_line from 1, both included, content). Invalid ranges raise."""
-    n = lines.groupBy(F.col("file_path").alias("n_path")).agg(F.max("line_no").alias("last"))
-    bad = (F.col("start_line") < 1) | (F.col("start_line") > F.col("end_line")) | (F.col("end_line") > F.col("last") + 1)
-    # the message names columns of both sides, so the check stays above the join
-    problem = F.raise_error(F.concat(F.lit("line range out of bounds: "), "file_path", F.lit(" of "), "n_path")).cast("int")
-    edits = edits.join(n, F.col("file_path") == F.col("n_path")).withColumn("start_line", F.when(bad, problem).otherwise(F.col("start_line"))).drop("last", "n_path")
+    edits = _checked(lines, edits, "start_line", F.expr(_BAD_RANGE), "line range")
     e = edits.select(F.col("file_path").alias("e_path"), "start_line", "end_line")
     left = lines.join(e, (lines["file_path"] == e["e_path"]) & lines["line_no"].between(e["start_line"] - 1, e["end_line"] - 1), "left_anti")
     return _renumber(_old(left).unionByName(_new(edits, F.col("start_line") - 1)))
 
 
 def insert_at_line(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """New lines (file_path, line from 1, content) before the line that is there."""
+    """New lines (file_path, line from 1, content) before the line that is there, or behind the last; other places raise."""
+    edits = _checked(lines, edits, "line", F.expr("line < 1 OR line > n + 1"), "line")
     return _renumber(_old(lines).unionByName(_new(edits, F.col("line") - 1.5)))
 
 
 def delete_lines(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    e = edits.select(F.col("file_path").alias("e_path"), "start_line", "end_line")
+    """Lines without those of (file_path, start_line, end_line from 1, both included). Invalid ranges raise."""
+    e = _checked(lines, edits, "start_line", F.expr(_BAD_RANGE), "line range").select(F.col("file_path").alias("e_path"), "start_line", "end_line")
     return _renumber(_old(lines.join(e, (lines["file_path"] == e["e_path"]) & lines["line_no"].between(e["start_line"] - 1, e["end_line"] - 1), "left_anti")))
 
 
@@ -114,13 +123,25 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def preview(edits: DataFrame) -> DataFrame:
-    """n_edits and the distinct files, sorted, as one row."""
-    return edits.agg(F.count(F.lit(1)).alias("n_edits"), F.countDistinct("file_path").alias("n_files"))
+    """One row: n_edits, n_files (different files) and n_groups, the groups of edits if they have a ``group_id``, else the files."""
+    groups = F.countDistinct("group_id") if "group_id" in edits.columns else F.countDistinct("file_path")
+    return edits.agg(F.count(F.lit(1)).alias("n_edits"), F.countDistinct("file_path").alias("n_files"), groups.alias("n_groups"))
+
+
+def preview_files(edits: DataFrame) -> DataFrame:
+    """file_path, n_edits of every file that edits touch, sorted."""
+    return edits.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_edits")).orderBy("file_path")
 
 
 def resource_operations(files: DataFrame, operations: DataFrame) -> DataFrame:
-    """Paths after (op, path, new_path): create, rename, delete."""
-    gone = operations.where("op IN ('delete', 'rename')").select(F.col("path").alias("file_path"))
-    stay = files.select("file_path").join(gone, "file_path", "left_anti")
-    moved = operations.where("op = 'rename'").join(files.select(F.col("file_path").alias("path")), "path", "left_semi").select(F.col("new_path").alias("file_path"))
-    return stay.unionByName(moved).unionByName(operations.where("op = 'create'").select(F.col("path").alias("file_path"))).distinct()
+    """file_path, source after (op, path, new_path): create (an empty file, unless it is there), rename, delete."""
+    gone = operations.where("op IN ('delete', 'rename')").select(F.col("path").alias("file_path")).distinct()
+    source = F.col("source") if "source" in files.columns else F.lit(None).cast("string")
+    now = files.select("file_path", source.alias("source"))
+    stay = now.join(gone, "file_path", "left_anti")
+    moves = operations.where("op = 'rename'").select(F.col("path").alias("file_path"), "new_path")
+    moved = now.join(moves, "file_path").select(F.col("new_path").alias("file_path"), "source")
+    # what a rename puts in a place takes it over
+    there = stay.join(moved.select("file_path"), "file_path", "left_anti").unionByName(moved)
+    new = operations.where("op = 'create'").select(F.col("path").alias("file_path"), F.lit("").alias("source")).distinct()
+    return there.unionByName(new.join(there.select("file_path"), "file_path", "left_anti"))

@@ -48,6 +48,11 @@ def refresh(index: DataFrame, cache: DataFrame, listing: DataFrame, extract) ->
     return new, listing.select("path", "mtime", "size")
 
 
+def most_recent(rows: DataFrame, cap: int, by: str, *ties: str) -> DataFrame:
+    """The ``cap`` rows that were used last."""
+    return rows.orderBy(F.desc(by), *ties).limit(cap)
+
+
 def cache_upsert(cache: DataFrame, done: DataFrame, *, prune: bool) -> DataFrame:
     """The cache after an export; a full export prunes, one that skipped cached files doesn't."""
     return upsert(cache, done, ["path"], prune=prune)

@@ -66,6 +66,35 @@ def search_symbols(symbols: DataFrame, pattern: str, *, kind: str | None = None,
     return few.where(F.col("nth") <= limit).drop("nth")
 
 
+def capped(symbols: DataFrame, cap: int = fixed.SEARCH_SYMBOLS) -> DataFrame:
+    """The first ``cap`` symbols by file and place; ``truncated`` tells that the cap was reached."""
+    few = symbols.orderBy("file_path", "seq").limit(cap)
+    n = F.count(F.lit(1)).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))  # over at most ``cap`` rows
+    return few.withColumn("truncated", n >= cap)
+
+
+def flat_text(symbols: DataFrame) -> DataFrame:
+    """file_path, seq, line: kind, name and place of each symbol, with its signature below."""
+    place = F.concat(F.lit(" ["), F.concat_ws("-", F.concat_ws(":", "line_start", "column_start"), F.concat_ws(":", "line_end", "column_end")), F.lit("]"))
+    return symbols.select("file_path", "seq", F.concat_ws("\n  ", F.concat("kind", F.lit(" "), "name", place), "signature").alias("line"))
+
+
+def as_json(symbols: DataFrame) -> DataFrame:
+    """file_path, json: the symbols of a file in order, as one JSON list."""
+    fields = [c for c in ("name", "kind", "line_start", "line_end", "signature") if c in symbols.columns]
+    parts = F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("x"))))
+    return symbols.groupBy("file_path").agg(F.to_json(F.transform(parts, lambda p: p["x"])).alias("json"))
+
+
+def get_region(wanted: DataFrame, heuristic: DataFrame, parserless: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file_path, region_id, line, line_end (from 1) of wanted (file_path, region_id): ids that begin with "h-" and "region-" are regions of the two outlines,
+    others stable ids of symbols."""
+    way = F.when(F.col("region_id").startswith("h-"), 0).when(F.col("region_id").startswith("region-"), 1).otherwise(2)
+    known = heuristic.select("file_path", "region_id", "line", "line_end", F.lit(0).alias("way")).unionByName(parserless.select("file_path", "region_id", "line", "line_end", F.lit(1).alias("way")))
+    known = known.unionByName(symbols.select("file_path", F.col("stable_id").alias("region_id"), (F.col("line_start") + 1).alias("line"), (F.col("line_end") + 1).alias("line_end"), F.lit(2).alias("way")))
+    return wanted.select("file_path", "region_id", way.alias("way")).join(known, ["file_path", "region_id", "way"]).drop("way")
+
+
 def get_signature(symbols: DataFrame) -> DataFrame:
     return first_by_name(symbols).select("file_path", "name", F.coalesce("signature", F.concat("name", F.lit(" (no signature available)"))).alias("signature"))
 

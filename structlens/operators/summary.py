@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -13,7 +14,8 @@ def count_by_kind(symbols: DataFrame) -> DataFrame:
 
 
 def files_by_language(files: DataFrame) -> DataFrame:
-    return files.where("language IS NOT NULL").groupBy("language").agg(F.count(F.lit(1)).alias("n_files"))
+    """language, n_files, most first; ties by name."""
+    return files.where("language IS NOT NULL").groupBy("language").agg(F.count(F.lit(1)).alias("n_files")).orderBy(F.desc("n_files"), "language")
 
 
 def key_types(symbols: DataFrame, k: int = 10) -> DataFrame:
@@ -38,8 +40,6 @@ def entry_points(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def surfaces(paths: DataFrame, samples: int = 12, column: str = "path") -> DataFrame:
     """surface, n, samples: the first paths in order, as one text. Only ``samples`` paths a surface are ever gathered."""
-    from pyspark.sql import Window as W
-
     rows = paths.select(F.col(column).alias("path")).withColumn("surface", text.surface(F.col("path"))).where("surface IS NOT NULL")
     counts = rows.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
     first = rows.select("surface", "path").distinct().withColumn("rank", F.row_number().over(W.partitionBy("surface").orderBy("path"))).where(F.col("rank") <= samples)
@@ -58,3 +58,37 @@ def project_summary(files: DataFrame, symbols: DataFrame) -> DataFrame:
     f = files.select("file_path").distinct().agg(F.count(F.lit(1)).alias("n_files"), F.count_if(text.mentions_test(F.col("file_path"))).alias("n_test_files"), F.countDistinct(text.module_of(F.col("file_path"))).alias("n_modules"))
     top = key_types(symbols).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("name")))), lambda x: x["name"]), ",").alias("key_types"))
     return f.crossJoin(s).crossJoin(top)
+
+
+def _listed(rows: DataFrame, order: list[Column], line: Column) -> DataFrame:
+    """line and nth of rows, one for each language, module, entry point or surface of a project."""
+    return rows.select(F.row_number().over(W.orderBy(*order)).alias("nth"), line.alias("line"))
+
+
+def project_report(name: str, root: str, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """section, nth, line: the summary of a project (file_path, language) as text, a row a line; a section without content has no rows.
+
+    What is listed are languages, modules, entry points and key types: as many rows as a project has of them.
+    """
+    spark = files.sparkSession
+    one = project_summary(files, symbols)
+    s = lambda c: F.col(c).cast("string")
+    languages = files_by_language(files).select("n_files", text.display_name(F.col("language")).alias("language"))
+    shown = F.concat("language", F.lit(" ("), s("n_files"), F.when(F.col("n_files") == 1, " file)").otherwise(" files)"))
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("n_files")).alias("o"), "language", shown.alias("shown"))))
+    head = spark.createDataFrame([(1, f"Project: {name}"), (2, f"Root: {root}")], "nth int, line string")
+    modules = module_summary(files, symbols)
+    lines = {
+        "head": head,
+        "languages": languages.agg(F.concat(F.lit("Languages: "), F.array_join(F.transform(parts, lambda p: p["shown"]), ", ")).alias("line")).select(F.lit(1).alias("nth"), "line"),
+        "symbols": one.select(F.lit(1).alias("nth"), F.concat(F.lit("Symbols: "), s("n_symbols"), F.lit(" total")).alias("line")),
+        "tests": one.select(F.lit(1).alias("nth"), F.concat(F.lit("Tests: "), s("n_test_functions"), F.lit(" functions across "), s("n_test_files"), F.lit(" files")).alias("line")),
+        "entry points": _listed(entry_points(files, symbols), [F.col("file_path")], F.concat(F.lit("  "), "file_path", F.lit(" ("), "kind", F.lit(")"))),
+        "key types": one.where("key_types <> ''").select(F.lit(1).alias("nth"), F.concat(F.lit("  "), F.replace("key_types", F.lit(","), F.lit(", "))).alias("line")),
+        "modules": _listed(modules, [F.desc("n_files"), F.col("module")], F.concat(F.lit("  "), "module", F.lit("/ \u2014 "), s("n_files"), F.lit(" files, "), s("n_functions"), F.lit(" functions"))),
+    }
+    out = None
+    for section, rows in lines.items():
+        rows = rows.select(F.lit(section).alias("section"), F.col("nth").cast("int").alias("nth"), "line")
+        out = rows if out is None else out.unionByName(rows)
+    return out

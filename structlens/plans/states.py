@@ -49,7 +49,7 @@ def language_alias(s, d):
     """WITH f AS (SELECT 'w' || (p_partkey % 5) || '/a' || (p_partkey % 7) || '/b/f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.rs' ELSE '.py' END AS file_path, p_partkey AS k FROM part),
     m AS (SELECT file_path, k, k % 2 = 0 AS rust, 'w' || (k % 5) AS d1, 'w' || (k % 5) || '/a' || (k % 7) AS d2 FROM f)
     SELECT file_path, CASE WHEN rust THEN 'rust' ELSE 'python' END AS language,
-      CASE WHEN rust AND k % 5 < 2 THEN d1 WHEN rust AND k % 7 < 3 THEN d2 WHEN NOT rust AND k % 7 >= 5 THEN d2 WHEN NOT rust AND k % 5 = 3 THEN d1 WHEN k % 5 = 4 THEN d1 END AS root FROM m""",
+      CASE WHEN rust AND k % 5 = 0 THEN d1 WHEN rust AND k % 7 < 3 THEN d2 WHEN rust AND k % 5 = 1 THEN d1 WHEN NOT rust AND k % 7 >= 5 THEN d2 WHEN NOT rust AND k % 5 = 3 THEN d1 WHEN k % 5 = 4 THEN d1 ELSE '' END AS root FROM m""",
 )
 def root_detection(s, d):
     k = F.col("p_partkey")
@@ -57,7 +57,7 @@ def root_detection(s, d):
     path = F.concat(F.lit("w"), st(k % 5), F.lit("/a"), st(k % 7), F.lit("/b/f"), st(k), F.when(k % 2 == 0, ".rs").otherwise(".py"))
     files = t.table(s, d, "part").select(path.alias("file_path"), F.when(k % 2 == 0, "rust").otherwise("python").alias("language"))
     there = [f"w{a}/Cargo.toml" for a in (0, 1)] + [f"w{a}/a{b}/Cargo.toml" for a in range(5) for b in (0, 1, 2)] + [f"w{a}/a{b}/setup.py" for a in range(5) for b in (5, 6)] + ["w3/pyproject.toml", "w4/.git"]
-    return src.detect_roots(files, s.createDataFrame([(p,) for p in there], "path string"), s)
+    return src.detect_roots(files, s.createDataFrame([(p, p == "w0/Cargo.toml") for p in there], "path string, workspace boolean"), s)
 
 
 @query("module_summary", f"{_P}, f AS (SELECT DISTINCT path FROM paths), s AS (SELECT path, count(*) AS n FROM paths WHERE part_id % 3 = 0 GROUP BY path), m AS (SELECT string_split(path, '/')[1] AS module, n FROM f LEFT JOIN s USING (path)) SELECT module, count(*) AS n_files, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_functions FROM m WHERE NOT contains(module, '.') GROUP BY module")

@@ -326,6 +326,6 @@ def workspace_edit(s, d):
     return edit.apply_edits(files.select("file_path", "source"), one.unionByName(two))
 
 
-@query("edit_preview", "SELECT count(*) AS n_edits, count(DISTINCT l_orderkey) AS n_files FROM lineitem")
+@query("edit_preview", "SELECT count(*) AS n_edits, count(DISTINCT l_orderkey) AS n_files, count(DISTINCT l_suppkey) AS n_groups FROM lineitem")
 def edit_preview(s, d):
-    return edit.preview(t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("file_path")))
+    return edit.preview(t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("file_path"), F.col("l_suppkey").alias("group_id")))

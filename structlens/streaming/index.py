@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,21 +16,21 @@ STATE = "version timestamp, signature_hash string, content_hash string"
 def _classify(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get if state.exists else None
     for frame in frames:
-        out = []
-        for row in frame.sort_values("version", kind="stable").itertuples():
-            if last is not None and row.version.to_pydatetime() < last[0]:
-                continue  # older than what is known: late, and ignored
-            if last is None:
-                change = "FullUpdate"
-            elif row.content_hash == last[2]:
-                change = "Skip"
-            elif row.signature_hash == last[1]:
-                change = "PartialUpdate"
-            else:
-                change = "ArchitectureUpdate"
-            last = (row.version.to_pydatetime(), row.signature_hash, row.content_hash)
-            out.append((key[0], row.version, change))
-        yield pd.DataFrame(out, columns=["path", "version", "change"])
+        rows = frame.sort_values("version", kind="stable")
+        if last is not None:
+            rows = rows[rows["version"] >= pd.Timestamp(last[0])]  # older than what is known: late, and ignored
+        if rows.empty:
+            continue
+        before = [(None, None)] if last is None else [last[1:]]
+        signature = [before[0][0], *rows["signature_hash"]]
+        content = [before[0][1], *rows["content_hash"]]
+        pairs = pd.DataFrame({"s0": signature[:-1], "s1": signature[1:], "c0": content[:-1], "c1": content[1:]}, dtype=object)
+        change = pd.Series("ArchitectureUpdate", index=pairs.index).mask(pairs["s0"] == pairs["s1"], "PartialUpdate").mask(pairs["c0"] == pairs["c1"], "Skip")
+        if last is None:
+            change.iloc[0] = "FullUpdate"
+        newest = rows.iloc[-1]
+        last = (newest["version"].to_pydatetime(), newest["signature_hash"], newest["content_hash"])
+        yield pd.DataFrame({"path": key[0], "version": rows["version"].to_numpy(), "change": change.to_numpy()})
     if last is not None:
         state.update(last)
 
@@ -40,30 +40,72 @@ def classify_stream(versions: DataFrame) -> DataFrame:
     return versions.groupBy("path").applyInPandasWithState(_classify, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def latest_per_path(versions: DataFrame) -> DataFrame:
-    """The last version of each path: the index that a stream leaves behind. Tombstones (deleted true) remove a path."""
+def latest_per_path(versions: DataFrame, *, tombstones: bool = False) -> DataFrame:
+    """The last version of each path: the index that a stream leaves behind. Tombstones (deleted true) remove a path, or stay, marked."""
     last = versions.groupBy("path").agg(F.max_by(F.struct("version", "signature_hash", "content_hash", "deleted"), F.struct("version", "signature_hash", "content_hash")).alias("x"))
-    return last.select("path", "x.*").where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
+    rows = last.select("path", "x.*").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    return rows if tombstones else rows.where(~F.col("deleted")).drop("deleted")
+
+
+BUCKETS = 64
+SCHEMA = "path string, version timestamp, signature_hash string, content_hash string, deleted boolean"
+
+
+def _current(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """For each bucket the folder of the last complete batch (before one) that wrote it: at most ``BUCKETS``."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[str, tuple[int, str]] = {}
+    for done in system.globStatus(jvm.org.apache.hadoop.fs.Path(where, "v=*/_SUCCESS")) or []:
+        folder = done.getPath().getParent()
+        batch = int(folder.getName().removeprefix("v="))
+        if before is not None and batch >= before:
+            continue
+        for bucket in system.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "bucket=*")) or []:
+            name = bucket.getPath().getName()
+            newest[name] = max(newest.get(name, (-1, "")), (batch, bucket.getPath().toString()))
+    return [folder for _, folder in newest.values()]
+
+
+def _newest_batch(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "v=*/_SUCCESS")) or []
+    return max((int(d.getPath().getParent().getName().removeprefix("v=")) for d in done), default=-1)
+
+
+def read_merged(spark: SparkSession, path: str, *, tombstones: bool = False) -> DataFrame:
+    """The index that :func:`merge_batches` keeps below ``path``."""
+    folders = _current(spark, path)
+    rows = spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
+    return rows if tombstones else rows.where(~F.col("deleted")).drop("deleted")
 
 
 def merge_batches(stream: DataFrame, path: str, checkpoint: str):
     """Start a query that merges each micro-batch into the Parquet index below ``path``.
 
-    A batch writes version ``batch_id`` of the index as a new folder, so repeating a batch after a failure
-    repeats the same write; readers take the highest folder that is complete.
+    Paths are dealt to ``BUCKETS`` by their hash, and a batch ``n`` writes only the buckets that it touches, as ``v=n/bucket=k``; readers take
+    the newest complete folder of each bucket. Repeating a batch after a failure repeats the same write. A batch whose predecessor isn't there
+    is an error, not an empty index. Tombstones stay, so that a late event doesn't bring a path back.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch_id and _newest_batch(spark, path) < batch_id - 1:
+            raise RuntimeError(f"batch {batch_id - 1} of the index below {path} is missing")
+        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+        rows = batch.select("path", "version", "signature_hash", "content_hash", F.coalesce("deleted", F.lit(False)).alias("deleted")).withColumn("bucket", bucket).persist()
         try:
-            before = spark.read.parquet(f"{path}/v={batch_id - 1}") if batch_id else None
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            before = None
-        rows = batch.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-        if before is not None:
-            rows = rows.unionByName(before.withColumn("deleted", F.lit(False)))
-        latest_per_path(rows).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+            touched = {f"bucket={r.bucket}" for r in rows.select("bucket").distinct().collect()}
+            known = [f for f in _current(spark, path, batch_id) if f.rsplit("/", 1)[1] in touched]
+            if known:
+                rows_and_known = rows.drop("bucket").unionByName(spark.read.schema(SCHEMA).parquet(*known))
+            else:
+                rows_and_known = rows.drop("bucket")
+            last = latest_per_path(rows_and_known, tombstones=True).withColumn("bucket", bucket)
+            last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

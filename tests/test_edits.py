@@ -39,6 +39,18 @@ def test_out_of_bounds_raises(spark):
         edit.replace_lines(_frame(spark, {"f": ["a", "b"]}), e).collect()
 
 
+def test_inserts_and_deletions_out_of_bounds_raise(spark):
+    lines = _frame(spark, {"f": ["a", "b"]})
+    at = lambda n: spark.createDataFrame([("f", n, "x")], "file_path string, line int, content string")
+    assert _back(edit.insert_at_line(lines, at(3))) == {"f": ["a", "b", "x"]}
+    for n in (0, 4):
+        with pytest.raises(Exception, match="out of bounds"):
+            edit.insert_at_line(lines, at(n)).collect()
+    for a, z in ((0, 1), (2, 1), (1, 3)):
+        with pytest.raises(Exception, match="out of bounds"):
+            edit.delete_lines(lines, spark.createDataFrame([("f", a, z)], "file_path string, start_line int, end_line int")).collect()
+
+
 def test_move_symbol(spark):
     lines = _frame(spark, {"a": ["one", "fn x", "body", "two"], "b": ["fn y", "end"]})
     sym = spark.createDataFrame([("a", "x", 1, 2, 0), ("b", "y", 0, 1, 0)], "file_path string, name string, line_start int, line_end int, seq int")

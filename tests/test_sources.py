@@ -43,3 +43,43 @@ def test_toml_config(spark, tmp_path):
     (tmp_path / "c.toml").write_text('[languages.rust]\nserver_binary = "ra"\nserver_args = ["-v"]\n[languages.go]\nenabled = false\n')
     rows = {r.language: r for r in config.load_toml(spark, str(tmp_path / "c.toml")).collect()}
     assert rows["rust"].binary == "ra" and rows["rust"].args == ["-v"] and rows["go"].enabled is False
+
+
+def test_gitignore(spark, tmp_path):
+    for name, data in {".gitignore": "target/\n*.log.py\n!keep.log.py\n/top.rs\ndocs/**/gen_?.py\n# note\n", "target/a.rs": "x", "src/target/b.rs": "x", "src/c.log.py": "x", "src/keep.log.py": "x", "top.rs": "x", "src/top.rs": "x", "docs/a/b/gen_1.py": "x", "docs/gen_22.py": "x", "sub/.gitignore": "own.rs\n", "sub/own.rs": "x", "sub/deep/own.rs": "x", "src/own.rs": "x"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(data)
+    assert {r.file_path for r in files.scan_files(spark, str(tmp_path)).collect()} == {"src/keep.log.py", "src/top.rs", "docs/gen_22.py", "src/own.rs"}
+    assert files.scan_files(spark, str(tmp_path), gitignore=False).count() == 11
+
+
+def test_scan_counters(spark):
+    rows = spark.createDataFrame([(f"f{i}", "not UTF-8" if i < 7 else None) for i in range(9)], "file_path string, error string")
+    r = files.scan_counters(rows).first()
+    assert (r.supported, r.failed, r.failures) == (9, 7, "\n".join(f"f{i}: not UTF-8" for i in range(5)))
+
+
+def test_versions_and_cache(spark, tmp_path):
+    path = str(tmp_path / "t")
+    a = spark.createDataFrame([("a", 1), ("b", 1)], "path string, mtime int")
+    assert sinks.load_cache(spark, path, a.schema).count() == 0
+    assert sinks.write_version(a, path, prune=True, keys=["path"]) == 1
+    assert sinks.write_version(spark.createDataFrame([("b", 2)], a.schema), path, prune=False, keys=["path"]) == 2
+    assert {tuple(r) for r in sinks.read_version(spark, path).collect()} == {("a", 1), ("b", 2)}
+    (tmp_path / "t" / "v=3").mkdir()  # not complete: nobody reads it
+    assert sinks.read_version(spark, path).count() == 2
+    assert sinks.load_cache(spark, path, a.schema).count() == 2 and sinks.load_cache(spark, path, a.withColumn("size", a.mtime).schema).count() == 0
+
+
+def test_graph_sink(spark, tmp_path):
+    nodes = spark.createDataFrame([("n", "p")], "name string, project string")
+    edges = spark.createDataFrame([("a", "b", "contains"), ("a", "c", "imports")], "source string, target string, relation string")
+    sinks.write_graph(nodes, edges, str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g" / "edges")).where("relation = 'imports'").first().target == "c"
+
+
+def test_deno_stop_at_and_markers(spark):
+    f = spark.createDataFrame([("x/a/m.ts", "typescript"), ("x/a/m.cs", "csharp"), ("x/b/m.hs", "haskell")], "file_path string, language string")
+    there = spark.createDataFrame([("x/a/deno.json",), ("x/a/package.json",), ("x/package.json",), ("package.json",), ("x/a/Own.csproj",)], "path string")
+    got = {r.file_path: r.root for r in files.detect_roots(f, there, spark, stop_at="x").collect()}
+    assert got == {"x/a/m.ts": "x", "x/a/m.cs": "x/a", "x/b/m.hs": "x"}
