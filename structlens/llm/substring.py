@@ -95,10 +95,9 @@ def _survey(window: int, phrase: int):
     return work
 
 
-def _occurrences(text: str, spaces: np.ndarray, automaton) -> np.ndarray:
-    """Word numbers at which a phrase of the automaton starts; ``text`` begins and ends with a space."""
-    starts = np.fromiter((end - size + 1 for end, size in automaton.iter(text)), np.int64)
-    return np.unique(np.searchsorted(spaces, starts))
+def _occurrences(text: str, automaton) -> np.ndarray:
+    """Characters at which a phrase of the automaton starts; ``text`` begins and ends with a space."""
+    return np.fromiter((end - size + 1 for end, size in automaton.iter(text)), np.int64)
 
 
 def _spaces(text: str) -> np.ndarray:
@@ -108,25 +107,23 @@ def _spaces(text: str) -> np.ndarray:
 
 
 def _shards(batches, phrase: int, window: int, shard_chars: int):
-    """Lists of (row, text, spaces, hashes, phrase hashes, anchor per window) and the recurring phrases in them."""
+    """Lists of (id, k, text, text between spaces) and the recurring phrases in them."""
     rows, phrases, read, chars = [], {}, set(), 0
     for batch in small(batches):
         for doc_id, k, t, recurring in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
             norm = normal(t)
-            h = word_hashes(norm)
-            g, low = anchors(h, window, phrase)
             text = " " + norm.decode("utf-8", "surrogatepass") + " "
-            spaces = _spaces(text)
             wanted = [x for x in recurring.as_py() or () if x not in read]
             if wanted:
                 # the first place of each phrase that no document before had; the automaton finds all others
-                places = np.flatnonzero(np.isin(g, np.asarray(wanted, np.int64).view(np.uint64)))
+                g, _ = anchors(word_hashes(norm), window, phrase)
+                places, spaces = np.flatnonzero(np.isin(g, np.asarray(wanted, np.int64).view(np.uint64))), _spaces(text)
                 for p in places[np.unique(g[places], return_index=True)[1]].tolist():
                     own = text[spaces[p] : spaces[p + phrase] + 1]
                     phrases[own] = len(own)
                     chars += len(own)
                 read.update(wanted)
-            rows.append((doc_id, k, t, text, spaces, h, g, low))
+            rows.append((doc_id, k, t, text))
             chars += len(text)
             if chars >= shard_chars:
                 yield rows, phrases
@@ -169,10 +166,13 @@ def _locate(window: int, phrase: int, shard_chars: int):
             if automaton is None:
                 continue
             ids, ks, texts, at, one, two = [], [], [], [], [], []
-            for doc_id, k, t, text, spaces, h, g, low in rows:
-                if not len(low):
+            for doc_id, k, t, text in rows:
+                starts = _occurrences(text, automaton)
+                if not len(starts):
                     continue
-                p = _located(g, low, _occurrences(text, spaces, automaton), window, phrase)
+                h = word_hashes(text.encode("utf-8", "surrogatepass"))
+                g, low = anchors(h, window, phrase)
+                p = _located(g, low, np.unique(np.searchsorted(_spaces(text), starts)), window, phrase)
                 if len(p):
                     ids.append(doc_id)
                     ks.append(k)
