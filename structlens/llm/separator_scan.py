@@ -7,9 +7,11 @@ summaries (running maximum of the last separator, running sum of the number of s
 blocks, then over files in name order) carries into every block where its first document began and which document
 it is, so a document may span any number of blocks, and a file any number of tasks.
 
-Files are written by Spark's own committing writer, so a lost executor leaves no partial file. Files of up to ``WHOLE_BYTES`` are read by
-Spark's own reader, from any file system that it knows, and cut into blocks in the task; longer ones by byte ranges, through Arrow's file
-systems. The flat files know nothing of documents' ids: the same tasks write them, in the same order, beside them
+Files are written by Spark's own committing writer, so a lost executor leaves no partial file. Blocks are read by their byte ranges, with a block's
+memory, from every file system that Arrow knows (``RANGED``); from others Spark's own reader brings whole files, which the task cuts into
+blocks, so these should be of moderate size.
+
+The flat files know nothing of documents' ids: the same tasks write them, in the same order, beside them
 (``kind=ids``), so that a count can be given to its document.
 
 Defined results: a null or empty text is a document of no tokens; two separators in a row enclose one; tokens after the
@@ -20,6 +22,9 @@ tokenizer also gives inside a text can't be told from an end, as in any such fil
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +38,8 @@ from . import _work
 from .token_output import encoded
 
 BLOCK_TOKENS = 1 << 20
-WHOLE_BYTES = 128 << 20
+#: Schemes of paths whose files are read by ranges.
+RANGED = ("file", "hdfs", "viewfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
@@ -131,22 +137,25 @@ def _scan_ranges(end_id: int, width: int):
     def work(batches):
         for batch in batches:
             for path, block, first, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                where, name = fs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:///") else path.replace("file:/", "/", 1) if path.startswith("file:/") else path.replace("s3a://", "s3://", 1))
+                where, name = fs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:///") else path.replace("file:/", "/", 1) if path.startswith("file:/") else re.sub("^s3a:", "s3:", path))
                 with where.open_input_file(name) as f:
                     yield _found(path, block, first, np.frombuffer(f.read_at(width * tokens, width * first), f"<u{width}"), end_id)
 
     return work
 
 
-def documents(files: DataFrame, *, end_id: int = 2, width: int = 2, block_tokens: int = BLOCK_TOKENS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+def documents(files: DataFrame, *, end_id: int = 2, width: int = 2, block_tokens: int = BLOCK_TOKENS, ranged: Sequence[str] = RANGED) -> DataFrame:
     """path, ordinal (over all files, in name order), nth (in its file), start (token in its file), n_tokens (without the end
     id) and ended."""
     schema = "path string, block long, tokens long, n long, last long, ends array<long>"
-    whole = files.where(F.col("size") <= whole_bytes).select("path", "content").mapInArrow(_scan_whole(end_id, width, block_tokens), schema)
-    cut = blocks(files.where(F.col("size") > whole_bytes).select("path", "size"), block_tokens, width)
-    ranges = cut.repartition("path", "block").mapInArrow(_scan_ranges(end_id, width), schema)
+    by_range = F.regexp_extract("path", "^([a-z0-9]+):", 1).isin("", *ranged)
+    cut = blocks(files.where(by_range).select("path", "size"), block_tokens, width)
+    found = cut.repartition("path", "block").mapInArrow(_scan_ranges(end_id, width), schema)
+    # asked of the listing first: a plan with contents reads them, whatever is left of them
+    if files.where(~by_range).select("path").take(1):
+        found = found.unionByName(files.where(~by_range).select("path", "content").mapInArrow(_scan_whole(end_id, width, block_tokens), schema))
     with _work.batches_of(files.sparkSession, 1):  # a file is a row
-        found = _work.keep(whole.unionByName(ranges), "separators")
+        found = _work.keep(found, "separators")
     summary = found.select("path", "block", "tokens", "n", "last")
     ahead = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select("path", "block", F.coalesce(F.max("last").over(ahead) + 1, F.lit(0)).alias("begin"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))

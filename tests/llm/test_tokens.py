@@ -102,9 +102,9 @@ def test_counts_are_given_to_their_documents(spark, awkward, tk):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == sorted((-1 if r[0] is None else r[0], len(_ids(tk, r[1]))) for r in awkward_rows())
 
 
-@pytest.mark.parametrize("whole", [0, 1 << 20])
+@pytest.mark.parametrize("ranged", [(), ("file",)])
 @pytest.mark.parametrize("block", [1, 3, 1000])
-def test_scan_of_any_blocks(spark, tmp_path, block, whole):
+def test_scan_of_any_blocks(spark, tmp_path, block, ranged):
     rng = np.random.default_rng(block)
     want = []
     for k, n in enumerate([0, 1, 50, 200]):
@@ -116,7 +116,7 @@ def test_scan_of_any_blocks(spark, tmp_path, block, whole):
             last = e
         if last + 1 < n:
             want.append((f"f{k}.bin", last + 1, n - last - 1, False))
-    got = separator_scan.documents(separator_scan.flat_files(spark, str(tmp_path)), block_tokens=block, whole_bytes=whole).collect()
+    got = separator_scan.documents(separator_scan.flat_files(spark, str(tmp_path)), block_tokens=block, ranged=ranged).collect()
     got = sorted((r.ordinal, r.path.rsplit("/", 1)[1], r.start, r.n_tokens, r.ended) for r in got)
     assert [g[1:] for g in got] == want and [g[0] for g in got] == list(range(len(want)))
 
