@@ -122,10 +122,10 @@ def best_fit(docs: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = 4
     ``cluster`` is the duplicate cluster of a row (default: a hash of the text, so copies never share a bin).
     ``copy`` numbers rows that are the same.
     """
-    own = F.xxhash64(F.col(text_col).cast("string")) if cluster is None else cluster
     source = F.xxhash64(source_col) if one_per_source else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(source_col).isNotNull(), source).alias("s"), own.alias("c"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), size_of(F.col(text_col)).alias("size"))
-    rows = rows.where("size > 0").groupBy("doc_id", "s", "c", "h", "size").agg(F.count(F.lit(1)).alias("same"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(source_col).isNotNull(), source).alias("s"), *([] if cluster is None else [cluster.alias("c")]), F.xxhash64(F.col(text_col).cast("string")).alias("h"), size_of(F.col(text_col)).alias("size"))
+    rows = rows.where("size > 0").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("same"))
+    rows = rows if cluster is not None else rows.withColumn("c", F.col("h"))
     rows = _work.keep(rows, "packing")
     per, block = F.lit(capacity).cast("long"), F.lit(SAME_ROWS).cast("long")
     n = rows.agg(F.sum(F.ceil(F.col("size") / per) * F.col("same"))).first()[0] or 0
