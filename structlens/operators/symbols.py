@@ -84,12 +84,14 @@ def masked(lines: DataFrame) -> DataFrame:
             .otherwise(slashes(_SINGLE))
         )
 
-    rest = without(line)
+    # most lines have neither quotes nor comments
+    plain = ~(line.contains('"') | line.contains("'") | line.contains("`") | line.contains("/") | line.contains("#") | line.contains("--"))
     slashed = ~lang.isin(*_HASH, *_DASH)
     # what a line leaves open: a block comment until the next end of one, a long string until the next mark
+    rest = F.col("rest")
     left = F.when(slashed, F.when(rest.contains("/*"), 1).when(line.contains("*/"), 0))
     marks = F.when(lang == "python", F.regexp_count(rest, F.lit("\"\"\"|'''"))).otherwise(0)
-    rows = lines.withColumns({"rest": rest, "left": left, "marks": marks})
+    rows = lines.withColumn("rest", F.when(plain, line).otherwise(without(line))).withColumns({"left": left, "marks": marks})
     inside = F.when(lang == "python", F.coalesce(F.sum("marks").over(w), F.lit(0)) % 2 == 1).otherwise(F.coalesce(F.last("left", ignorenulls=True).over(w), F.lit(0)) == 1)
     rows = rows.withColumn("inside", inside)
     ended = F.when(slashed, F.regexp_extract(line, r"\*/(.*)$", 1)).otherwise(F.regexp_extract(line, "(?:\"\"\"|''')(.*)$", 1))
@@ -149,14 +151,11 @@ def _ends(language: str | None, rows: dict[str, np.ndarray]) -> list[int]:
 _PASSED = ("lead", "solid", "depth_in", "depth_out", "middle", "ender", "opens")
 
 
-def _files(batches):
-    """(table of one file, its language, its shape) for each file."""
+def _tables(batches):
+    """(table of whole files, where each file begins and ends, shapes) of sorted batches."""
     for table in whole_groups(batches):
         starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
-        arrays = {c: table.column(c).to_numpy() for c in _PASSED}
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            own = table.slice(a, b - a)
-            yield own, own.column("language")[0].as_py(), {c: v[a:b] for c, v in arrays.items()}
+        yield table, list(zip(starts[:-1], starts[1:], strict=True)), {c: table.column(c).to_numpy() for c in _PASSED}
 
 
 def block_ends(lines: DataFrame) -> DataFrame:
@@ -165,31 +164,39 @@ def block_ends(lines: DataFrame) -> DataFrame:
     names = lines.columns
 
     def work(batches):
-        for own, language, rows in _files(batches):
-            first = own.column("line_no")[0].as_py()
-            ends = pa.array(np.asarray(_ends(language, rows)) + first, pa.int32())
-            yield from own.select(names).append_column("line_end", ends).to_batches()
+        for table, files, shapes in _tables(batches):
+            numbers, languages = table.column("line_no").to_numpy(), table.column("language").to_pylist()
+            ends = np.empty(table.num_rows, np.int32)
+            for a, b in files:
+                ends[a:b] = np.asarray(_ends(languages[a], {c: v[a:b] for c, v in shapes.items()})) + numbers[a]
+            yield from table.select(names).append_column("line_end", pa.array(ends)).to_batches()
 
     return wide.mapInArrow(work, T.StructType([*lines.schema.fields, T.StructField("line_end", T.IntegerType())]))
 
 
-def _declared(c: Column) -> tuple[Column, Column]:
-    """Kind and name of what a line declares: one generated CASE per language, so that a line meets its own language's patterns only."""
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for lang, rules in [*PATTERNS.items(), (None, GENERIC)]:
-        k, n = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for what, pattern in reversed(rules):
-            hit = c.rlike(pattern)
-            k, n = F.when(hit, what).otherwise(k), F.when(hit, F.regexp_extract(c, pattern, 1)).otherwise(n)
-        own = F.col("language") == lang if lang else ~F.coalesce(F.col("language"), F.lit("")).isin(*PATTERNS)
-        kind, name = F.when(own, k).otherwise(kind), F.when(own, n).otherwise(name)
-    return kind, name
+def _declared(lines: DataFrame) -> DataFrame:
+    """Adds kind and name of what a line's text declares (null if nothing): one generated CASE per language finds the first pattern that
+    matches, so that a line meets its own language's patterns only and each of them once."""
+    rules = [(lang, what, pattern) for lang, own in [*PATTERNS.items(), (None, GENERIC)] for what, pattern in own]
+    number = F.lit(None).cast("int")
+    for lang in [*PATTERNS, None]:
+        mine = F.lit(None).cast("int")
+        for i, (of, _, pattern) in reversed(list(enumerate(rules))):
+            if of == lang:
+                mine = F.when(F.col("text").rlike(pattern), i).otherwise(mine)
+        is_own = F.col("language") == lang if lang else ~F.coalesce(F.col("language"), F.lit("")).isin(*PATTERNS)
+        number = F.when(is_own, mine).otherwise(number)
+    name = F.lit(None).cast("string")
+    for i, (_, _, pattern) in enumerate(rules):
+        name = F.when(F.col("rule") == i, F.regexp_extract("text", pattern, 1)).otherwise(name)
+    kinds = F.array(*[F.lit(what) for _, what, _ in rules])
+    rows = lines.withColumn("rule", number)
+    return rows.withColumns({"kind": F.get(kinds, F.col("rule")), "name": F.when(F.col("rule").isNotNull(), name)}).drop("rule")
 
 
 def declarations(lines: DataFrame) -> DataFrame:
     """Lines (file_path, language, line_no, text) that declare something, with kind, name and column_start."""
-    kind, name = _declared(F.col("text"))
-    out = lines.withColumn("kind", kind).withColumn("name", name).where("kind IS NOT NULL AND name <> ''")
+    out = _declared(lines).where("kind IS NOT NULL AND name <> ''")
     cut = F.when(F.col("kind") == "Import", F.decode(F.substring(F.encode("name", "UTF-8"), 1, 200), "UTF-8")).otherwise(F.col("name"))
     return out.withColumn("name", cut).withColumn("column_start", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
 
@@ -253,6 +260,8 @@ _IMPL = re.compile(r"\s*(?:unsafe\s+)?impl\b")
 
 def _heads(language: str | None, rows: dict[str, np.ndarray], kinds: list, names: list, texts: list[str], code: list[str], inside: list[bool]):
     """The symbols of one file as rows without path and language; lines from 0."""
+    if all(k is None for k in kinds):
+        return
     ends, into = _ends(language, rows), rows["depth_in"].tolist()
     closed = first_at_most(rows["depth_out"].tolist(), into, own=True)
     around: list[tuple[int, int, str, bool]] = []  # the blocks that a line is in: first and last line, name, is it an impl
@@ -296,17 +305,19 @@ def extract_symbols(lines: DataFrame) -> DataFrame:
     data model that this follows; members of other types are functions with an empty scope. In a language without patterns of its own, a
     symbol within another has that one as scope, and there is nothing below these.
     """
-    kind, name = _declared(F.col("text"))
-    wide = in_file_order(_shaped(lines.select("file_path", "language", "line_no", "text")).withColumn("kind", kind).withColumn("name", name), "line_no")
+    wide = in_file_order(_declared(_shaped(lines.select("file_path", "language", "line_no", "text"))), "line_no")
 
     def work(batches):
-        for own, language, rows in _files(batches):
-            kinds = own.column("kind")
-            if kinds.null_count == len(kinds):
+        for table, files, shapes in _tables(batches):
+            if table.column("kind").null_count == table.num_rows:
                 continue
-            columns = [own.column(c).to_pylist() for c in ("name", "text", "code", "inside")]
-            first, path = own.column("line_no")[0].as_py(), own.column("file_path")[0].as_py()
-            found = [(path, language, i + first, end + first, *rest, parent if parent is None else parent + first) for i, end, *rest, parent in _heads(language, rows, kinds.to_pylist(), *columns)]
+            columns = [table.column(c).to_pylist() for c in ("kind", "name", "text", "code", "inside")]
+            paths, languages, numbers = (table.column(c).to_pylist() for c in ("file_path", "language", "line_no"))
+            found = []
+            for a, b in files:
+                first = numbers[a]
+                for i, end, *rest, parent in _heads(languages[a], {c: v[a:b] for c, v in shapes.items()}, *(c[a:b] for c in columns)):
+                    found.append((paths[a], languages[a], i + first, end + first, *rest, parent if parent is None else parent + first))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
