@@ -14,8 +14,8 @@ over every whole text, and a text's score needs nothing but the text.
 
 Defined results: a null or empty text gets the score of a text without any known
 feature; rows without an id are never held out and never train; null labels are no labels;
-repeated rows are scored one by one; without positives every score is the prior (0 if
-there are no labels); an empty table gives an empty result; other columns are ignored.
+repeated rows are scored one by one; without features that tell positives apart every score is the prior, at most a half, so that nothing is
+rejected without evidence (0 if there are no positives at all); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n_rows = rows.count()
     if not n_toxic or not n_rows:
         return Model({}, -50.0)
-    prior = min(max(n_toxic / n_known, 1e-6), 1 - 1e-6)
+    prior = (n_toxic + 1) / (n_known + 2)  # Laplace's rule: a few labels of one kind prove nothing about all
     part = lambda c, seed, n, of: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, n / of) * (1 << 30))
     chosen = marks.where("toxic = 1").where(part("l_id", 11, positives, n_toxic)).select("l_id")
     # about ``positives`` ids by the filter above, so the side is small and the texts are not shuffled
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = spread(_work.keep(pos.unionByName(unl), "toxicity"))
     n_pos, n_unl = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not n_pos or not n_unl:
-        return Model({}, float(np.log(prior / (1 - prior))))
+        return Model({}, min(0.0, float(np.log(prior / (1 - prior)))))
     names = _pick_features(sample, n_pos, n_unl, features, least, z)
     index = {f: i for i, f in enumerate(names)}
 
@@ -180,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     lists, y = table.column("f").to_pylist(), np.asarray(table.column("positive").to_pylist(), bool)
     arrays = [np.asarray(x, np.int64) for x in lists]
     w, b = fit(SparseRows([a for a, p in zip(arrays, y, strict=True) if p]), SparseRows([a for a, p in zip(arrays, y, strict=True) if not p]), len(names), prior, **options)
-    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, b)
+    weights = {f: float(w[i]) for f, i in index.items() if w[i]}
+    return Model(weights, b if weights else min(0.0, b))
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,6 +34,24 @@ def test_stages(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, last))
 
 
+def test_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
+    import re
+
+    labels = spark.createDataFrame([(5, 1, None), (14, 0, 1), (14, 0, 1), (None, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("awkward", awkward), ("empty", empty)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        before = docs
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            after = _work.keep(function(spark, before, str(tmp_path / name)), stage)
+            assert after.columns == docs.columns
+            before = after
+        words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in before.collect()}
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in rows} == {i for i, n in words.items() if n} and all(0 < r.n_words <= 2048 for r in rows)
+        assert (name == "awkward") == bool(rows)
+
+
 def test_the_rest_imports_without_the_subpackage(tmp_path):
     root = Path(corpus_pipeline.__file__).parent
     subprocess.run(["cp", "-r", str(root / "structlens"), str(root / "__spark_entry__.py"), str(tmp_path)], check=True)

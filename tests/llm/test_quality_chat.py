@@ -66,8 +66,9 @@ def test_bad_documents_go_and_few_good_ones(spark):
 
 
 def test_plan_is_native(spark, awkward):
-    plan = quality.base_statistics(awkward)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    for df in (quality.base_statistics(awkward), quality.judge(awkward, labels)):
+        assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
 
 
 def _digest(turns):
