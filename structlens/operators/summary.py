@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .graph import shared_folder
 
 
 def count_by_kind(symbols: DataFrame) -> DataFrame:
@@ -71,6 +74,10 @@ def project_report(name: str, root: str, files: DataFrame, symbols: DataFrame) -
     What is listed are languages, modules, entry points and key types: as many rows as a project has of them.
     """
     spark = files.sparkSession
+    # read by every section: four narrow columns, written once to the shared folder
+    path = f"{shared_folder(spark)}/structlens/report-{uuid.uuid4().hex}"
+    symbols.select("file_path", "name", "kind", "doc_comment").write.parquet(path)
+    symbols = spark.read.parquet(path)
     one = project_summary(files, symbols)
     s = lambda c: F.col(c).cast("string")
     languages = files_by_language(files).select("n_files", text.display_name(F.col("language")).alias("language"))
