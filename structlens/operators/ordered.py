@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str = "file_path") -> Iterator[pa.Table]:
     """Tables that hold all rows of one or more groups of sorted batches; a group is never torn apart."""
@@ -73,5 +75,6 @@ def first_at_most(level: Sequence[int], limit: Sequence[int], *, candidate: Sequ
 
 
 def in_file_order(rows: DataFrame, *order: str) -> DataFrame:
-    """All rows of a file in one partition, in order."""
+    """All rows of a file in one partition, in order, for a pass in Python workers that know the package."""
+    ship(rows.sparkSession)
     return rows.repartition(F.col("file_path")).sortWithinPartitions("file_path", *order)

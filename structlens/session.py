@@ -13,15 +13,17 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers once per application, unless their path already has it.
+    """Send the package to the workers once per application, as an archive.
 
-    Workers inherit the driver's PYTHONPATH and working folder in local and standalone mode; where neither holds the
-    package, Spark distributes it as an archive.
+    Only in local mode are the driver's PYTHONPATH and working folder known to be the workers' too; nothing is sent where
+    one of them holds the package.
     """
     root = Path(__file__).resolve().parent.parent
-    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED or any(p and Path(p).resolve() == root for p in seen):
+    if app in _SHIPPED:
+        return
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if spark.sparkContext.master.split("[")[0] == "local" and any(p and Path(p).resolve() == root for p in seen):
         return
     archive = Path(tempfile.mkdtemp(prefix="structlens-")) / "structlens_package.zip"
     with zipfile.ZipFile(archive, "w") as z:

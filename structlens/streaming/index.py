@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import ship
+
 RESULT = "path string, version timestamp, change string"
 STATE = "version timestamp, signature_hash string, content_hash string"
 
@@ -37,6 +39,7 @@ def _classify(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
 
 def classify_stream(versions: DataFrame) -> DataFrame:
     """path, version, change for a stream of (path, version, signature_hash, content_hash)."""
+    ship(versions.sparkSession)
     return versions.groupBy("path").applyInPandasWithState(_classify, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
