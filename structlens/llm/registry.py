@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, embedding_dedup, mixing, packing, quality, separator_scan, simhash, substring, token_output, toxicity
+from . import chat, embedding_dedup, mixing, packing, quality, separator_scan, simhash, substring, token_output, toxicity, whitening
 
 _MODULES = {
     "op1_token_output": token_output,
@@ -20,6 +20,7 @@ _MODULES = {
     "op8_substring_dedup": substring,
     "op9_quality_rules": quality,
     "op10_chat_format": chat,
+    "op11_whitening": whitening,
 }
 
 
