@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, embedding_dedup, mixing, packing, quality, separator_scan, simhash, substring, token_output, toxicity, whitening
+from . import chat, embedding_dedup, mixing, packing, quality, repair, separator_scan, simhash, substring, term_prints, token_output, toxicity, whitening
 
 _MODULES = {
     "op1_token_output": token_output,
@@ -21,6 +21,8 @@ _MODULES = {
     "op9_quality_rules": quality,
     "op10_chat_format": chat,
     "op11_whitening": whitening,
+    "op12_term_prints": term_prints,
+    "op13_repair": repair,
 }
 
 
