@@ -229,11 +229,12 @@ def within(prints: DataFrame, queries: DataFrame, *, radius: int = RADIUS, chunk
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against its edited text and its successor; ``n_within``, for ids divisible by 20, counts the other documents within 3 bits."""
     found = _work.keep(with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prints-of-documents")
-    queries = found.where("doc_id % 20 = 0")
+    asking = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    queries = found.where(asking)
     near = within(found.select("fp"), queries)
-    key = F.when(F.col("doc_id") % 20 == 0, F.col("fp"))
+    counted = queries.join(near, queries["fp"] == near["asked"]).withColumn("n_within", F.col("hits") - 1).drop("asked", "hits")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return found.join(near, key == near["asked"], "left").select(
+    return counted.unionByName(found.where(~asking).withColumn("n_within", F.lit(None).cast("long"))).select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), (F.col("hits") - 1).alias("n_within"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_within",
     )
