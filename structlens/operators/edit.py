@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def _renumber(rows: DataFrame) -> DataFrame:
     w = W.partitionBy("file_path").orderBy("major", "minor")
@@ -112,14 +115,28 @@ def overlapping(edits: DataFrame) -> DataFrame:
     return edits.withColumn("before", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))).where("start < before").select("file_path").distinct()
 
 
+def _pieces(batches):
+    """Old slices and new texts in turn, joined once: linear in the text and its edits."""
+    for batch in batches:
+        paths, sources, edits = (c.to_pylist() for c in batch.columns)
+        for k, own in enumerate(edits):
+            if own and sources[k] is not None:
+                parts, at = [], 0
+                for e in own:
+                    parts += [sources[k][at : e["start"]], e["new_text"] or ""]
+                    at = e["end"]
+                sources[k] = "".join([*parts, sources[k][at:]])
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sources, pa.string())], names=["file_path", "source"])
+
+
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """file_path, source after the edits (file_path, start, end, new_text; offsets in characters from 0), applied from the last
-    to the first; all edits of a file with an overlap are rejected and it keeps its text."""
+    """file_path, source after the edits (file_path, start, end, new_text; offsets in characters from 0); all edits of a file
+    with an overlap are rejected and it keeps its text. Edits of one place go in by their texts."""
+    ship(files.sparkSession)
     good = edits.join(overlapping(edits), "file_path", "left_anti")
-    per = good.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("start", "end", "new_text")), asc=False).alias("edits"))
-    fold = lambda s, e: F.concat(F.substring(s, F.lit(1), e["start"]), e["new_text"], F.substring(s, e["end"] + 1, F.length(s)))
-    met = files.join(per, "file_path", "left")
-    return met.select("file_path", F.coalesce(F.aggregate("edits", F.col("source"), fold), F.col("source")).alias("source"))
+    per = good.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("start", "end", "new_text"))).alias("edits"))
+    met = files.join(per, "file_path", "left").select(F.col("file_path").cast("string"), F.col("source").cast("string"), "edits")
+    return met.mapInArrow(_pieces, "file_path string, source string")
 
 
 def preview(edits: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from .spans import meet
+from .tokens import call_columns  # noqa: F401
 
 
 def get_symbols(symbols: DataFrame) -> DataFrame:
@@ -206,16 +207,6 @@ def call_sites(lines: DataFrame, function: str | None = None) -> DataFrame:
     return calls if function is None else calls.where(F.col("name") == function)
 
 
-def call_columns(lines: DataFrame) -> DataFrame:
-    """Call sites with the byte column of the name, for callers that need a cursor position."""
-    t = text.trim(F.col("text"))
-    rows = lines.where(~(t.startswith("//") | t.startswith("#")) & F.col("text").contains("("))
-    pieces = F.regexp_extract_all("text", F.lit(r"(?s)(.*?)([\p{IsAlphabetic}\p{N}_]+)( *\()"), F.lit(0))
-    at = F.transform(pieces, lambda p, i: F.struct(F.regexp_extract(p, r"([\p{IsAlphabetic}\p{N}_]+) *\($", 1).alias("name"), (F.octet_length(F.array_join(F.slice(pieces, 1, i + 1), "")) - F.octet_length(F.regexp_extract(p, r"([\p{IsAlphabetic}\p{N}_]+ *\()$", 1))).alias("column")))
-    out = rows.select("file_path", "line_no", F.explode(at).alias("x")).select("file_path", "line_no", "x.name", "x.column")
-    return out.where(~F.col("name").isin(fixed.CALL_KEYWORDS))
-
-
 def get_parameters(symbols: DataFrame) -> DataFrame:
     """file_path, name, position, parameter, type of every parameter of every function."""
     rows = symbols.where(F.col("kind").isin("Function", "Method") & F.col("signature").isNotNull())

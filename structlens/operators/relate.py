@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import tokens
 from .spans import meet
 
 
@@ -35,18 +36,13 @@ def callers_and_callees(calls: DataFrame) -> DataFrame:
 
 def find_references(targets: DataFrame, lines: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
     """file_path, target, line_no, col (in characters): identifiers of the same file equal to the target, without exact
-    definition spans.
+    definition spans. If the lines have a language, identifiers in comments and strings are none.
 
-    Identifiers meet targets by an equi join on (file, text); columns are only worked out for those that match.
+    Identifiers meet targets by one equi join on (file, text).
     """
     t = targets.select(F.col("file_path").alias("t_path"), F.col("text").alias("target")).distinct()
-    word = r"[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*"
-    names = lines.select("file_path", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(word), F.lit(0))).alias("nth", "name"))
-    met = names.join(t, (names["file_path"] == t["t_path"]) & (names["name"] == t["target"])).select("file_path", "target", "line_no", "nth")
-    l = lines.select(F.col("file_path").alias("l_path"), F.col("line_no").alias("l_no"), "text")  # noqa: E741
-    out = met.join(l, (met["file_path"] == l["l_path"]) & (met["line_no"] == l["l_no"]))
-    ahead = F.length(F.array_join(F.slice(F.split("text", word), F.lit(1), F.col("nth") + 1), "")) + F.length(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(word), F.lit(0)), F.lit(1), F.col("nth")), ""))
-    out = out.select("file_path", "target", "line_no", ahead.alias("col"))
+    found = tokens.lexed_tokens(lines).where("token_kind = 'code'") if "language" in lines.columns else tokens.tokens(lines)
+    out = found.join(t, (found["file_path"] == t["t_path"]) & (found["text"] == t["target"])).select("file_path", "target", "line_no", "col")
     return out if definitions is None else out.join(definitions.select("file_path", "target", "line_no", "col"), ["file_path", "target", "line_no", "col"], "left_anti")
 
 

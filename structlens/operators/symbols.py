@@ -1,327 +1,242 @@
-"""Symbols from source text by line patterns and block ends.
+"""Symbols from source texts.
 
-There is no grammar: strings and comments are masked, and a pattern set per language finds declarations on single lines. A block
-ends where the bracket depth returns (brace languages), where the indentation does, whatever its width (Python), or at the next line
-of the same indentation that starts with ``end`` (Ruby, Lua, Elixir). Ends, comments, signatures and enclosing blocks come
-from one pass over the lines of each file.
+A pass over each file finds its statements (``statements``), in code whose comments and strings are blank (``lexing``). What a statement declares is
+told by patterns over its head: the words up to its block or end, one blank between them, with "{" or ";" behind;
+where the statement around it matters, that one's head and a line feed stand before. Ends, comments and signatures come from the
+same pass; methods, scopes and numbers follow as DataFrame expressions. Nothing is joined, and files that are given whole are not shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from .ordered import first_at_most, group_starts, in_file_order, whole_groups
-
-_ID = r"([\p{L}_][\p{L}\p{N}_]*)"
-_MOD = r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|export|default|open|sealed|partial|unsafe|const|inline|extern)\s+)*"
-#: language -> (kind, pattern with the name as first group), in order of precedence on one line.
+from ..session import ship, spread
+from .ordered import group_starts, in_file_order, whole_groups
+from .statements import ENDED, INDENTED, File
+from .statements import block_ends as _file_ends
+
+_ID = r"((?:[^\W\d]|\$)[\w$]*)"
+_GEN = r"(?: ?<(?:[^<>]++|<(?:[^<>]++|<(?:[^<>]++|<[^<>]*+>)*+>)*+>)*+>)"
+_MOD = r"^(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|export|default|open|sealed|partial|unsafe|const|inline|extern|readonly|native|synchronized|transient|volatile|new|fileprivate|mutating|required|convenience|lazy|weak|global) )*+"
+_TYPE = r"(?:[^\W\d]|\$)[\w.$]*+(?:::\w++)*+" + _GEN + r"?+(?:\.\w++)*+\??(?: ?\[[ ,]*\])*+\??"
+_VIS = r"^(?:pub(?: ?\([^)]*\))? )?"
+_WITHIN = _MOD[1:] + r"(?:class|interface|enum|record|struct)\b[^\n]*\n"
+_NOT = r"(?!(?:return|new|throw|else|if|while|for|switch|catch|do|try|synchronized|package|import|goto|case|delete|using|namespace|typedef|co_return|co_await|sizeof|yield|await|assert|lock)\b)"
+_C_TYPE = r"^(?!(?:return|new|throw|else|if|while|for|switch|do|goto|case|delete|using|namespace|typedef|co_return|co_yield|sizeof)\b)(?:(?:\w++(?:::\w++)*+" + _GEN + r"?+)[ *&]++){1,12}"
+#: language -> (kind, pattern with the name as first group), in order of precedence; of an import, the name is its whole text.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "rust": [
-        ("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*fn\s+" + _ID),
-        ("Struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+" + _ID),
-        ("Enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+" + _ID),
-        ("Trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+" + _ID),
-        ("Struct", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ']+\s+for\s+)?" + _ID),
-        ("Import", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(use\s+[^;]+;?)"),
-        ("Constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?" + _ID + r"\s*:"),
+        ("Function", _VIS + r"(?:(?:default|const|async|unsafe|extern) )*fn " + _ID + r".*\{$"), ("Struct", _VIS + "struct " + _ID), ("Enum", _VIS + "enum " + _ID), ("Trait", _VIS + "(?:unsafe )?(?:auto )?trait " + _ID),
+        ("Struct", r"^(?:default )?(?:unsafe )?impl" + _GEN + r"? (?:.* for )?(?:\w+::)*" + _ID), ("Import", _VIS + "use "), ("Constant", _VIS + "(?:const|static) (?:mut )?" + _ID + " ?:"),
     ],
-    "python": [("Function", r"^\s*(?:async\s+)?def\s+" + _ID), ("Class", r"^\s*class\s+" + _ID), ("Import", r"^\s*((?:import|from)\s+\S.*)$")],
-    "javascript": [("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*" + _ID), ("Class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+" + _ID), ("Import", r"^\s*(import\s+.*)$")],
-    "go": [("Function", r"^func\s+" + _ID), ("Type", r"^type\s+" + _ID), ("Import", r"^(import\s+.*)$")],
+    "python": [("Function", r"^\s*(?:async\s+)?def\s+" + _ID), ("Class", r"^\s*class\s+" + _ID), ("Import", r"^\s*(?:import|from)\s+\S")],
+    "javascript": [("Function", r"^(?:export )?(?:default )?(?:async )?function ?\*? ?" + _ID), ("Class", "^(?:export )?(?:default )?class " + _ID), ("Import", r"^import\b(?! ?[(.])")],
+    "go": [("Function", "^func " + _ID), ("Type", "^type " + _ID), ("Type", r"^type \{\n" + _ID), ("Import", r"^import\b")],
     "java": [
-        ("Class", _MOD + r"class\s+" + _ID), ("Trait", _MOD + r"interface\s+" + _ID), ("Enum", _MOD + r"enum\s+" + _ID), ("Import", r"^\s*(import\s+[^;]+;)"),
-        ("Function", _MOD + r"(?!(?:return|new|throw|else|if|while|for|switch|catch|do|try|synchronized)\b)(?:[\w<>\[\], ?.]+\s+)?" + _ID + r"\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?\{"),
-        ("Function", _MOD + r"(?!(?:return|new|throw|else|if|while|for|switch|catch|do|try|synchronized)\b)[\w<>\[\], ?.]+\s+" + _ID + r"\s*\([^;(]*\)\s*(?:throws\s+[\w., ]+)?;"),
-        ("Variable", _MOD + r"[\w<>\[\].]+\s+" + _ID + r"\s*(?:=[^;]*)?;"),
+        ("Class", _MOD + "class " + _ID), ("Trait", _MOD + "interface " + _ID), ("Enum", _MOD + "enum " + _ID), ("Import", "^import "),
+        ("Function", r"^[^\n]*\b(?:class|enum|record) (\w+)\b[^\n]*\n" + _MOD[1:] + _GEN + r"? ?\1 ?\([^{]*\{$"),
+        ("Function", "^" + _WITHIN + _MOD[1:] + _GEN + r"?+ ?" + _NOT + r"(?!(?:class|interface|enum|record)\b)" + _TYPE + " " + _ID + r" ?\([^=]*[{;]$"),
+        ("Variable", "^" + _WITHIN + _MOD[1:] + _NOT + r"(?!(?:class|interface|enum|record)\b)" + _TYPE + " " + _ID + r"(?: ?\[ ?\])*(?: ?=.*| ?,.*)? [;{]$"),
+    ],
+    "c": [
+        ("Struct", r"^(?:(?:static|const|extern|volatile) )*struct " + _ID + r"(?: \w+\(.*\))? \{$"), ("Enum", r"^(?:(?:static|const|extern) )*enum " + _ID + r" \{$"), ("Function", r"^# ?define " + _ID + r"\("),
+        ("Type", r"^typedef\b.*[ *}]" + _ID + r" ?;$"), ("Function", _C_TYPE + _ID + r" ?\((?![*^])[^{}=]*[;{]$"),
+    ],
+    "cpp": [
+        ("Class", r"^(?:export )?class (?:\w+\(.*?\) )?" + _ID + r"\b[^;(]*\{$"), ("Struct", r"^(?:(?:static|const|export) )*struct " + _ID + r"\b[^;(]*\{$"), ("Enum", r"^enum (?:class |struct )?" + _ID + r".*\{$"), ("Type", r"^(?:inline )?namespace (?:\w+::)*" + _ID + r" \{$"),
+        ("Function", _C_TYPE + r"(?:\w+" + _GEN + "?::)*+" + _ID + r" ?\((?![*^])[^{}]*\{$"), ("Function", r"^(?:\w+" + _GEN + "?::)++" + _ID + r" ?\(.*\{$"),
+        ("Function", r"^[^\n]*\b(?:class|struct) (\w+)\b[^\n]*\n(?:(?:explicit|inline|constexpr) )*\1 ?\(.*\{$"),
     ],
-    "c": [("Struct", r"^\s*(?:typedef\s+)?struct\s+" + _ID + r"\s*\{"), ("Enum", r"^\s*(?:typedef\s+)?enum\s+" + _ID + r"\s*\{"), ("Function", r"^\s*#define\s+" + _ID + r"\("), ("Type", r"^\s*typedef\s+[^{}]*?" + _ID + r"\s*;"), ("Function", r"^(?!\s*(?:return|else|if|while|for|switch)\b)[\w*\s]+?[\s*]" + _ID + r"\s*\([^;{]*\)\s*[;{]?\s*$")],
-    "cpp": [("Class", r"^\s*class\s+" + _ID), ("Struct", r"^\s*struct\s+" + _ID), ("Enum", r"^\s*enum\s+(?:class\s+)?" + _ID), ("Type", r"^\s*namespace\s+" + _ID), ("Function", r"^(?!\s*(?:return|else|if|while|for|switch)\b)[\w*&<>:\s]+?[\s*&:]" + _ID + r"\s*\([^;{]*\)\s*(?:const\s*)?\{")],
-    "ruby": [("Class", r"^\s*class\s+" + _ID), ("Type", r"^\s*module\s+" + _ID), ("Function", r"^\s*def\s+(?:self\.)?" + _ID), ("Constant", r"^\s*([A-Z]\w*)\s*=[^=]")],
-    "php": [("Class", _MOD + r"class\s+" + _ID), ("Trait", r"^\s*(?:interface|trait)\s+" + _ID), ("Function", _MOD + r"function\s+&?" + _ID)],
-    "bash": [("Function", r"^\s*(?:function\s+)?" + _ID + r"\s*\(\)"), ("Variable", r"^\s*(?:export\s+|local\s+|readonly\s+)?" + _ID + "=")],
-    "csharp": [("Class", _MOD + r"class\s+" + _ID), ("Trait", _MOD + r"interface\s+" + _ID), ("Struct", _MOD + r"struct\s+" + _ID), ("Import", r"^\s*(using\s+[\w.]+;)"), ("Function", _MOD + r"[\w<>\[\].]+\s+" + _ID + r"\s*\([^;]*\)\s*\{?\s*$")],
-    "elixir": [("Module", r"^\s*defmodule\s+([\w.]+)"), ("Function", r"^\s*defp?\s+" + _ID)],
+    "ruby": [("Class", r"^\s*class\s+" + _ID), ("Type", r"^\s*module\s+" + _ID), ("Function", r"^\s*def\s+(?:self\.)?([^\W\d]\w*[?!=]?)"), ("Constant", r"^\s*([A-Z]\w*)\s*=[^=]")],
+    "php": [("Class", _MOD + "class " + _ID), ("Trait", "^(?:interface|trait) " + _ID), ("Function", _MOD + "function &? ?" + _ID)],
+    "bash": [("Function", r"^(?:function )?([\w:.-]+) ?\( ?\)"), ("Function", r"^function ([\w:.-]+)"), ("Variable", r"^(?:(?:export|local|readonly|declare|typeset)(?: -\w+)* )?([A-Za-z_]\w*)\+?=")],
+    "csharp": [
+        ("Class", _MOD + "class " + _ID), ("Trait", _MOD + "interface " + _ID), ("Struct", _MOD + "(?:ref )?struct " + _ID), ("Import", r"^(?:global )?using (?!\()(?:static )?[\w.]+(?: ?=.*)? ;$"),
+        ("Function", "^" + _WITHIN + _MOD[1:] + _NOT + "(?!(?:delegate|event|operator|class|record)\\b)" + _TYPE + " " + _ID + _GEN + r"? ?\(.*[{;]$"),
+        ("Constant", "^" + _WITHIN + r"(?:\w+ )*?const " + _TYPE + " " + _ID + " ?="),
+        ("Variable", "^" + _WITHIN + _MOD[1:] + _NOT + "(?!(?:delegate|event|operator|class|record|using)\\b)" + _TYPE + " " + _ID + r"(?: ?=(?!>).*| ?,.*)? ;$"),
+    ],
+    "elixir": [("Module", r"^\s*defmodule\s+([\w.]+)"), ("Function", r"^\s*defp?\s+([^\W\d]\w*[?!]?)"), ("Import", r"^\s*(?:alias|import|require|use)\s+[A-Z]")],
     "lua": [("Function", r"^\s*(?:local\s+)?function\s+([\w.:]+)"), ("Variable", r"^\s*(?:local\s+)?" + _ID + r"\s*=[^=]")],
-    "swift": [("Function", _MOD + r"func\s+" + _ID), ("Class", _MOD + r"class\s+" + _ID), ("Struct", _MOD + r"struct\s+" + _ID), ("Trait", _MOD + r"protocol\s+" + _ID), ("Import", r"^\s*(import\s+.*)$"), ("Constant", r"^\s*let\s+" + _ID), ("Variable", r"^\s*var\s+" + _ID)],
-    "zig": [("Function", r"^\s*(?:pub\s+)?(?:export\s+)?fn\s+" + _ID), ("Struct", r"^\s*(?:pub\s+)?const\s+" + _ID + r"\s*=\s*(?:packed\s+|extern\s+)?(?:struct|union|enum)\b"), ("Constant", r"^\s*(?:pub\s+)?const\s+" + _ID), ("Variable", r"^\s*(?:pub\s+)?var\s+" + _ID)],
-    "haskell": [("Import", r"^(import\s+.*)$"), ("Class", r"^class\s+(?:.*=>\s*)?" + _ID), ("Type", r"^(?:type|newtype|data)\s+" + _ID), ("Struct", r"^instance\s+(?:.*=>\s*)?" + _ID), ("Function", r"^([a-z_][\w']*)\s*::")],
-}
+    "swift": [
+        ("Function", _MOD + r"(?:(?:class|static) )?func " + _ID), ("Class", _MOD + r"(?:class|actor) (?!func\b|var\b|let\b)" + _ID), ("Struct", _MOD + "struct " + _ID), ("Trait", _MOD + "protocol " + _ID),
+        ("Import", "^import "), ("Constant", _MOD + "let " + _ID), ("Variable", _MOD + "(?:class )?var " + _ID),
+    ],
+    "zig": [("Function", "^(?:pub )?(?:export |inline |extern )*fn " + _ID), ("Struct", "^(?:pub )?const " + _ID + r" ?= ?(?:packed |extern )?(?:struct|union|enum)\b"), ("Constant", "^(?:pub )?const " + _ID), ("Variable", "^(?:pub )?(?:threadlocal )?var " + _ID)],
+    "haskell": [("Import", "^import "), ("Class", r"^class\s+(?:.*=>\s*)?" + _ID), ("Type", r"^(?:type|newtype|data)\s+" + _ID), ("Struct", r"^instance\s+(?:.*=>\s*)?" + _ID), ("Function", r"^([a-z_][\w']*)\s*::")],
+}
 PATTERNS["typescript"] = PATTERNS["javascript"]
 #: For a language without a set of its own: type-like words are classes.
-GENERIC = [("Class", r"^\s{0,4}(?:\w+\s+)*?(?:class|struct|interface|trait|enum|type|module|object)\s+" + _ID), ("Function", r"^\s{0,4}(?:\w+\s+)*?(?:fn|func|function|fun|def|defn|let rec)\s+" + _ID), ("Import", r"^((?:import|use|require|open|include)\s+.*)$")]
-_INDENTED = ("python", "haskell", "yaml")
-_ENDED = ("ruby", "lua", "elixir", "julia")
-#: Languages with "#" comments, with "--" comments, and those in which a single quote isn't the start of a string.
-_HASH = ("python", "ruby", "bash", "elixir", "julia", "yaml", "terraform", "nix")
-_DASH = ("lua", "haskell")
-_QUOTED, _SINGLE, _BACK = r"\"(?:\\.|[^\"\\])*\"", r"'(?:\\.|[^'\\])*'", r"`(?:\\.|[^`\\])*`"
-_TRIPLE = r"\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|(\"\"\"|''')"
-_LETTER = r"'(?:\\[^']+|[^'\\])'"
-_MIDDLE = r"^(?:else|elsif|elseif|rescue|ensure|catch|after|when)\b"
-
-
-def masked(lines: DataFrame) -> DataFrame:
-    """Adds code, the text without strings and comments, and inside, whether the line begins within a longer one of these."""
-    lang, line = F.coalesce(F.col("language"), F.lit("")), F.col("text")
-    w = W.partitionBy("file_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-
-    def without(c: Column) -> Column:
-        """Closed strings and comments gone; a mark that opens a longer one stays."""
-        slashes = lambda quotes: F.regexp_replace(c, f"{_QUOTED}|{quotes}|{_BACK}|//.*|/\\*.*?\\*/", "")
-        return (
-            F.when(lang == "python", F.regexp_replace(c, f"{_TRIPLE}|{_QUOTED}|{_SINGLE}|#.*", "$1"))
-            .when(lang.isin(*_HASH), F.regexp_replace(c, f"{_QUOTED}|{_SINGLE}|#.*", ""))
-            .when(lang.isin(*_DASH), F.regexp_replace(c, f"{_QUOTED}|{_SINGLE}|--.*", ""))
-            .when(lang == "rust", F.regexp_replace(c, f"r#+\".*?\"#+|{_QUOTED}|{_LETTER}|//.*|/\\*.*?\\*/", ""))
-            .otherwise(slashes(_SINGLE))
-        )
-
-    # most lines have neither quotes nor comments
-    plain = ~(line.contains('"') | line.contains("'") | line.contains("`") | line.contains("/") | line.contains("#") | line.contains("--"))
-    slashed = ~lang.isin(*_HASH, *_DASH)
-    # what a line leaves open: a block comment until the next end of one, a long string until the next mark
-    rest = F.col("rest")
-    left = F.when(slashed, F.when(rest.contains("/*"), 1).when(line.contains("*/"), 0))
-    marks = F.when(lang == "python", F.regexp_count(rest, F.lit("\"\"\"|'''"))).otherwise(0)
-    rows = lines.withColumn("rest", F.when(plain, line).otherwise(without(line))).withColumns({"left": left, "marks": marks})
-    inside = F.when(lang == "python", F.coalesce(F.sum("marks").over(w), F.lit(0)) % 2 == 1).otherwise(F.coalesce(F.last("left", ignorenulls=True).over(w), F.lit(0)) == 1)
-    rows = rows.withColumn("inside", inside)
-    ended = F.when(slashed, F.regexp_extract(line, r"\*/(.*)$", 1)).otherwise(F.regexp_extract(line, "(?:\"\"\"|''')(.*)$", 1))
-    open_ = F.when(slashed, F.substring_index("rest", "/*", 1)).when(lang == "python", F.regexp_replace("rest", "(?:\"\"\"|''').*$", "")).otherwise(F.col("rest"))
-    return rows.withColumn("code", F.when(F.col("inside"), without(ended)).otherwise(open_)).drop("rest", "left", "marks")
-
-
-def _shaped(lines: DataFrame) -> DataFrame:
-    """Lines with code, inside, depth_in and depth_out (brackets outside of strings and comments), lead, solid, middle, ender, opens."""
-    rows = masked(lines)
-    rows = rows.withColumns({"code": text.trim(F.col("code")), "step": text.chars_of(F.col("code"), "{[(") - text.chars_of(F.col("code"), "}])")})
-    run = W.partitionBy("file_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("s", F.sum("step").over(run))
-    rows = rows.withColumn("depth_out", (F.col("s") - F.least(F.lit(0), F.min("s").over(run))).cast("int"))
-    rows = rows.withColumn("depth_in", F.lag("depth_out", 1, 0).over(W.partitionBy("file_path").orderBy("line_no")))
-    white = F.regexp_extract("text", r"^(\s*)", 1)
-    return rows.withColumns(
-        {
-            "lead": F.length(white) + text.chars_of(white, "\t") * 7, "solid": F.col("code") != "",
-            "middle": F.col("code").rlike(_MIDDLE), "ender": F.col("code").rlike(r"^end\b"), "opens": F.col("code").startswith("{"),
-        }
-    ).drop("step", "s")
-
-
-def _ends(language: str | None, rows: dict[str, np.ndarray]) -> list[int]:
-    """The last line of each line of a file, taken as the head of a block."""
-    n = len(rows["lead"])
-    solid, lead = rows["solid"].tolist(), rows["lead"].tolist()
-    before = np.maximum.accumulate(np.where(rows["solid"], np.arange(n), -1)).tolist()  # the last solid line up to each
-    out = list(range(n))
-    if language in _INDENTED or language in _ENDED:
-        # a line within brackets goes on with the one before
-        able = (rows["solid"] & (rows["depth_in"] == 0) & ~(rows["middle"] if language in _ENDED else False)).tolist()
-        stop = first_at_most(lead, lead, candidate=able)
-        ender = rows["ender"].tolist()
-        for i, j in enumerate(stop):
-            if language in _INDENTED:
-                out[i] = max(i, before[(j if j >= 0 else n) - 1])
-            elif j < 0:
-                out[i] = max(i, before[n - 1])
-            elif ender[j] and lead[j] == lead[i]:
-                out[i] = j
-        return out
-    into, left, opens = rows["depth_in"].tolist(), rows["depth_out"].tolist(), rows["opens"].tolist()
-    shut = first_at_most(left, into, own=True)
-    shut = [n - 1 if j < 0 else j for j in shut]
-    following = n
-    for i in range(n - 1, -1, -1):
-        # a body that opens on the next line
-        nearby = following < n and opens[following] and left[i] == into[i]
-        out[i] = shut[following] if nearby else shut[i]
-        if solid[i]:
-            following = i
-    return out
-
-
-_PASSED = ("lead", "solid", "depth_in", "depth_out", "middle", "ender", "opens")
-
-
-def _tables(batches):
-    """(table of whole files, where each file begins and ends, shapes) of sorted batches."""
-    for table in whole_groups(batches):
-        starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
-        yield table, list(zip(starts[:-1], starts[1:], strict=True)), {c: table.column(c).to_numpy() for c in _PASSED}
+GENERIC = [("Class", r"^(?:\w+\s+)*?(?:class|struct|interface|trait|enum|type|module|object)\s+" + _ID), ("Function", r"^(?:\w+\s+)*?(?:fn|func|function|fun|def|defn|let rec)\s+" + _ID), ("Import", r"^(?:import|use|require|open|include)\s")]
+#: Kinds without a block of their own.
+FLAT = ("Import", "Constant", "Variable")
+_IMPL = re.compile(PATTERNS["rust"][4][1])
+#: Of a head that is longer only so much tells what it declares: an initialiser may be as long as the file.
+HEAD_CHARS = 4096
+
+_DECLARED = "file_path string, language string, line_start int, column_start int, line_end int, column_end int, kind string, name string, signature string, doc_comment string, impl string, impl_line int, impl_column int, scope string"
+_WORD_AHEAD = re.compile(r"\s*(?:[^\W\d]|[#<])")
+Rules = dict[str, list[tuple[str, str]]]
+
+
+class Patterns:
+    """The rules of a language, compiled; those of a language that has none, or one that isn't valid, are the generic ones."""
+
+    def __init__(self, language: str | None, rules: Rules):
+        self.generic = language not in rules
+        try:
+            own = [(kind, pattern, re.compile(pattern)) for kind, pattern in ([] if self.generic else rules[language])]
+        except re.error:
+            self.generic = True
+        if self.generic:
+            own = [(kind, pattern, re.compile(pattern)) for kind, pattern in GENERIC]
+        self.rules = [(kind, "\\n" in pattern.replace(r"[^\n]", ""), found) for kind, pattern, found in own]
+
+    def told(self, head: str, around: str) -> tuple[str, str] | None:
+        """Kind and name (empty for an import) by the first pattern that matches."""
+        both = None
+        for kind, within, pattern in self.rules:
+            if within and both is None:
+                both = f"{around}\n{head}"
+            m = pattern.match(both if within else head)
+            if m:
+                return kind, "" if kind == "Import" else m[1]
+        return None
 
 
-def block_ends(lines: DataFrame) -> DataFrame:
-    """Adds line_end to every line, taken as the head of a block."""
-    wide = in_file_order(_shaped(lines), "line_no")
-    names = lines.columns
+def _signature(file: File, start: int, end: int) -> str | None:
+    """Up to the block, else the first line."""
+    brace = -1 if file.language == "python" else file.source.find("{", start, end)
+    if brace < 0:
+        brace = file.source.find("\n", start, end)
+    return file.source[start : brace if brace >= 0 else end].strip() or None
 
-    def work(batches):
-        for table, files, shapes in _tables(batches):
-            numbers, languages = table.column("line_no").to_numpy(), table.column("language").to_pylist()
-            ends = np.empty(table.num_rows, np.int32)
-            for a, b in files:
-                ends[a:b] = np.asarray(_ends(languages[a], {c: v[a:b] for c, v in shapes.items()})) + numbers[a]
-            yield from table.select(names).append_column("line_end", pa.array(ends)).to_batches()
-
-    return wide.mapInArrow(work, T.StructType([*lines.schema.fields, T.StructField("line_end", T.IntegerType())]))
-
-
-def _declared(lines: DataFrame) -> DataFrame:
-    """Adds kind and name of what a line's text declares (null if nothing): one generated CASE per language finds the first pattern that
-    matches, so that a line meets its own language's patterns only and each of them once."""
-    rules = [(lang, what, pattern) for lang, own in [*PATTERNS.items(), (None, GENERIC)] for what, pattern in own]
-    number = F.lit(None).cast("int")
-    for lang in [*PATTERNS, None]:
-        mine = F.lit(None).cast("int")
-        for i, (of, _, pattern) in reversed(list(enumerate(rules))):
-            if of == lang:
-                mine = F.when(F.col("text").rlike(pattern), i).otherwise(mine)
-        is_own = F.col("language") == lang if lang else ~F.coalesce(F.col("language"), F.lit("")).isin(*PATTERNS)
-        number = F.when(is_own, mine).otherwise(number)
-    name = F.lit(None).cast("string")
-    for i, (_, _, pattern) in enumerate(rules):
-        name = F.when(F.col("rule") == i, F.regexp_extract("text", pattern, 1)).otherwise(name)
-    kinds = F.array(*[F.lit(what) for _, what, _ in rules])
-    rows = lines.withColumn("rule", number)
-    return rows.withColumns({"kind": F.get(kinds, F.col("rule")), "name": F.when(F.col("rule").isNotNull(), name)}).drop("rule")
-
-
-def declarations(lines: DataFrame) -> DataFrame:
-    """Lines (file_path, language, line_no, text) that declare something, with kind, name and column_start."""
-    out = _declared(lines).where("kind IS NOT NULL AND name <> ''")
-    cut = F.when(F.col("kind") == "Import", F.decode(F.substring(F.encode("name", "UTF-8"), 1, 200), "UTF-8")).otherwise(F.col("name"))
-    return out.withColumn("name", cut).withColumn("column_start", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
-
-
-_STRING = re.compile(r"[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')")
-
-
-def _comment_above(i: int, texts: list[str], code: list[str], inside: list[bool], language: str | None) -> str | None:
-    """The comment lines above a line; attributes and blank lines in between are skipped."""
-    found = []
-    for k in range(i - 1, -1, -1):
-        t = texts[k].strip()
-        if not code[k]:
-            if t and (language != "python" or t.startswith("#")):
-                found.append(texts[k].rstrip() if inside[k] else t)
-            elif t:
-                break
-        elif not code[k].startswith(("#[", "@")):
-            break
-    return "\n".join(reversed(found)) or None
-
-
-def _docstring(head: int, end: int, texts: list[str]) -> str | None:
-    """The string that a body begins with, with its quotes; ``head`` is the last line of the header."""
-    at = next((k for k in range(head + 1, end + 1) if texts[k].strip()), None)
-    if at is None:
-        return None
-    first = texts[at].strip()
-    mark = _STRING.match(first)
-    if not mark:
-        return None
-    quote, rest = mark[1], first[mark.end() :]
-    if len(quote) == 1:
-        whole = re.match(r"(?:\\.|[^\\])*?" + quote, rest)
-        return first[: mark.end() + whole.end()] if whole else None
-    out = [first[: mark.end()]]
-    for k in range(at, end + 1):
-        part = rest if k == at else texts[k]
-        if quote in part:
-            return "\n".join([*out[:-1], out[-1] + part[: part.index(quote) + 3]]) if k == at else "\n".join([*out, part[: part.index(quote) + 3]])
-        out = [out[0] + part] if k == at else [*out, part]
-    return None
-
-
-_HEAD = T.StructType(
-    [
-        T.StructField("file_path", T.StringType()), T.StructField("language", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType()),
-        T.StructField("column_start", T.IntegerType()), T.StructField("column_end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()),
-        T.StructField("signature", T.StringType()), T.StructField("doc_comment", T.StringType()), T.StructField("scope_path", T.ArrayType(T.StringType())), T.StructField("parent_line", T.IntegerType()),
-    ]
-)
-_ARROW = pa.schema(
-    [
-        ("file_path", pa.string()), ("language", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()), ("kind", pa.string()), ("name", pa.string()),
-        ("signature", pa.string()), ("doc_comment", pa.string()), ("scope_path", pa.list_(pa.string())), ("parent_line", pa.int32()),
-    ]
-)
-_FLAT = ("Import", "Constant", "Variable")
-_IMPL = re.compile(r"\s*(?:unsafe\s+)?impl\b")
-
-
-def _heads(language: str | None, rows: dict[str, np.ndarray], kinds: list, names: list, texts: list[str], code: list[str], inside: list[bool]):
-    """The symbols of one file as rows without path and language; lines from 0."""
-    if all(k is None for k in kinds):
-        return
-    ends, into = _ends(language, rows), rows["depth_in"].tolist()
-    closed = first_at_most(rows["depth_out"].tolist(), into, own=True)
-    around: list[tuple[int, int, str, bool]] = []  # the blocks that a line is in: first and last line, name, is it an impl
-    for i, kind in enumerate(kinds):
-        if kind is None or not names[i] or not code[i] or inside[i]:
+
+def _cut(head: str) -> str:
+    return head if len(head) <= HEAD_CHARS else head[: HEAD_CHARS - 2] + head[-2:]
+
+
+def _declared(path: str, file: File, patterns: Patterns) -> Iterator[tuple]:
+    """A row for each statement that declares something."""
+    own, language = file.statements(), file.language
+    by_line = language in INDENTED or language in ENDED
+    for s in own:
+        if patterns.generic and s.depth > 1 or not _WORD_AHEAD.match(s.head):
+            continue  # of a language without patterns, what is at the top and one level below
+        around = own[s.owner] if s.owner >= 0 else None
+        told = patterns.told(_cut(s.head), _cut(around.head) if around else "")
+        if told is None:
             continue
-        end = (closed[i] if closed[i] >= 0 else i) if kind in _FLAT or code[i].endswith(";") else ends[i]
-        while around and around[-1][1] < i:
-            around.pop()
-        body, name = "\n".join(texts[i : end + 1]) if kind == "Import" else None, names[i]
-        if body is not None:
-            name = body.strip().encode("utf-8", "surrogatepass")[:200].decode("utf-8", "ignore")
-        opening = next((k for k in range(i, end + 1) if "{" in texts[k]), None)
-        if language == "rust" and kind == "Function" and opening is None:
-            continue  # a signature without a body
-        if language == "python" or opening is None:
-            signature = texts[i].strip()
-        else:
-            signature = "\n".join([*texts[i:opening], texts[opening][: texts[opening].index("{")]]).strip()
-        doc = _comment_above(i, texts, code, inside, language)
+        kind, name = told
+        end = s.flat if kind in FLAT and by_line else s.end
+        if kind == "Import":
+            name = file.source[s.start : end].strip().encode("utf-8", "surrogatepass")[:200].decode("utf-8", "ignore")
+        line, last = file.line(s.start), file.line(max(end - 1, s.start))
+        column = file.column(s.start, line)
+        if not name or language == "haskell" and column:
+            continue  # in Haskell only what begins a line
+        doc = None if file.code[file.starts[line] : s.start].strip() else file.comment_above(line)
         if doc is None and language == "python" and kind in ("Function", "Class"):
-            doc = _docstring(closed[i] if closed[i] >= 0 else i, end, texts)
-        lead = len(texts[i]) - len(texts[i].lstrip())
-        last = len(texts[end].rstrip().encode("utf-8", "surrogatepass"))
-        generic, scope = language not in PATTERNS, []
-        if generic and around:
-            if len(around) > 1:
-                continue  # only what is at the top and one level below
-            scope = [around[-1][2]]
-        yield i, end, lead, last, kind, name, signature or None, doc, scope, None
-        if language == "rust" and kind == "Function" and around and around[-1][3]:
-            yield i, end, lead, last, "Method", name, signature or None, doc, [around[-1][2]], around[-1][0]
-        if kind not in _FLAT and end > i:
-            around.append((i, end, name, language == "rust" and bool(_IMPL.match(texts[i]))))
-
-
-def extract_symbols(lines: DataFrame) -> DataFrame:
-    """All symbols of lines (file_path, language, line_no, text), in the canonical schema.
+            doc = file.docstring(s.flat, s.end)
+        impl = impl_line = impl_column = scope = None
+        if language == "rust" and kind == "Function" and around and (of := _IMPL.match(around.head)):
+            impl, impl_line = of[1], file.line(around.start)
+            impl_column = file.column(around.start, impl_line)
+        if patterns.generic and around and (of := patterns.told(_cut(around.head), "")):
+            scope = of[1] or None
+        yield path, language, line, column, last, file.column(end, last), kind, name, _signature(file, s.start, end), doc, impl, impl_line, impl_column, scope
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None, str]]:
+    """Whole files (file_path, language, source)."""
+    for batch in batches:
+        for path, language, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if source is not None:
+                source = source.replace("\r\n", "\n")
+                yield path, language, source.removesuffix("\n")
+
+
+def _from_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None, str]]:
+    """Whole files from sorted lines (file_path, language, line_no, text)."""
+    for table in whole_groups(batches):
+        starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
+        paths, languages, texts = (table.column(c).to_pylist() for c in ("file_path", "language", "text"))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield paths[a], languages[a], "\n".join(t or "" for t in texts[a:b])
+
+
+def _pass(read, rules: Rules):
+    def work(batches):
+        compiled: dict[str | None, Patterns] = {}
+        rows: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        for path, language, source in read(batches):
+            if language not in compiled:
+                compiled[language] = Patterns(language, rules)
+            rows += _declared(path, File(source, language), compiled[language])
+            if len(rows) >= 4096:
+                yield batch()
+                rows.clear()
+        if rows:
+            yield batch()
+
+    return work
+
+
+_ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in _DECLARED.split(", ")])
+
+
+def _symbols(rows: DataFrame) -> DataFrame:
+    """What is declared in the schema of symbols, without numbers: functions of an impl once more as methods."""
+    twice = F.when(F.col("impl").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    found, method = rows.withColumn("method", F.explode(twice)), F.col("method")
+    scope = F.when(method, F.array("impl")).when(F.col("scope").isNotNull(), F.array("scope")).otherwise(F.array().cast("array<string>"))
+    return found.select(
+        "file_path", "language", "line_start", "line_end", "column_start", "column_end", F.when(method, "Method").otherwise(F.col("kind")).alias("kind"), "name", "signature", "doc_comment",
+        scope.alias("scope_path"), F.when(method, F.col("impl_line")).alias("parent_line"), F.when(method, F.col("impl_column")).alias("parent_column"),
+    )
+
+
+def extract_symbols(lines: DataFrame, patterns: Rules = PATTERNS) -> DataFrame:
+    """All symbols of lines (file_path, language, line_no, text), in the canonical schema. A language whose patterns don't compile is read as one without any.
 
     Functions inside a Rust ``impl`` block come twice: as functions and as methods of the type, as in the
     data model that this follows; members of other types are functions with an empty scope. In a language without patterns of its own, a
     symbol within another has that one as scope, and there is nothing below these.
     """
-    wide = in_file_order(_declared(_shaped(lines.select("file_path", "language", "line_no", "text"))), "line_no")
+    ordered = in_file_order(lines.select("file_path", "language", "line_no", "text"), "line_no")
+    return number(_symbols(ordered.mapInArrow(_pass(_from_lines, patterns), _DECLARED)))
+
+
+def from_sources(files: DataFrame, patterns: Rules = PATTERNS) -> DataFrame:
+    """All symbols of whole files (file_path, language, source), without a shuffle of their texts."""
+    ship(files.sparkSession)
+    return number(_symbols(spread(files.select("file_path", "language", "source")).mapInArrow(_pass(_sources, patterns), _DECLARED)))
+
+
+def block_ends(lines: DataFrame) -> DataFrame:
+    """Adds line_end to every line (file_path, language, line_no, text), taken as the head of a block."""
+    names = lines.columns
 
     def work(batches):
-        for table, files, shapes in _tables(batches):
-            if table.column("kind").null_count == table.num_rows:
-                continue
-            columns = [table.column(c).to_pylist() for c in ("kind", "name", "text", "code", "inside")]
-            paths, languages, numbers = (table.column(c).to_pylist() for c in ("file_path", "language", "line_no"))
-            found = []
-            for a, b in files:
-                first = numbers[a]
-                for i, end, *rest, parent in _heads(languages[a], {c: v[a:b] for c, v in shapes.items()}, *(c[a:b] for c in columns)):
-                    found.append((paths[a], languages[a], i + first, end + first, *rest, parent if parent is None else parent + first))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _ARROW, strict=True)], schema=_ARROW)
-
-    return number(wide.mapInArrow(work, _HEAD))
+        for table in whole_groups(batches):
+            starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
+            languages, texts, numbers = (table.column(c).to_pylist() for c in ("language", "text", "line_no"))
+            ends: list[int] = []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                code = File("\n".join(t or "" for t in texts[a:b]), languages[a]).code
+                ends += [e + numbers[a] for e in _file_ends(code, languages[a])]
+            yield from table.select(names).append_column("line_end", pa.array(ends, pa.int32())).to_batches()
+
+    return in_file_order(lines, "line_no").mapInArrow(work, T.StructType([*lines.schema.fields, T.StructField("line_end", T.IntegerType())]))
 
 
 def doc_comments(lines: DataFrame) -> DataFrame:
@@ -331,26 +246,16 @@ def doc_comments(lines: DataFrame) -> DataFrame:
 
 def number(rows: DataFrame) -> DataFrame:
     """Adds seq (preorder in the file), parent_seq, depth, qualified_name and stable_id."""
-    order = W.partitionBy("file_path").orderBy(F.coalesce("parent_line", "line_start"), F.col("parent_line").isNotNull(), "line_start", F.desc("line_end"), "kind", "name")
+    order = W.partitionBy("file_path").orderBy(F.coalesce("parent_line", "line_start"), F.coalesce("parent_column", "column_start"), F.col("parent_line").isNotNull(), "line_start", "column_start", F.desc("line_end"), "kind", "name")
     out = rows.withColumn("seq", F.row_number().over(order) - 1).withColumn("depth", F.col("parent_line").isNotNull().cast("int"))
     head = F.last(F.when(F.col("parent_line").isNull() & (F.col("kind") == "Struct"), F.col("seq")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     out = out.withColumn("parent_seq", F.when(F.col("depth") == 1, head))
     q = text.qualified_name(F.col("scope_path"), F.col("name"))
-    return out.drop("parent_line").withColumn("qualified_name", q).withColumn("stable_id", text.stable_id(F.col("file_path"), q, F.col("line_start"), F.col("column_start")))
-
-
-def tokens(lines: DataFrame) -> DataFrame:
-    """file_path, line_no, col (in characters), text of every identifier."""
-    names = F.regexp_extract_all("text", F.lit(r"([\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*)"), F.lit(1))
-    gaps = F.split("text", r"[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*")
-    rows = lines.select("file_path", "line_no", names.alias("names"), gaps.alias("gaps"))
-    at = F.transform("names", lambda n, i: F.struct(n.alias("text"), (F.length(F.array_join(F.slice("gaps", 1, i + 1), "")) + F.length(F.array_join(F.slice("names", 1, i), ""))).alias("col")))
-    return rows.select("file_path", "line_no", F.explode(at).alias("x")).select("file_path", "line_no", "x.col", "x.text")
+    return out.drop("parent_line", "parent_column").withColumn("qualified_name", q).withColumn("stable_id", text.stable_id(F.col("file_path"), q, F.col("line_start"), F.col("column_start")))
 
 
 def from_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Symbols of files (file_path, source), with the language found by extension."""
-    from ..sources.files import explode_lines, with_language
+    from ..sources.files import with_language
 
-    known = with_language(files, spark).select("file_path", "language")
-    return extract_symbols(explode_lines(files).join(known, "file_path"))
+    return from_sources(with_language(files, spark))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, read, symbols
+from ..operators import tokens as words
 from ..sources.files import explode_lines
 from . import tables as t
 
@@ -307,7 +308,7 @@ SELECT file_path, line_no, CAST(length(array_to_string(gaps[1:i], '')) + length(
 
 @query("tokens", _TOKENS.replace("{doc}", t.DOC))
 def tokens(s, d):
-    return symbols.tokens(t.doc_lines(s, d))
+    return words.tokens(t.doc_lines(s, d))
 
 
 @query("generic_outline", """WITH g AS (SELECT 'g/' || n_nationkey || '.kt' AS file_path, replace(n_name, ' ', '_') AS n FROM nation)
