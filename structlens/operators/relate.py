@@ -38,11 +38,9 @@ def find_references(targets: DataFrame, lines: DataFrame, definitions: DataFrame
     """file_path, target, line_no, col (in characters): identifiers of the same file equal to the target, without exact
     definition spans. If the lines have a language, identifiers in comments and strings are none.
 
-    Identifiers meet targets by one equi join on (file, text).
+    Targets reach the lines by file, and only what matches leaves the scan of a line.
     """
-    t = targets.select(F.col("file_path").alias("t_path"), F.col("text").alias("target")).distinct()
-    found = tokens.lexed_tokens(lines).where("token_kind = 'code'") if "language" in lines.columns else tokens.tokens(lines)
-    out = found.join(t, (found["file_path"] == t["t_path"]) & (found["text"] == t["target"])).select("file_path", "target", "line_no", "col")
+    out = tokens.named_tokens(lines, targets.select("file_path", "text")).withColumnRenamed("text", "target").select("file_path", "target", "line_no", "col")
     return out if definitions is None else out.join(definitions.select("file_path", "target", "line_no", "col"), ["file_path", "target", "line_no", "col"], "left_anti")
 
 

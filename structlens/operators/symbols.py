@@ -3,7 +3,7 @@
 A pass over each file finds its statements (``statements``), in code whose comments and strings are blank (``lexing``). What a statement declares is
 told by patterns over its head: the words up to its block or end, one blank between them, with "{" or ";" behind;
 where the statement around it matters, that one's head and a line feed stand before. Ends, comments and signatures come from the
-same pass; methods, scopes and numbers follow as DataFrame expressions. Nothing is joined, and files that are given whole are not shuffled.
+same pass, and so do methods, scopes and numbers. Nothing is joined, and files that are given whole are not shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,7 +81,7 @@ _IMPL = re.compile(PATTERNS["rust"][4][1])
 #: Of a head that is longer only so much tells what it declares: an initialiser may be as long as the file.
 HEAD_CHARS = 4096
 
-_DECLARED = "file_path string, language string, line_start int, column_start int, line_end int, column_end int, kind string, name string, signature string, doc_comment string, impl string, impl_line int, impl_column int, scope string"
+_DECLARED = "file_path string, language string, line_start int, line_end int, column_start int, column_end int, kind string, name string, signature string, doc_comment string, scope_path array<string>, seq int, depth int, parent_seq int"
 _WORD_AHEAD = re.compile(r"\s*(?:[^\W\d]|[#<])")
 Rules = dict[str, list[tuple[str, str]]]
 
@@ -125,7 +124,7 @@ def _cut(head: str) -> str:
 
 
 def _declared(path: str, file: File, patterns: Patterns) -> Iterator[tuple]:
-    """A row for each statement that declares something."""
+    """(place in preorder, row) for each statement that declares something; functions of an impl once more as methods."""
     own, language = file.statements(), file.language
     by_line = language in INDENTED or language in ENDED
     for s in own:
@@ -146,13 +145,22 @@ def _declared(path: str, file: File, patterns: Patterns) -> Iterator[tuple]:
         doc = None if file.code[file.starts[line] : s.start].strip() else file.comment_above(line)
         if doc is None and language == "python" and kind in ("Function", "Class"):
             doc = file.docstring(s.flat, s.end)
-        impl = impl_line = impl_column = scope = None
+        scope = []
+        if patterns.generic and around and (of := patterns.told(_cut(around.head), "")) and of[1]:
+            scope = [of[1]]
+        row = (path, language, line, last, column, file.column(end, last), kind, name, _signature(file, s.start, end), doc, scope)
+        yield (s.start, False, s.start, -s.end, kind, name), row
         if language == "rust" and kind == "Function" and around and (of := _IMPL.match(around.head)):
-            impl, impl_line = of[1], file.line(around.start)
-            impl_column = file.column(around.start, impl_line)
-        if patterns.generic and around and (of := patterns.told(_cut(around.head), "")):
-            scope = of[1] or None
-        yield path, language, line, column, last, file.column(end, last), kind, name, _signature(file, s.start, end), doc, impl, impl_line, impl_column, scope
+            yield (around.start, True, s.start, -s.end, kind, name), (*row[:6], "Method", *row[7:10], [of[1]])
+
+
+def _numbered(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of a file in preorder, with seq, depth and parent_seq: methods come behind the block of their type."""
+    head = None
+    for seq, (key, row) in enumerate(sorted(found, key=lambda x: x[0])):
+        if row[6] == "Struct":
+            head = seq
+        yield (*row, seq, int(key[1]), head if key[1] else None)
 
 
 def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None, str]]:
@@ -181,7 +189,7 @@ def _pass(read, rules: Rules):
         for path, language, source in read(batches):
             if language not in compiled:
                 compiled[language] = Patterns(language, rules)
-            rows += _declared(path, File(source, language), compiled[language])
+            rows += _numbered(_declared(path, File(source, language), compiled[language]))
             if len(rows) >= 4096:
                 yield batch()
                 rows.clear()
@@ -191,18 +199,13 @@ def _pass(read, rules: Rules):
     return work
 
 
-_ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in _DECLARED.split(", ")])
+_ARROW = pa.schema([(c.split()[0], {"int": pa.int32(), "string": pa.string()}.get(c.split()[1], pa.list_(pa.string()))) for c in _DECLARED.split(", ")])
 
 
 def _symbols(rows: DataFrame) -> DataFrame:
-    """What is declared in the schema of symbols, without numbers: functions of an impl once more as methods."""
-    twice = F.when(F.col("impl").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    found, method = rows.withColumn("method", F.explode(twice)), F.col("method")
-    scope = F.when(method, F.array("impl")).when(F.col("scope").isNotNull(), F.array("scope")).otherwise(F.array().cast("array<string>"))
-    return found.select(
-        "file_path", "language", "line_start", "line_end", "column_start", "column_end", F.when(method, "Method").otherwise(F.col("kind")).alias("kind"), "name", "signature", "doc_comment",
-        scope.alias("scope_path"), F.when(method, F.col("impl_line")).alias("parent_line"), F.when(method, F.col("impl_column")).alias("parent_column"),
-    )
+    """The schema of symbols: adds qualified_name and stable_id."""
+    q = text.qualified_name(F.col("scope_path"), F.col("name"))
+    return rows.withColumn("qualified_name", q).withColumn("stable_id", text.stable_id(F.col("file_path"), q, F.col("line_start"), F.col("column_start")))
 
 
 def extract_symbols(lines: DataFrame, patterns: Rules = PATTERNS) -> DataFrame:
@@ -213,13 +216,13 @@ def extract_symbols(lines: DataFrame, patterns: Rules = PATTERNS) -> DataFrame:
     symbol within another has that one as scope, and there is nothing below these.
     """
     ordered = in_file_order(lines.select("file_path", "language", "line_no", "text"), "line_no")
-    return number(_symbols(ordered.mapInArrow(_pass(_from_lines, patterns), _DECLARED)))
+    return _symbols(ordered.mapInArrow(_pass(_from_lines, patterns), _DECLARED))
 
 
 def from_sources(files: DataFrame, patterns: Rules = PATTERNS) -> DataFrame:
     """All symbols of whole files (file_path, language, source), without a shuffle of their texts."""
     ship(files.sparkSession)
-    return number(_symbols(spread(files.select("file_path", "language", "source")).mapInArrow(_pass(_sources, patterns), _DECLARED)))
+    return _symbols(spread(files.select("file_path", "language", "source")).mapInArrow(_pass(_sources, patterns), _DECLARED))
 
 
 def block_ends(lines: DataFrame) -> DataFrame:
@@ -244,16 +247,6 @@ def doc_comments(lines: DataFrame) -> DataFrame:
     return extract_symbols(lines).where("doc_comment IS NOT NULL AND depth = 0").select("file_path", F.col("line_start").alias("line_no"), F.col("doc_comment").alias("doc")).distinct()
 
 
-def number(rows: DataFrame) -> DataFrame:
-    """Adds seq (preorder in the file), parent_seq, depth, qualified_name and stable_id."""
-    order = W.partitionBy("file_path").orderBy(F.coalesce("parent_line", "line_start"), F.coalesce("parent_column", "column_start"), F.col("parent_line").isNotNull(), "line_start", "column_start", F.desc("line_end"), "kind", "name")
-    out = rows.withColumn("seq", F.row_number().over(order) - 1).withColumn("depth", F.col("parent_line").isNotNull().cast("int"))
-    head = F.last(F.when(F.col("parent_line").isNull() & (F.col("kind") == "Struct"), F.col("seq")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    out = out.withColumn("parent_seq", F.when(F.col("depth") == 1, head))
-    q = text.qualified_name(F.col("scope_path"), F.col("name"))
-    return out.drop("parent_line", "parent_column").withColumn("qualified_name", q).withColumn("stable_id", text.stable_id(F.col("file_path"), q, F.col("line_start"), F.col("column_start")))
-
-
 def from_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Symbols of files (file_path, source), with the language found by extension."""
     from ..sources.files import with_language

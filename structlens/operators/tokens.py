@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,14 +51,51 @@ def tokens(lines: DataFrame) -> DataFrame:
     return lines.select("file_path", F.col("line_no").cast("int"), "text").mapInArrow(_by_line(find, _TOKENS), _TOKENS)
 
 
+def _named(batches):
+    """Of lines (file_path, line_no, text, names) the identifiers that are among their names."""
+    schema = _arrow(_TOKENS)
+    for batch in batches:
+        rows = []
+        for path, number, line, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            wanted = [n for n in names if n in (line or "")]
+            if wanted:
+                rows += [(path, number, m.start(), m[0]) for m in _NAME.finditer(line) if m[0] in wanted]
+        if rows:
+            yield _batch(rows, schema)
+
+
+def named_tokens(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """:func:`tokens` of lines that are among the names (file_path, text) of their file; if the lines have a language, in code only.
+
+    Names reach the lines by file, so that only what matches leaves the scan.
+    """
+    per = names.groupBy(F.col("file_path").alias("n_path")).agg(F.collect_set("text").alias("names"))
+    met = lines.join(per, lines["file_path"] == per["n_path"])
+    if "language" not in lines.columns:
+        return met.select("file_path", F.col("line_no").cast("int"), "text", "names").mapInArrow(_named, _TOKENS)
+
+    def work(batches):
+        for table in whole_groups(batches):
+            starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
+            paths, languages, numbers, texts, wanted = (table.column(c).to_pylist() for c in ("file_path", "language", "line_no", "text", "names"))
+            files = ((paths[a], numbers[a], File("\n".join(t or "" for t in texts[a:b]), languages[a]), set(wanted[a])) for a, b in zip(starts[:-1], starts[1:], strict=True))
+            for batch in _lexed(files):
+                yield batch.select(["file_path", "line_no", "col", "text"]).filter(pc.equal(batch.column("token_kind"), "code"))
+
+    return in_file_order(met.select("file_path", "language", "line_no", "text", "names"), "line_no").mapInArrow(work, _TOKENS)
+
+
 def _lexed(files):
+    """Tokens with their kinds of (path, number of the first line, file, names or none for all)."""
     schema, rows = _arrow(_KINDS), []
-    for path, first, file in files:
+    for path, first, file, names in files:
         spans = file.spans
         for line, start in enumerate(file.starts):
             end = file.starts[line + 1] - 1 if line + 1 < len(file.starts) else len(file.source)
             k = bisect_right(spans, (start, len(file.source), "")) - 1
             for m in _NAME.finditer(file.source, start, end):
+                if names is not None and m[0] not in names:
+                    continue
                 while k + 1 < len(spans) and spans[k + 1][0] <= m.start():
                     k += 1
                 kind = spans[k][2] if k >= 0 and spans[k][1] > m.start() else "code"
@@ -78,7 +116,7 @@ def lexed_tokens(lines: DataFrame) -> DataFrame:
                 starts = [*group_starts(table.column("file_path")).tolist(), table.num_rows]
                 paths, languages, numbers, texts = (table.column(c).to_pylist() for c in ("file_path", "language", "line_no", "text"))
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
-                    yield paths[a], numbers[a], File("\n".join(t or "" for t in texts[a:b]), languages[a])
+                    yield paths[a], numbers[a], File("\n".join(t or "" for t in texts[a:b]), languages[a]), None
 
         yield from _lexed(files())
 
@@ -90,7 +128,7 @@ def source_tokens(files: DataFrame) -> DataFrame:
     ship(files.sparkSession)
 
     def work(batches):
-        yield from _lexed((path, 0, File(source.replace("\r\n", "\n"), language)) for batch in batches for path, language, source in zip(*(c.to_pylist() for c in batch.columns), strict=True) if source is not None)
+        yield from _lexed((path, 0, File(source.replace("\r\n", "\n"), language), None) for batch in batches for path, language, source in zip(*(c.to_pylist() for c in batch.columns), strict=True) if source is not None)
 
     return spread(files.select("file_path", "language", "source")).mapInArrow(work, _KINDS)
 
