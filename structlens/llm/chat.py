@@ -14,9 +14,11 @@ role, backslashes and line feeds are escaped first. Assistant texts are under th
 code point spans of the formatted text.
 
 A log is dealt by ranges of (conversation, sequence), so a conversation of any length is folded by as many tasks as it
-needs: each folds its segment from nothing and says whether any event of it refers to a turn before the segment. A conversation in
-several segments of which one does is folded again, as a whole, in one task; that is the only case in which a task holds all
-turns of a conversation.
+needs. Conversations that lie inside one task are folded and rendered there. Those at its borders are cut into segments of bounded size, and a
+segment is a function of what came before it. How many turns there are behind a segment is ``min(max(n + add, low), high)`` of the n before it, and
+such functions compose, so a row a segment settles all counts. With its count known, a segment says how many of the turns
+before it stay, what it does to the last of them (more text, or another), and which turns it adds; turns that a later segment drops go, and the
+others are put together by turn. No task ever holds all turns of such a conversation.
 
 A conversation is written as rows of at most about ``chunk_chars`` characters, cut between turns. Reading back streams a
 conversation's chunks in order, since a digest has to see them so.
@@ -32,7 +34,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,28 +67,64 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+_MANY = 1 << 40
+
+
+@dataclass
+class Count:
+    """How many turns there are after the events so far, as min(max(n + add, low), high) of the n turns before them."""
+
+    add: int = 0
+    low: int = 0
+    high: int = _MANY
+
+    def then(self, add: int, low: int, high: int) -> None:
+        self.add, self.low, self.high = self.add + add, min(max(self.low + add, low), high), min(max(self.high + add, low), high)
+
+    def apply(self, kind: str | None, target: int | None) -> None:
+        if kind == "delta":
+            self.then(0, 1, _MANY)
+        elif kind in ("edit", "regenerate"):
+            if target is None:
+                self.then(-1 if kind == "regenerate" else 0, 0, _MANY)
+            elif target >= 0:
+                self.then(0, 0, target + (kind == "edit"))
+        else:
+            self.then(1, 0, _MANY)
+
+    def of(self, n: int) -> int:
+        return min(max(n + self.add, self.low), self.high)
+
+
 class Fold:
-    """The turns of one conversation after the events so far; ``open`` once one of them may refer to a turn before the first event."""
+    """What events make of ``before`` turns: the first ``kept`` of them stay, the last of these gets ``patch`` (in place of its text?, texts), and ``turns`` follow."""
 
-    def __init__(self):
-        self.turns: list[list] = []
-        self.open = False
+    def __init__(self, before: int = 0):
+        self.kept, self.patch, self.turns = before, None, []
 
     def apply(self, kind: str | None, target: int | None, role: str | None, text: str | None) -> None:
-        turns, at = self.turns, len(self.turns) - 1 if target is None else target
-        if kind in ("delta", "edit", "regenerate") and (target is not None and kind != "delta" or not turns):
-            self.open = True
+        turns, kept = self.turns, self.kept
+        count = kept + len(turns)
+        at = count - 1 if target is None else target
         if kind == "delta":
-            if not turns:
-                turns.append(["", []])
-            turns[-1][1].append(text or "")
-        elif kind == "edit":
-            if 0 <= at < len(turns):
-                turns[at][1] = [text or ""]
-                del turns[at + 1 :]
-        elif kind == "regenerate":
-            if 0 <= at < len(turns):
-                del turns[at:]
+            if turns or not kept:
+                if not turns:
+                    turns.append(["", []])
+                turns[-1][1].append(text or "")
+            else:
+                self.patch = self.patch or (False, [])
+                self.patch[1].append(text or "")
+        elif kind in ("edit", "regenerate"):
+            if not 0 <= at < count:
+                return
+            edit = kind == "edit"
+            if at >= kept:
+                if edit:
+                    turns[at - kept][1] = [text or ""]
+                del turns[at - kept + edit :]
+            else:
+                turns.clear()
+                self.kept, self.patch = at + edit, (True, [text or ""]) if edit else None
         else:
             turns.append([role or "", [text or ""]])
 
@@ -116,47 +156,118 @@ class Renderer:
             self._clear()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "chunk", "formatted", "mask_starts", "mask_ends", "open"])
+_SEGMENT = "seg long, kinds array<string>, targets array<int>, roles array<string>, texts array<string>, add long, low long, high long"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
-def _folded(chunk_chars: int):
-    """Chunks of the conversations, or segments of them, in sorted events; the last chunk of each says whether it is open."""
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [c.split() for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[f[1]]) for x, f in zip(zip(*rows, strict=True), fields, strict=True)], names=[f[0] for f in fields])
 
-    def work(batches):
-        held, conv, fold, first = [], None, None, TaskContext.get().partitionId() << 32
 
-        def done():
-            out = Renderer(chunk_chars, first)
+def _folded(chunk_chars: int, segment_events: int, segment_chars: int):
+    """Sorted events: chunks of the conversations inside the task (seg null), segments of those at its borders."""
+
+    def work(batches):
+        first = TaskContext.get().partitionId() << 32
+        held, size, conv, events, chars, segments, border, none = [], 0, object(), [], 0, 0, True, True
+
+        def segment() -> tuple:
+            nonlocal segments
+            count = Count()
+            for kind, target, _, _ in events:
+                count.apply(kind, target)
+            segments += 1
+            return (conv, *[None] * 4, first + segments, *map(list, zip(*events, strict=True)), count.add, count.low, count.high)
+
+        def whole() -> list[tuple]:
+            fold, out = Fold(), Renderer(chunk_chars, 0)
+            for event in events:
+                fold.apply(*event)
             for role, parts in fold.turns:
                 out.add(role, "".join(parts))
             out.cut()
-            held.extend((conv, *r, False) for r in out.rows)
-            if fold.open:
-                held.append((conv, out.chunk, "", [], [], True))
+            return [(conv, *r, *[None] * 8) for r in out.rows]
 
         for batch in batches:
             columns = [batch.column(name).to_pylist() for name in ("conv_id", "kind", "target", "role", "text")]
-            for c, kind, target, role, text in zip(*columns, strict=True):
-                if fold is None or c != conv:
-                    if fold is not None:
-                        done()
-                    conv, fold = c, Fold()
-                fold.apply(kind, target, role, text)
-                if len(held) >= 512:
-                    yield _batch(held)
-                    held.clear()
-        if fold is not None:
-            done()
+            for c, *event in zip(*columns, strict=True):
+                new = none or c != conv
+                if new or len(events) >= segment_events or chars >= segment_chars:
+                    if events:
+                        border = border or not new  # cut here, or begun before this task
+                        held += [segment()] if border else whole()
+                        size += chars + 64
+                    border = border and not new if not none else True
+                    conv, events, chars, none = c, [], 0, False
+                events.append(event)
+                chars += len(event[3] or "")
+                if len(held) >= 512 or size >= 1 << 23:
+                    yield _batch(held, f"{SCHEMA}, {_SEGMENT}")
+                    held, size = [], 0
+        if events:
+            held.append(segment())  # it may go on behind this task
         if held:
-            yield _batch(held)
+            yield _batch(held, f"{SCHEMA}, {_SEGMENT}")
+
+    return work
+
+
+def _counted(frame: pd.DataFrame) -> pd.DataFrame:
+    """The turns before each segment of one conversation."""
+    frame, n, before = frame.sort_values("seg"), 0, []
+    for add, low, high in zip(frame["add"], frame["low"], frame["high"], strict=True):
+        before.append(n)
+        n = Count(add, low, high).of(n)
+    return pd.DataFrame({"s": frame["seg"].to_numpy(), "before": before})
+
+
+_DONE = "conv_id long, seg long, kept int, replaced boolean, patch string, roles array<string>, texts array<string>"
+
+
+def _segments(batches):
+    """Segments with the turns before them, folded."""
+    for batch in batches:
+        rows = []
+        for conv, seg, before, *events in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fold = Fold(before)
+            for event in zip(*events, strict=True):
+                fold.apply(*event)
+            patch = fold.patch
+            rows.append((conv, seg, fold.kept, patch and patch[0], "".join(patch[1]) if patch else None, [r for r, _ in fold.turns], ["".join(t) for _, t in fold.turns]))
+        if rows:
+            yield _batch(rows, _DONE)
+
+
+def _rendered(chunk_chars: int):
+    """Sorted turns (conv_id, idx, role, text) as chunks, numbered by their first turn."""
+
+    def work(batches):
+        conv, out = object(), None
+        for batch in batches:
+            rows = []
+            for c, idx, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if out is None or c != conv:
+                    if out is not None:
+                        out.cut()
+                        rows += [(conv, *r) for r in out.rows]
+                    conv, out = c, Renderer(chunk_chars, idx)
+                out.chunk = idx if not out.parts else out.chunk
+                out.add(role, text)
+                rows += [(c, *r) for r in out.rows]
+                out.rows.clear()
+            if rows:
+                yield _batch(rows, SCHEMA)
+        if out is not None:
+            out.cut()
+            if out.rows:
+                yield _batch([(conv, *r) for r in out.rows], SCHEMA)
 
     return work
 
 
-def format_log(events: DataFrame, *, chunk_chars: int = 1 << 20, conv_col: str = "conv_id", seq_cols: Sequence[str] = ("seq",), kind_col: str | None = "kind", target_col: str | None = "target", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Formatted chunks of every conversation of an event log, folded; without ``kind_col`` all events are messages."""
+def segments(events: DataFrame, *, chunk_chars: int = 1 << 20, segment_events: int = 512, segment_chars: int = 1 << 20, conv_col: str = "conv_id", seq_cols: Sequence[str] = ("seq",), kind_col: str | None = "kind", target_col: str | None = "target", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The formatted chunks of conversations inside a task (seg null) and the segments of the others, of a log dealt by ranges."""
     keys = [f"seq{i}" for i in range(len(seq_cols))]
     log = events.select(
         F.col(conv_col).cast("long").alias("conv_id"), *[F.col(c).cast("long").alias(k) for c, k in zip(seq_cols, keys, strict=True)],
@@ -164,17 +275,35 @@ def format_log(events: DataFrame, *, chunk_chars: int = 1 << 20, conv_col: str =
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
     )
     order = ["conv_id", *keys, "kind", "role", "text", "target"]
-    fold = lambda dealt: dealt.sortWithinPartitions(*order).mapInArrow(_folded(chunk_chars), SCHEMA + ", open boolean")
     # equal keys stay together, so events of one sequence are never torn apart
-    parts = _work.keep(fold(log.repartitionByRange("conv_id", *keys)), "segments")
-    key = F.struct("conv_id")  # a null conversation is one, too
-    torn = parts.groupBy(key.alias("t")).agg(F.max("open").alias("open"), F.min(F.shiftright("chunk", 32)).alias("lo"), F.max(F.shiftright("chunk", 32)).alias("hi")).where("open AND lo < hi").select("t")
-    torn = _work.keep(torn, "torn")
-    whole = parts.where("formatted <> ''").drop("open")
-    if torn.take(1):
-        again = log.join(torn, F.struct(log["conv_id"]) == torn["t"], "left_semi")
-        whole = whole.join(torn, F.struct(whole["conv_id"]) == torn["t"], "left_anti").unionByName(fold(again.repartition("conv_id")).where("formatted <> ''").drop("open"))
-    return whole
+    dealt = log.repartitionByRange("conv_id", *keys).sortWithinPartitions(*order)
+    return _work.keep(dealt.mapInArrow(_folded(chunk_chars, segment_events, segment_chars), f"{SCHEMA}, {_SEGMENT}"), "segments")
+
+
+def format_log(events: DataFrame, *, chunk_chars: int = 1 << 20, **options) -> DataFrame:
+    """Formatted chunks of every conversation of an event log, folded; without ``kind_col`` all events are messages. Options are those of :func:`segments`."""
+    spark = events.sparkSession
+    parts = segments(events, chunk_chars=chunk_chars, **options)
+    chunks = parts.where("seg IS NULL").select("conv_id", "chunk", "formatted", "mask_starts", "mask_ends")
+    torn = parts.where("seg IS NOT NULL").withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    before = torn.select("key", "seg", "add", "low", "high").groupBy("key").applyInPandas(_counted, "s long, before int")  # a row a segment
+    with _work.batches_of(spark, 32):  # segments are large rows
+        known = torn.join(before, F.col("seg") == F.col("s")).select("conv_id", "seg", "before", "kinds", "targets", "roles", "texts")
+        done = _work.keep(known.mapInArrow(_segments, _DONE), "folded")
+        key = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+        later = W.partitionBy(key).orderBy("seg").rowsBetween(1, W.unboundedFollowing)
+        limits = done.select("conv_id", "seg", "kept").select(F.col("seg").alias("s"), F.min("kept").over(later).alias("most"))
+        done = done.join(limits, F.col("seg") == F.col("s")).drop("s")
+        stays = lambda idx: F.col("most").isNull() | (idx < F.col("most"))
+        own = done.select("conv_id", "seg", "most", "kept", F.posexplode(F.arrays_zip("roles", "texts")).alias("at", "t")).withColumn("idx", F.col("kept") + F.col("at"))
+        own = own.where(stays(F.col("idx"))).select("conv_id", "idx", "seg", F.lit(True).alias("anew"), F.col("t.roles").alias("role"), F.col("t.texts").alias("text"))
+        patches = done.where("patch IS NOT NULL").withColumn("idx", F.col("kept") - 1).where(stays(F.col("idx"))).select("conv_id", "idx", "seg", F.col("replaced").alias("anew"), F.lit(None).cast("string").alias("role"), F.col("patch").alias("text"))
+        pieces = own.unionByName(patches).groupBy("conv_id", "idx").agg(F.array_sort(F.collect_list(F.struct("seg", "anew", "text"))).alias("p"), F.max("role").alias("role"))
+        start = F.array_max(F.transform("p", lambda x, i: F.when(x["anew"], i).otherwise(0)))
+        text = F.array_join(F.transform(F.slice("p", start + 1, F.size("p")), lambda x: x["text"]), "")
+        turns = pieces.select("conv_id", "idx", "role", text.alias("text"))
+        rest = _work.keep(turns.repartitionByRange("conv_id", "idx").sortWithinPartitions("conv_id", "idx").mapInArrow(_rendered(chunk_chars), SCHEMA), "rendered")
+    return chunks.unionByName(rest)
 
 
 def read_back(chunks: DataFrame) -> DataFrame:

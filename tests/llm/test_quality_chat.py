@@ -181,3 +181,29 @@ def test_a_long_conversation_spans_tasks(spark, chunk):
     chunks = chat.format_log(df, kind_col=None, target_col=None, seq_cols=("turn",), chunk_chars=chunk)
     r = chat.read_back(chunks).first()
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == _digest(turns)
+
+
+@pytest.mark.parametrize(("tasks", "events"), [(8, 64), (3, 1), (1, 512)])
+def test_a_hot_conversation_is_never_in_one_task(spark, tasks, events):
+    """Every kind of event, and those that reach far back: segments are composed, no task gets more than its range."""
+    import random
+
+    rng = random.Random(tasks)
+    rows = []
+    for seq in range(1500):
+        kind = rng.choice(["message", "start", "delta", "delta", "edit", "regenerate", "message"])
+        target = rng.choice([None, None, rng.randrange(300), 10**6]) if kind in ("edit", "regenerate") and rng.random() < 0.1 else None
+        rows.append((1, seq, kind, target, rng.choice(["user", "assistant"]), f"t{seq}"))
+    rows += [(0, 0, "message", None, "user", "a"), (2, 0, "delta", None, None, "b"), (None, 0, "edit", 0, None, "c"), (3, 0, "regenerate", None, None, None), (3, 1, "message", None, "user", "d")]
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, target int, role string, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        if tasks == 8:
+            held = chat.segments(df, segment_events=events).where("conv_id = 1").groupBy(F.shiftright("seg", 32)).agg(F.sum(F.size("kinds")).alias("n"), F.max(F.size("kinds")).alias("most")).collect()
+            assert len(held) == 8 and max(r.n for r in held) < 400 and max(r.most for r in held) <= 64
+        got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_log(df, segment_events=events, chunk_chars=200)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == _folded(rows)
