@@ -74,6 +74,19 @@ def capped(symbols: DataFrame, cap: int = fixed.SEARCH_SYMBOLS) -> DataFrame:
     return few.withColumn("truncated", n >= cap)
 
 
+def capped_by_subtree(symbols: DataFrame, pattern: str = "", cap: int = fixed.SEARCH_SYMBOLS) -> DataFrame:
+    """Symbols whose name holds the pattern in any case, by file and place, up to the end of the first subtree that reaches the cap; ``truncated`` tells that one did.
+
+    A symbol at the top and what is below it are taken whole. Each has a match at least, so the first ``cap`` of them are enough, and only these are put in order.
+    """
+    hit = symbols.where(F.contains(F.lower("name"), F.lit(pattern.lower()))).withColumn("root", F.coalesce("parent_seq", "seq"))
+    few = hit.groupBy("file_path", "root").agg(F.count(F.lit(1)).alias("n")).orderBy("file_path", "root").limit(cap)
+    order = W.orderBy("file_path", "root")  # at most ``cap`` rows
+    few = few.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("truncated", F.sum("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) >= cap)
+    kept = few.where(F.col("before") < cap).select(F.col("file_path").alias("k_path"), F.col("root").alias("k_root"), "truncated")
+    return hit.join(F.broadcast(kept), (hit["file_path"] == kept["k_path"]) & (hit["root"] == kept["k_root"])).drop("k_path", "k_root", "root")
+
+
 def flat_text(symbols: DataFrame) -> DataFrame:
     """file_path, seq, line: kind, name and place of each symbol, with its signature below."""
     place = F.concat(F.lit(" ["), F.concat_ws("-", F.concat_ws(":", "line_start", "column_start"), F.concat_ws(":", "line_end", "column_end")), F.lit("]"))

@@ -154,10 +154,10 @@ def _declared(path: str, file: File, patterns: Patterns) -> Iterator[tuple]:
             yield (around.start, True, s.start, -s.end, kind, name), (*row[:6], "Method", *row[7:10], [of[1]])
 
 
-def _numbered(found: Iterator[tuple]) -> Iterator[tuple]:
+def numbered(path: str, file: File, patterns: Patterns) -> Iterator[tuple]:
     """Rows of a file in preorder, with seq, depth and parent_seq: methods come behind the block of their type."""
     head = None
-    for seq, (key, row) in enumerate(sorted(found, key=lambda x: x[0])):
+    for seq, (key, row) in enumerate(sorted(_declared(path, file, patterns), key=lambda x: x[0])):
         if row[6] == "Struct":
             head = seq
         yield (*row, seq, int(key[1]), head if key[1] else None)
@@ -189,7 +189,7 @@ def _pass(read, rules: Rules):
         for path, language, source in read(batches):
             if language not in compiled:
                 compiled[language] = Patterns(language, rules)
-            rows += _numbered(_declared(path, File(source, language), compiled[language]))
+            rows += numbered(path, File(source, language), compiled[language])
             if len(rows) >= 4096:
                 yield batch()
                 rows.clear()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import buckets
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, prune: bool = False) -> DataFrame:
     """``new`` over ``old``; ``prune`` drops what ``new`` doesn't have."""
@@ -26,38 +28,28 @@ def read_index(spark, path: str, *, schema_version: int = 2) -> DataFrame:
     return spark.read.parquet(path).where(F.col("schema_version") == schema_version).drop("schema_version")
 
 
-def _versions(spark, path: str) -> list[int]:
-    """Complete versions below a folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "v=*/_SUCCESS")) or []
-    return sorted(int(d.getPath().getParent().getName().removeprefix("v=")) for d in done)
-
-
 def write_version(rows: DataFrame, path: str, *, prune: bool, keys: list[str], version: int | None = None) -> int:
-    """``rows`` over the last version, as a new one; nothing that is read is overwritten, and a version counts only once it is complete."""
-    spark, known = rows.sparkSession, _versions(rows.sparkSession, path)
-    if known and not prune:
-        rows = upsert(spark.read.parquet(f"{path}/v={known[-1]}"), rows, keys)
-    number = max(version or 0, known[-1] + 1 if known else 1)
-    rows.write.mode("overwrite").parquet(f"{path}/v={number}")
-    return number
+    """``rows`` over the last version, as a new one: only the buckets of their keys are written. A version counts only once it is complete, and nothing that
+    the last two name is deleted."""
+    merge = lambda old, new: new if old is None else upsert(old, new, keys)
+    last = buckets.manifest(rows.sparkSession, path)
+    number = max(version or 0, last.number + 1 if last else 1)
+    return buckets.commit(rows, path, keys, merge, number=number, replace=prune)
 
 
 def read_version(spark, path: str) -> DataFrame:
     """The last complete version."""
-    known = _versions(spark, path)
-    if not known:
+    found = buckets.read(spark, path)
+    if found is None:
         raise FileNotFoundError(f"no complete version below {path}")
-    return spark.read.parquet(f"{path}/v={known[-1]}")
+    return found
 
 
 def load_cache(spark, path: str, schema) -> DataFrame:
     """The last complete cache; an empty one if there is none, or if its columns are others."""
-    if _versions(spark, path):
-        found = read_version(spark, path)
-        if [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in schema]:
-            return found
+    found = buckets.read(spark, path)
+    if found is not None and [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in schema]:
+        return found
     return spark.createDataFrame([], schema)
 
 

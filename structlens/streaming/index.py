@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
+from ..sources import buckets
 
 RESULT = "path string, version timestamp, change string"
 STATE = "version timestamp, signature_hash string, content_hash string"
@@ -50,65 +51,35 @@ def latest_per_path(versions: DataFrame, *, tombstones: bool = False) -> DataFra
     return rows if tombstones else rows.where(~F.col("deleted")).drop("deleted")
 
 
-BUCKETS = 64
 SCHEMA = "path string, version timestamp, signature_hash string, content_hash string, deleted boolean"
 
 
-def _current(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
-    """For each bucket the folder of the last complete batch (before one) that wrote it: at most ``BUCKETS``."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    newest: dict[str, tuple[int, str]] = {}
-    for done in system.globStatus(jvm.org.apache.hadoop.fs.Path(where, "v=*/_SUCCESS")) or []:
-        folder = done.getPath().getParent()
-        batch = int(folder.getName().removeprefix("v="))
-        if before is not None and batch >= before:
-            continue
-        for bucket in system.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "bucket=*")) or []:
-            name = bucket.getPath().getName()
-            newest[name] = max(newest.get(name, (-1, "")), (batch, bucket.getPath().toString()))
-    return [folder for _, folder in newest.values()]
-
-
-def _newest_batch(spark: SparkSession, path: str) -> int:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "v=*/_SUCCESS")) or []
-    return max((int(d.getPath().getParent().getName().removeprefix("v=")) for d in done), default=-1)
-
-
 def read_merged(spark: SparkSession, path: str, *, tombstones: bool = False) -> DataFrame:
     """The index that :func:`merge_batches` keeps below ``path``."""
-    folders = _current(spark, path)
-    rows = spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
+    found = buckets.read(spark, path)
+    rows = spark.createDataFrame([], SCHEMA) if found is None else found
     return rows if tombstones else rows.where(~F.col("deleted")).drop("deleted")
 
 
-def merge_batches(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that merges each micro-batch into the Parquet index below ``path``.
+def merge_batches(stream: DataFrame, path: str, checkpoint: str, *, n_buckets: int = buckets.BUCKETS):
+    """Start a query that merges each micro-batch into the index below ``path``, a table in buckets under a manifest (``sources.buckets``).
 
-    Paths are dealt to ``BUCKETS`` by their hash, and a batch ``n`` writes only the buckets that it touches, as ``v=n/bucket=k``; readers take
-    the newest complete folder of each bucket. Repeating a batch after a failure repeats the same write. A batch whose predecessor isn't there
-    is an error, not an empty index. Tombstones stay, so that a late event doesn't bring a path back.
+    A batch writes only the buckets that it touches, and reads one manifest however many batches there were. Repeating a batch after a failure repeats the
+    same write. A batch whose predecessor isn't there is an error, not an empty index. Tombstones stay, so that a late event doesn't bring a path back.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id and _newest_batch(spark, path) < batch_id - 1:
+        before = buckets.manifest(spark, path, batch_id)
+        if batch_id and (before is None or before.number < batch_id - 1 or not _there(spark, f"{path}/v={batch_id - 1}")):
             raise RuntimeError(f"batch {batch_id - 1} of the index below {path} is missing")
-        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
-        rows = batch.select("path", "version", "signature_hash", "content_hash", F.coalesce("deleted", F.lit(False)).alias("deleted")).withColumn("bucket", bucket).persist()
-        try:
-            touched = {f"bucket={r.bucket}" for r in rows.select("bucket").distinct().collect()}
-            known = [f for f in _current(spark, path, batch_id) if f.rsplit("/", 1)[1] in touched]
-            if known:
-                rows_and_known = rows.drop("bucket").unionByName(spark.read.schema(SCHEMA).parquet(*known))
-            else:
-                rows_and_known = rows.drop("bucket")
-            last = latest_per_path(rows_and_known, tombstones=True).withColumn("bucket", bucket)
-            last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
-        finally:
-            rows.unpersist()
+        rows = batch.select("path", "version", "signature_hash", "content_hash", F.coalesce("deleted", F.lit(False)).alias("deleted"))
+        together = lambda old, new: latest_per_path(new if old is None else new.unionByName(old), tombstones=True)
+        buckets.commit(rows, path, ["path"], together, number=batch_id, buckets=n_buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
