@@ -27,6 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ from ._components import components
 COSINE = 0.9
 #: Up to so many cells of more than one unit, their sizes reach the vectors by a broadcast (under 10 MB); beyond, by a join.
 BROADCAST_CELLS = 200_000
+#: Angles to the middle of a cell are told apart by so many bins of half a circle.
+BINS = 4096
 
 
 def directions(batch_column: pa.Array) -> np.ndarray:
@@ -119,6 +122,17 @@ class Cells:
         return out
 
 
+    def angles(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The angle of each unit vector to the middle of each of its cells."""
+        out = np.full(near.shape, np.pi / 2)
+        for j in range(near.shape[1]):
+            own = near[:, j] >= 0
+            middle = self.centroids[near[own, j] // len(self.residuals)] + self.residuals[near[own, j] % len(self.residuals)]
+            middle /= np.maximum(np.sqrt((middle * middle).sum(1, keepdims=True)), 1e-300)
+            out[own, j] = np.arccos(np.clip((middle * x[own]).sum(1), -1, 1))
+        return out
+
+
 def classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """All rows with the class they belong to (null: links with nothing), and the classes: cls, first id, n, v."""
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
@@ -155,7 +169,7 @@ def fit(rows: DataFrame, *, cell_rows: int, most_cells: int, sample_rows: int) -
 
 
 def _assign(of: dict[int, Cells], probes: int):
-    """Adds near, the nearest cells (the first is home), to batches whose last column is v."""
+    """Adds near, the nearest cells (the first is home), and the angles to their middles to batches whose last column is v."""
 
     def work(batches):
         for batch in batches:
@@ -163,44 +177,96 @@ def _assign(of: dict[int, Cells], probes: int):
             lengths = np.diff(lists.offsets.to_numpy())
             near = np.full((batch.num_rows, probes), -1, np.int64)
             near[:, 0] = 0
+            angle = np.full(near.shape, np.pi / 2)
             for dim in np.unique(lengths).tolist():
                 if dim in of:
                     own = np.flatnonzero(lengths == dim)
                     for at in range(0, len(own), 1024):
                         part = own[at : at + 1024]
-                        near[part] = of[dim].nearest(directions(lists.take(pa.array(part))), probes)
+                        x = directions(lists.take(pa.array(part)))
+                        near[part] = of[dim].nearest(x, probes)
+                        angle[part] = of[dim].angles(x, near[part])
             flat = near.ravel()
             ends = np.append(0, np.cumsum((near >= 0).sum(1))).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[flat >= 0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "near"])
+            angles = pa.ListArray.from_arrays(pa.array(ends), pa.array(angle.ravel()[flat >= 0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column, angles], names=[*batch.schema.names, "near", "angles"])
 
     return work
 
 
-def _dealt(cells: DataFrame, chunk_rows: int, segment_rows: int) -> DataFrame:
-    """dim, cell, base, part, role, id, n, near, v: the units of work.
+def _bins(visits: DataFrame, chunk_rows: int, segment_rows: int) -> DataFrame:
+    """dim, cell, bin, residents, before, away: the residents of the cells of more than one unit by their angle to the middle, with those before them and
+    the visitors of the cell."""
+    at = F.col("angle") * (BINS / math.pi)
+    bins = visits.groupBy("dim", "cell", F.floor(at).cast("int").alias("bin")).agg(F.count_if("home").alias("residents"), F.count_if(~F.col("home")).alias("visitors"))
+    per = W.partitionBy("dim", "cell")
+    bins = bins.withColumns({"all": F.sum("residents").over(per), "away": F.sum("visitors").over(per)}).where((F.col("all") > chunk_rows) | (F.col("all") + F.col("away") > segment_rows))
+    ahead = per.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    return _work.keep(bins.where("residents > 0").withColumn("before", F.coalesce(F.sum("residents").over(ahead), F.lit(0))).select("dim", "cell", "bin", "residents", "before", "away"), "bins")
+
+
+def _intervals(bins: DataFrame, members: DataFrame, chunk_rows: int, segment_rows: int, limit: float) -> DataFrame:
+    """c_dim, c_cell, c_chunk, its angles lo and hi, own (has it to be compared with itself), below (the chunks that it has to be compared with), sure (rows that
+    each of its rows is linked with for sure, itself among them unless own), first_id (the one that these are linked with, too) and parts of every chunk."""
+    width = math.pi / BINS
+    spans = members.groupBy("dim", "cell", "chunk").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min("id").alias("id"))
+    away = bins.groupBy("dim", "cell").agg(F.max("away").alias("away"))
+    spans = spans.join(away, ["dim", "cell"]).select("dim", "cell", "chunk", (F.col("b0") * width).alias("lo"), ((F.col("b1") + 1) * width).alias("hi"), "rows", "n", "id", "away")
+    cell = spans.groupBy("dim", "cell").agg(F.array_sort(F.collect_list(F.struct("chunk", "lo", "hi", "n", "id"))).alias("all"))
+    met = spans.join(cell, ["dim", "cell"])
+    hi, lo, slack = F.col("hi"), F.col("lo"), F.lit(1e-6)
+    sure = F.filter("all", lambda o: o["hi"] + hi <= limit - slack)
+    # chunks below come in order of their angles: what is linked for sure is at their start, and so is what is too far
+    near = F.filter("all", lambda o: (o["chunk"] < F.col("chunk")) & (o["hi"] + hi > limit - slack) & (lo - o["hi"] <= limit + slack))
+    met = met.withColumns({"own": 2 * hi > limit - slack, "below": F.transform(near, lambda o: o["chunk"]), "sure": F.aggregate(sure, F.lit(0).cast("long"), lambda a, o: a + o["n"]), "first_id": F.get("all", F.lit(0))["id"]})
+    met = _work.keep(met.drop("all", "n", "id"), "chunks")
+    later = met.select("dim", "cell", "rows", F.explode("below").alias("base")).groupBy("dim", "cell", "base").agg(F.sum("rows").alias("later")).select(F.col("dim").alias("l_dim"), F.col("cell").alias("l_cell"), "base", "later")
+    met = met.join(later, (met["dim"] == later["l_dim"]) & (met["cell"] == later["l_cell"]) & (met["chunk"] == later["base"]), "left")
+    others = F.coalesce("later", F.lit(0)) + F.col("away")
+    parts = F.when((others == 0) & ~F.col("own"), 0).otherwise(F.greatest(F.ceil((others + F.when(F.col("own"), F.col("rows")).otherwise(0)) / segment_rows), F.lit(1))).cast("int")
+    return met.select(F.col("dim").alias("c_dim"), F.col("cell").alias("c_cell"), F.col("chunk").alias("c_chunk"), "lo", "hi", "own", "below", "sure", "first_id", parts.alias("parts"))
+
+
+def _dealt(cells: DataFrame, chunk_rows: int, segment_rows: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """dim, cell, base, part, role, id, n, near, v: the units of work; and (id, links, root) of the links that are sure without them.
 
     The residents of a cell are cut into chunks. A unit has one chunk as base (role 0) and one part of what the
-    base is compared with (role 1): residents of later chunks and visitors.
+    base is compared with (role 1): residents of later chunks and visitors. Chunks are cut by the angle to the middle of the cell. Two vectors at angles a and b
+    to it are between abs(a - b) and a + b apart, so of two chunks all pairs are linked for sure if the sum of their greatest angles is within that of
+    the cosine, and none is if their angles differ by more; only the others are compared. A dense group around its middle is dealt once, then, and not once a chunk.
+    Part 0 compares the base with itself; where these links are sure, parts are numbered from 1.
     """
-    visits = cells.select("dim", "id", "n", "near", "v", F.posexplode("near").alias("rank", "cell"))
-    home = F.col("rank") == 0
-    sizes = cells.select("dim", F.posexplode("near").alias("rank", "cell")).groupBy("dim", "cell").agg(F.count_if(home).alias("residents"), F.count(F.lit(1)).alias("all"))
-    sizes = sizes.select(F.col("dim").alias("s_dim"), F.col("cell").alias("s_cell"), F.ceil(F.col("residents") / chunk_rows).cast("int").alias("chunks"), F.ceil(F.col("all") / segment_rows).cast("int").alias("parts"))
-    # most cells are one unit: only the others have to be known
-    large = _work.keep(sizes.where("chunks > 1 OR parts > 1"), "large-cells")
-    large = F.broadcast(large) if large.count() <= BROADCAST_CELLS else large
-    rows = visits.join(large, (visits["dim"] == large["s_dim"]) & (visits["cell"] == large["s_cell"]), "left")
-    rows = rows.withColumns({"chunks": F.greatest(F.coalesce("chunks", F.lit(1)), F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
-    number = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), of).cast("int")
-    rows = rows.withColumn("chunk", F.when(home, number(7, F.col("chunks"))))
-    unit = lambda base, part, role: F.struct(base.alias("base"), part.alias("part"), F.lit(role).alias("role"))
-    own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: unit(F.col("chunk"), part, 0))
-    # a sequence would run backwards for the first chunk
-    below = F.when(home & (F.col("chunk") == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.when(home, F.col("chunk")).otherwise(F.col("chunks")) - 1))
-    met = F.transform(below, lambda base: unit(base, number(8, F.col("parts")), 1))
-    rows = rows.withColumn("unit", F.explode(F.when(home, F.concat(own, met)).otherwise(met)))
-    return rows.select("dim", "cell", "unit.base", "unit.part", "unit.role", "id", "n", "near", "v")
+    limit = math.acos(cosine)
+    visits = cells.select("dim", "id", "n", "near", "v", F.posexplode(F.arrays_zip("near", "angles")).alias("rank", "x")).select("dim", "id", "n", "near", "v", F.col("x.near").alias("cell"), F.col("x.angles").alias("angle"), (F.col("rank") == 0).alias("home"))
+    bins = _bins(visits.select("dim", "cell", "angle", "home"), chunk_rows, segment_rows)
+    known = bins.select(F.col("dim").alias("s_dim"), F.col("cell").alias("s_cell")).distinct()
+    known = _work.keep(known, "large-cells")
+    known = F.broadcast(known) if known.count() <= BROADCAST_CELLS else known
+    rows = visits.join(known, (visits["dim"] == known["s_dim"]) & (visits["cell"] == known["s_cell"]), "left").drop("s_dim")
+    whole = rows.where("s_cell IS NULL").select("dim", "cell", F.lit(0).alias("base"), F.lit(0).alias("part"), (~F.col("home")).cast("int").alias("role"), "id", "n", "near", "v")
+    large = rows.where("s_cell IS NOT NULL").withColumn("bin", F.floor(F.col("angle") * (BINS / math.pi)).cast("int")).drop("s_cell")
+    place = bins.select(F.col("dim").alias("b_dim"), F.col("cell").alias("b_cell"), F.col("bin").alias("b_bin"), "residents", "before")
+    inside = large.where("home").join(place, (large["dim"] == place["b_dim"]) & (large["cell"] == place["b_cell"]) & (large["bin"] == place["b_bin"])).drop("b_dim", "b_cell", "b_bin")
+    # the rows of one bin are spread over its share of the order by a hash
+    spread = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    inside = _work.keep(inside.withColumn("chunk", F.floor((F.col("before") + spread * F.col("residents")) / chunk_rows).cast("int")).drop("residents", "before"), "residents")
+    spans = _work.keep(_intervals(bins, inside.select("dim", "cell", "chunk", "bin", "n", "id"), chunk_rows, segment_rows, limit), "intervals")
+    own = inside.join(spans, (inside["dim"] == spans["c_dim"]) & (inside["cell"] == spans["c_cell"]) & (inside["chunk"] == spans["c_chunk"]))
+    others = F.col("sure") - F.when(F.col("own"), F.lit(0)).otherwise(F.col("n"))
+    sure = own.where(others > 0).select("id", others.alias("links"), F.col("first_id").alias("root"))
+    shift = (~F.col("own")).cast("int")
+    bases = own.where("parts > 0").select("dim", "cell", F.col("chunk").alias("base"), F.explode(F.sequence(shift, shift + F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "id", "n", "near", "v")
+    of = spans.select(F.col("c_dim").alias("p_dim"), F.col("c_cell").alias("p_cell"), F.col("c_chunk").alias("p_chunk"), F.col("parts").alias("p_parts"), F.col("own").alias("p_own"))
+    met = own.select("dim", "cell", F.explode("below").alias("base"), "id", "n", "near", "v")
+    reach = spans.groupBy("c_dim", "c_cell").agg(F.collect_list(F.struct("c_chunk", "lo", "hi")).alias("all"))
+    guests = large.where("NOT home").join(reach, (large["dim"] == reach["c_dim"]) & (large["cell"] == reach["c_cell"]))
+    touched = F.filter("all", lambda o: (F.col("angle") - o["hi"] <= limit + 1e-6) & (o["lo"] - F.col("angle") <= limit + 1e-6))
+    met = met.unionByName(guests.select("dim", "cell", F.explode(F.transform(touched, lambda o: o["c_chunk"])).alias("base"), "id", "n", "near", "v"))
+    met = met.join(of, (met["dim"] == of["p_dim"]) & (met["cell"] == of["p_cell"]) & (met["base"] == of["p_chunk"]))
+    part = (F.pmod(F.xxhash64("id", F.lit(8)), F.col("p_parts")) + (~F.col("p_own")).cast("int")).cast("int")
+    met = met.select("dim", "cell", "base", part.alias("part"), F.lit(1).alias("role"), "id", "n", "near", "v")
+    return whole.unionByName(bases).unionByName(met), sure
 
 
 def _compare(cosine: float):
@@ -253,11 +319,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     of = fit(rows, cell_rows=cell_rows, most_cells=most_cells, sample_rows=sample_rows)
     rows = _work.keep(rows.select("vec_id", "cls"), "vectors")
     found = found.select("cls", "first", F.size("v").alias("dim"), F.xxhash64("cls.h1", "cls.h2").alias("id"), "n", "v")
-    schema = T.StructType([*found.schema.fields, T.StructField("near", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*found.schema.fields, T.StructField("near", T.ArrayType(T.LongType())), T.StructField("angles", T.ArrayType(T.DoubleType()))])
     cells = _work.keep(found.mapInArrow(_assign(of, probes), schema), "cells")
-    dealt = _dealt(cells, chunk_rows, segment_rows)
+    dealt, sure = _dealt(cells, chunk_rows, segment_rows, cosine)
     dealt = dealt.repartition("dim", "cell", "base", "part").sortWithinPartitions("dim", "cell", "base", "part", "role", "id")
-    links = _work.keep(dealt.mapInArrow(_compare(cosine), "id long, links long, root long"), "links")
+    links = _work.keep(dealt.mapInArrow(_compare(cosine), "id long, links long, root long").unionByName(sure), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "l_id")
     roots = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("a", "r_id")
     by = cells.select("cls", "id", "first", "n")

@@ -1,6 +1,7 @@
 """Embedding dedup against all pairs, and its recall with cells."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from structlens.llm import embedding_dedup
@@ -79,6 +80,34 @@ def test_a_dense_group_is_one_cell(spark):
     assert sorted(tuple(r) for r in got if r.vec_id >= 1000) == [r for r in _expected(rows) if r[0] >= 1000]
 
 
+@pytest.mark.parametrize(("noise", "cells"), [(0.01, 1024), (0.04, 80), (0.08, 80), (0.2, 1024)])
+def test_a_dense_group_in_chunks_by_angle(spark, noise, cells):
+    """Links that are sure by their angles, links that are compared, and visitors: all pairs, whatever the spread."""
+    rng = np.random.default_rng(int(noise * 100))
+    centre = rng.normal(size=8)
+    rows = [(i, [float(x) for x in centre + rng.normal(size=8) * noise * rng.choice([0.2, 1, 2])]) for i in range(260)] + [(1000 + i, [float(x) for x in centre + rng.normal(size=8) * 0.6]) for i in range(140)] + [(2000 + i, [float(x) for x in -centre + rng.normal(size=8) * 0.02]) for i in range(60)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = embedding_dedup.near_duplicates(df, chunk_rows=16, segment_rows=40, cell_rows=cells, probes=99).collect()
+    assert sorted(tuple(r) for r in got) == _expected(rows)
+
+
+def test_rows_dealt_grow_with_a_dense_group(spark):
+    """No vector of a dense group is written once for every chunk."""
+    written = {}
+    for n in (5000, 25_000):
+        rng = np.random.default_rng(n)
+        v = (rng.normal(size=16) + rng.normal(size=(n, 16)) * 0.03).astype(np.float32)
+        df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(v)], SCHEMA)
+        rows, found = embedding_dedup.classes(df)
+        of = embedding_dedup.fit(rows, cell_rows=1024, most_cells=5000, sample_rows=40_000)
+        found = found.select("first", F.size("v").alias("dim"), F.xxhash64("cls.h1", "cls.h2").alias("id"), "n", "v")
+        cells = found.mapInArrow(embedding_dedup._assign(of, 4), "first long, dim int, id long, n long, v array<float>, near array<long>, angles array<double>")
+        dealt, sure = embedding_dedup._dealt(cells, 100, 400, 0.9)
+        written[n] = dealt.count()
+        assert sure.count() + dealt.where("role = 0").select("id").distinct().count() >= n
+    assert written[25_000] <= 2 * 25_000 and written[5000] <= 2 * 5000
+
+
 def test_very_large_and_very_small_components_and_clashing_names(spark):
     rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 0.0]), (3, [1e-200, 1e-201]), (4, [0.0, 1e300])]
     df = spark.createDataFrame([(i, v, "x", 7, "y") for i, v in rows], "vec_id long, embedding array<double>, id string, n int, cls string").withColumns({c: F.lit(1) for c in ("v", "near", "cell", "dim", "role", "unit")})
