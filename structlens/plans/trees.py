@@ -118,7 +118,8 @@ def served_summaries(s, d):
     out = _folder(s, "summaries")
     served = expiry.served_summaries(asked, seconds=6 * 3600)
     served.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(expiry.RESULT).parquet(f"{out}/rows")
+    rows = s.read.schema(expiry.RESULT).parquet(f"{out}/rows")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("asked", "made")})
 
 
 @query("diagnostics_stream", "SELECT user_id AS file_path, arg_max(props, event_id) AS diagnostics FROM events GROUP BY user_id")
@@ -138,7 +139,7 @@ def merged_index(s, d):
     out = _folder(s, "index")
     sent = _stream(s, d).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("version"), F.col("event_type").alias("signature_hash"), F.col("props").alias("content_hash"), (F.col("event_type") == "error").alias("deleted"))
     index.merge_batches(sent, f"{out}/rows", f"{out}/state").awaitTermination()
-    return index.read_merged(s, f"{out}/rows").select("path", "version", "signature_hash", "content_hash")
+    return index.read_merged(s, f"{out}/rows").select("path", F.col("version").cast("timestamp_ntz").alias("version"), "signature_hash", "content_hash")
 
 
 @query("versioned_table", "SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_size + 100 ELSE p_size END AS size FROM part UNION ALL SELECT -p_partkey - 1, p_size FROM part WHERE p_partkey % 11 = 0")

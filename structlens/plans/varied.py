@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import edit, relate, symbols, tokens
-from ..sources.files import explode_lines
+from ..operators import edit, extract, relate, symbols, tokens
+from ..sources.files import explode_lines, with_language
 from . import tables as t
 
 Q, O = {}, {}
@@ -248,6 +248,19 @@ def references_in_code(s, d):
     return refs.groupBy("file_path", "target").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+_PLACES_OF = {"rs": (1, 3), "js": (1, 6), "py": (0, 4), "sh": (0, 0), "lua": (0, 6), "cs": (0, 6)}
+
+
+@query("references_at", f"WITH {_MENTIONED} SELECT file_path, name AS target, code AS n FROM m_files")
+def references_at(s, d):
+    """The identifier at a place, and all its places in code, through the interface of extractors."""
+    files = with_language(_mentions(s, d).drop("language"), s)
+    lines = explode_lines(files).join(files.select("file_path", "ext", "language"), "file_path")
+    at = lambda k: F.element_at(F.create_map(*[F.lit(x) for e, place in _PLACES_OF.items() for x in (e, place[k])]), F.col("ext"))
+    refs = extract.Analysis(lines).references(files.select("file_path", at(0).alias("line"), at(1).alias("column")))
+    return refs.groupBy("file_path", "target").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query("rename_in_code", f"WITH {_MENTIONED} SELECT file_path, code AS renamed, comment + string AS kept FROM m_files")
 def rename_in_code(s, d):
     """Renames leave comments and strings alone."""

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from structlens.operators import edit, lexing, symbols, tokens
+from structlens.operators import edit, extract, lexing, symbols, tokens, tools
 from structlens.operators.statements import File, Statement
 from structlens.plans import varied
 
@@ -82,3 +82,26 @@ def test_long_inputs_take_linear_time(spark):
     flat = File("x = [\n" + "  1,\n" * 100_000 + "]\n", "javascript").statements()
     assert len(flat) == 1 and isinstance(flat[0], Statement)
     assert time.perf_counter() - began < 60
+
+
+def test_the_interface(spark):
+    rows = [("a.rs", "rs", "rust", i, x) for i, x in enumerate(["use b::c;", "fn f() { f(); } // f", "struct F;"])] + [("t.toml", "toml", None, 0, "[x]"), ("z.txt", "txt", None, 0, "section:")]
+    it = extract.Analysis(spark.createDataFrame(rows, "file_path string, ext string, language string, line_no int, text string"))
+    assert {(r.file_path, r.backend) for r in it.symbols().collect()} == {("a.rs", "patterns"), ("t.toml", "toml"), ("z.txt", "heuristic")}
+    assert [(r.kind, r.line_start) for r in it.definition("f").collect()] == [("Function", 1)]
+    assert sorted((r.line_no, r.col) for r in it.references(spark.createDataFrame([("a.rs", 1, 3)], "file_path string, line int, column int")).collect()) == [(1, 3), (1, 9)]
+    assert {r.name for r in it.search("F").collect()} == {"f", "F"} and [r.name for r in it.imports().collect()] == ["use b::c;"]
+    assert it.diagnostics().count() == 0 and {r.backend for r in it.capabilities().where("not rename").collect()} == {"patterns", "toml", "heuristic"}
+
+
+def test_tools_check_their_arguments(spark):
+    known = {x["name"]: x for x in tools.tools()}
+    assert known["read.search_symbols"]["input_schema"]["required"] == ["symbols", "pattern"] and known["read.search_symbols"]["read_only"] and not known["export.export"]["read_only"]
+    assert all(x["description"] or x["name"] for x in known.values()) and len(known) > 60
+    found = symbols.from_sources(spark.createDataFrame([("a.rs", "rust", "fn ab() {}")], FILES))
+    assert tools.call("read.search_symbols", symbols=found, pattern="A", limit=3).first().name == "ab"
+    for arguments, problem in (({"symbols": found}, "missing pattern"), ({"symbols": found, "pattern": "a", "x": 1}, "unknown x"), ({"symbols": found, "pattern": 3}, "has to be str"), ({"symbols": found, "pattern": "a", "limit": "3"}, "has to be int"), ({"symbols": found, "pattern": "a", "limit": -1}, "negative")):
+        with pytest.raises(ValueError, match=problem):
+            tools.call("read.search_symbols", **arguments)
+    with pytest.raises(ValueError, match="unknown operator"):
+        tools.call("read.nothing")
