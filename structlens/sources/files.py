@@ -132,14 +132,16 @@ def detect_roots(files: DataFrame, present: DataFrame, spark: SparkSession, *, s
 
     Folders above a file are walked up to ``stop_at``. For Rust the topmost workspace counts, else the nearest manifest; for Go the
     nearest go.work, else the nearest go.mod; for JavaScript and TypeScript the nearest marker in a folder without deno.json; for others the nearest
-    marker. Without any it is the nearest folder with a ``.git``, else ``stop_at``.
+    marker. Without any it is the nearest folder with a ``.git``, else ``stop_at``. Roots are looked up once for a folder and language; neither
+    those folders nor the markers are broadcast by the planner's guess, which doesn't know how many folders are above a file.
     """
     folder = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
-    parts = F.split(folder(F.col("file_path")), "/")
+    placed = files.select("file_path", "language", folder(F.col("file_path")).alias("folder"))
+    parts = F.split("folder", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     top = stop_at.strip("/")
     inside = F.filter(F.array_distinct(up), lambda d: (F.lit(top) == "") | (d == top) | F.startswith(d, F.lit(top + "/")))
-    own = files.select("file_path", "language", F.explode_outer(inside).alias("dir"))
+    own = placed.select("folder", "language").distinct().select("folder", "language", F.explode(inside).alias("dir"))
     # the lower the rank, the sooner a marker decides
     ranks = {"rust": {"Cargo.toml": 1}, "go": {"go.work": 0, "go.mod": 1}}
     markers = [(lang, m, ranks.get(lang, {}).get(m, 1)) for lang, ms in fixed.ROOT_MARKERS.items() for m in (ranks.get(lang) or ms)]
@@ -153,14 +155,16 @@ def detect_roots(files: DataFrame, present: DataFrame, spark: SparkSession, *, s
     found = found.join(deno, found["p_dir"] == deno["d_dir"], "left").where(F.col("d_dir").isNull() | ~F.col("m_language").isin("javascript", "typescript"))
     rank = F.when((F.col("m_language") == "rust") & F.col("workspace"), 0).otherwise(F.col("rank"))
     found = found.groupBy("p_dir", "m_language").agg(F.min(rank).alias("rank"))
-    met = own.join(found, (own["dir"] == found["p_dir"]) & (own["language"] == found["m_language"]))
+    # a .git is for every language, and decides last
+    git = there.where("p_name = '.git'").select("p_dir").distinct().select("p_dir", F.lit(None).cast("string").alias("m_language"), F.lit(2).alias("rank"))
+    found = found.unionByName(git).hint("merge")
+    met = own.join(found, (own["dir"] == found["p_dir"]) & (found["m_language"].isNull() | (own["language"] == found["m_language"])))
     depth = F.length("dir")
     # of workspaces the topmost, of all else the nearest
     order = F.struct("rank", F.when((F.col("language") == "rust") & (F.col("rank") == 0), depth).otherwise(-depth))
-    pick = met.groupBy("file_path").agg(F.min_by("dir", order).alias("marked"))
-    git = there.where("p_name = '.git'").select(F.col("p_dir").alias("g_dir")).distinct()
-    by_git = own.join(git, own["dir"] == git["g_dir"]).groupBy("file_path").agg(F.max_by("dir", depth).alias("git"))
-    return files.select("file_path", "language").join(pick, "file_path", "left").join(by_git, "file_path", "left").select("file_path", "language", F.coalesce("marked", "git", F.lit(stop_at)).alias("root"))
+    pick = met.groupBy(F.col("folder").alias("r_folder"), F.col("language").alias("r_language")).agg(F.min_by("dir", order).alias("root"))
+    out = placed.join(pick, (placed["folder"] == pick["r_folder"]) & placed["language"].eqNullSafe(pick["r_language"]), "left")
+    return out.select("file_path", "language", F.coalesce("root", F.lit(stop_at)).alias("root"))
 
 
 def diff_lines(diffs: DataFrame, *, key: str = "diff_id", diff: str = "diff") -> DataFrame:

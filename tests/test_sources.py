@@ -83,3 +83,32 @@ def test_deno_stop_at_and_markers(spark):
     there = spark.createDataFrame([("x/a/deno.json",), ("x/a/package.json",), ("x/package.json",), ("package.json",), ("x/a/Own.csproj",)], "path string")
     got = {r.file_path: r.root for r in files.detect_roots(f, there, spark, stop_at="x").collect()}
     assert got == {"x/a/m.ts": "x", "x/a/m.cs": "x/a", "x/b/m.hs": "x"}
+
+
+def _below(plan: str, node: str) -> list[str]:
+    """What stands below each node of that name in a plan's text, by its indents."""
+    lines, out = plan.splitlines(), []
+    at = [next((i for i, c in enumerate(x) if c.isalpha()), 0) for x in lines]
+    for i, x in enumerate(lines):
+        if x[at[i] :].startswith(node):
+            end = next((j for j in range(i + 1, len(lines)) if at[j] <= at[i]), len(lines))
+            out.append("\n".join(lines[i + 1 : end]))
+    return out
+
+
+def test_folders_of_files_are_not_broadcast(spark):
+    # the planner takes these files for 80 kB, whatever the number of folders above each
+    deep = files.F.format_string("a/b/c/d/e/f%d/x.rs", "id")
+    f = spark.range(10_000).select(deep.alias("file_path"), files.F.lit("rust").alias("language"))
+    there = spark.createDataFrame([("a/Cargo.toml",), ("a/b/c/Cargo.toml",), ("a/b/c/d/e/f7/Cargo.toml",), (".git",)], "path string")
+    roots = files.detect_roots(f, there, spark)
+    assert not [x for x in _below(roots._jdf.queryExecution().executedPlan().toString(), "BroadcastExchange") if "Range" in x]
+    assert {(r.root, r["count"]) for r in roots.groupBy("root").count().collect()} == {("a/b/c", 9_999), ("a/b/c/d/e/f7", 1)}
+
+
+def test_roots_by_git_language_and_workspace(spark):
+    f = [("g/p/q/a.rs", "rust"), ("g/p/q/a.py", "python"), ("g/p/q/notes", None), ("g/p/q/notes", "go"), ("h/a.rs", "rust"), ("top.rs", "rust"), (None, "rust"), ("w/m/n/a.rs", "rust")]
+    there = [("g/.git", False), ("g/p/.git", False), ("g/Cargo.toml", False), ("g/p/q/pyproject.toml", None), ("w/Cargo.toml", True), ("w/m/Cargo.toml", True), ("w/m/n/Cargo.toml", False)]
+    got = files.detect_roots(spark.createDataFrame(f, "file_path string, language string"), spark.createDataFrame(there, "path string, workspace boolean"), spark)
+    want = {("g/p/q/a.rs", "rust", "g"), ("g/p/q/a.py", "python", "g/p/q"), ("g/p/q/notes", None, "g/p"), ("g/p/q/notes", "go", "g/p"), ("h/a.rs", "rust", ""), ("top.rs", "rust", ""), (None, "rust", ""), ("w/m/n/a.rs", "rust", "w")}
+    assert len(got.collect()) == len(want) and {tuple(r) for r in got.collect()} == want
