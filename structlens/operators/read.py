@@ -10,6 +10,8 @@ from ..functions import fixed, text
 from .spans import meet
 from .tokens import call_columns  # noqa: F401
 
+MEMBER_ROWS = 256
+
 
 def get_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.select("file_path", "seq", "name", "qualified_name", "stable_id", "kind", "line_start", "line_end", "signature")
@@ -140,12 +142,23 @@ def get_scope(positions: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def enclosing_class(symbols: DataFrame) -> DataFrame:
-    """For each (file, member name) the first symbol that has a child of that name, with the names of all its children."""
+    """For each (file, member name) the first symbol that has a child of that name, with the names of all its children.
+
+    The list of a symbol is repeated for each member name that it is first for, so the lists come last: they are made, as texts, only for symbols that are
+    first for some name, and meet their rows in a join behind which nothing is sorted or shuffled. Of many rows each ``MEMBER_ROWS`` or so have a copy of the
+    list of their own, so that no task writes all of them.
+    """
+    key = ["file_path", "p_seq"]
     child = symbols.where("parent_seq IS NOT NULL").select("file_path", F.col("parent_seq").alias("p_seq"), F.col("name").alias("method"), F.col("seq").alias("c_seq"))
     first = child.groupBy("file_path", "method").agg(F.min("p_seq").alias("p_seq"))
-    members = child.groupBy("file_path", "p_seq").agg(F.array_sort(F.collect_list(F.struct("c_seq", "method"))).alias("m"))
+    first = first.withColumn("shares", F.ceil(F.count(F.lit(1)).over(W.partitionBy(*key)) / MEMBER_ROWS).cast("int"))
+    wanted = first.groupBy(*key).agg(F.max("shares").alias("shares"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_seq", "method"))), lambda x: x["method"]), ",")
+    members = child.join(wanted, key).groupBy(*key, "shares").agg(listed.alias("members"))
+    members = members.select(*key, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "members")
     owner = symbols.select("file_path", F.col("seq").alias("p_seq"), F.col("name").alias("class_name"), F.col("kind").alias("class_kind"))
-    return first.join(members, ["file_path", "p_seq"]).join(owner, ["file_path", "p_seq"]).select("file_path", "method", "class_name", "class_kind", F.array_join(F.transform("m", lambda x: x["method"]), ",").alias("members"))
+    named = first.withColumn("share", F.pmod(F.hash("method"), "shares")).join(owner, key)
+    return named.join(members, [*key, "share"]).select("file_path", "method", "class_name", "class_kind", "members")
 
 
 def symbol_body(hints: DataFrame, symbols: DataFrame) -> DataFrame:

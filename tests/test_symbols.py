@@ -1,6 +1,7 @@
 """Symbols from small source texts of our own."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from structlens.operators import graph, read, symbols
 
@@ -126,3 +127,37 @@ def test_graph_of_source(found):
 def test_languages(spark, path, source, kind, name):
     rows = symbols.from_files(spark, spark.createDataFrame([(path, source)], "file_path string, source string")).collect()
     assert (kind, name) in {(r.kind, r.name) for r in rows}
+
+
+def _wide(spark, n):
+    """A module of n classes of different names, each with a method; the last class has a method of its own too."""
+    row = "file_path string, seq int, parent_seq int, name string, kind string"
+    rows = [("a.rs", 0, None, "top", "Module")]
+    for i in range(n):
+        rows += [("a.rs", 2 * i + 1, 0, f"C{i:04d}", "Class"), ("a.rs", 2 * i + 2, 2 * i + 1, f"run{i % 3}", "Method")]
+    return spark.createDataFrame([*rows, ("a.rs", 2 * n + 1, 2 * n - 1, "own", "Method"), ("b.rs", 0, None, "alone", "Class")], row)
+
+
+def test_enclosing_class_of_many_names(spark):
+    got = {(r.file_path, r.method): (r.class_name, r.class_kind, r.members) for r in read.enclosing_class(_wide(spark, 1000)).collect()}
+    every = ",".join(f"C{i:04d}" for i in range(1000))
+    want = {("a.rs", f"C{i:04d}"): ("top", "Module", every) for i in range(1000)}
+    want |= {("a.rs", f"run{k}"): (f"C{k:04d}", "Class", f"run{k}") for k in range(3)} | {("a.rs", "own"): ("C0999", "Class", "run0,own")}
+    assert got == want
+
+
+def test_enclosing_class_deals_the_rows_of_one_symbol(spark):
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = read.enclosing_class(_wide(spark, 2000))
+        sizes = out.where("class_name = 'top'").groupBy(F.spark_partition_id()).count().collect()
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in sizes) == 2000 and max(r["count"] for r in sizes) <= 1200
+    # the lists come to the last join as texts, and none is made in each of its rows
+    assert plan.index("Join Inner") < plan.index("array_join")
