@@ -161,3 +161,18 @@ def test_enclosing_class_deals_the_rows_of_one_symbol(spark):
     assert sum(r["count"] for r in sizes) == 2000 and max(r["count"] for r in sizes) <= 1200
     # the lists come to the last join as texts, and none is made in each of its rows
     assert plan.index("Join Inner") < plan.index("array_join")
+
+
+def test_enclosing_class_gives_a_task_one_long_list(spark):
+    row = "file_path string, seq int, parent_seq int, name string, kind string"
+    rows = [(f"{f}.rs", i, 0 if i else None, f"C{i:05d}" if i else f"top{f}", "Class" if i else "Module") for f in range(3) for i in range(1201)]
+    rows += [(f"s{f}.rs", i, 0 if i else None, f"run{i}", "Method" if i else "Class") for f in range(20) for i in range(3)]
+    out = read.enclosing_class(spark.createDataFrame(rows, row))
+    tasks = out.groupBy(F.spark_partition_id().alias("task"), "class_name", "class_kind").count().collect()
+    long = [r for r in tasks if r["class_kind"] == "Module"]
+    # a writer that holds a run of equal lists cheaply meets no other long list behind it
+    assert sum(r["count"] for r in long) == 3600 and len({r["task"] for r in long}) == len(long)
+    assert not {r["task"] for r in long} & {r["task"] for r in tasks if r["class_kind"] == "Class"}
+    every = ",".join(f"C{i:05d}" for i in range(1, 1201))
+    assert {(r.file_path, r.method) for r in out.where(F.col("members") == every).select("file_path", "method").collect()} == {(f"{f}.rs", f"C{i:05d}") for f in range(3) for i in range(1, 1201)}
+    assert {(r.file_path, r.method, r.members) for r in out.where("class_kind = 'Class'").collect()} == {(f"s{f}.rs", f"run{i}", "run1,run2") for f in range(20) for i in (1, 2)}
